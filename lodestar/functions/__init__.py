@@ -1 +1 @@
-"""Functions of the search engine."""
+"""Scalar functions as columns."""

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -107,7 +108,7 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stemmed(words: pd.Series) -> pd.Series:
     """An array of tokens, folded and stemmed."""
     return words.map(lambda ws: None if ws is None else [stem(fold(w)) for w in ws])
@@ -121,7 +122,7 @@ def english(text: Column) -> Column:
 def snippets(size: int = 200):
     """A function of (body, array of query tokens): the first fragment of at most size code points around a match, HTML-escaped, matches in <mark>; without one the beginning. For final hits only."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def snippet(bodies: pd.Series, queries: pd.Series) -> pd.Series:
         def one(body, words):
             body, words = body or "", {stem(fold(w)) for w in (words if words is not None else [])}

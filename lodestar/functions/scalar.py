@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StringType
 
 
 def content_hash(title: Column, body: Column) -> Column:
@@ -89,7 +90,7 @@ def next_link(header: Column) -> Column:
     return F.when(found != "", found)
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def fnv1a64(s: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, 64 bits, unsigned. Null: null."""
     import decimal
@@ -111,7 +112,7 @@ def fnv1a64(s: pd.Series) -> pd.Series:
 def signer(secret: str, prefix: str = "sha256="):
     """A function of a binary or text column: prefix and the HMAC-SHA256 in hex, by secret."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def sign(body: pd.Series) -> pd.Series:
         return body.map(lambda b: None if b is None else prefix + hmac.new(secret.encode(), b.encode() if isinstance(b, str) else bytes(b), hashlib.sha256).hexdigest())
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import changelog
+from . import changelog, permissions
 
-_MODULES = [changelog]
+_MODULES = [changelog, permissions]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

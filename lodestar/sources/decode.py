@@ -70,6 +70,6 @@ def encode_docs(events: DataFrame) -> DataFrame:
     return events.select(F.col("doc.id").alias("key"), F.to_json(F.struct("op", "doc", "version", "src_ts_ms", "emit_ts_ms", "mode")).alias("value"))
 
 
-def encode_edges(edges: DataFrame) -> DataFrame:
-    """(key, value) of edge events (src, dst, present, version, src_ts_ms)."""
-    return edges.select(F.concat_ws("|", "src", "dst").alias("key"), F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "present", "version", "src_ts_ms")).alias("value"))
+def encode_edges(edges: DataFrame, *keep: str) -> DataFrame:
+    """(key, value) of edge events (src, dst, present, version, src_ts_ms), and the kept columns."""
+    return edges.select(*keep, F.concat_ws("|", "src", "dst").alias("key"), F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "present", "version", "src_ts_ms")).alias("value"))

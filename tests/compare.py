@@ -50,7 +50,7 @@ def main(args: list[str]) -> int:
     from lodestar.session import session
 
     sf_dir = args[0] if args else "/root/testdata/sf0.001"
-    spark = session("compare", spark_master="local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="8g")
+    spark = session("compare", spark_master="local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_ui_showConsoleProgress="false", spark_driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     db, bad = database(sf_dir), 0
     queries, sql = entry.queries(), entry.oracle_sql()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import changelog, permissions
+from . import changelog, permissions, reports, retrieval
 
-_MODULES = [changelog, permissions]
+_MODULES = [retrieval, changelog, permissions, reports]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -77,7 +77,7 @@ def number_after_slash(url: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """The trimmed, non-empty parts of a comma-separated list."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_project_key(key: Column) -> Column:

@@ -21,13 +21,13 @@ KINDS = ["email", "ip", "card", "phone"]
 # The base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # no match starts within a run of digits
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Identifier-like tokens.
 TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/@+-]*[A-Za-z0-9])?")
 #: Texts that can hold any of them, for Arrow's linear-time matcher.
-ANY = r"@|[0-9][^\s]*[0-9]|\+[0-9]"
+ANY = r"@|[0-9] ?[0-9]|[0-9][^\s]*[0-9]|\+[0-9]"
 
 ROUNDS, SUPPORT, PRIOR, CONFIDENCE = 3, 5, 2.0, 0.8
 

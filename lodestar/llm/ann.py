@@ -4,7 +4,7 @@ Inner products become distances by one more coordinate, sqrt(M - |x|^2) with M t
 
 In a probed list vectors are rotated at random and scanned in blocks of COLUMNS columns. After each block a hypothesis test asks, from the partial distance over t of d rotated columns, whether the whole one can still be below the query's 20th best so far; pairs that it rejects are abandoned. What is left gets its exact inner product on the original vectors, in double precision.
 
-Lists are dealt out in blocks of at most about BLOCK vectors against blocks of at most about BLOCK queries, whatever a list's size; each block sends on its best k of each query.
+Lists are dealt out to SHARDS shards, and a shard in blocks of about BLOCK vectors against blocks of about BLOCK queries, whatever a list's size; a query goes to a shard once, with the lists that it probes there, and each block sends on its best k of each query.
 
 Vectors that are null, zero, hold null or non-finite components or haven't the commonest length take no part, nor do rows without vec_id. Of rows with the same vec_id the greatest vector counts. Ties go to the smaller vec_id. Fewer candidates than k: all. An empty table gives an empty result; other columns are ignored.
 """
@@ -22,7 +22,7 @@ K, EVERY = 20, 20
 SAMPLE, RECALL = 16_384, 0.97
 #: Vectors in a list, roughly, and lists at most.
 LIST, MOST_LISTS = 512, 1024
-BLOCK, COLUMNS, EPSILON = 4096, 16, 2.5
+SHARDS, BLOCK, COLUMNS, EPSILON = 16, 4096, 16, 2.5
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -154,24 +154,37 @@ def search(vectors: DataFrame, queries, k: int = K) -> DataFrame:
     def probing(frames):
         for f in frames:
             if len(f):
-                n = shared.value.probes
-                yield pd.DataFrame({"list": shared.value.order(np.stack(f.v))[:, :n].ravel().astype(np.int32), "query_id": np.repeat(f.vec_id.to_numpy(), n), "q": f.v.repeat(n)})
-
-    index = common.saved(all_.mapInPandas(entered, "list int, vec_id long, v array<double>"), "lists")
-    probes = common.saved(all_.filter(queries).mapInPandas(probing, "list int, query_id long, q array<double>"), "probes")
-    # A row for each list, MOST_LISTS at most: small enough to send to every task.
-    blocks = F.broadcast(index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    q_blocks = F.broadcast(probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")))
-    x = index.join(blocks, "list").join(q_blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("list", "block", "q_block", "vec_id", "v")
-    q = probes.join(blocks, "list").join(q_blocks, "list").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "q_block", "query_id", "q")
+                order = shared.value.order(np.stack(f.v))[:, : shared.value.probes]
+                for shard in range(SHARDS):
+                    mine = [row[row % SHARDS == shard].astype(np.int32) for row in order]
+                    some = np.array([len(x) > 0 for x in mine])
+                    if some.any():
+                        yield pd.DataFrame({"shard": np.int32(shard), "query_id": f.vec_id[some], "lists": [x for x in mine if len(x)], "q": f.v[some]})
+
+    index = common.saved(all_.mapInPandas(entered, "list int, vec_id long, v array<double>").withColumn("shard", F.pmod("list", F.lit(SHARDS))), "lists")
+    probes = common.saved(all_.filter(queries).mapInPandas(probing, "shard int, query_id long, lists array<int>, q array<double>"), "probes")
+    # A row for each shard: small enough to send to every task.
+    blocks = F.broadcast(index.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    q_blocks = F.broadcast(probes.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")))
+    x = index.join(blocks, "shard").join(q_blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("shard", "block", "q_block", "list", "vec_id", "v")
+    q = probes.join(blocks, "shard").join(q_blocks, "shard").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "block", "q_block", "query_id", "lists", "q")
 
     def block(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        a, b, s = scan(left.vec_id.to_numpy(), np.stack(left.v), right.query_id.to_numpy(), np.stack(right.q), shared.value, k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    key = ["list", "block", "q_block"]
+        found = []
+        if len(left) and len(right):
+            query_ids, q = right.query_id.to_numpy(), np.stack(right.q)
+            wanted = pd.Series(np.repeat(np.arange(len(right)), [len(x) for x in right.lists])).groupby(np.concatenate(list(right.lists))).agg(list).to_dict()
+            for name, part in left.groupby("list"):
+                if name in wanted:
+                    at = np.array(wanted[name])
+                    found.append(scan(part.vec_id.to_numpy(), np.stack(part.v), query_ids[at], q[at], shared.value, k))
+        a, b, s = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        by = np.lexsort((b, -s, a))
+        a, b, s = a[by], b[by], s[by]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return pd.DataFrame({"query_id": a[keep], "vec_id": b[keep], "score": s[keep]})
+
+    key = ["shard", "block", "q_block"]
     found = x.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

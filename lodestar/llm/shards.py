@@ -1,8 +1,8 @@
 """Training-order materialisation of token ids: a keyed Feistel permutation gives every sequence its global slot, shards are fixed-stride files.
 
-1. Whole texts are tokenised (byte-level BPE) and cut into sequences of LENGTH ids, the last one padded; every sequence gets a place: its task and its number in it. Written once, compressed.
+1. Whole texts are tokenised (byte-level BPE) and cut into sequences of LENGTH ids, the last one padded; every sequence gets a place: its task and its number in it. Written once, compressed together.
 2. The sequences of the tasks before it (one number for each task) and its own number give a dense index; a balanced Feistel network over the next even power of two permutes it, walking the cycle until it is below the number of sequences. The same key gives the same order.
-3. Each shard is a range of SHARD slots. Rows go to their shard, are sorted by slot and written as records of one size: doc_id (int64), sequence number (int32), ids (int32), ids as uint16. So slot s is at byte (s % SHARD) * STRIDE of shard s // SHARD, and a reader can go on from any slot.
+3. Each shard is a range of SHARD slots. What a task has read goes to each shard as one compressed row, its records take their places by slot, and are written with one size: doc_id (int64), sequence number (int32), ids (int32), ids as uint16. So slot s is at byte (s % SHARD) * STRIDE of shard s // SHARD, and a reader can go on from any slot.
 
 Files get their name when complete; a task that runs again writes the same bytes. Null and empty texts have no sequences; empty tables give no shards and an empty result; repeated rows each have sequences of their own; other columns are ignored; a null doc_id is written as the least int64 and read as null.
 """
@@ -29,6 +29,9 @@ LENGTH, PAD, KEY, ROUNDS = 256, 0xFFFF, 0x5EED, 6
 SHARD = 32_768
 RECORD = np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("ids", "<u2", LENGTH)])
 STRIDE = RECORD.itemsize
+#: What stands before the ids of a record on its way to its shard, and the bytes of sequences that a task gathers for that.
+HEAD = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4")])
+GATHERED = 64 << 20
 _NULL = -(2**63)
 
 
@@ -77,11 +80,10 @@ def permute(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
 
 
 def sequences(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(part, place, doc_id, seq_no, n_tokens, ids): compressed ids of each sequence."""
+    """(part, place, doc_id, seq_no, n_tokens, ids): the ids of each sequence."""
 
     def run(batches):
         part, place = TaskContext.get().partitionId(), 0
-        codec = pa.Codec("zstd", 1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 rows: list[tuple] = []
@@ -89,7 +91,7 @@ def sequences(docs: DataFrame, vocabulary: str) -> DataFrame:
                     ids = token_ids(text, vocabulary) if text else np.zeros(0, np.uint16)
                     for i in range(0, len(ids), LENGTH):
                         x = ids[i : i + LENGTH]
-                        rows.append((part, place, doc_id, i // LENGTH, len(x), codec.compress(x.tobytes(), asbytes=True)))
+                        rows.append((part, place, doc_id, i // LENGTH, len(x), x.tobytes()))
                         place += 1
                 if rows:
                     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -108,7 +110,10 @@ def materialise(docs: DataFrame, uri: str, vocabulary: str | None = None, key: i
     import public_tokenizers
 
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    seqs = common.saved(sequences(docs, vocabulary), "sequences")
+    made, path = sequences(docs, vocabulary), common.scratch(docs.sparkSession, "sequences")
+    # Many sequences are compressed together, which takes half of what one by one would.
+    made.write.option("compression", "zstd").parquet(path)
+    seqs = docs.sparkSession.read.schema(made.schema).parquet(path)
     counts = {r.part: r["count"] for r in seqs.groupBy("part").count().collect()}  # a number for each task
     n = sum(counts.values())
     if not n:
@@ -120,44 +125,72 @@ def materialise(docs: DataFrame, uri: str, vocabulary: str | None = None, key: i
     shared = docs.sparkSession.sparkContext.broadcast(starts)
 
     def slots(batches):
+        held, size = [], 0
+        codec = pa.Codec("zstd", 3)
+
+        def sent():
+            table = pa.Table.from_batches(held)
+            slot = permute(shared.value[table.column("part").to_numpy()] + table.column("place").to_numpy(), n, key)
+            order = np.argsort(slot, kind="stable")
+            shard = (slot // SHARD).astype(np.int32)[order]
+            ids = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(b, np.uint16) for b in table.column("ids").to_pylist())])
+            ns = table.column("n_tokens").to_numpy().astype(np.int64)
+            ends = ns.cumsum()
+            head = np.zeros(len(slot), HEAD)
+            head["slot"], head["doc_id"], head["seq_no"], head["n_tokens"] = slot, table.column("doc_id").fill_null(_NULL).to_numpy(), table.column("seq_no").to_numpy(), ns
+            out = []
+            for rows in np.split(order, np.flatnonzero(np.diff(shard)) + 1):
+                raw = head[rows].tobytes() + b"".join(ids[ends[i] - ns[i] : ends[i]].tobytes() for i in rows.tolist())
+                out.append((int(slot[rows[0]] // SHARD), len(rows), len(raw), codec.compress(raw, asbytes=True)))
+            held.clear()
+            for lo in range(0, len(out), 64):
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[lo : lo + 64], strict=True), kinds, strict=True)], ["shard", "records", "size", "data"])
+
         for batch in batches:
-            slot = permute(shared.value[batch.column("part").to_numpy()] + batch.column("place").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array((slot // SHARD).astype(np.int32)), pa.array(slot), *batch.columns[2:]], ["shard", "slot", *batch.schema.names[2:]])
+            held.append(batch)
+            size += batch.nbytes
+            if size > GATHERED:
+                yield from sent()
+                size = 0
+        if sum(b.num_rows for b in held):
+            yield from sent()
 
     def write(batches):
-        codec, shard, records, where = pa.Codec("zstd", 1), None, [], None
+        codec, shard, records, filled = pa.Codec("zstd"), None, None, 0
 
         def end():
-            if shard is None:
-                return
+            if filled != len(records):
+                raise RuntimeError(f"shard {shard} has {filled} of {len(records)} sequences")
             fs, path = _shard_path(uri, shard)
             fs.create_dir(os.path.dirname(path), recursive=True)
             unfinished = f"{os.path.dirname(path)}/_{uuid.uuid4().hex}"
             with fs.open_output_stream(unfinished) as f:
-                for r in records:
-                    f.write(r)
+                f.write(records.tobytes())
             fs.move(unfinished, path)
+            return pa.record_batch([pa.array([shard], pa.int32()), pa.array([filled], pa.int64())], ["shard", "records"])
 
         for batch in batches:
-            shards, doc_ids, seq_nos, ns = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "seq_no", "n_tokens"))
-            ids = batch.column("ids")
-            for i in range(batch.num_rows):
-                if shards[i] != shard:
-                    end()
+            for at, m, size, data in zip(*(batch.column(c) for c in ("shard", "records", "size", "data")), strict=True):
+                if at.as_py() != shard:
                     if shard is not None:
-                        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(records)], pa.int64())], ["shard", "records"])
-                    shard, records = shards[i], []
-                r = np.zeros(1, RECORD)
-                r["ids"] = PAD
-                x = np.frombuffer(codec.decompress(ids[i].as_buffer(), 2 * ns[i]), np.uint16)
-                r["doc_id"], r["seq_no"], r["n_tokens"], r["ids"][0, : ns[i]] = _NULL if doc_ids[i] is None else doc_ids[i], seq_nos[i], ns[i], x
-                records.append(r.tobytes())
-        end()
+                        yield end()
+                    shard, filled = at.as_py(), 0
+                    records = np.zeros(min(SHARD, n - shard * SHARD), RECORD)
+                    records["ids"] = PAD
+                raw = codec.decompress(data.as_buffer(), size.as_py(), asbytes=True)
+                head = np.frombuffer(raw, HEAD, m.as_py())
+                ids = np.frombuffer(raw, np.uint16, offset=head.nbytes)
+                place, ns = head["slot"] - shard * SHARD, head["n_tokens"].astype(np.int64)
+                for c in ("doc_id", "seq_no", "n_tokens"):
+                    records[c][place] = head[c]
+                records["ids"][np.repeat(place, ns), np.arange(len(ids)) - np.repeat(ns.cumsum() - ns, ns)] = ids
+                filled += len(head)
         if shard is not None:
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(records)], pa.int64())], ["shard", "records"])
+            yield end()
 
-    placed = seqs.mapInArrow(slots, "shard int, slot long, doc_id long, seq_no int, n_tokens int, ids binary")
-    written = placed.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(write, "shard int, records long")
+    placed = seqs.mapInArrow(slots, "shard int, records int, size long, data binary")
+    written = placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, records long")
     if (w := written.agg(F.sum("records")).first()[0]) != n:
         raise RuntimeError(f"{w} of {n} sequences were written")
     return n

@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-A first job counts the words of all texts; the frequent ones are merged once and compiled on the driver into a minimal automaton (equal suffixes share their states) whose paths number the words, and a table from numbers to ids. Its arrays are one file that Spark hands to every executor, where the workers memory-map it. A second job splits each whole text, walks the automaton for all its words at once and merges by the rules exactly those words that it doesn't hold. So the lexicon changes no result, only the time.
+A first job counts the words of all texts; the frequent ones are merged once and compiled on the driver into a minimal automaton (equal suffixes share their states) whose paths number the words, and a table from numbers to ids. Its arrays are one file that Spark hands to every executor, where the workers memory-map it. A second job splits each whole text, walks the automaton for all words that the worker hasn't met lately at once and merges by the rules exactly those words that it doesn't hold. So the lexicon changes no result, only the time.
 
 Ids and decoded texts are those of the tokenizer file: texts are split at its special tokens, normalised (NFC, lower case), split into letters, single digits and runs of others, and merged with word ends. Null and empty texts have no tokens and decode to an empty text. Repeated rows each give a row; other columns are ignored; an empty table gives an empty result.
 """
@@ -26,8 +26,8 @@ from . import common
 
 #: Words in the lexicon at most, and the times that a word must occur in a task to be counted there.
 LEXICON, FREQUENT = 131072, 8
-#: Words that a worker remembers at most, and the longest that it does.
-CACHE, CACHE_LENGTH = 300_000, 64
+#: Runs between spaces that a worker remembers at most, and the longest that it does.
+CACHE, CACHE_LENGTH = 100_000, 64
 END = "</w>"
 
 
@@ -44,6 +44,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+# What the regex module's newer tables call letters or numbers and the tokenizers' do not (code points, hexadecimal).
+NEWER = (
+    "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7cf-a7cf a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
+    "10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ebb-16ed3 "
+    "16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 "
+    "1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff "
+    "2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+
+
+def odd_letters() -> str:
+    """NEWER as a set of characters, for patterns."""
+    return "[" + "".join("-".join(f"\\U{int(x, 16):08x}" for x in run.split("-")) for run in NEWER.split()) + "]"
+
+
 class Rules:
     """What a tokenizer file of this kind says: specials, ids, merges and how texts are split."""
 
@@ -56,7 +71,11 @@ class Rules:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.specials.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split, self.odd = regex.compile(pattern), odd_letters()
+        # The tables of the regex module are newer than the tokenizer's: what they add are signs to it.
+        self.split_odd = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{self.odd}]").replace(r"[\p{L}]", rf"[\p{{L}}--{self.odd}]").replace(r"[\p{N}]+", rf"[\p{{N}}--{self.odd}]+").replace(r"|[\p{N}]|", rf"|[\p{{N}}--{self.odd}]|"), regex.V1)
+        self.odd = regex.compile(self.odd)
         letters = byte_letters()
         self.first = [self.ids.get(x) for x in letters]
         self.last = [self.ids.get(x + END) for x in letters]
@@ -70,15 +89,25 @@ class Rules:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
         return text.lower()
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text; special tokens are pieces of their own."""
+    def chunks(self, text: str) -> list[str]:
+        """The text's runs between spaces and line ends, normalised (some are empty); special tokens are runs of their own, behind a space. No word crosses a run's ends."""
         if self.special is None or not any(x in text for x in self.specials):
-            return self.split.findall(self.normalise(text))
+            return self.normalise(text).replace("\n", " ").split(" ")
         out: list[str] = []
         for i, part in enumerate(self.special.split(text)):
-            out += [part] if i % 2 else self.split.findall(self.normalise(part))
+            out += [" " + part] if i % 2 else self.normalise(part).replace("\n", " ").split(" ")
         return out
 
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk."""
+        if chunk[:1] == " ":
+            return [chunk[1:]]
+        return (self.split if chunk.isascii() or not self.odd.search(chunk) else self.split_odd).findall(chunk)
+
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text; special tokens are words of their own."""
+        return [w for c in self.chunks(text) for w in self.words(c)]
+
     def merge(self, word: str) -> list[int]:
         """The ids of a word by the merge rules: always the pair of lowest rank, from the left."""
         if word in self.specials:
@@ -234,13 +263,24 @@ def frequent_words(docs: DataFrame, vocabulary: str) -> list[str]:
     """The most frequent words of all texts, at most LEXICON of them; a word is counted where it occurs FREQUENT times in a task."""
 
     def run(batches):
-        r, counts = rules(vocabulary), Counter()
+        r, counts, runs = rules(vocabulary), Counter(), Counter()
+
+        def counted() -> None:
+            for chunk, n in runs.items():
+                for w in r.words(chunk):
+                    counts[w] += n
+            runs.clear()
+            if len(counts) > 4 * CACHE:
+                for w in [w for w, n in counts.items() if n == 1]:
+                    del counts[w]
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(r.pieces(text))
-            if len(counts) > 2 * CACHE:
-                counts = Counter({w: n for w, n in counts.items() if n > 1})
+                    runs.update(r.chunks(text))
+            if len(runs) > 2 * CACHE:
+                counted()
+        counted()
         keep = [(w, n) for w, n in counts.items() if n >= FREQUENT and len(w) <= CACHE_LENGTH]
         yield pa.record_batch([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], ["word", "n"])
 
@@ -252,48 +292,61 @@ def frequent_words(docs: DataFrame, vocabulary: str) -> list[str]:
 def build_lexicon(docs: DataFrame, vocabulary: str) -> str:
     """Compiles the lexicon and hands it to the executors; the name by which they find it."""
     words = frequent_words(docs, vocabulary)
-    r = rules(vocabulary)
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"lexicon-{hashlib.sha256(chr(10).join([vocabulary, *words]).encode('utf-8', 'surrogatepass')).hexdigest()[:16]}.bin")
-    compile_lexicon(words, [r.merge(w) for w in words], path)
-    docs.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
+    r, spark = rules(vocabulary), docs.sparkSession
+    name = f"lexicon-{hashlib.sha256(chr(10).join([vocabulary, *words]).encode('utf-8', 'surrogatepass')).hexdigest()[:16]}.bin"
+    # The same words of the same vocabulary are the same file: a session hands it out once.
+    if (spark.sparkContext.applicationId, name) not in _handed_out:
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+        compile_lexicon(words, [r.merge(w) for w in words], path)
+        spark.sparkContext.addFile(path)
+        _handed_out.add((spark.sparkContext.applicationId, name))
+    return name
+
+
+_handed_out: set[tuple[str, str]] = set()
 
 
 class Encoder:
-    """A worker's view of rules and lexicon: remembers the ids and the decoded text of words, both as strings."""
+    """A worker's view of rules and lexicon: remembers what chunks encode and decode to, as strings (packed: their ids as uint16)."""
 
     def __init__(self, vocabulary: str, name: str | None, packed: bool = False):
         self.packed = packed
         self.rules, self.lexicon = rules(vocabulary), lexicon(SparkFiles.get(name)) if name else None
-        self.ids, self.names, self.raw = {}, {}, {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
+        self.ids, self.names, self.known = {}, {}, {}
+
+    def word_ids(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of words, remembered: by the lexicon, or merged where it doesn't hold them."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        numbers = self.lexicon.numbers([w.encode("utf-8") for w in new]).tolist() if self.lexicon is not None and new else [-1] * len(new)
+        for w, n in zip(new, numbers, strict=True):
+            self.known[w] = self.lexicon.ids(n) if n >= 0 else self.rules.merge(w)
+        return self.known
+
+    def learn(self, chunks: set[str]) -> None:
+        new = [c for c in chunks if c not in self.ids]
         if len(self.ids) + len(new) > CACHE:
             self.ids.clear()
             self.names.clear()
-            self.raw.clear()
-            new = list(words)
-        if self.lexicon is not None and new:
-            numbers = self.lexicon.numbers([w.encode("utf-8") for w in new]).tolist()
-        else:
-            numbers = [-1] * len(new)
-        names = self.rules.names
-        for w, number in zip(new, numbers, strict=True):
-            ids = self.lexicon.ids(number) if number >= 0 else self.rules.merge(w)
-            self.ids[w] = " ".join(map(str, ids))
+            new = list(chunks)
+        split = [self.rules.words(c) for c in new]
+        known, names = self.word_ids(set().union(*split)), self.rules.names
+        for c, words in zip(new, split, strict=True):
+            ids = [i for w in words for i in known[w]]
             if self.packed:
-                self.raw[w] = np.array(ids, np.uint16).tobytes()
+                self.ids[c] = np.array(ids, np.uint16).tobytes()
             else:
-                self.names[w] = " ".join([names[i] for i in ids])
+                self.ids[c] = " ".join(map(str, ids))
+                self.names[c] = " ".join([names[i] for i in ids])
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of tokens, ids, decoded text) of each text; packed: ids as uint16, without decoded text."""
         out, group, size = [], [], 0
         for t in texts:
-            group.append(self.rules.pieces(t) if t else [])
+            group.append(self.rules.chunks(t) if t else [])
             size += len(group[-1])
-            if size > CACHE // 4:
+            if size > CACHE // 2:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)
@@ -301,24 +354,24 @@ class Encoder:
     def _group(self, group: list[list[str]]) -> list[tuple[int, str, str]]:
         if not group:
             return []
-        self.learn(set().union(*group))
+        chunks = set().union(*group)
+        self.learn(chunks)
         out = []
         for p in group:
             if self.packed:
-                x = b"".join(map(self.raw.__getitem__, p))
+                x = b"".join(map(self.ids.__getitem__, p))
                 out.append((len(x) // 2, x, None))
                 continue
-            ids = " ".join(map(self.ids.__getitem__, p))
-            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(map(self.names.__getitem__, p))))
+            ids = " ".join(filter(None, map(self.ids.__getitem__, p)))
+            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(filter(None, map(self.names.__getitem__, p)))))
+        # Long chunks are rare and large: they aren't kept.
+        for c in chunks:
+            if len(c) > CACHE_LENGTH:
+                for store in (self.ids, self.names, self.known):
+                    store.pop(c, None)
         return out
 
 
-@functools.lru_cache(2)
-def worker_encoder(vocabulary: str, name: str, packed: bool) -> Encoder:
-    """One for all tasks of a worker."""
-    return Encoder(vocabulary, name, packed)
-
-
 def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",), form: str = "text") -> DataFrame:
     """The kept columns with n_tokens and, by form: text - ids (decimal, joined by one space) and decoded; digest - the sha256 of both in hex; packed - ids as little-endian uint16."""
     vocabulary = vocabulary or vocabulary_file()
@@ -329,7 +382,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...]
     names = [x.split()[0] for x in new]
 
     def run(batches):
-        encoder = worker_encoder(vocabulary, name, form == "packed")
+        # One for each task: workers live on, and what they remember would stay with them.
+        encoder = Encoder(vocabulary, name, form == "packed")
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)

@@ -12,8 +12,7 @@ from lodestar.llm import bpe, common, decontaminate, ngram_join, quality, secret
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.kept(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

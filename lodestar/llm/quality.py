@@ -167,6 +167,20 @@ def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
     return kept.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
+def kept(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least threshold, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = next(c for c in docs.columns if c.lower() == "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            p = shared.value.score(statistics(batch.column(text).cast(pa.string())).astype(np.float32).astype(np.float64))
+            yield batch.filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, kinds)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(docs, train(docs, common.table(spark, sf_dir, "labels")))

@@ -63,6 +63,12 @@ def reach(edges: DataFrame, roots: DataFrame, steps: int = MOST_STEPS, leaves: b
     return seen
 
 
+def _to_all(users: DataFrame, rows: DataFrame, salts: int = 64) -> DataFrame:
+    """Each of rows with each user: what everyone holds. Users are dealt out by salt and rows copied to each salt, so that no task has all users."""
+    u = users.withColumn("_salt", F.pmod(F.xxhash64("user"), F.lit(salts)))
+    return u.join(rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), "_salt").drop("_salt")
+
+
 def expand(edges: DataFrame, users: DataFrame, steps: int = MOST_STEPS, strict: bool = True) -> DataFrame:
     """(user, principal, depth, path): all that each of users (user, with its prefix) holds, itself and everyone's group included.
 
@@ -76,9 +82,7 @@ def expand(edges: DataFrame, users: DataFrame, steps: int = MOST_STEPS, strict:
     own = users.select("user", F.lit(0).alias("order"), F.col("user").alias("principal"), F.lit(0).alias("depth"), F.array("user").alias("path"))
     leaf = direct.filter(~F.col("held").startswith(GROUP)).select("user", F.lit(0).alias("order"), F.col("held").alias("principal"), F.lit(1).alias("depth"), F.array("user", "held").alias("path"))
     through = direct.join(groups, direct.held == groups.root).select("user", F.lit(0).alias("order"), "principal", (F.col("depth") + 1).alias("depth"), F.concat(F.array("user"), F.col("path")).alias("path"))
-    # What everyone holds is one group's closure: as bounded as the groups are, and joined by a constant it goes to every user.
-    all_ = groups.filter(F.col("root") == EVERYONE).agg(F.collect_list(F.struct("principal", "depth", "path")).alias("g"))
-    everyone = users.withColumn("k", F.lit(1)).join(all_.withColumn("k", F.lit(1)), "k").select("user", F.explode("g").alias("g")).select("user", F.lit(1).alias("order"), "g.principal", "g.depth", "g.path")
+    everyone = _to_all(users, groups.filter(F.col("root") == EVERYONE)).select("user", F.lit(1).alias("order"), "principal", "depth", "path")
     both = own.unionByName(leaf).unionByName(through).unionByName(everyone)
     best = both.groupBy("user", "principal").agg(F.min(F.struct("depth", "order", "path")).alias("m")).select("user", "principal", "m.depth", "m.path")
     if strict and not best.filter((F.col("depth") > steps) & ~F.col("principal").startswith(CONTAINER)).isEmpty():
@@ -90,8 +94,8 @@ def truth(edges: DataFrame, users: DataFrame, most: int = 64) -> DataFrame:
     """(user, principal) by the plain closure: no cap on steps but most, no special kinds. Held against expand."""
     roots = users.select(F.col("user").alias("root")).distinct()
     mine = reach(edges, roots, most, leaves=False).select(F.col("root").alias("user"), "principal")
-    all_ = reach(edges, edges.sparkSession.createDataFrame([(EVERYONE,)], "root string"), most, leaves=False).agg(F.collect_set("principal").alias("p"))
-    every = users.select("user").distinct().withColumn("k", F.lit(1)).join(all_.withColumn("k", F.lit(1)), "k").select("user", F.explode("p").alias("principal"))
+    all_ = reach(edges, edges.sparkSession.createDataFrame([(EVERYONE,)], "root string"), most, leaves=False)
+    every = _to_all(users.select("user").distinct(), all_).select("user", "principal")
     return mine.union(every).distinct()
 
 

@@ -3,8 +3,8 @@
 Steps, each a Spark job over all documents:
 
 1. every document's set of word shingles is hashed; a signature names the set, and a count sketch of fixed size orders shingles from rare to common;
-2. the prefix of each set (its rarest shingles: one more than a partner may lack) is dealt out by shingle, and shingles of a single set drop out. The lists that remain hold every linked pair at least once;
-3. in each list the hub (the set that shares most lists) is the query and the other sets of the list the indexed records: DivideSkip merges the short inverted lists with a heap, probes the long ones by binary search and keeps records reaching the required overlap. Sets that one component already holds aren't compared again; what is left is searched with four times as many queries a round, until no list holds two components.
+2. the prefix of each set (its rarest shingles: one more than a partner may lack) is dealt out by shingle with their places in the order; shingles of a single set drop out. What a pair must share grows with both sizes, so lists are split into bands of sizes: in a band, sets of that size are the small ones if their place allows a partner at least as large, and larger sets enter as far as their place allows a partner of that size. Any linked pair meets in a list whose band is that of its smaller set, which is one of the small ones there;
+3. in each list the hub (the small set that shares most lists) is the query and the other sets of the list, as far as places and sizes allow a link, the indexed records: DivideSkip merges the short inverted lists with a heap, probes the long ones by binary search and keeps records reaching the required overlap. Sets that one component already holds aren't compared again; what is left is searched with WIDER times as many queries a round, until every small set was a query or no list holds two components.
 
 Exact copies are one set, and copies within one task are dealt out once, so a hot text costs what a single one does. A hub's records are dealt out in blocks, so no group is searched by one task. Sets are compared by 64-bit hashes of their shingles.
 
@@ -18,17 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Buckets of the count sketch: 4 bytes each, whatever the input. It only orders shingles; any order gives whole results.
-SKETCH = 1 << 20
-#: Records of one search.
-BLOCK = 256
+#: Buckets of the count sketch (a power of two): a byte each, whatever the input. It only orders shingles; any order gives whole results.
+SKETCH_BITS = 24
+SKETCH, PARTS = 1 << SKETCH_BITS, 64
+#: Sizes in a band differ by this factor at most.
+BAND = 1.03
+#: Records of one search, and the growth of queries from round to round.
+BLOCK, WIDER = 256, 8
 
 
 def overlap_needed(n: int, percent: int) -> int:
@@ -99,44 +102,67 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
     """A row (doc_id, n, sig) for each document, and for each task its part of the count sketch."""
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.uint16)  # beyond 65,535 in a task they start anew: only the order suffers
         for batch in batches:
             n, sig = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for row, s in document_sets(batch, k):
                 n[row] = len(s)
                 if len(s):
                     sig[row] = signature(s)
-                    np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
+                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(sig, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "sig", "part", "counts"])
         if counts.any():
-            parts = [x.astype(np.int32).tobytes() for x in np.split(np.minimum(counts, 2**31 - 1), 64)]
-            yield pa.record_batch([pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array(parts)], ["doc_id", "n", "sig", "part", "counts"])
+            none = pa.nulls(1, pa.int64())
+            for part, x in enumerate(np.split(counts, PARTS)):
+                yield pa.record_batch([none, none, none, pa.array([part], pa.int32()), pa.array([_packed(x)], pa.binary())], ["doc_id", "n", "sig", "part", "counts"])
 
     return common.saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, sig long, part int, counts binary"), "sets")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes, the few that don't fit behind them; compressed."""
+    far = np.flatnonzero(counts > 254)
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + far.astype(np.int64).tobytes() + counts[far].astype(np.int64).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    counts = np.frombuffer(raw[: SKETCH // PARTS], np.uint8).astype(np.int64)
+    far, values = np.frombuffer(raw[SKETCH // PARTS :], np.int64).reshape(2, -1)
+    counts[far] = values
+    return counts
+
+
 def _sketch(described: DataFrame) -> np.ndarray:
-    """The sums of the tasks' sketches."""
+    """The sums of the tasks' sketches, as a byte on a scale of logarithms."""
 
-    def run(batches):
+    def added(batches) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
-                sums[part] = sums[part] + x if part in sums else x
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[part] = _unpacked(counts) + sums.get(part, 0)
+        return sums
+
+    def run(batches):
+        for part, x in added(batches).items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_packed(x)], pa.binary())], ["part", "counts"])
+
+    def scale(batches):
+        for part, x in added(batches).items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([np.minimum(255, np.round(12 * np.log2(1.0 + x))).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
 
-    total = np.zeros((64, SKETCH // 64), np.int64)
+    total = np.zeros((PARTS, SKETCH // PARTS), np.uint8)
     # Each task adds up what it reads; a second round adds up what the tasks found, by part.
-    once = described.filter("part is not null").select("part", "counts")
-    for part, counts in once.repartition(64, "part").mapInArrow(run, "part int, counts binary").collect():
-        total[part] += np.frombuffer(counts, np.int64)
-    return np.minimum(total.reshape(-1), 2**24 - 1)
+    once = described.filter("part is not null").select("part", "counts").mapInArrow(run, "part int, counts binary")
+    for part, counts in once.repartition(PARTS, "part").mapInArrow(scale, "part int, counts binary").collect():
+        total[part] = np.frombuffer(counts, np.uint8)
+    return total.reshape(-1)
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(key, sig, n): the rarest shingles of each set, enough for any partner to share one."""
-    order = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))
+    """(key, sig, n, pos): the rarest shingles of each set with their places, enough for any partner to share one."""
+    order = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         seen: set[int] = set()
@@ -146,15 +172,39 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Data
                 if len(s) and (sig := signature(s)) not in seen:
                     seen.add(sig)
                     p = len(s) - overlap_needed(len(s), percent) + 1
-                    rank = (order.value[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
+                    rank = (order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
                     keys.append(s[np.argsort(rank, kind="stable")[:p]])
                     sigs.append(sig)
                     ns.append(len(s))
             if keys:
                 each = [len(x) for x in keys]
-                yield pa.record_batch([pa.array(common.signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sigs), each)), pa.array(np.repeat(np.array(ns, np.int32), each))], ["key", "sig", "n"])
+                yield pa.record_batch([pa.array(common.signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sigs), each)), pa.array(np.repeat(np.array(ns, np.int32), each)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in each]))], ["key", "sig", "n", "pos"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, sig long, n int, pos int")
+
+
+def _both(n: str, m: str, percent: int) -> str:
+    """SQL: the overlap that sets of n and m elements need."""
+    return f"((CAST({percent} AS BIGINT) * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, sig long, n int")
+def _lists(postings: DataFrame, percent: int) -> DataFrame:
+    """(list, sig, n, pos, small): the lists of each shingle's bands that hold a small set and another one; equal ones are one list (so are, once in 2**64, others: that only adds pairs to compare)."""
+    # Keys are counted before their rows meet, so a hot key is a count, and the join splits its rows.
+    several = postings.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").select("key")
+    shared = common.saved(postings.join(several, "key", "left_semi").groupBy("key", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "shared")
+    # Keys with the same sets are one list, with the least place that each set has in them: far fewer rows go into bands.
+    same = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.try_sum(F.shiftright(F.xxhash64("sig"), 24)).alias("total")).filter("size > 1")
+    merged = shared.join(same.select("key", F.xxhash64("size", "a", "b", "total").alias("group")), "key").groupBy("group", "sig").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    band = lambda n: f"CAST(floor(ln({n}) / {float(np.log(BAND))!r}) AS INT)"
+    least = f"((n * {percent} + 99) div 100)"
+    each = common.saved(merged, "groups").withColumn("own", F.expr(band("n"))).withColumn("band", F.explode(F.expr(f"sequence({band(least)} - 1, own)")))
+    # A size below all of the band's: the place may only be judged too mildly.
+    each = each.withColumn("low", F.expr(f"greatest({least}, CAST(floor(exp(band * {float(np.log(BAND))!r})) AS BIGINT) - 1)"))
+    each = each.filter(F.expr(f"pos <= n - {_both('n', 'low', percent)}")).withColumn("small", F.expr(f"own = band and pos <= n - {_both('n', 'n', percent)}"))
+    whole = each.groupBy("group", "band").agg(F.count("*").alias("size"), F.count_if("small").alias("smalls"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.try_sum(F.shiftright(F.xxhash64("sig", "small"), 24)).alias("total")).filter("size > 1 and smalls > 0")
+    named = each.join(whole, ["group", "band"]).select(F.xxhash64("size", "a", "b", "total").alias("list"), "sig", "n", "pos", "small")
+    return common.saved(named.groupBy("list", "sig").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.bool_or("small").alias("small")), "lists")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -181,10 +231,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _search(groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """groups (query, block, sig, text), the query's own row among those of each block, to linked pairs (u, v)."""
+    """groups (query, block, sig, comp, text), the query's own row among those of each block, to linked pairs (u, v) and their components so far (cu, cv)."""
+    names = ["u", "v", "cu", "cv"]
 
     def run(batches):
-        now, members, out = None, {}, []
+        now, members, comp, out = None, {}, {}, []
 
         def end():
             if now is None or now[0] not in members or len(members) < 2:
@@ -193,50 +244,53 @@ def _search(groups: DataFrame, k: int, percent: int) -> DataFrame:
             q = members[now[0]]
             for i, overlap in divide_skip(q, [members[x] for x in ids], percent):
                 if linked(len(q), len(members[ids[i]]), overlap, percent):
-                    out.append((now[0], ids[i]))
+                    out.append((now[0], ids[i], comp[now[0]], comp[ids[i]]))
 
         for batch in batches:
-            queries, blocks, sigs = (batch.column(c).to_pylist() for c in ("query", "block", "sig"))
+            queries, blocks, sigs, comps = (batch.column(c).to_pylist() for c in ("query", "block", "sig", "comp"))
             for row, s in document_sets(batch, k):
                 if (queries[row], blocks[row]) != now:
                     end()
-                    now, members = (queries[row], blocks[row]), {}
-                members[sigs[row]] = s
+                    now, members, comp = (queries[row], blocks[row]), {}, {}
+                members[sigs[row]], comp[sigs[row]] = s, comps[row]
             if len(out) >= 1000:
-                yield pa.record_batch([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["u", "v"])
+                yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), names)
                 out.clear()
         end()
         if out:
-            yield pa.record_batch([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["u", "v"])
+            yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), names)
 
-    return groups.repartition("query", "block").sortWithinPartitions("query", "block").mapInArrow(run, "u long, v long")
+    return groups.repartition("query", "block").sortWithinPartitions("query", "block").mapInArrow(run, "u long, v long, cu long, cv long")
 
 
 def _edges(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Linked pairs of sets that hold together every component. lists: (list, sig, n)."""
+    """(node, component) of the sets that have links, None without links, from linked pairs that hold together every component. lists: (list, sig, n, pos, small)."""
     score = lists.join(lists.groupBy("list").agg(F.count("*").alias("size")), "list").groupBy("sig").agg(F.sum("size").alias("score"))
     active = common.saved(lists.join(score, "sig").withColumn("comp", F.col("sig")), "lists")
-    texts, edges, queries = None, None, 1
+    texts = common.saved(_texts(docs, active.select("sig").distinct(), k), "texts")
+    edges, queries = None, 1
     while True:
         salt = F.pmod(F.xxhash64("sig", F.lit(queries)), F.lit(queries))
-        hubs = active.groupBy("list", salt.alias("salt")).agg(F.max_by(F.struct("sig", "n", "comp", "score"), F.struct("score", "sig")).alias("hub")).select("list", F.col("hub.sig").alias("query"), F.col("hub.n").alias("qn"), F.col("hub.comp").alias("qcomp"), F.col("hub.score").alias("qscore"))
-        pairs = active.join(hubs, "list").filter((F.col("comp") != F.col("qcomp")) & (100 * F.least("n", "qn") >= percent * F.greatest("n", "qn")))
-        pairs = common.saved(pairs.select("query", "sig").distinct(), "pairs")
-        blocks = pairs.groupBy("query").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        records = pairs.join(blocks, "query").select("query", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig")
-        records = records.union(blocks.select("query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("query").alias("sig")))
-        if texts is None:
-            texts = common.saved(_texts(docs, active.select("sig").distinct(), k), "texts")
-        found = common.saved(_search(records.join(texts, "sig").select("query", "block", "sig", "text"), k, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges)
-        left = active.drop("comp").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
+        hubs = active.filter("small").groupBy("list", salt.alias("salt")).agg(F.max_by(F.struct("sig", "n", "pos", "comp"), F.struct("score", "sig")).alias("hub")).select("list", F.col("hub.sig").alias("query"), F.col("hub.n").alias("qn"), F.col("hub.pos").alias("qpos"), F.col("hub.comp").alias("qcomp"))
+        need = _both("n", "qn", percent)
+        pairs = active.join(hubs, "list").filter(F.expr(f"comp <> qcomp and 100 * least(n, qn) >= {percent} * greatest(n, qn) and pos <= n - {need} and qpos <= qn - {need}"))
+        pairs = common.saved(pairs.select("query", "qcomp", "sig", "comp").distinct(), "pairs")
+        blocks = pairs.groupBy("query", "qcomp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        records = pairs.join(blocks.drop("qcomp"), "query").select("query", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig", "comp")
+        records = records.union(blocks.select("query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("query").alias("sig"), F.col("qcomp").alias("comp")))
+        found = common.saved(_search(records.join(texts, "sig").select("query", "block", "sig", "comp", "text"), k, percent), "links")
+        left = active
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            # Components of components: only what this round found.
+            joined = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+            left = left.join(joined.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
         left = left.join(hubs.select("list", F.col("query").alias("sig")), ["list", "sig"], "left_anti")
-        several = left.groupBy("list").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("list")
+        several = left.groupBy("list").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("small").alias("any")).filter("a <> b and any").select("list")
         active = common.saved(left.join(several, "list", "left_semi"), "lists")
         if active.isEmpty():
-            return comps
-        queries *= 4
+            return None if edges is None else components(edges)
+        queries *= WIDER
 
 
 def ngram_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -244,16 +298,12 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     described = _describe(docs, k)
     sketch = _sketch(described)
     rows = described.filter("part is null").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), "sig")
-    postings = _prefixes(docs, sketch, k, percent).repartition("key")
-    by_key = postings.groupBy("key", "sig").agg(F.first("n").alias("n"))
-    w = Window.partitionBy("key")
-    shared = by_key.select("sig", "n", F.count("*").over(w).alias("size"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).over(w).alias("total")).filter("size > 1")
-    lists = common.saved(shared.select(F.xxhash64("size", "total").alias("list"), "sig", "n").distinct(), "shared")
+    lists = _lists(common.saved(_prefixes(docs, sketch, k, percent), "prefixes"), percent)
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    if lists.isEmpty():
+    comps = None if lists.isEmpty() else _edges(docs, lists, k, percent)
+    if comps is None:
         whole = classes.select("sig", F.col("least").alias("component_id"))
     else:
-        comps = _edges(docs, lists, k, percent)
         classes = classes.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
         classes = common.saved(classes, "classes")
         whole = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sig", "component_id")

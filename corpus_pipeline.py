@@ -1,6 +1,6 @@
 """The corpus pipeline: documents in, token ids of clean, distinct documents out. Each stage is written and read again before the next.
 
-Rejected documents go (quality), one of each group of near copies stays (near_duplicates), documents that hold a benchmark item go (decontamination), secrets are replaced in the texts (secrets), and what is left is encoded (encoding).
+Rejected documents go (quality), one of each group of near copies (sets of NEAR_WORDS-word shingles with a similarity of NEAR_PERCENT % or more) stays (near_duplicates), documents that hold a benchmark item go (decontamination), secrets are replaced in the texts (secrets), and what is left is encoded (encoding).
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, common, decontaminate, ngram_join, quality, secrets
 
+#: Words of a shingle, and the least Jaccard similarity of near copies; op6's contract has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,9 +311,9 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     return linked_rows.union(rows.filter("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each component; rows without doc_id stay."""
-    found = common.saved(ngram_components(docs), "near")
+    found = common.saved(ngram_components(docs, k, percent), "near")
     more = found.filter("doc_id <> component_id").select("doc_id").distinct()
     once = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     return common.without(docs, more, once)

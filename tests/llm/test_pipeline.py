@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lodestar.llm import common
+from lodestar.llm import common, ngram_join
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,12 @@ def test_stages(spark, tmp_path):
     assert seen["near_duplicates"] - seen["decontamination"] == {2002}
     assert seen["encoding"] == seen["secrets"] == seen["decontamination"]
     assert docs_.filter("octet_length(ids) <> 2 * n_tokens").count() == 0
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(50)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    # One word changed in the middle: five-word similarity 41/51, four-word 43/51; two of them: five-word 36/56.
+    docs = spark.createDataFrame([(1, changed()), (2, changed(25)), (3, changed(15, 35))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == {1, 3}
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {1, 2, 3}

@@ -221,3 +221,29 @@ def test_held_out_accuracy(spark):
         rank = p.argsort().argsort()
         auc = (rank[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum()
         assert auc > 0.9, (label, auc, len(rows))
+
+
+def channel_of(spark, *texts):
+    return toxicity.Channel(toxicity.letter_counts(table(spark, list(enumerate(texts)))))
+
+
+def test_long_and_spaced_disguises(spark):
+    c = channel_of(spark, "you are such a stupid idiot and you are a stupid person, such idiots are stupid; " * 50, "der blöde dödel ist blöd und der dödel ist blöde; " * 50)
+    words = lambda text: {w for d in toxicity.disguised(text) for w in c.restore(d)}
+    spell = lambda text, by: by.join(text.replace(" ", ""))
+    assert {"you", "stupid", "idiot"} <= words(spell("you are such a stupid idiot", " "))
+    assert {"you", "idiot"} <= words("y o u i d i o t")
+    for hidden in (spell("stupid", "  "), "stup****d", "s--t--u--p--i--d", "st" + "u" * 60 + "pid", "5" + "t" * 45 + "up1d"):
+        assert "stupid" in words(f"so {hidden} one"), hidden
+    for hidden in (spell("blöde", "."), "blöööde", "bl.öde", "8löde"):
+        assert "blöde" in words(f"so {hidden} da"), hidden
+    long = words(spell("you are such a stupid idiot " * 400, " "))
+    assert {"stupid", "idiot", "such"} <= long
+
+
+def test_rows_with_disguises_reach_the_channel(spark):
+    import pyarrow as pa
+
+    c = channel_of(spark, "der blöde dödel ist blöd " * 50)
+    hidden, plain = (sum(len(f) for _, _, f, _ in toxicity.restored(pa.array([t]), c)) for t in ("bl" + "ö" * 9 + "de", "bl" + "ö" * 2 + "de"))
+    assert hidden > plain

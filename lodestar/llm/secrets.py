@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a randomness test battery with length-aware control of false discoveries.
 
-Base spans come from three patterns over every whole text. Other tokens of 16 or more characters of [A-Za-z0-9+/_=-] are tested. Their encoding is inferred (hex, base32, base36, base62 or base64; numbers are none), and two questions are asked:
+Base spans come from three patterns over every whole text. Other tokens of 16 or more characters of [A-Za-z0-9+/_=-] are tested: they are split at inner =, and where no alphabet has all characters of a part, at the signs that the alphabet that fits most of it lacks (what that leaves in pieces below 16 characters, by the other one); each part of 16 or more characters is tested. Their encoding is inferred (hex, base32, base36, base62 or base64; numbers are none), and two questions are asked:
 
 - is the token consistent with uniformly random characters of that encoding? Chi-squared of its characters, the number of runs of character classes and the serial correlation of neighbours are compared with what uniform characters give; the battery fails if one is rejected at RANDOM_ALPHA / 3;
 - is it inconsistent with ordinary text? Chi-squared and runs are compared with what text of the corpus gives at the token's length: byte and neighbour counts of all documents are the null hypothesis. The two p-values are combined by Fisher's method.
@@ -12,8 +12,10 @@ Null and empty texts have no spans; an empty table gives an empty result; repeat
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Parts of a token: = ends one, or pads the last; and what fits one of the two large alphabets.
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+$)?")
+FITS = {"base64": re.compile(r"[A-Za-z0-9+/]+=*"), "base64url": re.compile(r"[A-Za-z0-9_-]+=*")}
+LEAST = 16
 #: The same for Arrow's linear-time matcher, which only picks the texts to look at.
 ANY_ASSIGN, ANY_TOKEN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", r"[A-Za-z0-9+/_=-]{16}"
 
@@ -58,6 +64,32 @@ def encoding(token: str) -> str | None:
     return next((name for name, x in _PLACES.items() if letters <= x.keys()), None)
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the tokens, and parts of tokens, that have an encoding."""
+    for token in TOKEN.finditer(text):
+        for m in PART.finditer(text, *token.span()):
+            if len(m[0]) < LEAST:
+                continue
+            if encoding(m[0]):
+                yield m.span()
+            elif not m[0].rstrip("=").isdigit():
+                yield from _pieces(text, *m.span())
+
+
+def _pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Of a part that no alphabet fits: pieces by the alphabet that fits most of it, then those by the other one that don't overlap them."""
+    out: list[tuple[int, int]] = []
+    for name in sorted(FITS, key=lambda x: -sum(c in _PLACES[x] for c in text[start:end])):
+        new = []
+        for m in FITS[name].finditer(text, start, end):
+            if len(m[0]) >= LEAST and encoding(m[0]):
+                i = bisect.bisect_left(out, (m.end(),))
+                if not i or out[i - 1][1] <= m.start():
+                    new.append(m.span())
+        out = sorted(out + new)
+    return out
+
+
 def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -172,8 +204,8 @@ def candidates(docs: DataFrame, battery: Battery) -> DataFrame:
                 digests[i] = spans.digest(found, KINDS)
                 base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in found]
                 tested[i] = [
-                    {"start": m.start(), "end": m.end(), "class": _length_class(len(m[0])), "bin": _bin(tests.p(m[0]))}
-                    for m in TOKEN.finditer(text) if not spans.overlaps(m.start(), m.end(), found) and encoding(m[0])
+                    {"start": a, "end": b, "class": _length_class(b - a), "bin": _bin(tests.p(text[a:b]))}
+                    for a, b in tokens(text) if not spans.overlaps(a, b, found)
                 ]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, pa.list_(span)), pa.array(tested, pa.list_(test))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tested"])
 
@@ -232,7 +264,7 @@ def redact(docs: DataFrame, sign: str = "[SECRET]") -> DataFrame:
 
 def _redacted(text: str, battery: Battery, least: list[int], sign: str) -> str:
     found = base_spans(text)
-    found += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if not spans.overlaps(m.start(), m.end(), found) and encoding(m[0]) and _bin(battery.p(m[0])) >= least[_length_class(len(m[0]))]]
+    found += [(a, 3, b) for a, b in tokens(text) if not spans.overlaps(a, b, found) and _bin(battery.p(text[a:b])) >= least[_length_class(b - a)]]
     out, at = [], 0
     for a, _, b in sorted(found):
         if a >= at:

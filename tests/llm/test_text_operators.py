@@ -247,3 +247,26 @@ def test_rows_with_disguises_reach_the_channel(spark):
     c = channel_of(spark, "der blöde dödel ist blöd " * 50)
     hidden, plain = (sum(len(f) for _, _, f, _ in toxicity.restored(pa.array([t]), c)) for t in ("bl" + "ö" * 9 + "de", "bl" + "ö" * 2 + "de"))
     assert hidden > plain
+
+
+def test_secrets_within_tokens(spark):
+    rng = random.Random(5)
+    key = lambda n, more="": "".join(rng.choice(secrets.ALPHABETS["base62"] + more) for _ in range(n))
+    rows, values = [(1000 + i, "plain words of a text that go on and on " * 20) for i in range(50)], {}
+    for i in range(40):
+        before, value = [("GH_PAT=", key(40)), ("get ?sig=", key(42, "+/") + "=="), ("X-Amz-Signature=", key(44)), ("a/b/c/my-own_", key(20) + "+" + key(20) + "/" + key(20) + "+/" + key(10))][i % 4]
+        rows.append((i, f"run {before}{value} now"))
+        values[i] = (4 + len(before), 4 + len(before) + len(value), value)
+    df = table(spark, rows)
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(df).collect()}
+    found = sum(f"random:{a}:{b}" in got[i].split(",") for i, (a, b, _) in values.items())
+    assert found >= 36, (found, got)
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert sum(v not in clean[i] for i, (_, _, v) in values.items()) >= 36 and clean[0].startswith("run GH_PAT=")
+    assert all("random" not in got[1000 + i] for i in range(50))
+
+
+def test_tokens_have_no_overlaps_and_keep_whole_ones():
+    t = "NAME=abcdefghij0123456789 1234567890123456 abcdefghijklmnop== aaaaaaaaaaaaaaaa/b-cccccccccccccccc_d=== x"
+    got = [t[a:b] for a, b in secrets.tokens(t)]
+    assert got == ["abcdefghij0123456789", "abcdefghijklmnop==", "aaaaaaaaaaaaaaaa", "b-cccccccccccccccc_d==="]

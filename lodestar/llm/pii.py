@@ -1,18 +1,20 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction.
 
-Base spans (email, ip, card, phone) come from patterns over every whole text. They are the seeds of a bootstrap: each occurrence of a seed, and of any other identifier-like token (four digits or more, not in a base span), has two lexical patterns: the two words before it, and the word before with the word after. Spark scores the graph of patterns and instances in ROUNDS rounds: a pattern's score is the mean score of its distinct instances (seeds: 1, others: what they have so far) with a prior of PRIOR instances that are none; it counts from SUPPORT distinct seeds on; an instance's score is that of a noisy or of its patterns. Instances of at least CONFIDENCE with two patterns or more are added as spans of kind found; base spans stay.
+Base spans (email, ip, card, phone) come from patterns over every whole text. They are the seeds of a bootstrap: each occurrence of a seed, and of any other candidate outside base spans, has two lexical patterns: the two words before it, and the word before with the word after. Candidates are identifier-like tokens (four digits or more), and the slots that patterns of SUPPORT distinct seeds point at: between two words before and a word after of such patterns, a run of groups of letters or digits joined by spaces, dots, dashes, brackets and the like, whatever its length. Spark scores the graph of patterns and instances in ROUNDS rounds: a pattern's score is the mean score of its distinct instances (seeds: 1, others: what they have so far) with a prior of PRIOR instances that are none; it counts from SUPPORT distinct seeds on; an instance's score is that of a noisy or of its patterns. Instances of at least CONFIDENCE with two patterns or more are added as spans of kind found, but for those within another one; base spans stay.
 
 Nulls and empty texts have no spans; an empty table gives an empty result; repeated rows each give a row (copies are one instance with one pattern, so they add no confidence); other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, spans
@@ -26,6 +28,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Identifier-like tokens.
 TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/@+-]*[A-Za-z0-9])?")
+#: Words, and one of the groups of a slot.
+WORD = re.compile(r"\S+")
+GROUP = re.compile(r"[\w.()\[\]@+/*#-]+")
 #: Texts that can hold any of them, for Arrow's linear-time matcher.
 ANY = r"@|[0-9] ?[0-9]|[0-9][^\s]*[0-9]|\+[0-9]"
 
@@ -71,27 +76,72 @@ def _context(text: str, a: int, b: int) -> tuple[str, str]:
     return f"{before[-2] if len(before) > 1 else '^'} {last} _", f"{last} _ {after[0] if after else '$'}"
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, slots): slots are the occurrences of seeds and other identifiers with their patterns."""
+def slots_of(text: str, patterns: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the slots that patterns (a filter of crc32) point at: from a word after two that one begins with, to the next word (or sign) that one ends with after them."""
+
+    def known(pattern: str) -> int:
+        at = zlib.crc32(pattern.encode("utf-8", "surrogatepass")) % common.FILTER_BITS
+        return patterns[at >> 3] >> (at & 7) & 1
+
+    words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+    hits, before, last = [], "^", "^"
+    for i, (word, _, _) in enumerate(words):
+        if known(f"{before} {last} _"):
+            hits.append((i, last))
+        before, last = last, word
+    out, ends = [], {}
+    # From right to left: what was walked after a word before isn't walked again.
+    for i, last in reversed(hits):
+        at, end = ends.get(last, (len(words), None))
+        j, found = i, None
+        while j < len(words):
+            if j == at:
+                found = end
+                break
+            stop = words[j][2]
+            while stop > words[j][1] and not (text[stop - 1].isalnum() or text[stop - 1] in "_)]*#"):
+                stop -= 1
+            if not GROUP.fullmatch(text, words[j][1], stop):
+                break
+            tail = text[stop : words[j][2]]
+            right = tail.lower() or (words[j + 1][0] if j + 1 < len(words) else "$")
+            if known(f"{last} _ {right}"):
+                found = stop
+                break
+            if tail or j + 1 < len(words) and text[words[j][2] : words[j + 1][1]].strip(" "):
+                break
+            j += 1
+        ends[last] = (i, found)
+        if found:
+            out.append((words[i][1], found))
+    return out
+
+
+def occurrences(docs: DataFrame, patterns: bytes | None = None) -> DataFrame:
+    """patterns: a filter of those that point at slots. (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, slots): slots are the occurrences of seeds and other identifiers with their patterns."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     slot = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
     empty = spans.digest([], KINDS)
+    shared = docs.sparkSession.sparkContext.broadcast(patterns) if patterns else None
 
     def run(batches):
         for batch in batches:
             column = pc.fill_null(batch.column("text"), "")
             n = batch.num_rows
+            look = pc.match_substring_regex(column, ANY).to_numpy(zero_copy_only=False)
             counts, digests, base, slots = [[0] * n for _ in KINDS], [empty] * n, [[]] * n, [[]] * n
-            for i in np.flatnonzero(pc.match_substring_regex(column, ANY).to_numpy(zero_copy_only=False)).tolist():
+            for i in np.flatnonzero(look).tolist() if shared is None else range(n):
                 text = column[i].as_py()
-                found = base_spans(text)
+                found = base_spans(text) if look[i] else []
                 for k in range(4):
                     counts[k][i] = sum(x[1] == k for x in found)
                 digests[i] = spans.digest(found, KINDS)
                 base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in found]
-                others = [(m.start(), m.end()) for m in TOKEN.finditer(text) if m.end() - m.start() >= 6 and sum(c.isdigit() for c in m[0]) >= 4 and not spans.overlaps(m.start(), m.end(), found)] if any(c.isdigit() for c in text) else []
+                others = [(m.start(), m.end()) for m in TOKEN.finditer(text) if m.end() - m.start() >= 6 and sum(c.isdigit() for c in m[0]) >= 4 and not spans.overlaps(m.start(), m.end(), found)] if look[i] else []
+                if shared is not None:
+                    others = sorted({*others, *((a, b) for a, b in slots_of(text, shared.value) if not spans.overlaps(a, b, found))})
                 slots[i] = [
-                    {"start": a, "end": b, "seed": seed, "instance": text[a:b][:200].lower(), "patterns": list(_context(text, a, b))}
+                    {"start": a, "end": b, "seed": seed, "instance": hashlib.sha256(text[a:b].lower().encode("utf-8", "surrogatepass")).hexdigest(), "patterns": list(_context(text, a, b))}
                     for seed, places in ((True, [(a, b) for a, _, b in found]), (False, others)) for a, b in places
                 ]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, pa.list_(span)), pa.array(slots, pa.list_(slot))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "slots"])
@@ -100,9 +150,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def pointing(docs: DataFrame) -> bytes | None:
+    """A filter of fixed size of the patterns with SUPPORT distinct seeds; None without any."""
+    seeds = occurrences(docs).select(F.explode("slots").alias("s")).filter("s.seed").select("s.instance", F.explode("s.patterns").alias("pattern")).distinct()
+    patterns = common.saved(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= SUPPORT).select(F.crc32("pattern").alias("place")), "pointing")
+    return None if patterns.isEmpty() else common.maybe_in(patterns).tobytes()
+
+
 def bootstrap(found: DataFrame) -> DataFrame:
     """Scored instances that are no seeds: (instance, score), confident ones only."""
-    slots = found.select(F.explode("slots").alias("s")).select(F.sha2("s.instance", 256).alias("instance"), "s.seed", F.explode("s.patterns").alias("pattern"))
+    slots = found.select(F.explode("slots").alias("s")).select("s.instance", "s.seed", F.explode("s.patterns").alias("pattern"))
     edges = slots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     # A pattern of too few seeds never counts, so its edges are left out before the rounds.
     seeds = edges.filter("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= SUPPORT)
@@ -118,10 +175,13 @@ def bootstrap(found: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found): see above."""
     # Rows are numbered by their place in the written table only to bring each one's found spans back to it.
-    found = common.saved(occurrences(docs).withColumn("row", F.monotonically_increasing_id()), "personal")
+    found = common.saved(occurrences(docs, pointing(docs)).withColumn("row", F.monotonically_increasing_id()), "personal")
     confident = bootstrap(found)
     slots = found.select("row", F.explode("slots").alias("s")).filter(~F.col("s.seed"))
-    added = slots.withColumn("instance", F.sha2("s.instance", 256)).join(confident, "instance").groupBy("row").agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"))).alias("added"))
+    added = slots.withColumn("instance", F.col("s.instance")).join(confident, "instance")
+    # A span within another one ends no later than those that begin before it, or with it and are longer.
+    earlier = Window.partitionBy("row").orderBy("s.start", F.desc("s.end")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("before", F.max("s.end").over(earlier)).filter("before is null or s.end > before").groupBy("row").agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"))).alias("added"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = found.drop("slots").join(added, "row", "left").withColumn("added", F.coalesce("added", none))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.all_written(F.col("base"), F.col("added"), KINDS, "found").alias("spans"), F.size("added").cast("long").alias("n_found"))

@@ -270,3 +270,17 @@ def test_tokens_have_no_overlaps_and_keep_whole_ones():
     t = "NAME=abcdefghij0123456789 1234567890123456 abcdefghijklmnop== aaaaaaaaaaaaaaaa/b-cccccccccccccccc_d=== x"
     got = [t[a:b] for a, b in secrets.tokens(t)]
     assert got == ["abcdefghij0123456789", "abcdefghijklmnop==", "aaaaaaaaaaaaaaaa", "b-cccccccccccccccc_d==="]
+
+
+def test_bootstrap_finds_identifiers_in_groups_and_without_digits(spark):
+    rows = [(i, f"please call me at +1 555 010{i:04d} today") for i in range(30)]
+    hidden = ["DE89 3704 0044 0532 0130 00", "123 45 6789", "4111 1111 1111 111", "555 01 23 45", "(030) 123-4567", "jo at mail dot example"]
+    rows += [(100 + i, f"please call me at {x} today") for i, x in enumerate(hidden)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows)).collect()}
+    assert [got[100 + i] for i in range(len(hidden))] == [f"found:18:{18 + len(x)}" for x in hidden]
+
+
+def test_long_instances_with_one_beginning_differ(spark):
+    rows = [(i, f"x {'a' * 200}{1000 + i} y") for i in range(3)]
+    slots = [r.slots[0].instance for r in pii.occurrences(table(spark, rows)).collect()]
+    assert len(set(slots)) == 3

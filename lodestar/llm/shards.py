@@ -1,8 +1,8 @@
 """Training-order materialisation of token ids: a keyed Feistel permutation gives every sequence its global slot, shards are fixed-stride files.
 
-1. Whole texts are tokenised (byte-level BPE) and cut into sequences of LENGTH ids, the last one padded; every sequence gets a place: its task and its number in it. Written once, compressed together.
+1. Whole texts are tokenised (byte-level BPE) and cut into sequences of LENGTH ids, the last one padded; every sequence gets a place: its task and its number in it. Written once, in blocks of some million ids that are compressed together: ids as ranks by frequency, so that most high bytes are 0.
 2. The sequences of the tasks before it (one number for each task) and its own number give a dense index; a balanced Feistel network over the next even power of two permutes it, walking the cycle until it is below the number of sequences. The same key gives the same order.
-3. Each shard is a range of SHARD slots. What a task has read goes to each shard as one compressed row, its records take their places by slot, and are written with one size: doc_id (int64), sequence number (int32), ids (int32), ids as uint16. So slot s is at byte (s % SHARD) * STRIDE of shard s // SHARD, and a reader can go on from any slot.
+3. Each shard is a range of SHARD slots. What a task has read goes to each shard as one compressed row (ids as ranks again, by what a bounded number of blocks holds: that changes the size only), its records take their places by slot, and are written with one size: doc_id (int64), sequence number (int32), ids (int32), ids as uint16. So slot s is at byte (s % SHARD) * STRIDE of shard s // SHARD, and a reader can go on from any slot.
 
 Files get their name when complete; a task that runs again writes the same bytes. Null and empty texts have no sequences; empty tables give no shards and an empty result; repeated rows each have sequences of their own; other columns are ignored; a null doc_id is written as the least int64 and read as null.
 """
@@ -29,9 +29,9 @@ LENGTH, PAD, KEY, ROUNDS = 256, 0xFFFF, 0x5EED, 6
 SHARD = 32_768
 RECORD = np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("ids", "<u2", LENGTH)])
 STRIDE = RECORD.itemsize
-#: What stands before the ids of a record on its way to its shard, and the bytes of sequences that a task gathers for that.
-HEAD = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4")])
-GATHERED = 64 << 20
+#: Ids of a block of the table, ids that a task gathers for the shards, and the blocks whose ids rank those on their way there.
+BLOCK, GATHERED, RANKING = 1 << 22, 1 << 25, 16
+LEVEL = 6
 _NULL = -(2**63)
 
 
@@ -79,25 +79,66 @@ def permute(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
     return out.astype(np.int64)
 
 
+def _packed(*columns: np.ndarray) -> tuple[int, bytes]:
+    """Size and compressed bytes of columns, one after the other."""
+    raw = b"".join(c.tobytes() for c in columns)
+    return len(raw), pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
+def _unpacked(size: int, data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    """The columns again: n values of each kind, and what is left as uint16."""
+    raw, out, at = pa.Codec("zstd").decompress(data, size, asbytes=True), [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return [*out, np.frombuffer(raw, np.uint16, offset=at)]
+
+
+def _by_frequency(ids: np.ndarray) -> np.ndarray:
+    """All ids, the most frequent first."""
+    return np.argsort(-np.bincount(ids, minlength=1 << 16), kind="stable").astype(np.uint16)
+
+
+def _ranks(order: np.ndarray) -> np.ndarray:
+    out = np.empty(1 << 16, np.uint16)
+    out[order] = np.arange(1 << 16, dtype=np.uint16)
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours (modulo 2**64), the first value first; cumsum takes them back."""
+    return np.diff(x, prepend=np.zeros(1, np.int64))
+
+
+BLOCKS = "part int, first long, n long, size long, data binary, ranking binary"
+
+
 def sequences(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(part, place, doc_id, seq_no, n_tokens, ids): the ids of each sequence."""
+    """BLOCKS: of the sequences from place first on in a task, n of them, doc_ids, numbers and lengths, and their ids by ranking."""
+
+    def block(part: int, first: int, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        ids = np.concatenate([r[2] for r in rows])
+        order = _by_frequency(ids)
+        size, data = _packed(_steps(np.array([r[0] for r in rows], np.int64)), np.array([r[1] for r in rows], np.int32), np.array([len(r[2]) for r in rows], np.uint16), _ranks(order)[ids])
+        return pa.record_batch([pa.array([part], pa.int32()), pa.array([first]), pa.array([len(rows)]), pa.array([size]), pa.array([data], pa.binary()), pa.array([_packed(order)[1]], pa.binary())], ["part", "first", "n", "size", "data", "ranking"])
 
     def run(batches):
-        part, place = TaskContext.get().partitionId(), 0
+        part, place, held, rows = TaskContext.get().partitionId(), 0, 0, []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                rows: list[tuple] = []
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
-                    ids = token_ids(text, vocabulary) if text else np.zeros(0, np.uint16)
-                    for i in range(0, len(ids), LENGTH):
-                        x = ids[i : i + LENGTH]
-                        rows.append((part, place, doc_id, i // LENGTH, len(x), x.tobytes()))
-                        place += 1
-                if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "place", "doc_id", "seq_no", "n_tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, place long, doc_id long, seq_no int, n_tokens int, ids binary")
+            for doc_id, text in zip(*batch.columns, strict=True):
+                ids = token_ids(text.as_py(), vocabulary) if text.is_valid else np.zeros(0, np.uint16)
+                d = doc_id.as_py() if doc_id.is_valid else _NULL
+                for i in range(0, len(ids), LENGTH):
+                    rows.append((d, i // LENGTH, ids[i : i + LENGTH]))
+                    held += LENGTH
+                    if held >= BLOCK:
+                        yield block(part, place, rows)
+                        place += len(rows)
+                        held, rows = 0, []
+        if rows:
+            yield block(part, place, rows)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
 def _shard_path(uri: str, shard: int) -> tuple[pa.fs.FileSystem, str]:
@@ -111,10 +152,9 @@ def materialise(docs: DataFrame, uri: str, vocabulary: str | None = None, key: i
 
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     made, path = sequences(docs, vocabulary), common.scratch(docs.sparkSession, "sequences")
-    # Many sequences are compressed together, which takes half of what one by one would.
-    made.write.option("compression", "zstd").parquet(path)
+    made.write.option("compression", "uncompressed").parquet(path)
     seqs = docs.sparkSession.read.schema(made.schema).parquet(path)
-    counts = {r.part: r["count"] for r in seqs.groupBy("part").count().collect()}  # a number for each task
+    counts = {r.part: r.n for r in seqs.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a number for each task
     n = sum(counts.values())
     if not n:
         return 0
@@ -122,42 +162,45 @@ def materialise(docs: DataFrame, uri: str, vocabulary: str | None = None, key: i
     for part in sorted(counts):
         starts[part] = total
         total += counts[part]
-    shared = docs.sparkSession.sparkContext.broadcast(starts)
+    places = np.zeros(1 << 16, np.int64)
+    for r in seqs.select("ranking").limit(RANKING).collect():
+        order = np.frombuffer(pa.Codec("zstd").decompress(r.ranking, 1 << 17, asbytes=True), np.uint16)
+        places += _ranks(order)
+    shared = docs.sparkSession.sparkContext.broadcast((starts, np.argsort(places, kind="stable").astype(np.uint16)))
 
     def slots(batches):
-        held, size = [], 0
-        codec = pa.Codec("zstd", 3)
+        held: list[tuple] = []
+        starts, order = shared.value
+        ranks = _ranks(order)
 
         def sent():
-            table = pa.Table.from_batches(held)
-            slot = permute(shared.value[table.column("part").to_numpy()] + table.column("place").to_numpy(), n, key)
-            order = np.argsort(slot, kind="stable")
-            shard = (slot // SHARD).astype(np.int32)[order]
-            ids = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(b, np.uint16) for b in table.column("ids").to_pylist())])
-            ns = table.column("n_tokens").to_numpy().astype(np.int64)
-            ends = ns.cumsum()
-            head = np.zeros(len(slot), HEAD)
-            head["slot"], head["doc_id"], head["seq_no"], head["n_tokens"] = slot, table.column("doc_id").fill_null(_NULL).to_numpy(), table.column("seq_no").to_numpy(), ns
-            out = []
-            for rows in np.split(order, np.flatnonzero(np.diff(shard)) + 1):
-                raw = head[rows].tobytes() + b"".join(ids[ends[i] - ns[i] : ends[i]].tobytes() for i in rows.tolist())
-                out.append((int(slot[rows[0]] // SHARD), len(rows), len(raw), codec.compress(raw, asbytes=True)))
+            index, doc_id, seq_no, ns = (np.concatenate(c) for c in zip(*(h[:4] for h in held), strict=True))
+            ids = ranks[np.concatenate([h[4] for h in held])]
             held.clear()
+            ends = ns.astype(np.int64).cumsum()
+            slot = permute(index, n, key)
+            by = np.argsort(slot // SHARD, kind="stable")
+            out = []
+            for rows in np.split(by, np.flatnonzero(np.diff(slot[by] // SHARD)) + 1):
+                mine = np.concatenate([ids[ends[i] - ns[i] : ends[i]] for i in rows.tolist()])
+                out.append((int(slot[rows[0]] // SHARD), len(rows), *_packed(_steps(doc_id[rows]), seq_no[rows], (slot[rows] % SHARD).astype(np.uint16), ns[rows], mine)))
             for lo in range(0, len(out), 64):
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[lo : lo + 64], strict=True), kinds, strict=True)], ["shard", "records", "size", "data"])
 
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > GATHERED:
-                yield from sent()
-                size = 0
-        if sum(b.num_rows for b in held):
+            for part, first, m, size, data, ranking in zip(*batch.columns, strict=True):
+                m = m.as_py()
+                steps, seq_no, ns, ids = _unpacked(size.as_py(), data.as_buffer(), m, ["<i8", "<i4", "<u2"])
+                own = np.frombuffer(pa.Codec("zstd").decompress(ranking.as_buffer(), 1 << 17, asbytes=True), np.uint16)
+                held.append((starts[part.as_py()] + first.as_py() + np.arange(m), steps.cumsum(), seq_no, ns, own[ids]))
+                if sum(len(h[4]) for h in held) >= GATHERED:
+                    yield from sent()
+        if held:
             yield from sent()
 
     def write(batches):
-        codec, shard, records, filled = pa.Codec("zstd"), None, None, 0
+        shard, records, filled, order = None, None, 0, shared.value[1]
 
         def end():
             if filled != len(records):
@@ -178,14 +221,11 @@ def materialise(docs: DataFrame, uri: str, vocabulary: str | None = None, key: i
                     shard, filled = at.as_py(), 0
                     records = np.zeros(min(SHARD, n - shard * SHARD), RECORD)
                     records["ids"] = PAD
-                raw = codec.decompress(data.as_buffer(), size.as_py(), asbytes=True)
-                head = np.frombuffer(raw, HEAD, m.as_py())
-                ids = np.frombuffer(raw, np.uint16, offset=head.nbytes)
-                place, ns = head["slot"] - shard * SHARD, head["n_tokens"].astype(np.int64)
-                for c in ("doc_id", "seq_no", "n_tokens"):
-                    records[c][place] = head[c]
-                records["ids"][np.repeat(place, ns), np.arange(len(ids)) - np.repeat(ns.cumsum() - ns, ns)] = ids
-                filled += len(head)
+                steps, seq_no, place, ns, ids = _unpacked(size.as_py(), data.as_buffer(), m.as_py(), ["<i8", "<i4", "<u2", "<u2"])
+                records["doc_id"][place], records["seq_no"][place], records["n_tokens"][place] = steps.cumsum(), seq_no, ns
+                many = ns.astype(np.int64)
+                records["ids"][np.repeat(place, many), np.arange(len(ids)) - np.repeat(many.cumsum() - many, many)] = order[ids]
+                filled += len(place)
         if shard is not None:
             yield end()
 

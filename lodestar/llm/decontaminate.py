@@ -2,7 +2,9 @@
 
 A window has as many words as the item that it is held against (a shorter document is one window). Fingerprints of 64 bits are made of the window's five-word shingles, weighted by how often they occur; only windows that hold a shingle of an item of their size get one, as the similarity of others is 0. Each item's fingerprint is entered, in four tables by 16 bits, under all values within RADIUS // 4 bits of its own: two fingerprints within RADIUS differ by at most that in one of the blocks, so a window's four look-ups find every item within RADIUS. Those are verified: weighted Jaccard (sum of the lesser over sum of the greater counts) of at least THRESHOLD.
 
-Benchmarks are taken in groups of at most ITEMS items, so what a task holds is bounded; every group is held against all documents.
+Benchmarks are taken in groups of about ITEMS items, each with an index of its own; GROUPS of them are held against the documents in one pass, so what a task holds is bounded.
+
+contaminated() gives pairs of documents and items; clean() the documents that hold none, each row judged by its own text, whatever its doc_id.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, lower case. Items and documents without words, null or empty, match nothing; items shorter than five words are one shingle. Repeated documents each give rows; a document that holds an item several times gives its best window (the first of equals). Empty tables give an empty result. Other columns are ignored.
 """
@@ -10,6 +12,7 @@ Words are runs of ASCII letters and digits and of characters beyond ASCII, lower
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
-#: Items held against the documents at once.
-ITEMS = 256
+#: Items of an index, and indexes held against the documents in one pass.
+ITEMS, GROUPS = 256, 8
 SCHEMA = "doc_id long, item_id long, similarity double, distance int, word_start int, word_end int"
 
 
@@ -72,11 +75,10 @@ class Index:
         ok = distance <= RADIUS
         return a[ok], rows[b[ok]], distance[ok]
 
-    def rows(self, h: np.ndarray, w: np.ndarray) -> list[int]:
-        """The rows of a run of documents that may match: those that hold a shingle of an item, or all with words if items can be shorter."""
+    def rows(self, x: np.ndarray, w: np.ndarray) -> list[int]:
+        """The rows of a run of documents that may match: those that hold a shingle of an item, or all with words if items can be shorter. x: the shingles of the run."""
         if min(self.sizes, default=SHINGLE) < SHINGLE:
             return np.flatnonzero(np.diff(w) > 0).tolist()
-        x = common.shingles(h, SHINGLE)
         p = np.flatnonzero(self.maybe[(x >> np.uint64(44)).astype(np.int64)])
         p = p[np.isin(x[p], self.every)]
         return np.unique(np.searchsorted(w, p, "right") - 1).tolist()
@@ -119,35 +121,66 @@ class Index:
         return float(least / (counts.sum() + weights.sum() - least))
 
 
+def _passes(benchmark: DataFrame) -> list[list[tuple[list, list]]]:
+    """The items' ids and texts, by groups (by hash: about ITEMS in each, and an index takes any number), by passes."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    groups = max(1, -(-items.count() // ITEMS))
+    out = []
+    for first in range(0, groups, GROUPS):
+        of = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).alias("group")
+        rows = items.select("item_id", "text", of).filter(F.col("group").between(first, first + GROUPS - 1)).orderBy("item_id", "text").collect()
+        each = [[r for r in rows if r["group"] == g] for g in range(first, min(groups, first + GROUPS))]
+        out.append([([r.item_id for r in x], [r.text for r in x]) for x in each])
+    return out
+
+
+def _found(indexes: list[Index], column: pa.Array, threshold: float) -> Iterator[tuple]:
+    """(row, item, similarity, distance, first word, word past the last) of a column of texts."""
+    data, at = common.text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
+    for first, last, h, w, _, _ in common.words(data, at, common.ALNUM):
+        x = common.shingles(h, SHINGLE)
+        for index in indexes:
+            for i in index.rows(x, w):
+                for m in index.matches(h[w[i] : w[i + 1]], threshold):
+                    yield first + i, *m
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, similarity, distance, word_start, word_end): documents that hold an item, with the best window."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    groups = max(1, -(-items.count() // (ITEMS // 2)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for group in range(groups):
-        # Half of ITEMS on average, so that a group by hash stays below it but for rare cases, which the index takes too.
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text or "" for r in rows]))
+    for groups in _passes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(groups)
 
         def run(batches, shared=shared):
-            index = Index(*shared.value)
+            indexes = [Index(*g) for g in shared.value]
             for batch in batches:
-                found = []
-                data, at = common.text_buffers(pc.utf8_lower(batch.column("text")))
-                doc_ids = batch.column("doc_id").to_pylist()
-                for first, last, h, w, _, _ in common.words(data, at, common.ALNUM):
-                    for i in index.rows(h, w):
-                        found += [(doc_ids[first + i], *m) for m in index.matches(h[w[i] : w[i + 1]], threshold)]
-                columns = list(zip(*found, strict=True)) if found else [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "similarity", "distance", "word_start", "word_end"])
+                doc_ids = batch.column("doc_id")
+                found = list(zip(*_found(indexes, batch.column("text"), threshold), strict=True)) or [[]] * 6
+                kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.record_batch([doc_ids.take(pa.array(found[0], pa.int64())), *(pa.array(c, k) for c, k in zip(found[1:], kinds, strict=True))], ["doc_id", "item_id", "similarity", "distance", "word_start", "word_end"])
 
         part = texts.mapInArrow(run, SCHEMA)
         out = part if out is None else out.union(part)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text holds no item, with all their columns as they are; nothing is shuffled."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for groups in _passes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(groups)
+
+        def run(batches, shared=shared):
+            indexes = [Index(*g) for g in shared.value]
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in _found(indexes, batch.column("text"), threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, kinds)
+    return docs
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

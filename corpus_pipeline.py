@@ -23,8 +23,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return common.without(docs, common.saved(found.filter("doc_id is not null").select("doc_id").distinct(), "contaminated"))
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; texts are cut only at separators, so results don't depend on it.
@@ -27,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the cluster names; a temporary one only where none is named, as in tests."""
+    """A new folder in the shared one that the cluster names; a temporary one only where none is named and all is one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that all executors share")
         root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -41,6 +44,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    """saved(), and aggregates of df that Spark gathers while it writes: no job of their own."""
+    seen = Observation()
+    kept = saved(df.observe(seen, *[c.alias(k) for k, c in what.items()]), name)
+    return kept, seen.get
+
+
 def held_out(doc_id: int | None) -> bool:
     """Whether a row is kept from training: crc32 of the id as text, modulo 5, is 0."""
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
@@ -151,8 +161,8 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-#: Bits of the filter below: 16 MB, whatever the input.
-FILTER_BITS = 1 << 27
+#: Bits of the filter below: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
 
 
 def maybe_in(ids: DataFrame) -> np.ndarray:
@@ -163,29 +173,3 @@ def maybe_in(ids: DataFrame) -> np.ndarray:
     for bucket, b in maps:
         bits[bucket] = np.frombuffer(b, np.uint8)
     return bits.reshape(-1)
-
-
-def without(docs: DataFrame, ids: DataFrame, once: DataFrame | None = None) -> DataFrame:
-    """docs but for the rows whose doc_id is in ids (doc_id long, not null); of the rows with a doc_id in once, one each stays.
-
-    Only rows that a filter of fixed size can't tell to stay are shuffled, so most texts stay where they are.
-    """
-    named = ids.select("doc_id") if once is None else ids.select("doc_id").union(once.select("doc_id"))
-    bits = docs.sparkSession.sparkContext.broadcast(maybe_in(named))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def part(inside: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                doc_id = batch.column("doc_id")
-                at = np.mod(pc.fill_null(doc_id.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), FILTER_BITS)
-                hit = (bits.value[at >> 3] >> (at & 7) & 1).astype(bool) & pc.is_valid(doc_id).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(hit == inside))
-
-        return docs.mapInArrow(run, kinds)
-
-    unsure = part(True).join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    if once is not None:
-        rest = unsure.join(once.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-        unsure = rest.union(unsure.join(once.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return part(False).union(unsure)

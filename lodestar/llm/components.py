@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import measured
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,18 +17,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
+def contracted(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """One round: edges (u, v) with u > v that join the same nodes, nearer to stars around the smallest ones, as a written table; their number and sum."""
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return measured(_star(_star(e, True), False), "components", n=F.count(F.lit(1)), total=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) pairs of longs to (node, component), component being the smallest node reachable.
 
     Nodes without edges don't appear; self links and nulls are ignored; an empty input gives an empty result.
-    Rounds grow with the logarithm of the largest component; each ends in a written table, and only a count and a sum reach the driver.
+    Rounds grow with the logarithm of the largest component; each is one written table, and only a count and a sum reach the driver.
     """
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e, now = contracted(edges)
     before = None
-    while True:
-        e = saved(_star(_star(e, True), False), "components")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
+    while now["n"] and now != before:
         before = now
+        e, now = contracted(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()

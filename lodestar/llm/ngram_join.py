@@ -4,9 +4,10 @@ Steps, each a Spark job over all documents:
 
 1. every document's set of word shingles is hashed; a signature names the set, and a count sketch of fixed size orders shingles from rare to common;
 2. the prefix of each set (its rarest shingles: one more than a partner may lack) is dealt out by shingle with their places in the order; shingles of a single set drop out. What a pair must share grows with both sizes, so lists are split into bands of sizes: in a band, sets of that size are the small ones if their place allows a partner at least as large, and larger sets enter as far as their place allows a partner of that size. Any linked pair meets in a list whose band is that of its smaller set, which is one of the small ones there;
-3. in each list the hub (the small set that shares most lists) is the query and the other sets of the list, as far as places and sizes allow a link, the indexed records: DivideSkip merges the short inverted lists with a heap, probes the long ones by binary search and keeps records reaching the required overlap. Sets that one component already holds aren't compared again; what is left is searched with WIDER times as many queries a round, until every small set was a query or no list holds two components.
+3. in each list the hub (the small set that shares most lists) is the query and the other sets of the list, as far as places and sizes allow a link, the indexed records: DivideSkip merges the short inverted lists with a heap, probes the long ones by binary search and keeps records reaching the required overlap;
+4. sets that one component already holds aren't compared again. Lists of at most LIST sets that still hold several components are searched whole: each of their sets is a query against the inverted lists of the others. In longer ones WIDER times as many sets a round are queries, those of the rarest components first, until they hold one component or are short enough.
 
-Exact copies are one set, and copies within one task are dealt out once, so a hot text costs what a single one does. A hub's records are dealt out in blocks, so no group is searched by one task. Sets are compared by 64-bit hashes of their shingles.
+Exact copies are one set, and copies within one task are dealt out once, so a hot text costs what a single one does. A shingle that the sketch counts HOT times or more is dealt out by sets as well, and a hub's records in blocks, so no group is gathered by one task. Lists whose many sets aren't linked at all are compared pair by pair in the end: no exact join can spare that. Sets are compared by 64-bit hashes of their shingles.
 
 Nulls, empty texts and texts without words have no set: n_shingles is 0 and they are linked with nothing, component_id is their own doc_id. A null doc_id takes part with its text; its component is the smallest doc_id that isn't null, or null. Repeated rows each give a row. An empty table gives an empty result. Other columns are ignored.
 """
@@ -15,14 +16,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, contracted
 
 SHINGLE, PERCENT = 4, 85
 #: Buckets of the count sketch (a power of two): a byte each, whatever the input. It only orders shingles; any order gives whole results.
@@ -30,8 +33,10 @@ SKETCH_BITS = 24
 SKETCH, PARTS = 1 << SKETCH_BITS, 64
 #: Sizes in a band differ by this factor at most.
 BAND = 1.03
-#: Records of one search, and the growth of queries from round to round.
-BLOCK, WIDER = 256, 8
+#: From so many occurrences on a shingle's sets are dealt out by set as well.
+HOT = 4096
+#: Records of one search, sets of a list that is searched whole at most, and the growth of queries from round to round in longer ones.
+BLOCK, LIST, WIDER = 256, 512, 8
 
 
 def overlap_needed(n: int, percent: int) -> int:
@@ -56,42 +61,52 @@ def signature(s: np.ndarray) -> int:
     return int(common.signed(common.mix(total ^ common.mix(np.bitwise_xor.reduce(s, keepdims=True))))[0])
 
 
-def divide_skip(query: np.ndarray, records: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(ordinal, overlap) of the records (sorted arrays) whose overlap with the query reaches what it needs of any partner."""
-    t = overlap_needed(len(query), percent)
-    which = np.concatenate([np.full(len(r), i, np.int32) for i, r in enumerate(records)])
-    items = np.concatenate(records)
-    at = np.minimum(np.searchsorted(query, items), len(query) - 1)
-    hit = query[at] == items
-    at, which = at[hit], which[hit]
-    order = np.lexsort((which, at))
-    at, which = at[order], which[order]
-    cut = np.flatnonzero(np.diff(at)) + 1
-    lists = sorted(np.split(which, cut), key=len) if len(which) else []
-    if len(lists) < t:
-        return []
-    longest = len(lists[-1])
-    n_long = min(t - 1, int(t / (0.02 * np.log2(max(2, longest)) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    candidates, counts, last, run = [], [], -1, 0
-    for x in heapq.merge(*(x.tolist() for x in short)):
-        if x == last:
-            run += 1
-            continue
+class Lists:
+    """Inverted lists: for each shingle of universe (sorted) the ordinals of the records (sorted arrays) that hold it."""
+
+    def __init__(self, records: list[np.ndarray], universe: np.ndarray):
+        items, which = np.concatenate(records), np.repeat(np.arange(len(records), dtype=np.int32), [len(r) for r in records])
+        at = np.minimum(np.searchsorted(universe, items), len(universe) - 1)
+        hit = universe[at] == items
+        at, which = at[hit], which[hit]
+        order = np.lexsort((which, at))
+        self.universe, self.which, self.starts = universe, which[order], np.searchsorted(at[order], np.arange(len(universe) + 1))
+
+    def reaching(self, query: np.ndarray, t: int, allowed: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """DivideSkip: (ordinal, overlap) of the allowed records that share at least t shingles with the query, whose shingles the universe holds."""
+        at = np.searchsorted(self.universe, query)
+        lists = [self.which[a:b] for a, b in zip(self.starts[at].tolist(), self.starts[at + 1].tolist(), strict=True) if b > a]
+        if allowed is not None:
+            lists = [x for x in (x[allowed[x]] for x in lists) if len(x)]
+        if len(lists) < t:
+            return []
+        lists.sort(key=len)
+        n_long = min(t - 1, int(t / (0.02 * np.log2(max(2, len(lists[-1]))) + 1)))
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        candidates, counts, last, run = [], [], -1, 0
+        for x in heapq.merge(*(x.tolist() for x in short)):
+            if x == last:
+                run += 1
+                continue
+            if run >= t - n_long:
+                candidates.append(last)
+                counts.append(run)
+            last, run = x, 1
         if run >= t - n_long:
             candidates.append(last)
             counts.append(run)
-        last, run = x, 1
-    if run >= t - n_long:
-        candidates.append(last)
-        counts.append(run)
-    if not candidates:
-        return []
-    c, total = np.array(candidates), np.array(counts)
-    for x in long:
-        p = np.minimum(np.searchsorted(x, c), len(x) - 1)
-        total = total + (x[p] == c)
-    return [(int(i), int(n)) for i, n in zip(c, total, strict=True) if n >= t]
+        if not candidates:
+            return []
+        c, total = np.array(candidates), np.array(counts)
+        for x in long:
+            p = np.minimum(np.searchsorted(x, c), len(x) - 1)
+            total = total + (x[p] == c)
+        return [(int(i), int(n)) for i, n in zip(c, total, strict=True) if n >= t]
+
+
+def divide_skip(query: np.ndarray, records: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(ordinal, overlap) of the records (sorted arrays) whose overlap with the query reaches what it needs of any partner."""
+    return Lists(records, query).reaching(query, overlap_needed(len(query), percent))
 
 
 def linked(a: int, b: int, overlap: int, percent: int) -> bool:
@@ -160,27 +175,37 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return total.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(key, sig, n, pos): the rarest shingles of each set with their places, enough for any partner to share one."""
-    order = docs.sparkSession.sparkContext.broadcast(sketch)
+def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
+    """(key, sig, n, pos, salt): the rarest shingles of each set with their places, enough for any partner to share one; order: the broadcast sketch; salt: 0, or for hot shingles one of several numbers, by the set."""
 
     def run(batches):
         seen: set[int] = set()
+        salts = np.maximum(1, (2.0 ** (np.arange(256) / 12) - 1) // HOT).astype(np.int64)  # of each byte of the sketch
         for batch in batches:
-            keys, sigs, ns = [], [], []
+            keys, sigs, ns, salt = [], [], [], []
             for _, s in document_sets(batch, k):
                 if len(s) and (sig := signature(s)) not in seen:
                     seen.add(sig)
                     p = len(s) - overlap_needed(len(s), percent) + 1
-                    rank = (order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
-                    keys.append(s[np.argsort(rank, kind="stable")[:p]])
+                    often = order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    by = np.argsort((often.astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")[:p]
+                    many = salts[often[by]]
+                    keys.append(s[by])
                     sigs.append(sig)
                     ns.append(len(s))
+                    salt.append(np.where(many > 1, 1 + sig % many, 0).astype(np.int32))
             if keys:
                 each = [len(x) for x in keys]
-                yield pa.record_batch([pa.array(common.signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sigs), each)), pa.array(np.repeat(np.array(ns, np.int32), each)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in each]))], ["key", "sig", "n", "pos"])
+                yield pa.record_batch([pa.array(common.signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sigs), each)), pa.array(np.repeat(np.array(ns, np.int32), each)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in each])), pa.array(np.concatenate(salt))], ["key", "sig", "n", "pos", "salt"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, sig long, n int, pos int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, sig long, n int, pos int, salt int")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """(key, sig, n, pos): of shingles that several sets hold, each set once. Hot ones are dealt out by salt too and all stay: one that a single set holds drops out with its list."""
+    w = Window.partitionBy("key", "salt")
+    seen = postings.withColumns({"a": F.min("sig").over(w), "b": F.max("sig").over(w), "before": F.lag("sig").over(w.orderBy("sig"))})
+    return seen.filter("(salt > 0 or a <> b) and (before is null or before <> sig)").select("key", "sig", "n", "pos")
 
 
 def _both(n: str, m: str, percent: int) -> str:
@@ -188,11 +213,8 @@ def _both(n: str, m: str, percent: int) -> str:
     return f"((CAST({percent} AS BIGINT) * ({n} + {m}) + {99 + percent}) div {100 + percent})"
 
 
-def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """(list, sig, n, pos, small): the lists of each shingle's bands that hold a small set and another one; equal ones are one list (so are, once in 2**64, others: that only adds pairs to compare)."""
-    # Keys are counted before their rows meet, so a hot key is a count, and the join splits its rows.
-    several = postings.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").select("key")
-    shared = common.saved(postings.join(several, "key", "left_semi").groupBy("key", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "shared")
+def _lists(shared: DataFrame, percent: int) -> tuple[DataFrame, dict]:
+    """(list, sig, n, pos, small), and how many rows: the lists of each shingle's bands that hold a small set and another one; equal ones are one list (so are, once in 2**64, others: that only adds pairs to compare)."""
     # Keys with the same sets are one list, with the least place that each set has in them: far fewer rows go into bands.
     same = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.try_sum(F.shiftright(F.xxhash64("sig"), 24)).alias("total")).filter("size > 1")
     merged = shared.join(same.select("key", F.xxhash64("size", "a", "b", "total").alias("group")), "key").groupBy("group", "sig").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
@@ -204,13 +226,12 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     each = each.filter(F.expr(f"pos <= n - {_both('n', 'low', percent)}")).withColumn("small", F.expr(f"own = band and pos <= n - {_both('n', 'n', percent)}"))
     whole = each.groupBy("group", "band").agg(F.count("*").alias("size"), F.count_if("small").alias("smalls"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.try_sum(F.shiftright(F.xxhash64("sig", "small"), 24)).alias("total")).filter("size > 1 and smalls > 0")
     named = each.join(whole, ["group", "band"]).select(F.xxhash64("size", "a", "b", "total").alias("list"), "sig", "n", "pos", "small")
-    return common.saved(named.groupBy("list", "sig").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.bool_or("small").alias("small")), "lists")
+    return common.measured(named.groupBy("list", "sig").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.bool_or("small").alias("small")), "lists", rows=F.count(F.lit(1)))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sig, text) of the sets in wanted (sig); a set may come more than once, and others may come too."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common.maybe_in(wanted))
+    """(sig, text) of the sets in wanted (sig), written; a set comes once for each task that holds it, and others may come too."""
+    shared = docs.sparkSession.sparkContext.broadcast(common.maybe_in(wanted))
 
     def run(batches):
         seen: set[int] = set()
@@ -227,96 +248,185 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for i in range(0, len(rows), 64):
                 yield pa.record_batch([pa.array(sigs[i : i + 64]), batch.column("text").take(pa.array(rows[i : i + 64]))], ["sig", "text"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "sig long, text string")
+    found = common.saved(docs.select(F.col("text").cast("string")).mapInArrow(run, "sig long, text string"), "texts")
+    shared.destroy()
+    return found
 
 
-def _search(groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """groups (query, block, sig, comp, text), the query's own row among those of each block, to linked pairs (u, v) and their components so far (cu, cv)."""
-    names = ["u", "v", "cu", "cv"]
+class _Member(NamedTuple):
+    sig: int
+    comp: int
+    ask: bool
+    small: bool | None
+    n: int | None
+    pos: int | None
+    shingles: np.ndarray
+
+
+def _links(members: list[_Member], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sigs that hold the linked members of different components together: each member that asks is a query, and pairs that a component already holds aren't compared. Where places are given, they and small must allow the pair."""
+    asks = [i for i, m in enumerate(members) if m.ask]
+    _, comp = np.unique([m.comp for m in members], return_inverse=True)
+    if not asks or not comp.any():
+        return []
+    sets = [m.shingles for m in members]
+    size, done, out = np.array([len(s) for s in sets]), np.zeros(len(members), bool), []
+    placed = members[0].pos is not None
+    if placed:
+        pos, small = np.array([m.pos for m in members]), np.array([m.small for m in members])
+    lists = None
+    for i in asks:
+        ok = (comp != comp[i]) & ~done & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        if placed:
+            need = -(-percent * (size + size[i]) // (100 + percent))
+            ok &= (small | small[i]) & (pos <= size - need) & (pos[i] <= size[i] - need)
+        done[i] = True
+        if not ok.any():
+            continue
+        if lists is None:
+            lists = Lists(sets, sets[i] if len(asks) == 1 else np.unique(np.concatenate([sets[j] for j in asks])))
+        for j, overlap in lists.reaching(sets[i], overlap_needed(int(size[i]), percent), ok):
+            if linked(int(size[i]), int(size[j]), overlap, percent):
+                out.append((members[i].sig, members[j].sig))
+                comp[comp == comp[j]] = comp[i]
+    return out
 
-    def run(batches):
-        now, members, comp, out = None, {}, {}, []
 
-        def end():
-            if now is None or now[0] not in members or len(members) < 2:
-                return
-            ids = [x for x in members if x != now[0]]
-            q = members[now[0]]
-            for i, overlap in divide_skip(q, [members[x] for x in ids], percent):
-                if linked(len(q), len(members[ids[i]]), overlap, percent):
-                    out.append((now[0], ids[i], comp[now[0]], comp[ids[i]]))
+GROUP = ["list", "blocks", "block"]
 
+
+def _search(groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """groups (GROUP, sig, comp, ask, small, n, pos, text) to linked pairs (u, v) that hold each group's components together."""
+
+    def run(batches):
+        now, members, out = None, {}, []
         for batch in batches:
-            queries, blocks, sigs, comps = (batch.column(c).to_pylist() for c in ("query", "block", "sig", "comp"))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in GROUP), strict=True))
+            rest = list(zip(*(batch.column(c).to_pylist() for c in ("sig", "comp", "ask", "small", "n", "pos")), strict=True))
             for row, s in document_sets(batch, k):
-                if (queries[row], blocks[row]) != now:
-                    end()
-                    now, members, comp = (queries[row], blocks[row]), {}, {}
-                members[sigs[row]], comp[sigs[row]] = s, comps[row]
+                if keys[row] != now:
+                    out += _links(list(members.values()), percent)
+                    now, members = keys[row], {}
+                m = _Member(*rest[row], s)
+                if m.sig not in members or m.ask:
+                    members[m.sig] = m
             if len(out) >= 1000:
-                yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), names)
-                out.clear()
-        end()
+                yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), ["u", "v"])
+                out = []
+        out += _links(list(members.values()), percent)
         if out:
-            yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), names)
+            yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), ["u", "v"])
+
+    return groups.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "u long, v long")
 
-    return groups.repartition("query", "block").sortWithinPartitions("query", "block").mapInArrow(run, "u long, v long, cu long, cv long")
 
+def _hub_groups(active: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """What _search takes: each hub (list, hub, blocks: a power of two that follows the size of its list) with the sets of its list, by blocks, as far as places and sizes allow a link."""
+    hubs = hubs.select("list", F.col("hub.sig").alias("query"), F.col("hub.n").alias("qn"), F.col("hub.pos").alias("qpos"), F.col("hub.small").alias("qsmall"), F.col("hub.comp").alias("qcomp"), "blocks")
+    need = _both("n", "qn", percent)
+    pairs = active.join(hubs, "list").filter(F.expr(f"comp <> qcomp and (small or qsmall) and 100 * least(n, qn) >= {percent} * greatest(n, qn) and pos <= n - {need} and qpos <= qn - {need}"))
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    both = F.explode(F.array(F.struct("sig", "comp", F.lit(False).alias("ask")), F.struct(F.col("query").alias("sig"), F.col("qcomp").alias("comp"), F.lit(True).alias("ask"))))
+    none = {"small": F.lit(None).cast("boolean"), "n": F.lit(None).cast("int"), "pos": F.lit(None).cast("int")}
+    return pairs.select(F.col("query").alias("list"), "blocks", "block", both.alias("m")).select(*GROUP, "m.*").distinct().withColumns(none)
 
-def _edges(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """(node, component) of the sets that have links, None without links, from linked pairs that hold together every component. lists: (list, sig, n, pos, small)."""
+
+def _linked_sets(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the sets that have links. lists: (list, sig, n, pos, small)."""
+    texts = _texts(docs, lists.select("sig").distinct(), k)
+    search = lambda groups: _search(groups.join(texts, "sig").select(*GROUP, "sig", "comp", "ask", "small", "n", "pos", "text"), k, percent)
+    blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)))).cast("int").alias("blocks")
+    hub = lambda by: F.max_by(F.struct("sig", "n", "pos", "small", "comp"), by).alias("hub")
     score = lists.join(lists.groupBy("list").agg(F.count("*").alias("size")), "list").groupBy("sig").agg(F.sum("size").alias("score"))
-    active = common.saved(lists.join(score, "sig").withColumn("comp", F.col("sig")), "lists")
-    texts = common.saved(_texts(docs, active.select("sig").distinct(), k), "texts")
-    edges, queries = None, 1
+    active, queries, edges = lists.withColumn("comp", F.col("sig")), 1, None
+    done = common.saved(active.join(score, "sig").groupBy("list").agg(hub(F.struct("small", "score", "sig")), blocks), "hubs")
+    groups = _hub_groups(active, done, percent)
     while True:
-        salt = F.pmod(F.xxhash64("sig", F.lit(queries)), F.lit(queries))
-        hubs = active.filter("small").groupBy("list", salt.alias("salt")).agg(F.max_by(F.struct("sig", "n", "pos", "comp"), F.struct("score", "sig")).alias("hub")).select("list", F.col("hub.sig").alias("query"), F.col("hub.n").alias("qn"), F.col("hub.pos").alias("qpos"), F.col("hub.comp").alias("qcomp"))
-        need = _both("n", "qn", percent)
-        pairs = active.join(hubs, "list").filter(F.expr(f"comp <> qcomp and 100 * least(n, qn) >= {percent} * greatest(n, qn) and pos <= n - {need} and qpos <= qn - {need}"))
-        pairs = common.saved(pairs.select("query", "qcomp", "sig", "comp").distinct(), "pairs")
-        blocks = pairs.groupBy("query", "qcomp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        records = pairs.join(blocks.drop("qcomp"), "query").select("query", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig", "comp")
-        records = records.union(blocks.select("query", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("query").alias("sig"), F.col("qcomp").alias("comp")))
-        found = common.saved(_search(records.join(texts, "sig").select("query", "block", "sig", "comp", "text"), k, percent), "links")
-        left = active
-        if not found.isEmpty():
+        found, seen = common.measured(search(groups), "links", n=F.count(F.lit(1)))
+        if seen["n"]:
+            edges, _ = contracted(found if edges is None else edges.union(found))
+            # A set's smallest neighbour so far: sets of one component may still bear several names, which costs comparisons only.
+            names = edges.groupBy("u").agg(F.min("v").alias("v"))
+            active = active.withColumn("comp", F.col("sig")).join(names.withColumnRenamed("u", "sig"), "sig", "left").withColumn("comp", F.coalesce("v", "comp")).drop("v")
+        left = active.select("list", "sig", "n", "pos", "small", "comp").join(done.select("list", F.col("hub.sig").alias("sig")), ["list", "sig"], "left_anti")
+        several = left.groupBy("list").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("small").alias("any")).filter("a <> b and any").select("list", "size")
+        active, seen = common.measured(left.join(several, "list"), "lists", rows=F.count(F.lit(1)), long=F.count_if(F.col("size") > LIST))
+        if not seen["rows"]:
+            break
+        # Short lists are searched whole, once.
+        groups = active.filter(F.col("size") <= LIST).select("list", F.lit(0).alias("blocks"), F.lit(0).alias("block"), "sig", "comp", F.lit(True).alias("ask"), "small", "n", "pos")
+        if not seen["long"]:
+            found = common.saved(search(groups), "links")
             edges = found if edges is None else edges.union(found)
-            # Components of components: only what this round found.
-            joined = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-            left = left.join(joined.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
-        left = left.join(hubs.select("list", F.col("query").alias("sig")), ["list", "sig"], "left_anti")
-        several = left.groupBy("list").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("small").alias("any")).filter("a <> b and any").select("list")
-        active = common.saved(left.join(several, "list", "left_semi"), "lists")
-        if active.isEmpty():
-            return None if edges is None else components(edges)
+            break
         queries *= WIDER
+        long = active.filter(F.col("size") > LIST).drop("size")
+        often = long.groupBy("list", "comp").agg(F.count("*").alias("often"))
+        salt = F.pmod(F.xxhash64("sig", F.lit(queries)), F.lit(queries)).alias("salt")
+        done = common.saved(long.join(often, ["list", "comp"]).groupBy("list", salt).agg(hub(F.struct(-F.col("often"), "sig"))).join(long.groupBy("list").agg(blocks), "list"), "hubs")
+        groups = groups.unionByName(_hub_groups(long, done, percent))
+        active = long
+    return None if edges is None else components(edges)
 
 
-def ngram_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, n_shingles, component_id): documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles."""
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sig) of each row, and of each set, written, (sig, least, rows, component): its smallest doc_id, its number of rows and the name of its component."""
     described = _describe(docs, k)
-    sketch = _sketch(described)
     rows = described.filter("part is null").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), "sig")
-    lists = _lists(common.saved(_prefixes(docs, sketch, k, percent), "prefixes"), percent)
-    classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    comps = None if lists.isEmpty() else _edges(docs, lists, k, percent)
+    order = docs.sparkSession.sparkContext.broadcast(_sketch(described))
+    shared = common.saved(_shared(_prefixes(docs, order, k, percent)), "shared")
+    order.destroy()
+    lists, seen = _lists(shared, percent)
+    comps = _linked_sets(docs, lists, k, percent) if seen["rows"] else None
+    classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     if comps is None:
-        whole = classes.select("sig", F.col("least").alias("component_id"))
+        classes = classes.withColumn("component", F.col("sig"))
     else:
-        classes = classes.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
-        classes = common.saved(classes, "classes")
-        whole = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sig", "component_id")
+        classes = classes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    return rows, common.saved(classes, "classes")
+
+
+def ngram_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, n_shingles, component_id): documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles."""
+    rows, classes = _classes(docs, k, percent)
+    whole = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sig", "component_id")
     linked_rows = rows.filter("sig is not null").join(whole, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked_rows.union(rows.filter("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without all but one document (the smallest doc_id) of each component; rows without doc_id stay."""
-    found = common.saved(ngram_components(docs, k, percent), "near")
-    more = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    once = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    return common.without(docs, more, once)
+    """docs without all but one row of each component: that of the smallest doc_id (those without come last; of texts with one doc_id that of the smallest signature, of repeated rows any).
+
+    Rows are told apart by doc_id and text, so texts that share a doc_id are judged each for itself. Rows without words stay. All columns stay as they are. Only rows that a filter of fixed size can't tell to stay are shuffled.
+    """
+    rows, classes = _classes(docs, k, percent)
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "sig")).alias("first"), F.sum("rows").alias("all")).filter(F.col("all") > 1)
+    chosen = classes.join(first, "component").select(F.col("sig").alias("__sig"), (F.col("first.sig") == F.col("sig")).alias("__keep"), F.col("first.least").alias("__least"))
+    chosen = common.saved(chosen, "chosen")
+    bits = docs.sparkSession.sparkContext.broadcast(common.maybe_in(rows.join(chosen, rows["sig"] == chosen["__sig"], "left_semi").filter("doc_id is not null").select("doc_id")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def unsure(batch: pa.RecordBatch) -> np.ndarray:
+        doc_id = batch.column("doc_id").cast(pa.int64())
+        at = np.mod(pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False), common.FILTER_BITS)
+        return (bits.value[at >> 3] >> (at & 7) & 1).astype(bool) | pc.is_null(doc_id).to_numpy(zero_copy_only=False)
+
+    def sure(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~unsure(batch)))
+
+    def named(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(unsure(batch)))
+            sig = [None] * batch.num_rows
+            for row, s in document_sets(batch, k):
+                sig[row] = signature(s) if len(s) else None
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.int64())], [*batch.schema.names, "__sig"])
+
+    judged = docs.mapInArrow(named, f"{kinds}, __sig long").join(chosen, "__sig", "left")
+    judged = judged.filter(F.col("__keep").isNull() | (F.col("__keep") & F.col("doc_id").cast("long").eqNullSafe(F.col("__least"))))
+    judged = judged.withColumn("__row", F.when(F.col("__keep").isNull(), F.monotonically_increasing_id())).dropDuplicates(["__sig", "__row"])
+    return docs.mapInArrow(sure, kinds).union(judged.select(*docs.columns))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,52 @@ def test_keep_one(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4}
 
 
+def test_keep_one_judges_rows_by_their_texts(spark):
+    rows = [(1, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u"), (5, "one text is here"), (5, "and another one there"), (7, "x y z x y z"), (7, "x y z x y z"), (None, "a b c d e f"), (None, "only without an id"), (None, "only without an id"), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sig", F.lit("s")).withColumn("keep", F.lit(1))
+    kept = N.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a b c d e f"), (3, "q r s t u"), (5, "one text is here"), (5, "and another one there"), (7, "x y z x y z"), (None, "only without an id"), (8, "")], key=repr)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_long_lists_and_hot_shingles(spark, monkeypatch, seed):
+    """Lists beyond LIST are searched in rounds, by blocks, and hot shingles are dealt out by set: with limits so low, all of it happens."""
+    for name, value in (("LIST", 5), ("BLOCK", 4), ("HOT", 8), ("WIDER", 3)):
+        monkeypatch.setattr(N, name, value)
+    rows = near_group(seed, 80) + [(1000 + i, t) for i, t in near_group(seed + 10, 60, 30)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_links_of_a_group():
+    """The search of a whole list against all pairs, with components known before."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(80, 100), replace=False), rng.integers(200, 400, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(40)]
+    known = [0 if i < 6 else i for i in range(40)]
+    members = [N._Member(1000 + i, known[i], True, None, None, None, s) for i, s in enumerate(sets)]
+    parent = list(known)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = {(a, b) for a in range(40) for b in range(a) if N.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])), 85)}
+    for a, b in links:
+        parent[max(find(known[a]), find(known[b]))] = min(find(known[a]), find(known[b]))
+    want = [find(known[i]) for i in range(40)]
+    got = N._links(members, 85)
+    assert all((u - 1000, v - 1000) in links or (v - 1000, u - 1000) in links for u, v in got)
+    parent = list(known)
+    for u, v in got:
+        a, b = find(known[u - 1000]), find(known[v - 1000])
+        parent[max(a, b)] = min(a, b)
+    assert [find(known[i]) for i in range(40)] == want and len(links) > 20
+
+
 def test_divide_skip():
     import numpy as np
 

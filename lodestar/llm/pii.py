@@ -7,6 +7,7 @@ Nulls and empty texts have no spans; an empty table gives an empty result; repea
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -30,6 +31,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/@+-]*[A-Za-z0-9])?")
 #: Words, and one of the groups of a slot.
 WORD = re.compile(r"\S+")
+NEXT = re.compile(r"\s*(\S*)")
 GROUP = re.compile(r"[\w.()\[\]@+/*#-]+")
 #: Texts that can hold any of them, for Arrow's linear-time matcher.
 ANY = r"@|[0-9] ?[0-9]|[0-9][^\s]*[0-9]|\+[0-9]"
@@ -70,10 +72,30 @@ def base_spans(text: str) -> list[spans.Span]:
     return out
 
 
-def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    before, after = text[max(0, a - 80) : a].lower().split(), text[b : b + 40].lower().split()
-    last = before[-1] if before else "^"
-    return f"{before[-2] if len(before) > 1 else '^'} {last} _", f"{last} _ {after[0] if after else '$'}"
+def _contexts(text: str, places: list[tuple[int, int]]) -> list[list[str]]:
+    """The two patterns of each place: whole neighbouring words, but for what another place holds of the same run of characters (that is _): so all of them together aren't much longer than the text."""
+    starts, ends = sorted(a for a, _ in places), sorted(b for _, b in places)
+    out = []
+    for a, b in places:
+        i, j = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        least, most = ends[i - 1] if i else 0, starts[j] if j < len(starts) else len(text)
+        last, at, cut = _word_before(text, a, least)
+        before = "_" if cut and i else _word_before(text, at, 0)[0] or "^"
+        after = NEXT.match(text, b, most)[1].lower() or ("_" if j < len(starts) else "$")
+        last = last or ("_" if i else "^")
+        out.append([f"{before} {last} _", f"{last} _ {after}"])
+    return out
+
+
+def _word_before(text: str, at: int, least: int) -> tuple[str, int, bool]:
+    """The word that ends before at, as far as it lies beyond least; where it begins, and whether least was reached."""
+    end = at
+    while end > least and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start > least and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end].lower(), start, start == least
 
 
 def slots_of(text: str, patterns: bytes) -> list[tuple[int, int]]:
@@ -137,12 +159,14 @@ def occurrences(docs: DataFrame, patterns: bytes | None = None) -> DataFrame:
                     counts[k][i] = sum(x[1] == k for x in found)
                 digests[i] = spans.digest(found, KINDS)
                 base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in found]
-                others = [(m.start(), m.end()) for m in TOKEN.finditer(text) if m.end() - m.start() >= 6 and sum(c.isdigit() for c in m[0]) >= 4 and not spans.overlaps(m.start(), m.end(), found)] if look[i] else []
+                cover = spans.Cover(found)
+                others = [(m.start(), m.end()) for m in TOKEN.finditer(text) if m.end() - m.start() >= 6 and sum(c.isdigit() for c in m[0]) >= 4 and not cover.meets(m.start(), m.end())] if look[i] else []
                 if shared is not None:
-                    others = sorted({*others, *((a, b) for a, b in slots_of(text, shared.value) if not spans.overlaps(a, b, found))})
+                    others = sorted({*others, *((a, b) for a, b in slots_of(text, shared.value) if not cover.meets(a, b))})
+                places = [(a, b) for a, _, b in found] + others
                 slots[i] = [
-                    {"start": a, "end": b, "seed": seed, "instance": hashlib.sha256(text[a:b].lower().encode("utf-8", "surrogatepass")).hexdigest(), "patterns": list(_context(text, a, b))}
-                    for seed, places in ((True, [(a, b) for a, _, b in found]), (False, others)) for a, b in places
+                    {"start": a, "end": b, "seed": k < len(found), "instance": hashlib.sha256(text[a:b].lower().encode("utf-8", "surrogatepass")).hexdigest(), "patterns": patterns_}
+                    for k, ((a, b), patterns_) in enumerate(zip(places, _contexts(text, places), strict=True))
                 ]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, pa.list_(span)), pa.array(slots, pa.list_(slot))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "slots"])
 

@@ -161,11 +161,15 @@ def ordinary_text(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         bytes_, pairs = np.zeros(256, np.int64), np.zeros(25, np.int64)
         for batch in batches:
             data, at = common.text_buffers(batch.column(0))
-            for lo in range(int(at[0]), int(at[-1]), common.SEGMENT):
-                b = data[lo : min(lo + common.SEGMENT, int(at[-1]))]
-                bytes_ += np.bincount(b, minlength=256)
+            start, end = int(at[0]), int(at[-1])
+            for lo in range(start, end, common.SEGMENT):
+                b = data[lo : min(lo + common.SEGMENT + 1, end)]
+                bytes_ += np.bincount(b[: common.SEGMENT], minlength=256)
                 k = kinds[b]
                 pairs += np.bincount(k[:-1] * 5 + k[1:], minlength=25)
+            # The last byte of a text and the first of the next are no neighbours.
+            cut = np.unique(at[(at > start) & (at < end)])
+            pairs -= np.bincount(kinds[data[cut - 1]] * 5 + kinds[data[cut]], minlength=25)
         yield pa.record_batch([pa.array(range(281)), pa.array(np.concatenate([bytes_, pairs]))], ["place", "n"])
 
     total = np.zeros(281)
@@ -203,9 +207,10 @@ def candidates(docs: DataFrame, battery: Battery) -> DataFrame:
                     counts[k][i] = sum(x[1] == k for x in found)
                 digests[i] = spans.digest(found, KINDS)
                 base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in found]
+                cover = spans.Cover(found)
                 tested[i] = [
                     {"start": a, "end": b, "class": _length_class(b - a), "bin": _bin(tests.p(text[a:b]))}
-                    for a, b in tokens(text) if not spans.overlaps(a, b, found)
+                    for a, b in tokens(text) if not cover.meets(a, b)
                 ]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, pa.list_(span)), pa.array(tested, pa.list_(test))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tested"])
 
@@ -264,7 +269,8 @@ def redact(docs: DataFrame, sign: str = "[SECRET]") -> DataFrame:
 
 def _redacted(text: str, battery: Battery, least: list[int], sign: str) -> str:
     found = base_spans(text)
-    found += [(a, 3, b) for a, b in tokens(text) if not spans.overlaps(a, b, found) and _bin(battery.p(text[a:b])) >= least[_length_class(b - a)]]
+    cover = spans.Cover(found)
+    found += [(a, 3, b) for a, b in tokens(text) if not cover.meets(a, b) and _bin(battery.p(text[a:b])) >= least[_length_class(b - a)]]
     out, at = [], 0
     for a, _, b in sorted(found):
         if a >= at:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 from pyspark.sql import Column
@@ -19,8 +20,22 @@ def digest(spans: list[Span], kinds: list[str]) -> str:
     return hashlib.sha256(written(spans, kinds).encode()).hexdigest()
 
 
-def overlaps(a: int, b: int, spans: list[Span]) -> bool:
-    return any(a < y and x < b for x, _, y in spans)
+class Cover:
+    """What spans cover: the places of their union, to be asked in logarithmic time."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for a, _, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether [a, b) and the union have a place in common."""
+        i = bisect.bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
 
 
 def all_written(base: Column, added: Column, kinds: list[str], new: str) -> Column:

@@ -68,9 +68,10 @@ def letter_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         table, counts = _letter_table(), np.zeros(SIGNS**3, np.int64)
         far, far_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            text = "\n".join(pc.fill_null(pc.utf8_lower(batch.column(0)), "").to_pylist())
-            for lo in range(0, len(text), common.SEGMENT):
-                c = np.concatenate([[0, 0], table[np.frombuffer(text[lo : lo + common.SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32)], [0]])
+            # Two line ends between texts, as many as a trigram looks back.
+            text = "\n\n" + "\n\n".join(pc.fill_null(pc.utf8_lower(batch.column(0)), "").to_pylist()) + "\n"
+            for lo in range(2, len(text), common.SEGMENT):
+                c = table[np.frombuffer(text[lo - 2 : lo + common.SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32)]
                 s = np.where(c > 122, 27, np.maximum(c - 96, 0))
                 x = (s[:-2] * SIGNS + s[1:-1]) * SIGNS + s[2:]
                 used = s[1:-1] + s[2:] > 0

@@ -11,12 +11,14 @@ import functools
 import hashlib
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,11 @@ from . import common
 
 #: Words in the lexicon at most, and the times that a word must occur in a task to be counted there.
 LEXICON, FREQUENT = 131072, 8
-#: Runs between spaces that a worker remembers at most, and the longest that it does.
-CACHE, CACHE_LENGTH = 100_000, 64
-END = "</w>"
+#: Runs between spaces that a task remembers before it forgets those that it hasn't met since as many before, and the longest that it does.
+CACHE, CACHE_LENGTH = 200_000, 64
+#: Characters of texts that are split together.
+GROUP = 1 << 19
+END, NONE = "</w>", 1 << 60
 
 
 def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
@@ -46,7 +50,7 @@ def byte_letters() -> list[str]:
 
 # What the regex module's newer tables call letters or numbers and the tokenizers' do not (code points, hexadecimal).
 NEWER = (
-    "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7cf-a7cf a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
+    "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7cf-a7cf a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
     "10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ebb-16ed3 "
     "16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 "
     "1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff "
@@ -54,9 +58,29 @@ NEWER = (
 )
 
 
-def odd_letters() -> str:
-    """NEWER as a set of characters, for patterns."""
-    return "[" + "".join("-".join(f"\\U{int(x, 16):08x}" for x in run.split("-")) for run in NEWER.split()) + "]"
+# Capital letters that Python's Unicode tables don't know yet, with their lower case (of a range: of its first).
+NEWER_CAPITALS = "1c89>1c8a a7cb>264 a7cc>a7cd a7ce>a7cf a7d2>a7d3 a7d4>a7d5 a7da>a7db a7dc>19b 10d50-10d65>10d70 16ea0-16eb8>16ebb"
+# Marks that the tokenizers' older tables for NFC don't know: they stay where they are and nothing composes across them.
+NEWER_MARKS = (
+    "7fd-7fd 898-89f 8ca-8d3 9fe-9fe c3c-c3c d3b-d3c eba-eba 1715-1715 1abf-1ace 1df6-1dfa a82c-a82c 10d24-10d27 10eab-10eac "
+    "10efd-10eff 10f46-10f50 10f82-10f85 11070-11070 1133b-1133b 1145e-1145e 11839-1183a 1193d-1193e 11943-11943 119e0-119e0 "
+    "11a34-11a34 11a47-11a47 11a99-11a99 11d42-11d42 11d44-11d45 11d97-11d97 11f41-11f42 16ff0-16ff1 1e08f-1e08f 1e130-1e136 "
+    "1e2ae-1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+
+
+def newer_capitals() -> dict[int, int]:
+    out = {}
+    for part in NEWER_CAPITALS.split():
+        run, to = part.split(">")
+        first, last = (int(x, 16) for x in (run.split("-") * 2)[:2])
+        out |= {c: int(to, 16) + c - first for c in range(first, last + 1)}
+    return out
+
+
+def letters_of(runs: str) -> str:
+    """Runs of code points as a set of characters, for patterns."""
+    return "[" + "".join("-".join(f"\\U{int(x, 16):08x}" for x in run.split("-")) for run in runs.split()) + "]"
 
 
 class Rules:
@@ -72,10 +96,14 @@ class Rules:
         self.names |= {i: t for t, i in self.specials.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split, self.odd = regex.compile(pattern), odd_letters()
+        self.split, self.odd = regex.compile(pattern), letters_of(NEWER)
         # The tables of the regex module are newer than the tokenizer's: what they add are signs to it.
         self.split_odd = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{self.odd}]").replace(r"[\p{L}]", rf"[\p{{L}}--{self.odd}]").replace(r"[\p{N}]+", rf"[\p{{N}}--{self.odd}]+").replace(r"|[\p{N}]|", rf"|[\p{{N}}--{self.odd}]|"), regex.V1)
         self.odd = regex.compile(self.odd)
+        self.capitals, self.marks = newer_capitals(), re.compile(f"({letters_of(NEWER_MARKS)})")
+        self.newer = re.compile(f"{letters_of(NEWER_MARKS)[:-1]}{''.join(map(chr, self.capitals))}]")
+        #: The same for Arrow's linear-time matcher, which looks at many texts at once.
+        self.newer_anywhere = re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", self.newer.pattern)
         letters = byte_letters()
         self.first = [self.ids.get(x) for x in letters]
         self.last = [self.ids.get(x + END) for x in letters]
@@ -83,26 +111,43 @@ class Rules:
             raise ValueError("the vocabulary lacks bytes")
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(self.ids[a] << 20) | self.ids[b]: (rank << 20) | self.ids[a + b] for rank, (a, b) in enumerate(merges) if a in self.ids and b in self.ids and a + b in self.ids}
+        # What two bytes within a word merge to, and the last two.
+        get, none = self.merges.get, NONE
+        self.inner = [get((a << 20) | b, none) for a in self.first for b in self.first]
+        self.final = [get((a << 20) | b, none) for a in self.first for b in self.last]
 
-    def normalise(self, text: str) -> str:
+    def normalise(self, text: str, newer: bool | None = None) -> str:
+        """newer: whether the text holds a letter of the newer ones, if that is known."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
+            if self.newer.search(text) if newer is None else newer:
+                text = "".join(unicodedata.normalize("NFC", x) for x in self.marks.split(text)).translate(self.capitals)
+            else:
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")  # lower case letter by letter: no final sigma
         return text.lower()
 
+    def has_special(self, text: str) -> bool:
+        return any(x in text for x in self.specials)
+
+    def spaced(self, text: str, newer: bool | None = None) -> str:
+        return self.normalise(text, newer).replace("\n", " ")
+
     def chunks(self, text: str) -> list[str]:
         """The text's runs between spaces and line ends, normalised (some are empty); special tokens are runs of their own, behind a space. No word crosses a run's ends."""
-        if self.special is None or not any(x in text for x in self.specials):
-            return self.normalise(text).replace("\n", " ").split(" ")
+        if not self.has_special(text):
+            return self.spaced(text).split(" ")
         out: list[str] = []
         for i, part in enumerate(self.special.split(text)):
-            out += [" " + part] if i % 2 else self.normalise(part).replace("\n", " ").split(" ")
+            out += [" " + part] if i % 2 else self.spaced(part).split(" ")
         return out
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk."""
-        if chunk[:1] == " ":
-            return [chunk[1:]]
-        return (self.split if chunk.isascii() or not self.odd.search(chunk) else self.split_odd).findall(chunk)
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            return [chunk[1:]] if chunk[:1] == " " else self.split.findall(chunk)
+        return (self.split_odd if self.odd.search(chunk) else self.split).findall(chunk)
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
@@ -113,12 +158,13 @@ class Rules:
         if word in self.specials:
             return [self.specials[word]]
         raw = word.encode("utf-8")
-        s = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        get = self.merges.get
-        none = 1 << 60
-        ranks = [get((a << 20) | b, none) for a, b in zip(s, s[1:])]
+        s = [*map(self.first.__getitem__, raw[:-1]), self.last[raw[-1]]]
         if len(s) > 200:
             return self._merge_long(s)
+        get, none = self.merges.get, NONE
+        ranks = [self.inner[a << 8 | b] for a, b in zip(raw, raw[1:-1])]
+        if len(raw) > 1:
+            ranks.append(self.final[raw[-2] << 8 | raw[-1]])
         while ranks:
             low = min(ranks)
             if low == none:
@@ -267,7 +313,7 @@ def frequent_words(docs: DataFrame, vocabulary: str) -> list[str]:
 
         def counted() -> None:
             for chunk, n in runs.items():
-                for w in r.words(chunk):
+                for w in r.words(r.normalise(chunk)):
                     counts[w] += n
             runs.clear()
             if len(counts) > 4 * CACHE:
@@ -275,11 +321,15 @@ def frequent_words(docs: DataFrame, vocabulary: str) -> list[str]:
                     del counts[w]
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    runs.update(r.chunks(text))
-            if len(runs) > 2 * CACHE:
-                counted()
+            for lo in range(0, batch.num_rows, 2048):
+                # Roughly what chunks() gives, without those that occur once: which words are in the lexicon changes no result.
+                found = pc.utf8_split_whitespace(pc.utf8_lower(batch.column(0).slice(lo, 2048)).cast(pa.large_string())).flatten().value_counts()
+                found = found.filter(pc.greater(found.field(1), 1))
+                for c, n in zip(*(found.field(k).to_numpy(zero_copy_only=False).tolist() for k in (0, 1)), strict=True):
+                    if len(c) <= CACHE_LENGTH:
+                        runs[c] += n
+                if len(runs) > 2 * CACHE:
+                    counted()
         counted()
         keep = [(w, n) for w, n in counts.items() if n >= FREQUENT and len(w) <= CACHE_LENGTH]
         yield pa.record_batch([pa.array([w for w, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], ["word", "n"])
@@ -307,69 +357,97 @@ _handed_out: set[tuple[str, str]] = set()
 
 
 class Encoder:
-    """A worker's view of rules and lexicon: remembers what chunks encode and decode to, as strings (packed: their ids as uint16)."""
+    """A task's view of rules and lexicon: remembers what chunks encode and decode to, as strings (packed: their ids as uint16). What it hasn't met for CACHE chunks goes, so that frequent ones stay."""
 
     def __init__(self, vocabulary: str, name: str | None, packed: bool = False):
         self.packed = packed
         self.rules, self.lexicon = rules(vocabulary), lexicon(SparkFiles.get(name)) if name else None
-        self.ids, self.names, self.known = {}, {}, {}
-
-    def word_ids(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of words, remembered: by the lexicon, or merged where it doesn't hold them."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        self.written = {i: str(i) for i in self.rules.names}
+        self.chunks: dict[str, tuple] = {}
+        self.words: dict[str, tuple] = {}
+        self.older_chunks: dict[str, tuple] = {}
+        self.older_words: dict[str, tuple] = {}
+
+    def _form(self, ids: list[int]) -> tuple:
+        """What a word adds to the outputs: how many ids; its ids and its names, as strings (packed: ids as uint16)."""
+        if self.packed:
+            return len(ids), np.array(ids, np.uint16).tobytes()
+        return len(ids), " ".join(map(self.written.__getitem__, ids)), " ".join(map(self.rules.names.__getitem__, ids))
+
+    def _learn_words(self, words: set[str]) -> dict[str, tuple]:
+        """The forms of words, by the lexicon, or merged where it doesn't hold them."""
+        if len(self.words) > CACHE:
+            self.older_words, self.words = self.words, {}
+        known, older, new = self.words, self.older_words, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         numbers = self.lexicon.numbers([w.encode("utf-8") for w in new]).tolist() if self.lexicon is not None and new else [-1] * len(new)
         for w, n in zip(new, numbers, strict=True):
-            self.known[w] = self.lexicon.ids(n) if n >= 0 else self.rules.merge(w)
-        return self.known
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > CACHE:
-            self.ids.clear()
-            self.names.clear()
-            new = list(chunks)
+            known[w] = self._form(self.lexicon.ids(n) if n >= 0 else self.rules.merge(w))
+        return known
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.chunks) > CACHE:
+            self.older_chunks, self.chunks = self.chunks, {}
+        known, older, new = self.chunks, self.older_chunks, []
+        for c in chunks:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new.append(c)
         split = [self.rules.words(c) for c in new]
-        known, names = self.word_ids(set().union(*split)), self.rules.names
+        forms = self._learn_words({w for words in split for w in words})
+        join = b"".join if self.packed else " ".join
         for c, words in zip(new, split, strict=True):
-            ids = [i for w in words for i in known[w]]
-            if self.packed:
-                self.ids[c] = np.array(ids, np.uint16).tobytes()
+            if len(words) == 1:
+                known[c] = forms[words[0]]
             else:
-                self.ids[c] = " ".join(map(str, ids))
-                self.names[c] = " ".join([names[i] for i in ids])
+                parts = list(zip(*(forms[w] for w in words), strict=True))
+                known[c] = (sum(parts[0]), *map(join, parts[1:])) if words else (0, *[join([])] * (1 if self.packed else 2))
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """(number of tokens, ids, decoded text) of each text; packed: ids as uint16, without decoded text."""
+    def encode_batch(self, texts: list[str | None]) -> list[pa.Array]:
+        """Of each text the number of tokens, ids and decoded text; packed: ids as uint16, without decoded text."""
         out, group, size = [], [], 0
-        for t in texts:
-            group.append(self.rules.chunks(t) if t else [])
-            size += len(group[-1])
-            if size > CACHE // 2:
-                out += self._group(group)
+        newer = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.rules.newer_anywhere).to_pylist()
+        for t, odd in zip(texts, newer, strict=True):
+            group.append((t or "", bool(odd)))
+            size += len(group[-1][0])
+            if size > GROUP:
+                out.append(self._group(group))
                 group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, group: list[list[str]]) -> list[tuple[int, str, str]]:
-        if not group:
-            return []
-        chunks = set().union(*group)
-        self.learn(chunks)
-        out = []
-        for p in group:
-            if self.packed:
-                x = b"".join(map(self.ids.__getitem__, p))
-                out.append((len(x) // 2, x, None))
-                continue
-            ids = " ".join(filter(None, map(self.ids.__getitem__, p)))
-            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(filter(None, map(self.names.__getitem__, p)))))
+        out.append(self._group(group))
+        return [pa.concat_arrays(c) for c in zip(*out, strict=True)]
+
+    def _group(self, group: list[tuple[str, bool]]) -> list[pa.Array]:
+        """group: texts, and whether they hold newer letters."""
+        if any(self.rules.has_special(t) for t, _ in group):
+            split = [self.rules.chunks(t) for t, _ in group]
+            chunks, offsets = pa.array([c for x in split for c in x], pa.large_string()), np.cumsum([0, *map(len, split)])
+        else:
+            lists = pc.split_pattern(pa.array([self.rules.spaced(*x) for x in group], pa.large_string()), " ")
+            chunks, offsets = lists.flatten(), lists.offsets.to_numpy()
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(set(distinct))
+        # What the chunks of a text add is joined by Arrow; those without words add nothing.
+        many, *forms = zip(*map(self.chunks.__getitem__, distinct), strict=True) if distinct else ((), *[()] * (1 if self.packed else 2))
+        many, codes = np.array(many, np.int64), coded.indices.to_numpy()
+        some = many[codes] > 0
+        codes, offsets = codes[some], np.concatenate([[0], np.cumsum(some)])[offsets]
+        tokens = np.concatenate([[0], np.cumsum(many[codes])])[offsets]
+        kind, by = (pa.binary(), b"") if self.packed else (pa.string(), " ")
+        joined = [pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(f, kind).take(pa.array(codes))), by) for f in forms]
         # Long chunks are rare and large: they aren't kept.
-        for c in chunks:
+        for c in distinct:
             if len(c) > CACHE_LENGTH:
-                for store in (self.ids, self.names, self.known):
+                for store in (self.chunks, self.words):
                     store.pop(c, None)
-        return out
+        return [pa.array(np.diff(tokens)), *joined]
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",), form: str = "text") -> DataFrame:
@@ -387,12 +465,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...]
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                rows = encoder.encode_batch(batch.column("__text").to_pylist())
-                columns = [[r[k + 1] for r in rows] for k in range(len(new))]
+                n, *columns = encoder.encode_batch(batch.column("__text").to_pylist())
                 if form == "digest":
-                    columns = [[hashlib.sha256(s.encode("utf-8")).hexdigest() for s in c] for c in columns]
+                    columns = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c]) for c in columns]
                 kind = pa.binary() if form == "packed" else pa.string()
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r[0] for r in rows], pa.int64()), *(pa.array(c, kind) for c in columns)], [*batch.schema.names[:-1], "n_tokens", *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, *(c.cast(kind) for c in columns)], [*batch.schema.names[:-1], "n_tokens", *names])
 
     return chosen.mapInArrow(run, f"{kinds}, n_tokens long, {', '.join(new)}")
 

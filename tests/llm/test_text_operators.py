@@ -284,3 +284,75 @@ def test_long_instances_with_one_beginning_differ(spark):
     rows = [(i, f"x {'a' * 200}{1000 + i} y") for i in range(3)]
     slots = [r.slots[0].instance for r in pii.occurrences(table(spark, rows)).collect()]
     assert len(set(slots)) == 3
+
+
+def test_partitioning_changes_nothing(spark):
+    """Counts end with their texts, so the same rows in 1 and in 7 partitions give the same results."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+    rows = [(i, f"so {key(24)} a st{'u' * (i % 5 + 1)}pid 5tup1d thing{i} été")[: 2] for i in range(60)] + EDGES
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, seven = df.coalesce(1), df.repartition(7)
+    for a, b in zip(secrets.ordinary_text(one), secrets.ordinary_text(seven), strict=True):
+        assert (a == b).all()
+    a, b = (dict(zip(*(x.tolist() for x in toxicity.letter_counts(d)), strict=True)) for d in (one, seven))
+    assert a == b
+    for find in (secrets.find_secrets, pii.find_personal_data):
+        assert sorted(map(repr, find(one).collect())) == sorted(map(repr, find(seven).collect()))
+
+
+def test_segments_change_no_counts(spark, monkeypatch):
+    from lodestar.llm import common
+
+    df = spark.createDataFrame([(i, f"word{i} and Ünd Token=abc{i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    want = secrets.ordinary_text(df), sorted(zip(*toxicity.letter_counts(df), strict=True))
+    monkeypatch.setattr(common, "SEGMENT", 37)
+    got = secrets.ordinary_text(df), sorted(zip(*toxicity.letter_counts(df), strict=True))
+    assert all((a == b).all() for a, b in zip(want[0], got[0], strict=True)) and want[1] == got[1]
+
+
+def test_long_texts_in_seconds():
+    """Texts of megabytes with ten thousands of spans, also without any space."""
+    import time
+
+    from lodestar.llm import spans
+
+    began = time.perf_counter()
+    many = " ".join(f"user{i}@host{i}.example ref{i:08d}" for i in range(50_000))
+    for text in (many, many.replace(" ", ";")):
+        found = pii.base_spans(text)
+        cover = spans.Cover(found)
+        others = [(m.start(), m.end()) for m in pii.TOKEN.finditer(text) if not cover.meets(*m.span())]
+        assert len(found) == 50_000 and len(others) >= 49_000
+        assert len(pii._contexts(text, [(a, b) for a, _, b in found] + others)) == len(found) + len(others)
+    assert len(list(secrets.tokens("x=" + "Ab3" * 1_000_000))) == 1
+    assert time.perf_counter() - began < 30
+
+
+def test_cover():
+    from lodestar.llm import spans
+
+    rng = random.Random(9)
+    for _ in range(200):
+        some = [(a, 0, a + rng.randrange(1, 8)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        cover = spans.Cover(some)
+        for a in range(70):
+            for n in (1, 4):
+                assert cover.meets(a, a + n) == any(a < y and x < a + n for x, _, y in some)
+
+
+def test_every_letter_is_the_library_s():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_file())
+    t.no_truncation()
+    t.no_padding()
+    encoder = bpe.Encoder(bpe.vocabulary_file(), None)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    texts = ["x".join(points[i : i + 64]) for i in range(0, len(points), 64)]
+    marks = [c for c in points if __import__("unicodedata").combining(c)]
+    texts += ["".join(f"a{c}̣́ A̧{c} " for c in marks[i : i + 50]) for i in range(0, len(marks), 50)]
+    n, ids, names = encoder.encode_batch(texts)
+    for text, k, i in zip(texts, n.to_pylist(), ids.to_pylist(), strict=True):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert i == " ".join(map(str, want)) and k == len(want), [hex(ord(c)) for c in text if c != "x"]

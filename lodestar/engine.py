@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +13,17 @@ from .schemas import USER
 
 
 class Engine:
-    """docs: the state (id or doc_id, ...); edges: the graph's newest edges. embedder: a function of texts to vectors, for k-NN and hybrid. stems: match inflected English words and fold accents. index: written postings and field statistics, else they are made from docs."""
+    """docs: the state (id or doc_id, ...). edges: the graph's newest edges, or a function that reads them; epoch: a function that gives their number (the identity stream's, for one), which changes with every applied edge: expansions are kept as long as it stays, and a revoke is seen by the next search. Without it edges are taken as they are. embedder: a function of texts to vectors, for k-NN and hybrid. stems: match inflected English words and fold accents. index: written postings of the same analysis, else texts are read."""
 
-    def __init__(self, docs: DataFrame, edges: DataFrame, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: tuple[DataFrame, DataFrame] | None = None):
+    def __init__(self, docs: DataFrame, edges: DataFrame | Callable[[], DataFrame], embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: retrieval.Index | None = None, epoch: Callable[[], int] | None = None):
         docs = docs if "doc_id" in docs.columns else docs.withColumnRenamed("id", "doc_id")
         self.docs = docs if "updated_ms" in docs.columns else docs.withColumn("updated_ms", F.unix_millis("updated_at"))
-        self.edges, self.embedder, self.analyse, self.index = edges, embedder, (english if stems else tokens), index
+        self._read, self._epoch = (edges if callable(edges) else lambda: edges), epoch
+        self.embedder, self.analyse, self.index = embedder, (english if stems else tokens), index
         self.spark = docs.sparkSession
         self._vectors: dict[str, list[float]] = {}
         self._held: dict[str, DataFrame] = {}
+        self._at: tuple[int, DataFrame] | None = None
 
     def _vector(self, text: str) -> list[float]:
         if text not in self._vectors:
@@ -31,17 +32,21 @@ class Engine:
             self._vectors[text] = self.embedder([text])[0]
         return self._vectors[text]
 
-    @cached_property
-    def epoch(self) -> int:
-        """Changes with every applied edge; expansions are kept as long as it stays."""
-        return self.edges.agg(F.coalesce(F.sum("version"), F.lit(0))).first()[0]
+    @property
+    def edges(self) -> DataFrame:
+        """The newest edges; of a new epoch they are read anew and what was expanded before is forgotten."""
+        now = self._epoch() if self._epoch else 0
+        if self._at is None or self._at[0] != now:
+            self._at, self._held = (now, self._read()), {}
+        return self._at[1]
 
     def expansion(self, user: str) -> DataFrame:
         """(user, principal, depth, path) of one user."""
+        edges = self.edges
         if user not in self._held:
             if len(self._held) >= 10_000:
                 self._held.clear()
-            self._held[user] = graph.expand(self.edges, self.spark.createDataFrame([(user,)], "user string"))
+            self._held[user] = graph.expand(edges, self.spark.createDataFrame([(user,)], "user string"))
         return self._held[user]
 
     def search(self, user: str, query: str = "", mode: str = "", datasources: Sequence[str] = (), kinds: Sequence[str] = (), limit: int = 10) -> DataFrame:
@@ -60,11 +65,10 @@ class Engine:
         if not query.strip():
             hits = retrieval.browse(docs, one, expansion, k).select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank", none.alias("ranks"))
         else:
-            index, stats = self.index or (None, None)
             depth = retrieval.DEPTH if mode == "hybrid" else k
             lists = {}
             if mode in ("bm25", "hybrid"):
-                lists["bm25"] = retrieval.bm25(self.docs, one, expansion, depth, index, stats, self.analyse, wanted)
+                lists["bm25"] = retrieval.bm25(self.docs, one, expansion, depth, self.index, self.analyse, wanted)
             if mode in ("knn", "hybrid"):
                 lists["knn"] = retrieval.knn(self.docs, one, expansion, depth, wanted)
             hits = retrieval.fuse(lists, k) if mode == "hybrid" else next(iter(lists.values())).withColumn("ranks", F.create_map(F.lit(mode), "rank"))

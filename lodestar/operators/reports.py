@@ -69,13 +69,13 @@ def history(messages: DataFrame, ts: str, oldest, latest, n: int, *ties: str) ->
 
 
 def outcomes(hits: DataFrame, labels: DataFrame, deepest: int = 10) -> DataFrame:
-    """(mode, query_id, datasource, n_rel, ranks): ranks of relevant hits after the query's own document went. hits: (mode, query_id, doc_id, rank); labels: (query_id, own, datasource, relevant array)."""
+    """(mode, query_id, datasource, n_rel, ranks): ranks of relevant hits after the query's own document went. hits: (mode, query_id, doc_id, rank, good: whether it is relevant); labels: (query_id, own, datasource, n_rel)."""
     modes = hits.select("mode").distinct()
     w = Window.partitionBy("mode", "query_id").orderBy("rank")
     j = hits.join(labels, "query_id").filter(~F.col("doc_id").eqNullSafe(F.col("own"))).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= deepest)
-    found = j.filter(F.array_contains("relevant", F.col("doc_id"))).groupBy("mode", "query_id").agg(F.array_sort(F.collect_list("r")).alias("ranks"))
+    found = j.filter("good").groupBy("mode", "query_id").agg(F.array_sort(F.collect_list("r")).alias("ranks"))
     # A few modes: each label once for each of them.
-    every = labels.select("query_id", "datasource", F.size("relevant").alias("n_rel")).withColumn("k", F.lit(1)).join(F.broadcast(modes.withColumn("k", F.lit(1))), "k").drop("k")
+    every = labels.select("query_id", "datasource", "n_rel").withColumn("k", F.lit(1)).join(F.broadcast(modes.withColumn("k", F.lit(1))), "k").drop("k")
     return every.join(found, ["mode", "query_id"], "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
 
 

@@ -141,7 +141,7 @@ SELECT quantile_disc(lag, 0.5) AS p50, quantile_disc(lag, 0.95) AS p95, quantile
 
 
 def chaos_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four versions of every document, some sent twice, some swapped, some deleted at last: lost, regressed, stale, double and missed after the fold."""
+    """Four versions of every document, some sent twice, some swapped, some deleted at last: lost, regressed, stale, double and missed after the fold and after faults in some of the documents."""
     from ..sources.directory import chaos
 
     d = fx.docs(spark, sf_dir).select("id", "doc_id", "title", "body")
@@ -152,11 +152,19 @@ def chaos_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = fold.gate(events)
     state = fold.fold(events, gated=gated)
     last = v.filter("version = 4").select("id", "version", (F.col("op") == "delete").alias("deleted"), F.when(F.col("op") == "delete", "").otherwise(content_hash(F.col("title"), F.col("body"))).alias("content_hash"))
-    applies = gated.groupBy("id").agg(F.count_if("applied").alias("applies"))
+    # Faults are planted, so that the check has what to find.
+    m = F.substring("id", 2, 20).cast("long") % 50
+    state = state.filter(m != 7).withColumns({
+        "version": F.col("version") - F.when(m == 9, 1).when(m == 11, -1).otherwise(0), "content_hash": F.when(m == 13, "other").otherwise(F.col("content_hash")), "deleted": F.col("deleted") != (m == 15),
+    })
+    applies = gated.groupBy("id").agg(F.count_if("applied").alias("applies")).withColumn("applies", F.col("applies") + F.when(m == 17, 2).when(m == 19, -1).otherwise(0))
     return reports.convergence(last, state, applies, fold.expected_applies(events))
 
 
-CHAOS_SQL = "SELECT count(*) AS checked, 0 AS lost, 0 AS regressed, 0 AS stale, 0 AS double_applies, 0 AS missed_applies FROM documents"
+CHAOS_SQL = """
+SELECT count(*) AS checked, count(*) FILTER (m IN (7, 9)) AS lost, count(*) FILTER (m = 11) AS regressed, count(*) FILTER (m IN (13, 15)) AS stale,
+  2 * count(*) FILTER (m = 17) AS double_applies, count(*) FILTER (m = 19) AS missed_applies FROM (SELECT doc_id % 50 AS m FROM documents)
+"""
 
 
 def records(events: DataFrame) -> DataFrame:
@@ -256,13 +264,20 @@ r AS (SELECT k, list_reduce(list_transform(l, lambda x: [x]), lambda kept, x: CA
 SELECT k, unnest(list_transform(kept, lambda x: x.e)) AS event_id FROM r
 """
 
+def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the documents once a container is purged, by container."""
+    return fold.without_container(fx.docs(spark, sf_dir), "src3").groupBy("container").agg(F.count("*").alias("n"))
+
+
+PURGE_SQL = with_(fx.DOCS) + "SELECT container, count(*) AS n FROM docs WHERE container IS DISTINCT FROM 'src3' GROUP BY container"
+
 QUERIES = {
     "q_fold_state": fold_state, "q_fold_discards": fold_discards, "q_expected_applies": expected_applies, "q_replay_noop": replay_noop, "q_content_hash": content_hashes, "q_embed_text": embed_texts,
     "q_embed_backlog": embed_backlog, "q_vector_cas": vector_cas, "q_freshness": freshness, "q_converge": chaos_convergence, "q_stream_fold": stream_fold, "q_stream_replay": stream_replay,
-    "q_keyed_fold": keyed_fold, "q_dlq_quarantine": dead_letters, "q_dump_round_trip": dump_round_trip, "q_dedup_ttl": dedup_ttl,
+    "q_keyed_fold": keyed_fold, "q_dlq_quarantine": dead_letters, "q_dump_round_trip": dump_round_trip, "q_dedup_ttl": dedup_ttl, "q_purge": purged,
 }
 ORACLE_SQL = {
     "q_fold_state": STATE_SQL, "q_fold_discards": DISCARDS_SQL, "q_expected_applies": EXPECTED_SQL, "q_replay_noop": REPLAY_SQL, "q_content_hash": CONTENT_SQL, "q_embed_text": EMBED_TEXT_SQL,
     "q_embed_backlog": BACKLOG_SQL, "q_vector_cas": CAS_SQL, "q_freshness": FRESH_SQL, "q_converge": CHAOS_SQL, "q_stream_fold": STATE_SQL, "q_stream_replay": STREAM_REPLAY_SQL,
-    "q_keyed_fold": KEYED_SQL, "q_dlq_quarantine": DLQ_SQL, "q_dump_round_trip": DUMP_SQL, "q_dedup_ttl": DEDUP_SQL,
+    "q_keyed_fold": KEYED_SQL, "q_dlq_quarantine": DLQ_SQL, "q_dump_round_trip": DUMP_SQL, "q_dedup_ttl": DEDUP_SQL, "q_purge": PURGE_SQL,
 }

@@ -285,13 +285,90 @@ SELECT event_id, epoch_us(ts) AS slack_us, epoch_us(ts) // 1000 AS jira_ms, strf
   CASE WHEN length(repeat(event_type, 20)) > 90 THEN substr(repeat(event_type, 20), 1, 87) || '...' ELSE repeat(event_type, 20) END AS title FROM events
 """
 
+def map_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as deliveries: issues that are edited, deleted or transferred, and comments on them that stay or are deleted, each with its own delivery's title."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    i, at = F.col("doc_id"), F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 100000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    user = F.struct(F.lit("ann").alias("login"))
+    issue = F.struct(i.alias("number"), F.concat(F.lit("T"), i.cast("string")).alias("title"), F.lit("b").alias("body"), F.lit("open").alias("state"), F.lit("").alias("html_url"), user.alias("user"), F.array(F.struct(F.lit("l").alias("name"))).alias("labels"), at.alias("created_at"), at.alias("updated_at"))
+    comment = F.struct(i.alias("id"), F.lit("c").alias("body"), F.lit("").alias("html_url"), F.concat(F.lit("https://example.org/issues/"), i.cast("string")).alias("issue_url"), user.alias("user"), at.alias("created_at"), at.alias("updated_at"))
+    action = F.when(i % 6 < 2, "edited").when(i % 6 == 2, "transferred").otherwise("deleted")
+    body = F.to_json(F.struct(action.alias("action"), F.struct(F.col("source").alias("full_name")).alias("repository"), issue.alias("issue"), F.when(i % 2 == 1, comment).alias("comment")))
+    raw = d.select(F.when(i % 2 == 1, "issue_comment").otherwise("issues").alias("event"), body.alias("body"), F.when(i % 4 < 2, F.lit(1)).otherwise(F.lit(1800000000000)).cast("long").alias("now_ms"))
+    return _out(mappings.github_hooks(raw))
+
+
+MAP_HOOKS_SQL = """
+WITH d AS (SELECT *, doc_id % 2 = 1 AS c, NOT (doc_id % 6 < 2 OR doc_id % 2 = 1 AND doc_id % 6 = 2) AS gone, (1704067200 + doc_id % 100000) * 1000 AS v, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 1800000000000 END AS t FROM documents)
+SELECT CASE WHEN gone THEN 'delete' ELSE 'upsert' END AS op, 'github:' || source || '#' || doc_id || CASE WHEN c THEN '/c' || doc_id ELSE '' END AS id, 'github:' || source AS container,
+  CASE WHEN gone THEN '' WHEN c THEN 'comment' ELSE 'issue' END AS kind, CASE WHEN gone THEN '' WHEN c THEN 'Re: T' || doc_id ELSE 'T' || doc_id END AS title, CASE WHEN gone THEN '' WHEN c THEN 'c' ELSE 'b' END AS body, '' AS url,
+  CASE WHEN gone THEN '' ELSE 'ann' END AS author, CASE WHEN c AND NOT gone THEN 'github:' || source || '#' || doc_id ELSE '' END AS parent_id, CASE WHEN c OR gone THEN '' ELSE 'l,state:open' END AS labels, '' AS duplicates,
+  CASE WHEN gone THEN '' ELSE 'c:github:' || source END AS allowed, CASE WHEN gone THEN greatest(t, v + 1) ELSE v END AS version, CASE WHEN gone THEN t ELSE v END AS src_ts_ms, 'live' AS mode FROM d
+"""
+
+
+def _chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a chat from the events table: posts, edits, deletions, joins and leaves by turns."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    i = F.col("event_id")
+    ts = F.concat((F.lit(1700000000) + i).cast("string"), F.lit(".000000"))
+    kind = i % 5
+    return e.select(
+        F.lit(1800000000000).alias("now_ms"), F.when(kind == 3, "member_joined_channel").when(kind == 4, "member_left_channel").otherwise("message").alias("type"), F.when(kind == 1, "message_changed").when(kind == 2, "message_deleted").otherwise("").alias("subtype"),
+        F.concat(F.lit("C"), (i % 3).cast("string")).alias("channel"), F.concat(F.lit("U"), (F.col("user_id") % 10).cast("string")).alias("user"), F.lit("hello").alias("text"), ts.alias("ts"), F.lit("").alias("thread_ts"),
+        F.when(kind == 2, F.concat((F.lit(1699999999) + i).cast("string"), F.lit(".000000"))).alias("deleted_ts"),
+        F.when(kind == 1, F.struct(F.lit("U1").alias("user"), F.lit("changed").alias("text"), F.concat((F.lit(1699999999) + i).cast("string"), F.lit(".000000")).alias("ts"), F.lit("").alias("thread_ts"), F.lit("").alias("subtype"), F.struct(ts.alias("ts")).alias("edited"))).alias("message"),
+    )
+
+
+def _chat(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    people = spark.range(10).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("user"), F.when(F.col("id") < 7, F.col("id").cast("string")).alias("dir_id"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("name"))
+    return people, spark.createDataFrame([("C0", "", False), ("C1", "", True), ("C2", "", True)], "channel string, name string, is_private boolean")
+
+
+def map_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(mappings.slack_events(_chat_events(spark, sf_dir), *_chat(spark), "acme"))
+
+
+CHAT_EVENTS_SQL = """
+WITH e AS (SELECT event_id AS i, event_id % 5 AS k, 'C' || (event_id % 3) AS ch, user_id % 10 AS u FROM events WHERE event_id % 5 < 3),
+m AS (SELECT *, CASE WHEN k = 0 THEN 1700000000 + i ELSE 1699999999 + i END AS s, (1700000000 + i) * 1000000 AS v FROM e)
+SELECT CASE WHEN k = 2 THEN 'delete' ELSE 'upsert' END AS op, 'slack:' || ch || '/' || s || '.000000' AS id, 'slack:' || ch AS container, CASE WHEN k = 2 THEN '' ELSE 'message' END AS kind, CASE k WHEN 0 THEN 'hello' WHEN 1 THEN 'changed' ELSE '' END AS title,
+  CASE k WHEN 0 THEN 'hello' WHEN 1 THEN 'changed' ELSE '' END AS body, CASE WHEN k = 2 THEN '' ELSE 'https://acme.slack.com/archives/' || ch || '/p' || s || '000000' END AS url, CASE k WHEN 0 THEN 'N' || u WHEN 1 THEN 'N1' ELSE '' END AS author,
+  '' AS parent_id, '' AS labels, '' AS duplicates, CASE WHEN k = 2 THEN '' ELSE 'c:slack:' || ch END AS allowed, v AS version, v // 1000 AS src_ts_ms, 'live' AS mode FROM m
+"""
+
+
+def map_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = mappings.slack_memberships(_chat_events(spark, sf_dir), *_chat(spark))
+    return e.groupBy("src", "dst", "present").agg(F.count("*").alias("n"))
+
+
+MEMBERSHIPS_SQL = "SELECT 'u:' || (user_id % 10) AS src, 'c:slack:C' || (event_id % 3) AS dst, event_id % 5 = 3 AS present, count(*) AS n FROM events WHERE event_id % 5 >= 3 AND event_id % 3 > 0 AND user_id % 10 < 7 GROUP BY 1, 2, 3"
+
+
+def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in title case, keys in base 36, signatures of payloads."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    return c.select("c_custkey", scalar.title_case(F.lower("c_mktsegment")).alias("title"), scalar.base36(key).alias("base36"))
+
+
+STRINGS_SQL = """
+SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS title,
+  CASE WHEN c_custkey >= 46656 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', c_custkey // 46656 % 36 + 1, 1) ELSE '' END || CASE WHEN c_custkey >= 1296 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', c_custkey // 1296 % 36 + 1, 1) ELSE '' END
+    || CASE WHEN c_custkey >= 36 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', c_custkey // 36 % 36 + 1, 1) ELSE '' END || substr('0123456789abcdefghijklmnopqrstuvwxyz', c_custkey % 36 + 1, 1) AS base36 FROM customer
+"""
+
 QUERIES = {
     "q_stats_by_datasource": by_datasource, "q_stats_totals": totals, "q_percentiles": percentiles, "q_histogram": histogram, "q_under_700": under_700, "q_counters": counters, "q_peak_rate": peak_rate, "q_last_n": last_n,
     "q_feed_samples": feed_samples, "q_sample_seeded": sample_seeded, "q_keyset_page": keyset_page, "q_offset_page": offset_page, "q_history_page": history_page, "q_lag": lag, "q_user_emails": user_emails, "q_map_github": map_issues,
     "q_map_github_comments": map_comments, "q_map_slack": map_chat, "q_map_jira": map_projects, "q_vanished_comments": vanished_comments, "q_decode_rejects": decode_rejects, "q_times": times,
+    "q_map_hooks": map_hooks, "q_map_slack_events": map_chat_events, "q_map_memberships": map_memberships, "q_strings": strings,
 }
 ORACLE_SQL = {
     "q_stats_by_datasource": BY_DATASOURCE_SQL, "q_stats_totals": TOTALS_SQL, "q_percentiles": PERCENTILES_SQL, "q_histogram": HISTOGRAM_SQL, "q_under_700": UNDER_SQL, "q_counters": COUNTERS_SQL, "q_peak_rate": PEAK_SQL, "q_last_n": LAST_SQL,
     "q_feed_samples": FEED_SQL, "q_keyset_page": KEYSET_SQL, "q_offset_page": OFFSET_SQL, "q_history_page": HISTORY_SQL, "q_lag": LAG_SQL, "q_user_emails": EMAILS_SQL, "q_map_github": MAP_ISSUES_SQL,
     "q_map_github_comments": MAP_COMMENTS_SQL, "q_map_slack": MAP_CHAT_SQL, "q_map_jira": MAP_PROJECTS_SQL, "q_vanished_comments": VANISHED_SQL, "q_decode_rejects": DECODE_SQL, "q_times": TIMES_SQL,
+    "q_map_hooks": MAP_HOOKS_SQL, "q_map_slack_events": CHAT_EVENTS_SQL, "q_map_memberships": MEMBERSHIPS_SQL, "q_strings": STRINGS_SQL,
 }

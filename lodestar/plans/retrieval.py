@@ -135,18 +135,25 @@ SELECT query_id, doc_id, rank, 'ok' AS status, (SELECT min_by(p, i) FROM (SELECT
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits, hits that the plain closure doesn't allow, and where the two closures differ: one row."""
+    """Hits, hits that the plain closure doesn't allow, and where the two closures differ: one row. Faults are planted, so that the checks have what to find: each search also shows the document with its own number, seen or not, and the expansion lacks principals three steps away."""
     docs, searches, held, edges, hits = _hybrid(spark, sf_dir)
     users = searches.select("user").distinct()
-    shown = cut(hits.join(searches.select("query_id", "user"), "query_id").select("query_id", "user", "doc_id"), "hits")
+    planted = searches.select("query_id", "user", F.col("query_id").alias("doc_id")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    shown = cut(hits.join(searches.select("query_id", "user"), "query_id").select("query_id", "user", "doc_id").unionByName(planted), "hits")
     truth = cut(graph.truth(edges, users), "truth")
     bad = reports.leaks(shown, docs, truth).agg(F.count("*").alias("leaks"))
-    off = reports.disagreements(held, truth).agg(F.count("*").alias("mismatches"))
+    off = reports.disagreements(held.filter("depth < 3"), truth).agg(F.count("*").alias("mismatches"))
     one = F.lit(1).alias("k")
     return shown.agg(F.count("*").alias("hits")).select("*", one).join(bad.select("*", one), "k").join(off.select("*", one), "k").drop("k")
 
 
-LEAKS_SQL = _FUSED + " SELECT count(*) AS hits, 0 AS leaks, 0 AS mismatches FROM hybrid"
+LEAKS_SQL = (
+    _FUSED
+    + """, shown AS (
+  SELECT s.usr, h.doc_id FROM hybrid h JOIN searches s USING (query_id) UNION ALL SELECT s.usr, d.doc_id FROM searches s JOIN docs d ON d.doc_id = s.query_id)
+SELECT count(*) AS hits, count(*) FILTER (v.doc_id IS NULL) AS leaks, (SELECT count(*) FROM held WHERE depth >= 3 AND usr IN (SELECT usr FROM searches)) AS mismatches
+FROM shown LEFT JOIN seen v ON v.usr = shown.usr AND v.doc_id = shown.doc_id"""
+)
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +197,12 @@ POSTINGS_SQL = with_(fx.DOCS, INDEX) + " SELECT p.field, count(*) AS postings, C
 
 
 def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose text also occurs under smaller ids: query, own id and relevant ids. Both ends must be of one source and not deleted."""
+    """(doc_id, datasource, title, class, n_rel, first): documents whose text also occurs under n_rel smaller ids, of which first is the least. Both ends must be of one source and not deleted. A class stands for its members, so copies are never paired."""
     d = fx.docs(spark, sf_dir).filter("not deleted").select("doc_id", "datasource", "title", F.sha2("body", 256).alias("h"))
-    w = Window.partitionBy("h", "datasource").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     # Texts that occur once have no partner and stay out of the window.
-    several = d.groupBy("h", "datasource").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return d.join(several, ["h", "datasource"], "left_semi").withColumn("relevant", F.collect_list("doc_id").over(w)).filter(F.size("relevant") > 0).select("doc_id", "datasource", "title", "relevant")
+    several = d.groupBy("h", "datasource").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").drop("n")
+    place = F.row_number().over(Window.partitionBy("h", "datasource").orderBy("doc_id"))
+    return d.join(several, ["h", "datasource"]).withColumn("n_rel", place - 1).filter("n_rel > 0").select("doc_id", "datasource", "title", F.col("h").alias("class"), "n_rel", "first")
 
 
 LABELS = """
@@ -205,10 +212,24 @@ labels_ AS (
 
 
 def duplicate_labels_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_labels(spark, sf_dir).select("doc_id", "datasource", "title", F.array_join(F.transform("relevant", lambda x: x.cast("string")), ",").alias("relevant"))
+    return duplicate_labels(spark, sf_dir).select("doc_id", "datasource", "title", F.col("n_rel").cast("long").alias("n_rel"), "first")
+
+
+LABELS_SQL = with_(fx.DOCS, LABELS) + " SELECT doc_id, datasource, title, len(relevant) AS n_rel, relevant[1] AS first FROM labels_"
 
 
-LABELS_SQL = with_(fx.DOCS, LABELS) + " SELECT doc_id, datasource, title, array_to_string(relevant, ',') AS relevant FROM labels_"
+def named_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from a field of the documents themselves: those that exist of what a document names as its duplicates, of the same source and not deleted. Every seventh document names the one with half its number and one that isn't there."""
+    d = fx.docs(spark, sf_dir).filter("not deleted")
+    named = F.when(F.col("doc_id") % 7 == 0, F.array(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2).cast("string")), F.lit("d-1"))).otherwise(F.array().cast("array<string>"))
+    return retrieval.named_duplicates(d.select("id", "datasource", named.alias("duplicates"))).select("id", "datasource", F.array_join("relevant", ",").alias("relevant"))
+
+
+NAMED_SQL = (
+    with_(fx.DOCS)
+    + """SELECT a.id, a.datasource, b.id AS relevant FROM docs a JOIN docs b ON b.id = 'd' || (a.doc_id // 2) AND b.datasource = a.datasource AND b.id <> a.id
+WHERE a.doc_id % 7 = 0 AND NOT a.deleted AND NOT b.deleted"""
+)
 
 
 def _eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +237,15 @@ def _eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = cut(duplicate_labels(spark, sf_dir), "labels")
     v = docs.select("doc_id", F.col("embedding").alias("vector"))
     searches = cut(labels.join(v, "doc_id").select(F.col("doc_id").alias("query_id"), F.lit("u:eval").alias("user"), F.array_join(tokens(F.col("title")), " ").alias("query"), "vector"), "searches")
-    bm, kn = retrieval.bm25(docs, searches, None), retrieval.knn(docs, searches, None)
+    bm, kn = cut(retrieval.bm25(docs, searches, None), "bm25"), cut(retrieval.knn(docs, searches, None), "knn")
     single = lambda df, mode: df.filter("rank <= 11").select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank")
-    hits = single(bm, "bm25").unionByName(single(kn, "knn")).unionByName(single(retrieval.fuse({"bm25": bm, "knn": kn}, 11), "hybrid"))
-    return reports.relevance(cut(reports.outcomes(cut(hits, "hits"), labels.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("own"), "datasource", "relevant")), "outcomes"))
+    hits = cut(single(bm, "bm25").unionByName(single(kn, "knn")).unionByName(single(retrieval.fuse({"bm25": bm, "knn": kn}, 11), "hybrid")), "hits")
+    # A hit is relevant if it is of the query's class and has a smaller id: the class of each hit is looked up, copies aren't listed.
+    of = docs.filter("not deleted").select("doc_id", "datasource", F.sha2("body", 256).alias("class"))
+    asked = labels.select(F.col("doc_id").alias("query_id"), F.col("datasource").alias("q_datasource"), F.col("class").alias("q_class"))
+    good = (F.col("class") == F.col("q_class")) & (F.col("datasource") == F.col("q_datasource")) & (F.col("doc_id") < F.col("query_id"))
+    judged = hits.join(of, "doc_id", "left").join(asked, "query_id").select("mode", "query_id", "doc_id", "rank", F.coalesce(good, F.lit(False)).alias("good"))
+    return reports.relevance(cut(reports.outcomes(judged, labels.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("own"), "datasource", "n_rel")), "outcomes"))
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,9 +311,9 @@ asked AS (SELECT title AS query_id, 'u:eval' AS usr, regexp_extract_all(lower(ti
 
 QUERIES = {
     "q_hybrid_rrf": hybrid, "q_bm25": bm25, "q_bm25_filtered": bm25_filtered, "q_knn": knn, "q_knn_filtered": knn_filtered, "q_matched": matched, "q_leaks": leaks, "q_explain": explained, "q_browse": browse,
-    "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_state_search": hybrid_of_state,
+    "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_named_duplicates": named_duplicates, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_state_search": hybrid_of_state,
 }
 ORACLE_SQL = {
     "q_hybrid_rrf": HYBRID_SQL, "q_bm25": BM25_SQL, "q_bm25_filtered": BM25_FILTERED_SQL, "q_knn": KNN_SQL, "q_knn_filtered": KNN_FILTERED_SQL, "q_matched": MATCHED_SQL, "q_leaks": LEAKS_SQL, "q_explain": EXPLAIN_SQL, "q_browse": BROWSE_SQL,
-    "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_state_search": STATE_SEARCH_SQL,
+    "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_named_duplicates": NAMED_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_state_search": STATE_SEARCH_SQL,
 }

@@ -64,9 +64,10 @@ def github_issues(raw: DataFrame, mode: str = "live") -> DataFrame:
     return raw.select(*_event("upsert", doc, epoch_ms(updated), epoch_ms(updated), mode))
 
 
-def github_comments(raw: DataFrame, titles: DataFrame, mode: str = "live") -> DataFrame:
-    """raw: repo, now_ms and a comment's columns; titles: (repo, number, issue_title), one each. A title that isn't known is repo#number."""
-    j = raw.withColumn("number", number_after_slash(F.col("issue_url"))).join(titles.select("repo", "number", "issue_title"), ["repo", "number"], "left")
+def github_comments(raw: DataFrame, titles: DataFrame | None, mode: str = "live") -> DataFrame:
+    """raw: repo, now_ms and a comment's columns; titles: (repo, number, issue_title), one each, or None if raw has issue_title. A title that isn't known is repo#number."""
+    j = raw.withColumn("number", number_after_slash(F.col("issue_url")))
+    j = j if titles is None else j.join(titles.select("repo", "number", "issue_title"), ["repo", "number"], "left")
     container, number = F.concat(F.lit("github:"), "repo"), F.col("number").cast("string")
     issue = F.concat(container, F.lit("#"), number)
     named = F.filter(F.transform(duplicates_named(F.col("body")), lambda n: n.try_cast("long")), lambda n: n.isNotNull() & (n != F.col("number")))
@@ -95,8 +96,8 @@ def github_hooks(deliveries: DataFrame) -> DataFrame:
     out = out.unionByName(github_issues(pulls.select("repo", "now_ms", "h.pull_request.*").withColumn("pull_request", F.coalesce("pull_request", F.struct(F.lit("").alias("url"))))))
     comments = d.filter((F.col("event") == "issue_comment") & F.col("h.comment").isNotNull() & F.col("h.issue").isNotNull())
     kept = comments.filter(~F.col("h.action").eqNullSafe("deleted"))
-    titles = kept.select("repo", F.col("h.issue.number").alias("number"), F.col("h.issue.title").alias("issue_title")).dropDuplicates(["repo", "number"])
-    out = out.unionByName(github_comments(kept.select("repo", "now_ms", "h.comment.*"), titles))
+    # Each delivery names its own issue's title.
+    out = out.unionByName(github_comments(kept.select("repo", "now_ms", F.col("h.issue.title").alias("issue_title"), "h.comment.*"), None))
     container = F.concat(F.lit("github:"), "repo")
     base = F.concat(container, F.lit("#"), F.col("h.issue.number").cast("string"))
     deletes = issues.filter(gone).select("now_ms", base.alias("id"), container.alias("container"), F.col("h.issue.updated_at").alias("at"))
@@ -198,6 +199,9 @@ def slack_memberships(raw: DataFrame, people: DataFrame, channels: DataFrame) ->
 
 # Containers.
 
+#: Teams of a company at most.
+MOST_TEAMS = 2000
+
 
 def container_edges(containers: DataFrame, known: DataFrame, teams: DataFrame) -> DataFrame:
     """(src, dst): the grants of containers (id, visibility) that aren't known (id) yet. public: everyone; members: none; empty: by the id's hash, 55 of 100 are public, others go to one to three teams (team, topic), those whose topic the id names first."""
@@ -207,8 +211,12 @@ def container_edges(containers: DataFrame, known: DataFrame, teams: DataFrame) -
     restricted = (F.col("visibility") == "restricted") | auto & (F.col("h") % 100 >= 55)
     dst = F.concat(F.lit("c:"), "id")
     out = new.filter(public).select(F.lit(EVERYONE).alias("src"), dst.alias("dst"))
-    # The teams of a company are few (a row each): they go to every container.
-    r = new.filter(restricted).select("id", (1 + F.col("h") % 3).cast("int").alias("most")).withColumn("k", F.lit(1)).join(F.broadcast(teams.select("team", "topic").withColumn("k", F.lit(1))), "k")
+    # Teams are a stated set: as one array, whose length is checked, they go to every container.
+    listed = teams.select("team", "topic").limit(MOST_TEAMS + 1).collect()
+    if len(listed) > MOST_TEAMS:
+        raise ValueError(f"more than {MOST_TEAMS} teams")
+    every = F.array(*[F.struct(F.lit(t.team).alias("team"), F.lit(t.topic).alias("topic")) for t in listed]) if listed else F.array().cast("array<struct<team:string,topic:string>>")
+    r = new.filter(restricted).select("id", (1 + F.col("h") % 3).cast("int").alias("most"), F.explode(every).alias("t")).select("id", "most", "t.*")
     w = Window.partitionBy("id").orderBy(F.desc("fits"), F.xxhash64("id", "team"), "team")
     topical = F.max("fits").over(Window.partitionBy("id"))
     r = r.groupBy("id", "most", "team").agg(F.max(F.contains(F.lower("id"), F.lower("topic"))).alias("fits")).withColumn("any", topical).withColumn("place", F.row_number().over(w))

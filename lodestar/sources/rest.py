@@ -1,6 +1,6 @@
 """Crawled sources as Python data sources for batch and streaming reads.
 
-A reader lists its units (repositories, projects, channels), one Spark partition each, and pages through a unit from its cursor; offsets of a stream are the units' cursors. Only a transport, `fetch(url, params) -> (status, headers, json)`, touches the network; it is named by module and function in the options, so executors import their own.
+A reader lists its units (repositories, projects, issues, channels, workspaces), one Spark partition each, and pages through a unit from its cursor; offsets of a stream are the units' cursors. Only a transport, `fetch(url, params) -> (status, headers, json)`, touches the network; it is named by module and function in the options, so executors import their own. A transport that also takes the keyword `etag` gets that of the last answer when a stream asks whether there is anything new, and may answer 304.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "unit string, cursor string, payload string"
 
@@ -21,23 +21,31 @@ def transport(name: str):
     return getattr(importlib.import_module(module), function)
 
 
-def get(fetch, url: str, params: dict, tries: int = 5, sleep=None) -> tuple[int, dict, object]:
+def get(fetch, url: str, params: dict, tries: int = 5, sleep=None, etag: str = "") -> tuple[int, dict, object]:
     """One request; waits and repeats when told to slow down."""
     for _ in range(tries):
-        status, headers, body = fetch(url, params)
+        status, headers, body = fetch(url, params, etag=etag) if etag else fetch(url, params)
         if status != 429:
             return status, headers, body
         (sleep or __import__("time").sleep)(float(headers.get("Retry-After", 1)))
     raise IOError(f"{url}: still told to slow down after {tries} tries")
 
 
-def repository_pages(fetch, base: str, repo: str, what: str, since: str) -> Iterator[tuple[str, dict]]:
-    """(updated_at, item) of a repository's issues or comments from since on, oldest first. Where the listing refuses deep pages it starts anew from the last time seen."""
+def repository_pages(fetch, base: str, repo: str, what: str, since: str, etags: dict[str, str] | None = None) -> Iterator[tuple[str, dict]]:
+    """(updated_at, item) of a repository's issues or comments from since on, oldest first. Where the listing refuses deep pages it starts anew from the last time seen. etags: those of first pages by place, kept up to date; an unchanged listing has nothing."""
     seen: set = set()
+    place = f"{base}/{repo}/{what}/{since}"
     while True:
         url, params, last = f"{base}/repos/{repo}/{what}", {"state": "all", "sort": "updated", "direction": "asc", "per_page": 100} | ({"since": since} if since else {}), since
+        first = True
         while url:
-            status, headers, body = get(fetch, url, params)
+            known = (etags or {}).get(place, "") if first and place else ""
+            status, headers, body = get(fetch, url, params, etag=known)
+            if etags is not None and first and place and status == 200 and headers.get("ETag"):
+                if len(etags) >= 10_000:
+                    etags.clear()
+                etags[place] = headers["ETag"]
+            first = False
             if status == 422 and last != since:
                 break
             if status == 304:
@@ -53,7 +61,7 @@ def repository_pages(fetch, base: str, repo: str, what: str, since: str) -> Iter
             url, params = (m[1] if m else None), {}
         else:
             return
-        since = last
+        since, place = last, ""
 
 
 def project_pages(fetch, base: str, project: str, since: str, page: int = 50) -> Iterator[tuple[str, dict]]:
@@ -100,17 +108,43 @@ def channel_pages(fetch, base: str, channel: str, oldest: str) -> Iterator[tuple
             return
 
 
+def workspace_pages(fetch, base: str, method: str, items: str, params: dict) -> Iterator[tuple[str, dict]]:
+    """("", item) of a workspace's listing (users, channels, a channel's members), page by page."""
+    cursor = ""
+    while True:
+        status, _, body = get(fetch, f"{base}/{method}", params | {"limit": 200} | ({"cursor": cursor} if cursor else {}))
+        if status != 200 or not body.get("ok", True):
+            raise IOError(f"{method}: {body.get('error') if isinstance(body, dict) else status}")
+        for x in body[items]:
+            yield "", x if isinstance(x, dict) else {"id": x} | params
+        cursor = (body.get("response_metadata") or {}).get("next_cursor") or ""
+        if not cursor:
+            return
+
+
+def comment_pages(fetch, base: str, key: str, since: str) -> Iterator[tuple[str, dict]]:
+    """(updated, comment with its issue's key) of an issue: all its pages, whatever since is, as comments can vanish."""
+    for c in issue_comments(fetch, base, key):
+        yield c["updated"], c | {"key": key}
+
+
 PAGES = {
-    "github_issues": lambda fetch, base, unit, since: repository_pages(fetch, base, unit, "issues", since),
-    "github_comments": lambda fetch, base, unit, since: repository_pages(fetch, base, unit, "issues/comments", since),
-    "jira": project_pages,
-    "slack": channel_pages,
+    "github_issues": lambda fetch, base, unit, since, etags=None: repository_pages(fetch, base, unit, "issues", since, etags),
+    "github_comments": lambda fetch, base, unit, since, etags=None: repository_pages(fetch, base, unit, "issues/comments", since, etags),
+    "jira": lambda fetch, base, unit, since, etags=None: project_pages(fetch, base, unit, since),
+    "jira_comments": lambda fetch, base, unit, since, etags=None: comment_pages(fetch, base, unit, since),
+    "slack": lambda fetch, base, unit, since, etags=None: channel_pages(fetch, base, unit, since),
+    "slack_users": lambda fetch, base, unit, since, etags=None: workspace_pages(fetch, base, "users.list", "members", {}),
+    "slack_channels": lambda fetch, base, unit, since, etags=None: workspace_pages(fetch, base, "conversations.list", "channels", {"types": "public_channel,private_channel"}),
+    "slack_members": lambda fetch, base, unit, since, etags=None: workspace_pages(fetch, base, "conversations.members", "members", {"channel": unit}),
 }
 
 
 class _Unit(InputPartition):
-    def __init__(self, unit: str, since: str):
-        self.unit, self.since = unit, since
+    """What a unit has from a cursor on, up to another one if that is given."""
+
+    def __init__(self, unit: str, since: str, until: str | None = None):
+        self.unit, self.since, self.until = unit, since, until
 
 
 def _rows(options: dict, unit: str, since: str) -> Iterator[tuple[str, str, str]]:
@@ -131,25 +165,30 @@ class _Reader(DataSourceReader):
         yield from _rows(self.options, partition.unit, partition.since)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
+class _StreamReader(DataSourceStreamReader):
+    """The driver only asks how far each unit goes by now; the rows in between are read by tasks, one for each unit that has any."""
+
     def __init__(self, options: dict):
-        self.options = options
+        self.options, self.at, self.etags = options, json.loads(options.get("cursors", "{}")), {}
 
     def initialOffset(self):
         return json.loads(self.options.get("cursors", "{}"))
 
-    def read(self, start: dict):
-        """One increment: what each unit has from its cursor on. It is small by nature; first crawls use the batch reader."""
-        rows, end = [], dict(start)
+    def latestOffset(self):
+        fetch = transport(self.options["transport"])
         for unit in (u for u in self.options["units"].split(",") if u):
-            for row in _rows(self.options, unit, start.get(unit, "")):
-                if row[1] > start.get(unit, ""):
-                    rows.append(row)
-                    end[unit] = max(end.get(unit, ""), row[1])
-        return iter(rows), end
+            since = self.at.get(unit, "")
+            for cursor, _ in PAGES[self.options["kind"]](fetch, self.options["base"].rstrip("/"), unit, since, self.etags):
+                self.at[unit] = max(self.at.get(unit, ""), cursor)
+        return dict(self.at)
+
+    def partitions(self, start: dict, end: dict):
+        return [_Unit(u, start.get(u, ""), c) for u, c in end.items() if c > start.get(u, "")]
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([r for u in end for r in _rows(self.options, u, start.get(u, "")) if start.get(u, "") < r[1] <= end[u]])
+    def read(self, partition):
+        for row in _rows(self.options, partition.unit, partition.since):
+            if partition.since < row[1] <= partition.until:
+                yield row
 
 
 class Crawl(DataSource):
@@ -165,7 +204,7 @@ class Crawl(DataSource):
     def reader(self, schema):
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _StreamReader(dict(self.options))
 
 

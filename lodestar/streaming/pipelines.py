@@ -51,11 +51,18 @@ def file_records(spark: SparkSession, path: str, files_per_batch: int | None = N
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
+def to_kafka(records: DataFrame, servers: str, topic: str | None = None) -> None:
+    """Sends records (key, value, and topic unless one is given) to a broker; equal keys share a partition, so a document's events keep their order (needs Spark's Kafka connector on the class path)."""
+    out = records.select(F.col("key").cast("binary"), F.col("value").cast("binary"), *([] if topic else ["topic"]))
+    writer = out.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.enable.idempotence", "true")
+    (writer.option("topic", topic) if topic else writer).save()
+
+
 class Documents:
-    """Folds document records. path: a shared folder for state, dead letters and metrics."""
+    """Folds document records. path: a shared folder for state, dead letters and metrics. changed: called with each batch's changes and number once they are written (a feed's samples, an index)."""
 
-    def __init__(self, spark: SparkSession, path: str, now_ms: Callable[[], int] | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, now_ms: Callable[[], int] | None = None, changed: Callable[[DataFrame, int], None] | None = None):
+        self.spark, self.path, self.changed = spark, path.rstrip("/"), changed
         self.state = Table(spark, f"{self.path}/state", ["id"], STATE)
         self.now_ms = now_ms or (lambda: int(time.time() * 1000))
 
@@ -71,6 +78,8 @@ class Documents:
             try:
                 changed = folding.fold(gated, state, self.now_ms(), gated)
                 self.state.upsert(changed, number)
+                if self.changed:
+                    self.changed(self.state.delta(number), number)
                 counts = gated.groupBy(F.when(F.col("op") == "poison", "quarantine").when(F.col("applied"), "applied").otherwise(F.col("reason")).alias("what")).agg(F.count("*").alias("n"))
                 counts.write.mode("overwrite").parquet(f"{self.path}/metrics/{number}")
             finally:

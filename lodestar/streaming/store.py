@@ -55,6 +55,10 @@ class Table:
         if len([b for b in self._batches("delta") if b > max(bases, default=-1)]) >= self.compact_after:
             self.compact(batch)
 
+    def delta(self, batch: int) -> DataFrame:
+        """What a batch changed."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/delta/{batch}")
+
     def compact(self, batch: int) -> None:
         """A new base that holds all up to batch. Older folders stay for readers that began before; vacuum() removes them."""
         now = self.read()

@@ -105,7 +105,7 @@ def test_fusion(spark):
 
 
 def test_relevance(spark):
-    hits = spark.createDataFrame([("bm25", 1, d, i + 1) for i, d in enumerate([1, 5, 2, 3])], "mode string, query_id long, doc_id long, rank int")
-    labels = spark.createDataFrame([(1, 1, "s", [2, 9])], "query_id long, own long, datasource string, relevant array<long>")
+    hits = spark.createDataFrame([("bm25", 1, d, i + 1) for i, d in enumerate([1, 5, 2, 3])], "mode string, query_id long, doc_id long, rank int").withColumn("good", F.col("doc_id").isin(2, 9))
+    labels = spark.createDataFrame([(1, 1, "s", 2)], "query_id long, own long, datasource string, n_rel int")
     r = reports.relevance(reports.outcomes(hits, labels)).filter("datasource is null").first()
     assert (r.hit_at_1, r.recall_at_5, r.mrr_at_10) == (0.0, 0.5, 0.5)

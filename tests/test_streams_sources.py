@@ -167,6 +167,93 @@ def test_slow_down_and_channels():
     assert [t for t, _ in rest.channel_pages(lambda u, p: next(replies), "u", "C", "")] == ["1.0", "2.0"]
 
 
+def test_workspace_listings_and_comments():
+    asked = []
+
+    def fetch(url, params):
+        asked.append((url, params))
+        name = url.rsplit("/", 1)[1]
+        if name == "comment":
+            part = [{"id": str(i), "updated": f"2024-01-{i + 1:02d}"} for i in range(5)][params["startAt"] : params["startAt"] + 2]
+            return 200, {}, {"comments": part, "total": 5}
+        more = {"response_metadata": {"next_cursor": "n"}} if "cursor" not in params else {}
+        return 200, {}, {"ok": True, "channels" if name.endswith("s.list") and name.startswith("conv") else "members": ["U1"] if name.endswith("members") else [{"id": "A"}]} | more
+
+    got = {kind: [x for _, x in rest.PAGES[kind](fetch, "http://x", "C1", "")] for kind in ("slack_users", "slack_channels", "slack_members", "jira_comments")}
+    assert got["slack_users"] == got["slack_channels"] == [{"id": "A"}, {"id": "A"}] and got["slack_members"] == [{"id": "U1", "channel": "C1"}] * 2
+    assert [c["id"] for c in got["jira_comments"]] == list("01234") and {c["key"] for c in got["jira_comments"]} == {"C1"}
+
+
+def test_unchanged_listing_has_nothing():
+    calls = []
+
+    def fetch(url, params, etag=""):
+        calls.append(etag)
+        return (304, {}, None) if etag == "e1" else (200, {"ETag": "e1"}, [{"number": 1, "updated_at": "2024-01-01"}])
+
+    etags = {}
+    assert len(list(rest.repository_pages(fetch, "b", "o/r", "issues", "", etags))) == 1
+    assert list(rest.repository_pages(fetch, "b", "o/r", "issues", "", etags)) == [] and calls == ["", "e1"]
+    assert len(list(rest.repository_pages(fetch, "b", "o/r", "issues", ""))) == 1  # a read of rows never asks by it
+
+
+def test_crawl_streams_units_in_tasks(spark, tmp_path):
+    rest.register(spark)
+    options = {"kind": "jira", "base": "http://x", "units": "K,L", "transport": "tests.test_streams_sources:project", "cursors": '{"K": "2024-01-01T00:30:00.000+0000"}'}
+    reader = rest._StreamReader(options)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    parts = reader.partitions(start, end)
+    assert [(p.unit, p.since) for p in parts] == [("K", "2024-01-01T00:30:00.000+0000"), ("L", "")] and reader.partitions(end, end) == []
+    assert [sum(1 for _ in reader.read(p)) for p in parts] == [5, 95]
+    q = spark.readStream.format("crawl").options(**options).load().writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/*").groupBy("unit").count().collect()
+    assert sorted(map(tuple, got)) == [("K", 5), ("L", 95)]
+
+
+def test_feed_and_lag(spark, tmp_path):
+    from lodestar.streaming import feed
+
+    now = [0.0]
+    f = feed.Feed(keep=3, rate=4, clock=lambda: now[0])
+    assert [f.publish({"i": i}) for i in range(6)] == [True] * 4 + [False] * 2 and f.dropped == 2
+    assert [e["i"] for _, e in f.since(0)] == [1, 2, 3] and [n for n, _ in f.since(3)] == [4]
+    now[0] += 1
+    assert f.publish({"i": 9}) and f.since(4)[0][1] == {"i": 9}
+    lags = []
+    r = feed.Reporter(feed.Feed(), lags.append)
+    r.seen({"sources": [{"endOffset": {"t": {"0": 3, "1": 5}}, "latestOffset": {"t": {"0": 10, "1": 5}, "u": {"0": 4}}}]})
+    assert r.lag == {"t": 7} and lags == [[("t", 7)]]
+    live = feed.Feed()
+    reporter = feed.Reporter(live)
+    spark.streams.addListener(reporter)
+    try:
+        spark.createDataFrame([(1,)], "a int").write.json(f"{tmp_path}/in")
+        spark.readStream.schema("a int").json(f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        assert live.since(0, wait_s=20)
+        for _ in range(100):
+            if live.since() and live.since()[-1][1]["type"] == "ended":
+                break
+            __import__("time").sleep(0.1)
+        kinds = [e["type"] for _, e in live.since()]
+        assert kinds[0] == "started" and kinds[-1] == "ended" and "batch" in kinds
+    finally:
+        spark.streams.removeListener(reporter)
+
+
+def test_stream_tells_what_changed(spark, tmp_path):
+    from lodestar.plans.changelog import records
+    from lodestar.streaming import feed, pipelines
+
+    f, events = feed.Feed(), spark.createDataFrame([(i, f"d{i}", i + 1) for i in range(8)], "off long, id string, version long")
+    cols = {c: F.lit("x") for c in ("datasource", "container", "kind", "title", "body", "url", "author", "parent_id", "mode")}
+    events = events.withColumns(cols | {"op": F.lit("upsert"), "labels": F.array().cast("array<string>"), "allowed": F.array(F.lit("c:x")), "updated_at": F.lit(None).cast("timestamp"), "src_ts_ms": F.col("version"), "emit_ts_ms": F.col("version"), "at_ms": F.col("version")})
+    records(events).write.json(f"{tmp_path}/in")
+    docs = pipelines.Documents(spark, f"file://{tmp_path}/out", changed=lambda df, n: feed.sampled(f, df, n, 3))
+    docs.start(pipelines.file_records(spark, f"{tmp_path}/in")).awaitTermination()
+    assert [e["id"] for _, e in f.since()] == ["d0", "d1", "d2"] and docs.read().count() == 8
+
+
 def test_company_and_policy(spark):
     users, edges = directory.company(spark, 100, ["api", "web"], ["eng"])
     assert users.count() == 100 and directory.find_users(users, "ADA").count() > 0
@@ -193,3 +280,41 @@ def test_engine(spark):
     assert [h.doc_id for h in e.search("a").collect()] == ["d1"]
     assert e.explain("a", "d2").first().status == "unheld" and e.explain("a", "d3").first().status == "deleted" and e.explain("a", "d1").first().path == ["u:a", "c:x"]
     assert e.principals("a").first().consistent and tuple(e.stats().first()) == (2, 0, 2)
+
+
+def test_revoke_is_seen_by_the_next_search(spark):
+    kind = "src string, dst string, present boolean, version long, src_ts_ms long, off long"
+    events = [("u:a", "g:t", True, 1, 0, 0), ("g:t", "c:x", True, 1, 0, 1)]
+    docs = spark.createDataFrame([("d1", "Deploy", "text", ["c:x"], False)], "id string, title string, body string, allowed array<string>, deleted boolean")
+    for f in spark.createDataFrame([], STATE).schema.fields:
+        if f.name not in docs.columns:
+            docs = docs.withColumn(f.name, F.lit(None).cast(f.dataType))
+    docs = docs.withColumn("quarantined", F.lit(False))
+    e = Engine(docs, lambda: graph.latest(spark.createDataFrame(events, kind)), epoch=lambda: len(events))
+    assert e.search("a", "deploy").count() == 1
+    held = e.expansion("u:a")
+    assert e.expansion("u:a") is held
+    events.append(("u:a", "g:t", False, 2, 0, 2))
+    assert e.search("a", "deploy").count() == 0 and e.explain("a", "d1").first().status == "unheld"
+
+
+def test_written_index(spark, tmp_path):
+    from lodestar.operators import retrieval
+
+    kind = "doc_id long, title string, body string, content_hash string, deleted boolean, quarantined boolean"
+    rng = __import__("random").Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+    old = [(i, text(3), text(20), f"h{i}", False, False) for i in range(60)]
+    index = retrieval.Index(spark, f"file://{tmp_path}/index")
+    index.update(spark.createDataFrame(old, kind))
+    changed = [(i, text(3), text(20), f"new{i}", i % 2 == 0, False) for i in range(0, 60, 5)]
+    index.update(spark.createDataFrame(changed, kind))
+    index.update(spark.createDataFrame(changed, kind))  # tried again
+    now = spark.createDataFrame([r for r in old if r[0] % 5] + changed, kind)
+    searches = spark.createDataFrame([(i, "u", f"w{i} w{i + 1} w{i}") for i in range(20)], "query_id long, user string, query string")
+    want = sorted(map(tuple, retrieval.bm25(now, searches, None).collect()))
+    assert want and sorted(map(tuple, retrieval.bm25(now, searches, None, index=index).collect())) == want
+    compacted = index.compact(now, f"file://{tmp_path}/compact")
+    assert sorted(map(tuple, retrieval.bm25(now, searches, None, index=compacted).collect())) == want
+    lists, _ = index.lists(now, spark.createDataFrame([("w1",)], "term string"))
+    assert {r.term for r in lists.collect()} == {"w1"}

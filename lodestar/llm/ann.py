@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by largest inner product: inverted lists and an adaptive dimension scan.
 
-Inner products become distances by one more coordinate, sqrt(M - |x|^2) with M the largest squared length. Lists come from k-means on a bounded sample (SAMPLE rows, least hash of vec_id); every vector is entered in the list of its nearest centre. How many lists a query probes is measured on the sample: enough for RECALL of the true neighbours there.
+Inner products become distances by one more coordinate, sqrt(M - |x|^2) with M the largest squared length. Lists, as many as the root of the rows but at most an eighth of the sample, come from k-means on a bounded sample (SAMPLE rows, least hash of vec_id); every vector is entered in the list of its nearest centre. How many lists a query probes is measured on the sample: enough for RECALL of the true neighbours there.
 
-In a probed list vectors are rotated at random and scanned in blocks of COLUMNS columns. After each block a hypothesis test asks, from the partial distance over t of d rotated columns, whether the whole one can still be below the query's 20th best so far; pairs that it rejects are abandoned. What is left gets its exact inner product on the original vectors, in double precision.
+A query first scans its nearest list; what it finds there is its limit in the other lists that it probes, so these give only what is better. In a list vectors are rotated at random and scanned in blocks of COLUMNS columns, PART vectors at a time. After each block of columns a hypothesis test asks, from the partial distance over t of d rotated columns, whether the whole one can still be below the query's k-th best so far; pairs that it rejects are abandoned. What is left gets its exact inner product on the original vectors, in double precision, and lowers the limit.
 
-Lists are dealt out to SHARDS shards, and a shard in blocks of about BLOCK vectors against blocks of about BLOCK queries, whatever a list's size; a query goes to a shard once, with the lists that it probes there, and each block sends on its best k of each query.
+Vectors go to the lists' tasks in blocks of about BLOCK against blocks of about BLOCK queries that probe the list, whatever a list's size; each block sends on its best k of each query below its limit.
 
 Vectors that are null, zero, hold null or non-finite components or haven't the commonest length take no part, nor do rows without vec_id. Of rows with the same vec_id the greatest vector counts. Ties go to the smaller vec_id. Fewer candidates than k: all. An empty table gives an empty result; other columns are ignored.
 """
@@ -20,14 +20,13 @@ from . import common
 
 K, EVERY = 20, 20
 SAMPLE, RECALL = 16_384, 0.97
-#: Vectors in a list, roughly, and lists at most.
-LIST, MOST_LISTS = 512, 1024
-SHARDS, BLOCK, COLUMNS, EPSILON = 16, 4096, 16, 2.5
+BLOCK, PART, COLUMNS, EPSILON = 4096, 1024, 16, 2.5
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): usable vectors as arrays of doubles, one for each id."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
+    """(vec_id, v): usable vectors as arrays of doubles (of floats, if they are given as such), one for each id."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).filter("vec_id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.filter(~bad & F.exists("v", lambda x: x != 0))
     common_size = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -60,7 +59,7 @@ class Lists:
     def __init__(self, sample: np.ndarray, most: float, total: int):
         d = sample.shape[1]
         self.most, self.rotation = most, np.linalg.qr(np.random.default_rng(7).normal(size=(d, d)))[0]
-        n = int(min(MOST_LISTS, max(1, total // LIST), max(1, len(sample) // 8)))
+        n = int(max(1, min(np.sqrt(total), len(sample) // 8)))
         a = augmented(sample, most)
         self.centres = kmeans(a, n)
         self.probes = self._probes(sample, a)
@@ -82,110 +81,124 @@ class Lists:
         return nearest_lists(np.column_stack([q, np.zeros(len(q))]), self.centres, len(self.centres))
 
 
-def scan(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, lists: Lists, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of the best k of each query among the vectors, by the adaptive scan."""
+def scan(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, lists: Lists, k: int = K, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the best k of each query among the vectors, by the adaptive scan. least: scores below which a query needs none (-inf: any)."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     rx, rq = x @ lists.rotation, q @ lists.rotation
     extra = np.maximum(0, lists.most - (x * x).sum(1))
+    length = (q * q).sum(1)
     d, out = x.shape[1], []
     for lo in range(0, len(q), 128):
         part = slice(lo, lo + 128)
         m = len(q[part])
-        # The first vectors of the block are scanned whole: they give each query its limit.
-        first = min(len(x), 4 * k)
-        whole = extra[None, :first] + (rq[part] ** 2).sum(1)[:, None] + (rx[:first] ** 2).sum(1)[None] - 2 * rq[part] @ rx[:first].T
-        whole[query_ids[part][:, None] == ids[None, :first]] = np.inf
-        limit = np.partition(whole, min(k, first) - 1, axis=1)[:, min(k, first) - 1] if first >= k else np.full(m, np.inf)
-        near = whole <= limit[:, None] * (1 + 1e-9) + 1e-9
-        a, b = np.nonzero(near & np.isfinite(whole))
-        pairs = [(a, b)]
-        if first < len(x):
-            rest_x, rest_extra = rx[first:], extra[first:]
-            partial = np.zeros((m, len(rest_x)))
-            qi = xi = None
-            for t0 in range(0, d, COLUMNS):
-                t1 = min(d, t0 + COLUMNS)
-                bq, bx = rq[part][:, t0:t1], rest_x[:, t0:t1]
-                room = np.sqrt(np.maximum(0, limit[:, None] - rest_extra[None])) if qi is None else np.sqrt(np.maximum(0, limit[qi] - rest_extra[xi]))
-                if qi is None:
-                    partial += (bq**2).sum(1)[:, None] + (bx**2).sum(1)[None] - 2 * bq @ bx.T
-                    now = partial
-                else:
-                    diff = bq[qi] - bx[xi]
-                    now = alive + np.einsum("ij,ij->i", diff, diff)
-                slack = 1 + EPSILON / np.sqrt(t1) if t1 < d else 1 + 1e-9
-                keep = np.maximum(now, 0) * (d / t1) <= (room * slack) ** 2 + 1e-9
-                if qi is None:
-                    if t1 == d or keep.mean() < 0.3:
-                        qi, xi = np.nonzero(keep)
-                        alive = partial[qi, xi]
-                else:
-                    qi, xi, alive = qi[keep], xi[keep], now[keep]
-            pairs.append((qi, xi + first))
-        a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
-        ok = query_ids[part][a] != ids[b]
-        a, b = a[ok], b[ok]
-        score = np.einsum("ij,ij->i", q[part][a], x[b])
-        by = np.lexsort((ids[b], -score, a))
-        a, b, score = a[by], b[by], score[by]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        keep = rank < k
-        out.append((query_ids[part][a[keep]], ids[b[keep]], score[keep]))
+        # The best so far of each query: scores and places of vectors, the least last.
+        best, place = np.full((m, k), -np.inf), np.full((m, k), -1)
+        floor = np.full(m, -np.inf) if least is None else least[part].copy()
+        for x0 in range(0, len(x), PART):
+            xs = slice(x0, x0 + PART)
+            # As a distance: |q|^2 + M - 2 qx.
+            limit = np.where(np.isfinite(floor), length[part] + lists.most - 2 * floor, np.inf)
+            qi, xi = _survivors(rq[part], rx[xs], extra[xs], limit)
+            ok = query_ids[part][qi] != ids[xs][xi]
+            qi, xi = qi[ok], xi[ok]
+            score = np.einsum("ij,ij->i", q[part][qi], x[xs][xi])
+            ok = score >= floor[qi]
+            qi, xi, score = qi[ok], xi[ok] + x0, score[ok]
+            if not len(qi):
+                continue
+            some = np.unique(qi)
+            a = np.concatenate([np.repeat(some, k), qi])
+            s = np.concatenate([best[some].ravel(), score])
+            p = np.concatenate([place[some].ravel(), xi])
+            by = np.lexsort((np.where(p < 0, len(x), p), -s, a))
+            a, s, p = a[by], s[by], p[by]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+            best[some], place[some] = s[keep].reshape(-1, k), p[keep].reshape(-1, k)
+            floor = np.maximum(floor, best[:, -1])
+        a, r = np.nonzero(place >= 0)
+        out.append((query_ids[part][a], ids[place[a, r]], best[a, r]))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def _survivors(rq: np.ndarray, rx: np.ndarray, extra: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that the hypothesis test leaves, block of columns by block: the partial distance over t of d rotated columns, scaled by d / t, has to be within the room that the limit leaves, with a slack that shrinks with the root of t."""
+    if np.isinf(limit).all():
+        return tuple(x.ravel() for x in np.indices((len(rq), len(rx))))
+    d = rx.shape[1]
+    room = limit[:, None] - extra[None]
+    partial, qi, xi, alive = np.zeros(room.shape), None, None, None
+    for t0 in range(0, d, COLUMNS):
+        t1 = min(d, t0 + COLUMNS)
+        bq, bx = rq[:, t0:t1], rx[:, t0:t1]
+        if qi is None:
+            partial += (bq**2).sum(1)[:, None] + (bx**2).sum(1)[None] - 2 * bq @ bx.T
+            now, left = partial, room
+        else:
+            diff = bq[qi] - bx[xi]
+            now, left = alive + np.einsum("ij,ij->i", diff, diff), room[qi, xi]
+        slack = 1 + EPSILON / np.sqrt(t1) if t1 < d else 1
+        keep = np.maximum(now, 0) * (d / t1) <= left * slack**2 + 1e-9 * (1 + np.abs(left))
+        if qi is not None:
+            qi, xi, alive = qi[keep], xi[keep], now[keep]
+        elif t1 == d or keep.mean() < 0.3:
+            qi, xi = np.nonzero(keep)
+            alive = partial[qi, xi]
+    return qi, xi
+
+
 def search(vectors: DataFrame, queries, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each of the vectors that the condition queries (on vec_id) picks."""
     spark = vectors.sparkSession
     all_ = common.saved(valid(vectors), "vectors")
-    total, most = all_.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
+    square = lambda x: x.cast("double") * x.cast("double")
+    total, most = all_.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + square(x)))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r.v for r in all_.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
+    sample = np.array([r.v for r in all_.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], np.float64)
     lists = Lists(sample, most, total)
     shared = spark.sparkContext.broadcast(lists)
+    kind = all_.schema["v"].dataType.simpleString()
+    stacked = lambda v: np.stack(v).astype(np.float64)
 
     def entered(frames):
         for f in frames:
             if len(f):
-                yield pd.DataFrame({"list": nearest_lists(augmented(np.stack(f.v), shared.value.most), shared.value.centres, 1)[:, 0].astype(np.int32), "vec_id": f.vec_id, "v": f.v})
+                yield pd.DataFrame({"list": nearest_lists(augmented(stacked(f.v), shared.value.most), shared.value.centres, 1)[:, 0].astype(np.int32), "vec_id": f.vec_id, "v": f.v})
 
     def probing(frames):
         for f in frames:
             if len(f):
-                order = shared.value.order(np.stack(f.v))[:, : shared.value.probes]
-                for shard in range(SHARDS):
-                    mine = [row[row % SHARDS == shard].astype(np.int32) for row in order]
-                    some = np.array([len(x) > 0 for x in mine])
-                    if some.any():
-                        yield pd.DataFrame({"shard": np.int32(shard), "query_id": f.vec_id[some], "lists": [x for x in mine if len(x)], "q": f.v[some]})
-
-    index = common.saved(all_.mapInPandas(entered, "list int, vec_id long, v array<double>").withColumn("shard", F.pmod("list", F.lit(SHARDS))), "lists")
-    probes = common.saved(all_.filter(queries).mapInPandas(probing, "shard int, query_id long, lists array<int>, q array<double>"), "probes")
-    # A row for each shard: small enough to send to every task.
-    blocks = F.broadcast(index.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    q_blocks = F.broadcast(probes.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")))
-    x = index.join(blocks, "shard").join(q_blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("shard", "block", "q_block", "list", "vec_id", "v")
-    q = probes.join(blocks, "shard").join(q_blocks, "shard").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "block", "q_block", "query_id", "lists", "q")
-
-    def block(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            query_ids, q = right.query_id.to_numpy(), np.stack(right.q)
-            wanted = pd.Series(np.repeat(np.arange(len(right)), [len(x) for x in right.lists])).groupby(np.concatenate(list(right.lists))).agg(list).to_dict()
-            for name, part in left.groupby("list"):
-                if name in wanted:
-                    at = np.array(wanted[name])
-                    found.append(scan(part.vec_id.to_numpy(), np.stack(part.v), query_ids[at], q[at], shared.value, k))
-        a, b, s = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        by = np.lexsort((b, -s, a))
-        a, b, s = a[by], b[by], s[by]
-        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-        return pd.DataFrame({"query_id": a[keep], "vec_id": b[keep], "score": s[keep]})
-
-    key = ["shard", "block", "q_block"]
-    found = x.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(block, "query_id long, vec_id long, score double")
+                order = shared.value.order(stacked(f.v))[:, : shared.value.probes]
+                yield pd.DataFrame({"query_id": f.vec_id, "lists": list(order.astype(np.int32)), "q": f.v})
+
+    index = common.saved(all_.mapInPandas(entered, f"list int, vec_id long, v {kind}"), "lists")
+    probes = common.saved(all_.filter(queries).mapInPandas(probing, f"query_id long, lists array<int>, q {kind}"), "probes")
+    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    schema = "query_id long, vec_id long, score double"
+
+    def found_in(asked: DataFrame) -> DataFrame:
+        """asked (query_id, list, q, least): what the lists give."""
+        # A row for each list, of which there are at most an eighth of the sample: small enough to send to every task.
+        grid = F.broadcast(sizes.join(asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "list"))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = index.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q_block", spread("q_blocks")).select("list", "block", "q_block", "vec_id", "v")
+        q = asked.join(grid, "list").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int")).withColumn("block", spread("blocks")).select("list", "block", "q_block", "query_id", "least", "q")
+
+        def block(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            a, b, s = scan(left.vec_id.to_numpy(), stacked(left.v), right.query_id.to_numpy(), stacked(right.q), shared.value, k, right.least.to_numpy())
+            return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
+
+        key = ["list", "block", "q_block"]
+        return common.saved(x.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(block, schema), "found")
+
+    near = found_in(probes.select("query_id", F.col("lists")[0].alias("list"), "q", F.lit(float("-inf")).alias("least")))
+    # As many rows of a query as blocks of one list have found, k each.
+    limits = near.groupBy("query_id").agg(F.expr(f"try_element_at(sort_array(collect_list(score), false), {k})").alias("least"))
+    rest = probes.select("query_id", F.explode(F.slice("lists", 2, lists.probes)).alias("list"), "q").join(limits, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = near.union(found_in(rest)) if lists.probes > 1 else near
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

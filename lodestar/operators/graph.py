@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CONTAINER, EVERYONE, GROUP, USER
-from ..session import cut
+from ..session import counted, cut
 
 #: Steps from a user: containers may lie this far, other principals beyond it are an error.
 MOST_STEPS = 8
@@ -56,8 +56,8 @@ def reach(edges: DataFrame, roots: DataFrame, steps: int = MOST_STEPS, leaves: b
         at = frontier.filter(~F.col("principal").startswith(CONTAINER)) if leaves else frontier
         new = at.join(e, at.principal == e.src).groupBy("root", "dst").agg(F.min("path").alias("path"))
         new = new.join(seen.select("root", F.col("principal").alias("dst")), ["root", "dst"], "left_anti")
-        frontier = cut(new.select("root", F.col("dst").alias("principal"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path")), "frontier")
-        if frontier.isEmpty():
+        frontier, n = counted(new.select("root", F.col("dst").alias("principal"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path")), "frontier")
+        if not n:
             return seen
         seen = seen.unionByName(frontier)
     return seen
@@ -78,7 +78,7 @@ def expand(edges: DataFrame, users: DataFrame, steps: int = MOST_STEPS, strict:
     users = users.select("user").distinct()
     direct = users.join(present, users.user == present.src).select("user", F.col("dst").alias("held"))
     roots = direct.filter(F.col("held").startswith(GROUP)).select(F.col("held").alias("root")).distinct().union(edges.sparkSession.createDataFrame([(EVERYONE,)], "root string"))
-    groups = cut(reach(edges, roots, steps), "groups")
+    groups = reach(edges, roots, steps)  # written, round by round
     own = users.select("user", F.lit(0).alias("order"), F.col("user").alias("principal"), F.lit(0).alias("depth"), F.array("user").alias("path"))
     leaf = direct.filter(~F.col("held").startswith(GROUP)).select("user", F.lit(0).alias("order"), F.col("held").alias("principal"), F.lit(1).alias("depth"), F.array("user", "held").alias("path"))
     through = direct.join(groups, direct.held == groups.root).select("user", F.lit(0).alias("order"), "principal", (F.col("depth") + 1).alias("depth"), F.concat(F.array("user"), F.col("path")).alias("path"))

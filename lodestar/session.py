@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Session settings that results depend on (the zone) or that suit skewed, large inputs.
 SETTINGS = {
@@ -30,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the cluster names; a local temporary one only where none is named, as in tests."""
+    """A new folder in the shared one that the cluster names; a local temporary one only where none is named and all is one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that all executors share")
         root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -42,3 +46,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """cut(), and the number of rows, which Spark counts while it writes."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return kept, seen.get["n"]

@@ -356,3 +356,150 @@ def test_every_letter_is_the_library_s():
     for text, k, i in zip(texts, n.to_pylist(), ids.to_pylist(), strict=True):
         want = t.encode(text, add_special_tokens=False).ids
         assert i == " ".join(map(str, want)) and k == len(want), [hex(ord(c)) for c in text if c != "x"]
+
+
+def test_channel_against_all_paths():
+    """Viterbi against enumeration: every path of short lattices, the cheapest price of each text, the words of the three cheapest."""
+    import math
+
+    text = "stupid people are stupid and idiots say stupid idiot things to all " * 30
+    counts = np.zeros(toxicity.SIGNS**3, np.int64)
+    s = np.concatenate([[0, 0], toxicity._SIGN[np.frombuffer(text.encode(), np.uint8)], [0]])
+    np.add.at(counts, (s[:-2] * 28 + s[1:-1]) * 28 + s[2:], 1)
+    c = toxicity.Channel(counts)
+    for span in ("5tup", "1d1ot", "s.t.u", "a11", "st**d", "too", "s  t"):
+        paths = {"": 0.0}
+        for sign in span:
+            new: dict = {}
+            for letters, price in paths.items():
+                for x, more in c.arcs(sign, letters[-1:]):
+                    a, b = ([0, 0] + [c._sign_of(y) for y in letters])[-2:]
+                    total = price + more + (c.cost(a, b, c._sign_of(x)) if x else 0.0)
+                    to = letters + x
+                    new[to] = min(total, new.get(to, math.inf))
+            paths = new
+        ends = []
+        for letters, price in paths.items():
+            a, b = ([0, 0] + [c._sign_of(y) for y in letters])[-2:]
+            if letters:
+                ends.append((price + (c.cost(a, b, 0) if b else 0.0), letters))
+        ends.sort()
+        want = [w for _, letters in ends[:3] for w in letters.split()]
+        assert set(c.restore(span)) == set(want), (span, c.restore(span), ends[:4])
+
+
+def test_trees_against_plain_traversal_and_all_splits():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5)).round(2)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] < -0.2)).astype(float)
+    model = quality.fit(x, y, trees=12, depth=3)
+
+    def walk(node, row):
+        while model.left[node] != node:
+            node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+        return model.value[node]
+
+    plain = [1 / (1 + np.exp(-(model.start + sum(walk(r, row) for r in model.roots)))) for row in x]
+    assert np.allclose(model.score(x), plain) and ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.95
+    # One tree of one split: the best of all thresholds of all features.
+    one = quality.fit(x, y, trees=1, depth=1)
+    p = 1 / (1 + np.exp(-one.start))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = -1.0
+    for j in range(5):
+        for t in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            low = x[:, j] <= t
+            if min(low.sum(), (~low).sum()) >= quality.LEAST:
+                best = max(best, sum(g[m].sum() ** 2 / (h[m].sum() + quality.PENALTY) for m in (low, ~low)))
+    low = x[:, one.feature[0]] <= one.threshold[0]
+    assert np.isclose(best, sum(g[m].sum() ** 2 / (h[m].sum() + quality.PENALTY) for m in (low, ~low)))
+
+
+def test_false_discoveries_against_the_plain_procedure(spark):
+    rng = random.Random(11)
+    rows = [(i, [(0, 20, rng.randrange(len(secrets.LENGTHS)), rng.choice([rng.randrange(4), rng.randrange(40, 400)])) for _ in range(rng.randrange(4))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, tested array<struct<start:int,end:int,class:int,bin:int>>")
+    got = secrets.limits(df)
+    for c in range(len(secrets.LENGTHS)):
+        bins = sorted((b for _, ts in rows for *_, k, b in ts if k == c), reverse=True)
+        p = [10 ** (-b * secrets.BIN) for b in bins]
+        found = [i for i in range(len(p)) if p[i] <= secrets.FDR * (i + 1) / len(p)]
+        assert {b for b in bins if b >= got[c]} == (set(bins[: max(found) + 1]) if found else set()), c
+
+
+def test_bootstrap_against_plain_rounds(spark):
+    rng = random.Random(12)
+    seeds = [f"seed{i}" for i in range(40)]
+    others = [f"other{i}" for i in range(60)]
+    words = [f"w{i}" for i in range(8)]
+    slots = [{"start": 0, "end": 1, "seed": x.startswith("seed"), "instance": x, "patterns": [f"{rng.choice(words)} {rng.choice(words[:3])} _", f"{rng.choice(words[:3])} _ {rng.choice(words)}"]} for x in seeds + others for _ in range(3)]
+    df = spark.createDataFrame([(i, slots[i : i + 5]) for i in range(0, len(slots), 5)], "row long, slots array<struct<start:int,end:int,seed:boolean,instance:string,patterns:array<string>>>")
+    edges = {(p, s["instance"]) for s in slots for p in s["patterns"]}
+    by = {p for p in {p for p, _ in edges} if sum(x.startswith("seed") for q, x in edges if q == p) >= pii.SUPPORT}
+    edges = {e for e in edges if e[0] in by}
+    score = {x: float(x.startswith("seed")) for _, x in edges}
+    for _ in range(pii.ROUNDS):
+        pattern = {p: sum(score[x] for q, x in edges if q == p) / (sum(q == p for q, _ in edges) + pii.PRIOR) for p in by}
+        score = {x: 1.0 if x.startswith("seed") else 1 - np.prod([1 - pattern[p] for p, z in edges if z == x]) for x in score}
+    want = {x: s for x, s in score.items() if x.startswith("other") and s >= pii.CONFIDENCE and sum(z == x for _, z in edges) >= 2}
+    got = {r.instance: r.score for r in pii.bootstrap(df).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+NONE = "doc_id long, text string"
+
+
+def test_empty_tables(spark):
+    none, labels = spark.createDataFrame([], NONE), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert secrets.find_secrets(none).count() == 0 and secrets.redact(none).count() == 0
+    assert pii.find_personal_data(none).count() == 0
+    assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.clean(none, items).count() == 0
+    assert bpe.encode(none).count() == 0
+    channel = toxicity.Channel(toxicity.letter_counts(none))
+    assert toxicity.score(none, channel, toxicity.train(none, labels, channel)).count() == 0
+    assert quality.score(none, quality.train(none, labels)).count() == 0
+    assert chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_very_long_texts(spark, tmp_path):
+    """A text of some megabytes beside short ones, through every operator on texts; what is found at its end counts."""
+    words = [f"word{i % 997}" for i in range(300_000)]
+    item = " ".join(f"item{i}" for i in range(40))
+    long = " ".join(words) + f" {item} password: hunter2222 jo@example.org s.t.u.p.i.d"
+    df = spark.createDataFrame([(1, long), (2, "short text"), (3, None)], NONE)
+    size = len(long)
+    r = {x.doc_id: x for x in secrets.find_secrets(df).collect()}
+    assert r[1].n_assign == 1 and "hunter2222" not in {x.doc_id: x.text for x in secrets.redact(df).collect()}[1]
+    r = {x.doc_id: x for x in pii.find_personal_data(df).collect()}
+    assert r[1].n_email == 1 and r[1].spans.startswith(f"email:{size - len('jo@example.org s.t.u.p.i.d')}:")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.similarity) for x in decontaminate.contaminated(df, items).collect()] == [(1, 7, 1.0)]
+    assert {x.doc_id for x in decontaminate.clean(df, items).collect()} == {2, 3}
+    encoded = {x.doc_id: x for x in bpe.encode(df).collect()}
+    assert encoded[1].n_tokens > 300_000 and encoded[1].ids.count(" ") == encoded[1].n_tokens - 1 and encoded[3].n_tokens == 0
+    channel = toxicity.Channel(toxicity.letter_counts(df))
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(df, channel, toxicity.train(df, labels, channel)).count() == 3
+    assert quality.score(df, quality.train(df, labels)).count() == 3
+    assert shards.materialise(df, f"file://{tmp_path}/s") > 1000
+    talk = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_conversations(talk)).first().loss_chars == size
+
+
+def test_clean_judges_rows_by_their_texts(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    df = spark.createDataFrame([(None, f"a {item} b", 1), (5, f"a {item} b", 2), (5, "another text", 3), (6, None, 4)], "doc_id long, text string, item_id long")
+    kept = decontaminate.clean(df, spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r.item_id for r in kept.collect()) == [3, 4]
+
+
+def test_columns_that_clash(spark, tmp_path):
+    df = spark.createDataFrame([(1, "some words of a text here"), (2, None)], NONE)
+    for name in ("part", "place", "seq_no", "ids", "n_tokens", "slot", "shard", "predicted", "score", "x", "y", "lists", "sig", "text2"):
+        df = df.withColumn(name, F.lit("z"))
+    assert shards.materialise(df, f"file://{tmp_path}/s") == 1
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("t"))
+    scored = quality.score(df, quality.train(df, labels))
+    assert {f.name: f.dataType.simpleString() for f in scored.schema.fields}["score"] == "double" and scored.count() == 2
+    assert quality.kept(df, quality.train(df, labels)).columns == df.columns

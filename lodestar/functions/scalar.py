@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,23 +91,29 @@ def next_link(header: Column) -> Column:
     return F.when(found != "", found)
 
 
+def seeded(*parts: Column | str | int) -> Column:
+    """A text to order by that looks random: the MD5 of parts (columns, names of columns, numbers) joined by |."""
+    return F.md5(F.concat_ws("|", *[F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
 @F.pandas_udf(DecimalType(20, 0))
 def fnv1a64(s: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, 64 bits, unsigned. Null: null."""
     import decimal
 
     # Offset basis and prime of the 64-bit hash.
-    basis, prime, mask = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
-
-    def one(text):
-        if text is None:
-            return None
-        h = basis
-        for b in text.encode():
-            h = ((h ^ b) * prime) & mask
-        return decimal.Decimal(h)
-
-    return s.map(one)
+    basis, prime = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+    raw = [b"" if x is None else x.encode() for x in s]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    data, start = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+    h = np.full(len(raw), basis)
+    # One byte of every text at a time.
+    left, step = np.flatnonzero(size > 0), 0
+    while len(left):
+        h[left] = (h[left] ^ data[start[left] + step].astype(np.uint64)) * prime
+        step += 1
+        left = left[size[left] > step]
+    return pd.Series([None if x is None else decimal.Decimal(v) for x, v in zip(s, h.tolist(), strict=True)], index=s.index, dtype=object)
 
 
 def signer(secret: str, prefix: str = "sha256="):

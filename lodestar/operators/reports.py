@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import seeded
+
 #: Upper bounds of latency buckets, in milliseconds.
 BUCKETS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
 
@@ -48,8 +50,8 @@ def newest(df: DataFrame, most: int, *order: Column, by: list[str]) -> DataFrame
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows with distinct keys, the same for the same seed."""
-    return df.dropDuplicates([key]).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows with distinct keys, the same for the same seed: those with the least digest of key and seed."""
+    return df.dropDuplicates([key]).orderBy(seeded(key, seed), key).limit(n)
 
 
 def page_after(df: DataFrame, key: str, after, n: int) -> DataFrame:

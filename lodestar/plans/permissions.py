@@ -201,11 +201,17 @@ def container_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: FNV-1a in SQL: shifts and sums stay within 128 bits.
-HASH_SQL = """
-SELECT source, CAST(h AS VARCHAR) AS hash, h % 100 < 55 AS public FROM (
-  SELECT source, list_reduce(list_transform(regexp_extract_all(source, '.'), lambda c: CAST(ascii(c) AS HUGEINT)),
+_HASHED = """SELECT source, list_reduce(list_transform(regexp_extract_all(source, '.'), lambda c: CAST(ascii(c) AS HUGEINT)),
     lambda h, b: (CAST(xor(h, b) AS HUGEINT) * CAST(1099511628211 AS HUGEINT)) % CAST('18446744073709551616' AS HUGEINT), CAST('14695981039346656037' AS HUGEINT)) AS h
-  FROM (SELECT DISTINCT source FROM documents))
+  FROM (SELECT DISTINCT source FROM documents)"""
+HASH_SQL = f"SELECT source, CAST(h AS VARCHAR) AS hash, h % 100 < 55 AS public FROM ({_HASHED})"
+
+POLICY_SQL = f"""
+WITH s AS ({_HASHED}), r AS (
+  SELECT source, h, lower(n_name) AS team, contains(lower(source), lower(n_name)) AS fits FROM s, nation WHERE h % 100 >= 55),
+p AS (SELECT *, max(fits) OVER (PARTITION BY source) AS topical, row_number() OVER (PARTITION BY source ORDER BY fits DESC, md5(source || '|' || team), team) AS place FROM r)
+SELECT 'g:everyone' AS src, 'c:' || source AS dst FROM s WHERE h % 100 < 55
+UNION ALL SELECT 'g:' || team, 'c:' || source FROM p WHERE place <= 1 + h % 3 AND (fits OR NOT topical)
 """
 
 
@@ -232,5 +238,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "q_edges_current": EDGES_SQL, "q_epoch": EPOCH_SQL, "q_principals": PRINCIPALS_SQL, "q_paths": PATHS_SQL, "q_truth": TRUTH_SQL, "q_reverse_grants": REVERSE_SQL, "q_direct_groups": DIRECT_SQL,
-    "q_visible_counts": VISIBLE_SQL, "q_can_see": CAN_SEE_SQL, "q_reconcile_members": RECONCILE_SQL, "q_outbox_pending": OUTBOX_SQL, "q_versions": VERSIONS_SQL, "q_identity_stream": IDENTITY_SQL, "q_revokes": REVOKES_SQL, "q_container_hash": HASH_SQL, "q_users": USERS_SQL, "q_groups": GROUPS_SQL,
+    "q_visible_counts": VISIBLE_SQL, "q_can_see": CAN_SEE_SQL, "q_reconcile_members": RECONCILE_SQL, "q_outbox_pending": OUTBOX_SQL, "q_versions": VERSIONS_SQL, "q_identity_stream": IDENTITY_SQL, "q_revokes": REVOKES_SQL, "q_container_hash": HASH_SQL, "q_container_policy": POLICY_SQL, "q_users": USERS_SQL, "q_groups": GROUPS_SQL,
 }

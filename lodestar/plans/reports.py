@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import reports, retrieval
-from ..session import table
+from ..session import cut, table
 from ..sources import decode, mappings
 from . import fixtures as fx
 from .fixtures import with_
@@ -95,6 +95,9 @@ def sample_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sample(fx.docs(spark, sf_dir).select("doc_id", "datasource"), "doc_id", 100)
 
 
+SAMPLE_SQL = with_(fx.DOCS) + "SELECT doc_id, datasource FROM docs ORDER BY md5(doc_id || '|42'), doc_id LIMIT 100"
+
+
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.page_after(fx.docs(spark, sf_dir).select("id", "title"), "id", "d15", 50)
 
@@ -218,6 +221,8 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     key = F.concat(F.lit("P"), (F.col("o_orderkey") % 3).cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))
     raw = o.join(lines, o.o_orderkey == lines.l_orderkey).select(F.lit(1800000000000).alias("now_ms"), F.to_json(F.struct(key.alias("key"), fields.alias("fields"))).alias("json"))
+    # Written once, as a crawl would leave them; what reads them twice doesn't make them twice.
+    raw = cut(raw, "payloads")
     return raw.select("now_ms", F.from_json("json", mappings.JIRA_ISSUE).alias("j")).select("now_ms", "j.*")
 
 
@@ -368,7 +373,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "q_stats_by_datasource": BY_DATASOURCE_SQL, "q_stats_totals": TOTALS_SQL, "q_percentiles": PERCENTILES_SQL, "q_histogram": HISTOGRAM_SQL, "q_under_700": UNDER_SQL, "q_counters": COUNTERS_SQL, "q_peak_rate": PEAK_SQL, "q_last_n": LAST_SQL,
-    "q_feed_samples": FEED_SQL, "q_keyset_page": KEYSET_SQL, "q_offset_page": OFFSET_SQL, "q_history_page": HISTORY_SQL, "q_lag": LAG_SQL, "q_user_emails": EMAILS_SQL, "q_map_github": MAP_ISSUES_SQL,
+    "q_feed_samples": FEED_SQL, "q_sample_seeded": SAMPLE_SQL, "q_keyset_page": KEYSET_SQL, "q_offset_page": OFFSET_SQL, "q_history_page": HISTORY_SQL, "q_lag": LAG_SQL, "q_user_emails": EMAILS_SQL, "q_map_github": MAP_ISSUES_SQL,
     "q_map_github_comments": MAP_COMMENTS_SQL, "q_map_slack": MAP_CHAT_SQL, "q_map_jira": MAP_PROJECTS_SQL, "q_vanished_comments": VANISHED_SQL, "q_decode_rejects": DECODE_SQL, "q_times": TIMES_SQL,
     "q_map_hooks": MAP_HOOKS_SQL, "q_map_slack_events": CHAT_EVENTS_SQL, "q_map_memberships": MEMBERSHIPS_SQL, "q_strings": STRINGS_SQL,
 }

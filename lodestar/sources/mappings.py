@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import duplicates_named, epoch_ms, fnv1a64, iso_time, jira_time, message_title, number_after_slash, slack_micros
+from ..functions.scalar import duplicates_named, epoch_ms, fnv1a64, iso_time, jira_time, message_title, number_after_slash, seeded, slack_micros
 from ..schemas import EVERYONE, blank
 
 GITHUB_ISSUE = "number long, title string, body string, state string, html_url string, user struct<login:string>, labels array<struct<name:string>>, created_at string, updated_at string, pull_request struct<url:string>"
@@ -217,7 +217,7 @@ def container_edges(containers: DataFrame, known: DataFrame, teams: DataFrame) -
         raise ValueError(f"more than {MOST_TEAMS} teams")
     every = F.array(*[F.struct(F.lit(t.team).alias("team"), F.lit(t.topic).alias("topic")) for t in listed]) if listed else F.array().cast("array<struct<team:string,topic:string>>")
     r = new.filter(restricted).select("id", (1 + F.col("h") % 3).cast("int").alias("most"), F.explode(every).alias("t")).select("id", "most", "t.*")
-    w = Window.partitionBy("id").orderBy(F.desc("fits"), F.xxhash64("id", "team"), "team")
+    w = Window.partitionBy("id").orderBy(F.desc("fits"), seeded("id", "team"), "team")
     topical = F.max("fits").over(Window.partitionBy("id"))
     r = r.groupBy("id", "most", "team").agg(F.max(F.contains(F.lower("id"), F.lower("topic"))).alias("fits")).withColumn("any", topical).withColumn("place", F.row_number().over(w))
     r = r.filter((F.col("place") <= F.col("most")) & (F.col("fits") | ~F.col("any")))

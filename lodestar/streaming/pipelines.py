@@ -73,8 +73,9 @@ class Documents:
         try:
             # Dead letters first: if they can't be kept, the batch fails before anything moves.
             retry(lambda: decode.dead_letters(decoded).write.mode("overwrite").parquet(f"{self.path}/dlq/{number}"))
-            state = self.state.read(before=number)
-            gated = folding.gate(decode.doc_items(decoded), state).persist()
+            items = decode.doc_items(decoded)
+            state = self.state.read(before=number, buckets=self.state.touched(items))
+            gated = folding.gate(items, state).persist()
             try:
                 changed = folding.fold(gated, state, self.now_ms(), gated)
                 self.state.upsert(changed, number)
@@ -113,7 +114,8 @@ class Identity:
         decoded = decode.decode_edges(records).persist()
         try:
             retry(lambda: decode.dead_letters(decoded).write.mode("overwrite").parquet(f"{self.path}/dlq/{number}"))
-            items, state = decode.edge_items(decoded), self.state.read(before=number)
+            items = decode.edge_items(decoded)
+            state = self.state.read(before=number, buckets=self.state.touched(items))
             marked = graph.applied(items, state)
             # An edge's newest change of the batch, if any was applied; the table takes it over what is stored.
             changed = graph.latest(marked.filter("applied").drop("applied"))

@@ -1,21 +1,35 @@
 """Tables that a stream folds into: a base and one delta for each batch, as plain parquet.
 
-A batch writes its changed rows under its own number, overwriting what an earlier try left, so doing a batch again changes nothing. Readers take the newest row of each key; compaction writes a new base once there are many deltas, and only a pointer, written last, makes it the one that is read.
+A batch writes its changed rows under its own number, overwriting what an earlier try left, so doing a batch again changes nothing. Readers take the newest row of each key; compaction writes a new base once there are many deltas, and only a pointer, written last, makes it the one that is read. Rows lie in buckets by the hash of their key, so a batch reads only the buckets that it touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 class Table:
     """A keyed table below a folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, compact_after: int = 32):
-        self.spark, self.path, self.keys, self.compact_after = spark, path.rstrip("/"), keys, compact_after
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, compact_after: int = 32, buckets: int = 64):
+        self.spark, self.path, self.keys, self.compact_after, self.buckets = spark, path.rstrip("/"), keys, compact_after, buckets
         self.schema = spark.createDataFrame([], schema).schema
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of rows that have this table's keys: numbers below buckets."""
+        return sorted(r.b for r in rows.select(self._bucket().alias("b")).distinct().collect())
+
+    def _folder(self, kind: str, batch: int) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("_bucket", IntegerType())])).parquet(f"{self.path}/{kind}/{batch}")
+
+    def _write(self, rows: DataFrame, kind: str, batch: int) -> None:
+        rows.select(*self.schema.names, self._bucket().alias("_bucket")).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{kind}/{batch}")
+
     def _fs(self):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
@@ -30,15 +44,16 @@ class Table:
         names = [s.getPath() for s in fs.listStatus(top)]
         return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(path(f"{p.toString()}/_SUCCESS")))
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The rows as of just before a batch, or now; None if there are none yet."""
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The rows as of just before a batch, or now; None if there are none yet. buckets: of these only."""
         bases = [b for b in self._batches("base") if before is None or b < before]
         base = max(bases, default=-1)
         deltas = [b for b in self._batches("delta") if b > base and (before is None or b < before)]
-        parts = [self.spark.read.schema(self.schema).parquet(f"{self.path}/base/{base}").withColumn("_batch", F.lit(base))] if bases else []
-        parts += [self.spark.read.schema(self.schema).parquet(f"{self.path}/delta/{b}").withColumn("_batch", F.lit(b)) for b in deltas]
+        parts = [self._folder("base", base).withColumn("_batch", F.lit(base))] if bases else []
+        parts += [self._folder("delta", b).withColumn("_batch", F.lit(b)) for b in deltas]
         if not parts:
             return None
+        parts = [(p if buckets is None else p.filter(F.col("_bucket").isin(buckets))).drop("_bucket") for p in parts]
         if len(parts) == 1:
             return parts[0].drop("_batch")
         both = parts[0]
@@ -50,20 +65,20 @@ class Table:
 
     def upsert(self, changed: DataFrame, batch: int) -> None:
         """Writes the changed rows of a batch, one for each key, and compacts now and then."""
-        changed.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/delta/{batch}")
+        self._write(changed, "delta", batch)
         bases = self._batches("base")
         if len([b for b in self._batches("delta") if b > max(bases, default=-1)]) >= self.compact_after:
             self.compact(batch)
 
     def delta(self, batch: int) -> DataFrame:
         """What a batch changed."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/delta/{batch}")
+        return self._folder("delta", batch).drop("_bucket")
 
     def compact(self, batch: int) -> None:
         """A new base that holds all up to batch. Older folders stay for readers that began before; vacuum() removes them."""
         now = self.read()
         if now is not None:
-            now.write.mode("overwrite").parquet(f"{self.path}/base/{batch}")
+            self._write(now, "base", batch)
 
     def vacuum(self) -> None:
         """Removes what the newest base replaces."""

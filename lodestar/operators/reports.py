@@ -44,6 +44,16 @@ def peak_rate(events: DataFrame, ts: str = "ts", seconds: int = 10, slide: int =
     return wide.agg(F.round(F.max("n") / F.lit(float(seconds)), 6).alias("peak"))
 
 
+def revoke_latency(probes: DataFrame, timeout_ms: int = 15_000, share_ms: int = 700) -> DataFrame:
+    """One row: nearest-rank percentiles of how long revoked grants stayed visible, the share of all trials below share_ms, and how many were still seen at the timeout. probes: (trial, revoked_ms, probe_ms, visible), one row for each look at a trial."""
+    after = (F.col("probe_ms") >= F.col("revoked_ms")) & ~F.col("visible")
+    trials = probes.groupBy("trial", "revoked_ms").agg((F.min(F.when(after, F.col("probe_ms"))) - F.col("revoked_ms")).alias("ms"))
+    trials = trials.withColumn("ms", F.when(F.col("ms") <= timeout_ms, F.col("ms")))
+    times = percentiles(trials, "ms").withColumn("k", F.lit(1))
+    late = trials.agg(F.count("*").alias("trials"), F.count_if(F.col("ms").isNull()).alias("timeouts"), F.round(F.avg(F.coalesce(F.col("ms") < share_ms, F.lit(False)).cast("double")), 6).alias("share")).withColumn("k", F.lit(1))
+    return late.join(times, "k", "left").drop("k")
+
+
 def newest(df: DataFrame, most: int, *order: Column, by: list[str]) -> DataFrame:
     """The newest rows of each group, at most so many: a capped list."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= most)

@@ -55,6 +55,23 @@ def under_700(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNDER_SQL = with_(fx.DOCS) + _FRESH + " SELECT datasource, round(avg(CASE WHEN ms < 700 THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS n FROM f GROUP BY datasource"
 
 
+def revoke_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as looks at a grant that their first one revokes: an event whose number is a multiple of three no longer shows it."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ms"))
+    first = e.groupBy("user_id").agg(F.min("ms").alias("revoked_ms"))
+    probes = e.join(first, "user_id").select(F.col("user_id").alias("trial"), "revoked_ms", F.col("ms").alias("probe_ms"), (F.col("event_id") % 3 != 0).alias("visible"))
+    return reports.revoke_latency(probes, timeout_ms=3 * 86_400_000, share_ms=86_400_000)
+
+
+REVOKE_TIMES_SQL = """
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events),
+t AS (SELECT user_id, min(ms) FILTER (event_id % 3 = 0) - min(ms) AS ms FROM e GROUP BY user_id),
+k AS (SELECT CASE WHEN ms <= 259200000 THEN ms END AS ms FROM t)
+SELECT count(*) AS trials, count(*) FILTER (ms IS NULL) AS timeouts, round(avg(CASE WHEN ms < 86400000 THEN 1.0 ELSE 0.0 END), 6) AS share,
+  quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99, max(ms) AS max, count(ms) AS n FROM k
+"""
+
+
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counter(table(spark, sf_dir, "events"), F.round(F.col("value") * 100).cast("long"), "event_type").join(
         table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).alias("bytes")), "event_type"
@@ -369,11 +386,11 @@ QUERIES = {
     "q_stats_by_datasource": by_datasource, "q_stats_totals": totals, "q_percentiles": percentiles, "q_histogram": histogram, "q_under_700": under_700, "q_counters": counters, "q_peak_rate": peak_rate, "q_last_n": last_n,
     "q_feed_samples": feed_samples, "q_sample_seeded": sample_seeded, "q_keyset_page": keyset_page, "q_offset_page": offset_page, "q_history_page": history_page, "q_lag": lag, "q_user_emails": user_emails, "q_map_github": map_issues,
     "q_map_github_comments": map_comments, "q_map_slack": map_chat, "q_map_jira": map_projects, "q_vanished_comments": vanished_comments, "q_decode_rejects": decode_rejects, "q_times": times,
-    "q_map_hooks": map_hooks, "q_map_slack_events": map_chat_events, "q_map_memberships": map_memberships, "q_strings": strings,
+    "q_map_hooks": map_hooks, "q_map_slack_events": map_chat_events, "q_map_memberships": map_memberships, "q_revoke_times": revoke_times, "q_strings": strings,
 }
 ORACLE_SQL = {
     "q_stats_by_datasource": BY_DATASOURCE_SQL, "q_stats_totals": TOTALS_SQL, "q_percentiles": PERCENTILES_SQL, "q_histogram": HISTOGRAM_SQL, "q_under_700": UNDER_SQL, "q_counters": COUNTERS_SQL, "q_peak_rate": PEAK_SQL, "q_last_n": LAST_SQL,
     "q_feed_samples": FEED_SQL, "q_sample_seeded": SAMPLE_SQL, "q_keyset_page": KEYSET_SQL, "q_offset_page": OFFSET_SQL, "q_history_page": HISTORY_SQL, "q_lag": LAG_SQL, "q_user_emails": EMAILS_SQL, "q_map_github": MAP_ISSUES_SQL,
     "q_map_github_comments": MAP_COMMENTS_SQL, "q_map_slack": MAP_CHAT_SQL, "q_map_jira": MAP_PROJECTS_SQL, "q_vanished_comments": VANISHED_SQL, "q_decode_rejects": DECODE_SQL, "q_times": TIMES_SQL,
-    "q_map_hooks": MAP_HOOKS_SQL, "q_map_slack_events": CHAT_EVENTS_SQL, "q_map_memberships": MEMBERSHIPS_SQL, "q_strings": STRINGS_SQL,
+    "q_map_hooks": MAP_HOOKS_SQL, "q_map_slack_events": CHAT_EVENTS_SQL, "q_map_memberships": MEMBERSHIPS_SQL, "q_revoke_times": REVOKE_TIMES_SQL, "q_strings": STRINGS_SQL,
 }

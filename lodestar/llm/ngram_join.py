@@ -33,6 +33,8 @@ SKETCH_BITS = 24
 SKETCH, PARTS = 1 << SKETCH_BITS, 64
 #: Sizes in a band differ by this factor at most.
 BAND = 1.03
+#: Rows that a task gathers before it sends them on.
+SENT = 100_000
 #: From so many occurrences on a shingle's sets are dealt out by set as well.
 HOT = 4096
 #: Records of one search, sets of a list that is searched whole at most, and the growth of queries from round to round in longer ones.
@@ -181,8 +183,18 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         salts = np.maximum(1, (2.0 ** (np.arange(256) / 12) - 1) // HOT).astype(np.int64)  # of each byte of the sketch
+        keys, sigs, ns, salt, held = [], [], [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            nonlocal held
+            each = [len(x) for x in keys]
+            out = pa.record_batch([pa.array(common.signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sigs), each)), pa.array(np.repeat(np.array(ns, np.int32), each)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in each])), pa.array(np.concatenate(salt))], ["key", "sig", "n", "pos", "salt"])
+            for x in (keys, sigs, ns, salt):
+                x.clear()
+            held = 0
+            return out
+
         for batch in batches:
-            keys, sigs, ns, salt = [], [], [], []
             for _, s in document_sets(batch, k):
                 if len(s) and (sig := signature(s)) not in seen:
                     seen.add(sig)
@@ -194,9 +206,11 @@ def _prefixes(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
                     sigs.append(sig)
                     ns.append(len(s))
                     salt.append(np.where(many > 1, 1 + sig % many, 0).astype(np.int32))
-            if keys:
-                each = [len(x) for x in keys]
-                yield pa.record_batch([pa.array(common.signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sigs), each)), pa.array(np.repeat(np.array(ns, np.int32), each)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in each])), pa.array(np.concatenate(salt))], ["key", "sig", "n", "pos", "salt"])
+                    held += p
+                    if held >= SENT:
+                        yield sent()
+        if keys:
+            yield sent()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, sig long, n int, pos int, salt int")
 
@@ -325,10 +339,11 @@ def _hub_groups(active: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     hubs = hubs.select("list", F.col("hub.sig").alias("query"), F.col("hub.n").alias("qn"), F.col("hub.pos").alias("qpos"), F.col("hub.small").alias("qsmall"), F.col("hub.comp").alias("qcomp"), "blocks")
     need = _both("n", "qn", percent)
     pairs = active.join(hubs, "list").filter(F.expr(f"comp <> qcomp and (small or qsmall) and 100 * least(n, qn) >= {percent} * greatest(n, qn) and pos <= n - {need} and qpos <= qn - {need}"))
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    both = F.explode(F.array(F.struct("sig", "comp", F.lit(False).alias("ask")), F.struct(F.col("query").alias("sig"), F.col("qcomp").alias("comp"), F.lit(True).alias("ask"))))
+    records = pairs.select(F.col("query").alias("list"), "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig", "comp", F.lit(False).alias("ask")).distinct()
+    asking = hubs.select("query", "qcomp", "blocks").distinct()
+    asking = asking.select(F.col("query").alias("list"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("query").alias("sig"), F.col("qcomp").alias("comp"), F.lit(True).alias("ask"))
     none = {"small": F.lit(None).cast("boolean"), "n": F.lit(None).cast("int"), "pos": F.lit(None).cast("int")}
-    return pairs.select(F.col("query").alias("list"), "blocks", "block", both.alias("m")).select(*GROUP, "m.*").distinct().withColumns(none)
+    return records.union(asking).withColumns(none)
 
 
 def _linked_sets(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
@@ -401,9 +416,11 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     """
     rows, classes = _classes(docs, k, percent)
     first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "sig")).alias("first"), F.sum("rows").alias("all")).filter(F.col("all") > 1)
-    chosen = classes.join(first, "component").select(F.col("sig").alias("__sig"), (F.col("first.sig") == F.col("sig")).alias("__keep"), F.col("first.least").alias("__least"))
-    chosen = common.saved(chosen, "chosen")
-    bits = docs.sparkSession.sparkContext.broadcast(common.maybe_in(rows.join(chosen, rows["sig"] == chosen["__sig"], "left_semi").filter("doc_id is not null").select("doc_id")))
+    chosen = classes.join(first, "component").select("sig", (F.col("first.sig") == F.col("sig")).alias("rep"), F.col("first.least").alias("least"))
+    # By doc_id and text, not by text: copies of one text are judged in many tasks.
+    judged = rows.filter("sig is not null").join(chosen, "sig").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), (F.col("rep") & F.col("doc_id").eqNullSafe(F.col("least"))).alias("__keep")).distinct()
+    judged = common.saved(judged, "judged")
+    bits = docs.sparkSession.sparkContext.broadcast(common.maybe_in(judged.filter("__id is not null").select("__id")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def unsure(batch: pa.RecordBatch) -> np.ndarray:
@@ -423,11 +440,23 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
                 sig[row] = signature(s) if len(s) else None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.int64())], [*batch.schema.names, "__sig"])
 
-    judged = docs.mapInArrow(named, f"{kinds}, __sig long").join(chosen, "__sig", "left")
-    judged = judged.filter(F.col("__keep").isNull() | (F.col("__keep") & F.col("doc_id").cast("long").eqNullSafe(F.col("__least"))))
-    judged = judged.withColumn("__row", F.when(F.col("__keep").isNull(), F.monotonically_increasing_id())).dropDuplicates(["__sig", "__row"])
-    return docs.mapInArrow(sure, kinds).union(judged.select(*docs.columns))
+    maybe = docs.mapInArrow(named, f"{kinds}, __sig long").withColumnRenamed("__sig", "__text")
+    maybe = maybe.join(judged, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sig")), "left").filter("__keep is null or __keep")
+    # Of repeated rows that stay, one each; rows that aren't judged are all different.
+    maybe = maybe.withColumn("__row", F.when(F.col("__keep").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "__text", "__row"])
+    return docs.mapInArrow(sure, kinds).union(maybe.select(*docs.columns))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(common.table(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle, and all that is reachable: for small tables.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT p.b, r.c FROM reach r JOIN pairs p ON p.a = r.doc_id)
+SELECT doc_id, n_shingles, component_id FROM (SELECT doc_id, len(s) AS n_shingles FROM sets) JOIN (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""

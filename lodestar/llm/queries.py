@@ -6,7 +6,7 @@ from .ann import op1_nearest_neighbours
 from .bpe import op7_bpe
 from .chat import OP4_SQL, op4_chat_format
 from .decontaminate import op5_benchmark_decontamination
-from .ngram_join import op6_ngram_jaccard_join
+from .ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from .pii import op8_personal_data
 from .quality import op10_quality
 from .secrets import op2_secret_scan
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL = {"op4_chat_format": OP4_SQL}
+ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL}

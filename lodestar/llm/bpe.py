@@ -29,7 +29,7 @@ from . import common
 #: Words in the lexicon at most, and the times that a word must occur in a task to be counted there.
 LEXICON, FREQUENT = 131072, 8
 #: Runs between spaces that a task remembers before it forgets those that it hasn't met since as many before, and the longest that it does.
-CACHE, CACHE_LENGTH = 200_000, 64
+CACHE, CACHE_LENGTH = 100_000, 64
 #: Characters of texts that are split together.
 GROUP = 1 << 19
 END, NONE = "</w>", 1 << 60
@@ -470,6 +470,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...]
                     columns = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c]) for c in columns]
                 kind = pa.binary() if form == "packed" else pa.string()
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, *(c.cast(kind) for c in columns)], [*batch.schema.names[:-1], "n_tokens", *names])
+        del encoder
+        common.release()
 
     return chosen.mapInArrow(run, f"{kinds}, n_tokens long, {', '.join(new)}")
 

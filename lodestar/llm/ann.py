@@ -2,7 +2,7 @@
 
 Inner products become distances by one more coordinate, sqrt(M - |x|^2) with M the largest squared length. Lists, as many as the root of the rows but at most an eighth of the sample, come from k-means on a bounded sample (SAMPLE rows, least hash of vec_id); every vector is entered in the list of its nearest centre. How many lists a query probes is measured on the sample: enough for RECALL of the true neighbours there.
 
-A query first scans its nearest list; what it finds there is its limit in the other lists that it probes, so these give only what is better. In a list vectors are rotated at random and scanned in blocks of COLUMNS columns, PART vectors at a time. After each block of columns a hypothesis test asks, from the partial distance over t of d rotated columns, whether the whole one can still be below the query's k-th best so far; pairs that it rejects are abandoned. What is left gets its exact inner product on the original vectors, in double precision, and lowers the limit.
+A query first scans its nearest list; what it finds there is its limit in the next seven, and what it has then in the rest (in waves, WIDER times as many lists after each), so these give only what is better. In a list vectors are rotated at random and scanned in blocks of COLUMNS columns, PART vectors at a time. After each block of columns a hypothesis test asks, from the partial distance over t of d rotated columns, whether the whole one can still be below the query's k-th best so far; pairs that it rejects are abandoned. What is left gets its exact inner product on the original vectors, in double precision, and lowers the limit.
 
 Vectors go to the lists' tasks in blocks of about BLOCK against blocks of about BLOCK queries that probe the list, whatever a list's size; each block sends on its best k of each query below its limit.
 
@@ -21,6 +21,8 @@ from . import common
 K, EVERY = 20, 20
 SAMPLE, RECALL = 16_384, 0.97
 BLOCK, PART, COLUMNS, EPSILON = 4096, 1024, 16, 2.5
+#: Growth, from wave to wave, of the lists that a query has probed.
+WIDER = 8
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -194,11 +196,12 @@ def search(vectors: DataFrame, queries, k: int = K) -> DataFrame:
         key = ["list", "block", "q_block"]
         return common.saved(x.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(block, schema), "found")
 
-    near = found_in(probes.select("query_id", F.col("lists")[0].alias("list"), "q", F.lit(float("-inf")).alias("least")))
-    # As many rows of a query as blocks of one list have found, k each.
-    limits = near.groupBy("query_id").agg(F.expr(f"try_element_at(sort_array(collect_list(score), false), {k})").alias("least"))
-    rest = probes.select("query_id", F.explode(F.slice("lists", 2, lists.probes)).alias("list"), "q").join(limits, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    found = near.union(found_in(rest)) if lists.probes > 1 else near
+    found, done = found_in(probes.select("query_id", F.col("lists")[0].alias("list"), "q", F.lit(float("-inf")).alias("least"))), 1
+    # The rest in waves: what a query has found so far, k rows of each list and block at most, is its limit in the next.
+    while done < lists.probes:
+        limits = found.groupBy("query_id").agg(F.expr(f"try_element_at(sort_array(collect_list(score), false), {k})").alias("least"))
+        wave = probes.select("query_id", F.explode(F.slice("lists", done + 1, done * (WIDER - 1))).alias("list"), "q").join(limits, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        found, done = found.union(found_in(wave)), done * WIDER
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(df: DataFrame, name: str) -> str:
+    """A column's name as df spells it, letters in either case, as in Spark's own look-up; one spelt exactly goes first."""
+    same = [c for c in df.columns if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"there is no column {name} among {df.columns}")
+    return name if name in same else same[0]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one that the cluster names; a temporary one only where none is named and all is one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)

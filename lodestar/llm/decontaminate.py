@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text holds no item, with all their columns as they are; nothing is shuffled."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kinds, text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), common.named(docs, "text")
     for groups in _passes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(groups)
 
@@ -175,7 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
             indexes = [Index(*g) for g in shared.value]
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, *_ in _found(indexes, batch.column("text"), threshold)]] = False
+                keep[[row for row, *_ in _found(indexes, batch.column(text), threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, kinds)

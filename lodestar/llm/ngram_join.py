@@ -46,9 +46,9 @@ def overlap_needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def document_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+def document_sets(batch: pa.RecordBatch, k: int, text: str = "text") -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) for each row."""
-    data, at = common.text_buffers(batch.column("text"))
+    data, at = common.text_buffers(batch.column(text))
     for first, last, h, w, _, _ in common.words(data, at):
         if len(h) >= k:
             all_k = common.shingles(h, k)
@@ -422,9 +422,10 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     judged = common.saved(judged, "judged")
     bits = docs.sparkSession.sparkContext.broadcast(common.maybe_in(judged.filter("__id is not null").select("__id")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    number, text = common.named(docs, "doc_id"), common.named(docs, "text")
 
     def unsure(batch: pa.RecordBatch) -> np.ndarray:
-        doc_id = batch.column("doc_id").cast(pa.int64())
+        doc_id = batch.column(number).cast(pa.int64())
         at = np.mod(pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False), common.FILTER_BITS)
         return (bits.value[at >> 3] >> (at & 7) & 1).astype(bool) | pc.is_null(doc_id).to_numpy(zero_copy_only=False)
 
@@ -436,7 +437,7 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
         for batch in batches:
             batch = batch.filter(pa.array(unsure(batch)))
             sig = [None] * batch.num_rows
-            for row, s in document_sets(batch, k):
+            for row, s in document_sets(batch, k, text):
                 sig[row] = signature(s) if len(s) else None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.int64())], [*batch.schema.names, "__sig"])
 

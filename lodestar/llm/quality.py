@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
     """docs with the columns score and predicted; columns of docs with these names are replaced."""
     kept = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = next(c for c in kept.columns if c.lower() == "text")
+    text = common.named(kept, "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches):
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
 def kept(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text scores at least threshold, with all their columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = next(c for c in docs.columns if c.lower() == "text")
+    text = common.named(docs, "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):

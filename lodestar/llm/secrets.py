@@ -247,17 +247,17 @@ def redact(docs: DataFrame, sign: str = "[SECRET]") -> DataFrame:
     battery = Battery(*ordinary_text(docs))
     least = limits(common.saved(candidates(docs, battery).select("tested"), "secrets"))
     shared = docs.sparkSession.sparkContext.broadcast(battery)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kinds, name = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), common.named(docs, "text")
 
     def run(batches):
         for batch in batches:
-            text = batch.column("text")
+            text = batch.column(name)
             column = pc.fill_null(text, "")
             look = pc.or_(pc.or_(pc.match_substring_regex(column, ANY_ASSIGN), pc.match_substring_regex(column, ANY_TOKEN)), pc.match_substring(column, "AKIA"))
             new = {i: _redacted(column[i].as_py(), shared.value, least, sign) for i in np.flatnonzero(look.to_numpy(zero_copy_only=False)).tolist()}
             columns = list(batch.columns)
             if new:
-                at = batch.schema.get_field_index("text")
+                at = batch.schema.get_field_index(name)
                 columns[at] = pc.replace_with_mask(text, pa.array([i in new for i in range(len(text))]), pa.array(list(new.values()), text.type))
                 if (n := batch.schema.get_field_index("n_chars")) >= 0:
                     mask = pa.array([i in new and new[i] != column[i].as_py() for i in range(len(text))])

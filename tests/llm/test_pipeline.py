@@ -41,3 +41,35 @@ def test_near_duplicates_take_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame([(1, changed()), (2, changed(25)), (3, changed(15, 35))], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == {1, 3}
     assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {1, 2, 3}
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing and missing columns, and empty tables pass through every stage."""
+    schema = "doc_id long, text string"
+    rows = [(1, None), (2, ""), (None, "no number here at all"), (3, "some words of a text"), (3, "some words of a text"), (3, "quite another text here")]
+    spark.createDataFrame([(1, "an item that nobody holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for part, n in (([], 0), (rows, 5)):
+        docs = spark.createDataFrame(part, schema).withColumn("sig", F.lit("s")).withColumn("score", F.lit(1)).withColumn("part", F.lit("p"))
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.saved(stage(spark, docs, str(tmp_path)), name)
+            assert name == "encoding" or out.columns == docs.columns
+            docs = out
+        assert docs.columns == ["doc_id", "n_tokens", "ids"] and docs.count() == n
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Near copies and benchmark passages against plain comparison of all pairs."""
+    from tests.llm.test_ngram_join import brute, near_group
+    from tests.llm.test_text_operators import brute_leaks
+
+    rows = near_group(21, 60) + [(500 + i, t) for i, t in near_group(22, 20, 45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()}
+    assert kept == {c for _, c in brute(rows, 5, 80).values()}
+    items = [(i, " ".join(t.split()[5:45])) for i, t in rows[:3]]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stay = {r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()}
+    leaks = {d: max(v for (x, _), v in brute_leaks(rows, items).items() if x == d) for d, _ in brute_leaks(rows, items)}
+    # The fingerprints' radius may miss what is just similar enough, never what is alike, and nothing else goes.
+    assert {d for d, _ in rows} - set(leaks) <= stay and not stay & {d for d, v in leaks.items() if v >= 0.95}

@@ -5,7 +5,7 @@ Steps, each a Spark job over all documents:
 1. every document's set of word shingles is hashed; a signature names the set, and a count sketch of fixed size orders shingles from rare to common;
 2. the prefix of each set (its rarest shingles: one more than a partner may lack) is dealt out by shingle with their places in the order; shingles of a single set drop out. What a pair must share grows with both sizes, so lists are split into bands of sizes: in a band, sets of that size are the small ones if their place allows a partner at least as large, and larger sets enter as far as their place allows a partner of that size. Any linked pair meets in a list whose band is that of its smaller set, which is one of the small ones there;
 3. in each list the hub (the small set that shares most lists) is the query and the other sets of the list, as far as places and sizes allow a link, the indexed records: DivideSkip merges the short inverted lists with a heap, probes the long ones by binary search and keeps records reaching the required overlap;
-4. sets that one component already holds aren't compared again. Lists of at most LIST sets that still hold several components are searched whole: each of their sets is a query against the inverted lists of the others. In longer ones WIDER times as many sets a round are queries, those of the rarest components first, until they hold one component or are short enough.
+4. sets that one component already holds aren't compared again. Lists of at most LIST sets (and LIST_SHINGLES shingles) that still hold several components are searched whole: each of their sets is a query against the inverted lists of the others. In longer ones WIDER times as many sets a round are queries, those of the rarest components first, until they hold one component or are short enough.
 
 Exact copies are one set, and copies within one task are dealt out once, so a hot text costs what a single one does. A shingle that the sketch counts HOT times or more is dealt out by sets as well, and a hub's records in blocks, so no group is gathered by one task. Lists whose many sets aren't linked at all are compared pair by pair in the end: no exact join can spare that. Sets are compared by 64-bit hashes of their shingles.
 
@@ -37,8 +37,8 @@ BAND = 1.03
 SENT = 100_000
 #: From so many occurrences on a shingle's sets are dealt out by set as well.
 HOT = 4096
-#: Records of one search, sets of a list that is searched whole at most, and the growth of queries from round to round in longer ones.
-BLOCK, LIST, WIDER = 256, 512, 8
+#: Records of one search; sets and shingles of a list that is searched whole, at most; and the growth of queries from round to round in longer ones.
+BLOCK, LIST, LIST_SHINGLES, WIDER = 256, 2048, 1 << 22, 8
 
 
 def overlap_needed(n: int, percent: int) -> int:
@@ -364,18 +364,19 @@ def _linked_sets(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> Dat
             names = edges.groupBy("u").agg(F.min("v").alias("v"))
             active = active.withColumn("comp", F.col("sig")).join(names.withColumnRenamed("u", "sig"), "sig", "left").withColumn("comp", F.coalesce("v", "comp")).drop("v")
         left = active.select("list", "sig", "n", "pos", "small", "comp").join(done.select("list", F.col("hub.sig").alias("sig")), ["list", "sig"], "left_anti")
-        several = left.groupBy("list").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("small").alias("any")).filter("a <> b and any").select("list", "size")
-        active, seen = common.measured(left.join(several, "list"), "lists", rows=F.count(F.lit(1)), long=F.count_if(F.col("size") > LIST))
+        is_long = ((F.count("*") > LIST) | (F.sum("n") > LIST_SHINGLES)).alias("long")
+        several = left.groupBy("list").agg(is_long, F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("small").alias("any")).filter("a <> b and any").select("list", "long")
+        active, seen = common.measured(left.join(several, "list"), "lists", rows=F.count(F.lit(1)), long=F.count_if("long"))
         if not seen["rows"]:
             break
         # Short lists are searched whole, once.
-        groups = active.filter(F.col("size") <= LIST).select("list", F.lit(0).alias("blocks"), F.lit(0).alias("block"), "sig", "comp", F.lit(True).alias("ask"), "small", "n", "pos")
+        groups = active.filter("not long").select("list", F.lit(0).alias("blocks"), F.lit(0).alias("block"), "sig", "comp", F.lit(True).alias("ask"), "small", "n", "pos")
         if not seen["long"]:
             found = common.saved(search(groups), "links")
             edges = found if edges is None else edges.union(found)
             break
         queries *= WIDER
-        long = active.filter(F.col("size") > LIST).drop("size")
+        long = active.filter("long").drop("long")
         often = long.groupBy("list", "comp").agg(F.count("*").alias("often"))
         salt = F.pmod(F.xxhash64("sig", F.lit(queries)), F.lit(queries)).alias("salt")
         done = common.saved(long.join(often, ["list", "comp"]).groupBy("list", salt).agg(hub(F.struct(-F.col("often"), "sig"))).join(long.groupBy("list").agg(blocks), "list"), "hubs")

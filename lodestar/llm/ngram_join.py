@@ -33,8 +33,8 @@ SKETCH_BITS = 24
 SKETCH, PARTS = 1 << SKETCH_BITS, 64
 #: Sizes in a band differ by this factor at most.
 BAND = 1.03
-#: Rows that a task gathers before it sends them on.
-SENT = 100_000
+#: Rows that a task gathers before it sends them on, and rows of 8 bytes that are sent to every task at most.
+SENT, FEW = 100_000, 100_000
 #: From so many occurrences on a shingle's sets are dealt out by set as well.
 HOT = 4096
 #: Records of one search; sets and shingles of a list that is searched whole, at most; and the growth of queries from round to round in longer ones.
@@ -348,7 +348,7 @@ def _hub_groups(active: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
 
 def _linked_sets(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the sets that have links. lists: (list, sig, n, pos, small)."""
-    texts = _texts(docs, lists.select("sig").distinct(), k)
+    texts = every = _texts(docs, lists.select("sig").distinct(), k)
     search = lambda groups: _search(groups.join(texts, "sig").select(*GROUP, "sig", "comp", "ask", "small", "n", "pos", "text"), k, percent)
     blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)))).cast("int").alias("blocks")
     hub = lambda by: F.max_by(F.struct("sig", "n", "pos", "small", "comp"), by).alias("hub")
@@ -369,6 +369,9 @@ def _linked_sets(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> Dat
         active, seen = common.measured(left.join(several, "list"), "lists", rows=F.count(F.lit(1)), long=F.count_if("long"))
         if not seen["rows"]:
             break
+        if seen["rows"] <= FEW:
+            # 8 bytes a row: sent to every task, so that only their texts are dealt out again.
+            texts = every.join(F.broadcast(active.select("sig").distinct()), "sig", "left_semi")
         # Short lists are searched whole, once.
         groups = active.filter("not long").select("list", F.lit(0).alias("blocks"), F.lit(0).alias("block"), "sig", "comp", F.lit(True).alias("ask"), "small", "n", "pos")
         if not seen["long"]:

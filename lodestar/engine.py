@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions.analysis import english, snippets, tokens
 from .operators import graph, reports, retrieval
+from .operators.postings import Index
 from .schemas import USER
 
 
 class Engine:
     """docs: the state (id or doc_id, ...). edges: the graph's newest edges, or a function that reads them; epoch: a function that gives their number (the identity stream's, for one), which changes with every applied edge: expansions are kept as long as it stays, and a revoke is seen by the next search. Without it edges are taken as they are. embedder: a function of texts to vectors, for k-NN and hybrid. stems: match inflected English words and fold accents. index: written postings of the same analysis, else texts are read."""
 
-    def __init__(self, docs: DataFrame, edges: DataFrame | Callable[[], DataFrame], embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: retrieval.Index | None = None, epoch: Callable[[], int] | None = None):
+    def __init__(self, docs: DataFrame, edges: DataFrame | Callable[[], DataFrame], embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: Index | None = None, epoch: Callable[[], int] | None = None):
         docs = docs if "doc_id" in docs.columns else docs.withColumnRenamed("id", "doc_id")
         self.docs = docs if "updated_ms" in docs.columns else docs.withColumn("updated_ms", F.unix_millis("updated_at"))
         self._read, self._epoch = (edges if callable(edges) else lambda: edges), epoch
@@ -56,11 +57,8 @@ class Engine:
         vector = self._vector(query) if mode in ("knn", "hybrid") else None
         one = self.spark.createDataFrame([(0, user, query, vector)], "query_id long, user string, query string, vector array<double>")
         expansion = self.expansion(user)
-        wanted = None
-        for c, values in (("datasource", datasources), ("kind", kinds)):
-            if values:
-                wanted = F.col(c).isin(*values) if wanted is None else wanted & F.col(c).isin(*values)
-        docs = self.docs if wanted is None else self.docs.filter(wanted)
+        wanted = {c: list(values) for c, values in (("datasource", datasources), ("kind", kinds)) if values}
+        docs = retrieval.of_kinds(self.docs, wanted)
         none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
         if not query.strip():
             hits = retrieval.browse(docs, one, expansion, k).select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank", none.alias("ranks"))

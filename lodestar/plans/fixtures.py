@@ -106,20 +106,21 @@ held AS (
 )
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the index holds them, with the vectors that there are."""
+def docs(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """Documents as the index holds them, with the vectors that there are, or without, for those who only read words."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     i = F.col("doc_id")
     src = F.lit(1704067200000) + ((i * 7919) % 100_000) * 1000
     container = F.concat(F.lit("c:"), "source")
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
-    return d.join(v, "doc_id", "left").select(
+    if vectors:
+        d = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return d.select(
         "doc_id", F.concat(F.lit("d"), i.cast("string")).alias("id"), F.col("lang").alias("datasource"), F.col("source").alias("container"),
         pick(["issue", "pull_request", "comment", "message"], i % 4).alias("kind"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"),
         F.when(i % 13 == 0, F.array(F.concat(F.lit("u:"), (i % 100).cast("string")), container)).otherwise(F.array(container)).alias("allowed"),
         (i % 29 == 0).alias("deleted"), (i % 31 == 0).alias("quarantined"), src.alias("src_ts_ms"), F.when(i % 37 != 0, src).alias("updated_ms"),
-        (src + (i * 31) % 900).alias("indexed_at_ms"), pick(["live", "backfill", "replay"], i % 3).alias("mode"), F.col("embedding").isNull().alias("needs_embed"), "embedding",
+        (src + (i * 31) % 900).alias("indexed_at_ms"), pick(["live", "backfill", "replay"], i % 3).alias("mode"), *([F.col("embedding").isNull().alias("needs_embed"), "embedding"] if vectors else []),
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import tokens
 from ..operators import fold, graph, reports, retrieval
-from ..session import cut, table
+from ..operators.postings import Index
+from ..session import cut, scratch, table
 from . import fixtures as fx
 from .changelog import STATE_SQL
 from .fixtures import with_
@@ -78,10 +79,46 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_SQL = BASE + "," + _bm25_sql(_SEEN) + " SELECT * FROM bm25"
 
 
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The written index of the documents of a folder: built by the first query of a session that asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        index = Index(spark, scratch(spark, "index"))
+        index.update(fx.docs(spark, sf_dir, vectors=False), 0)
+        _indexes[key] = index
+    return _indexes[key]
+
+
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the written index: no text is read."""
+    _, searches, held, _ = _inputs(spark, sf_dir)
+    return index_of(spark, sf_dir).search(searches, held)
+
+
+def bm25_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, searches, held, _ = _inputs(spark, sf_dir)
+    return index_of(spark, sf_dir).search(searches, held, wanted={"datasource": ["en", "de"], "kind": ["issue", "pull_request"]})
+
+
+def bm25_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over an index that has come to hold the documents in three batches: first every document with another one's title, then twice (as a batch that is tried again) the true rows of a third of them, then of all others."""
+    docs, searches, held, _ = _inputs(spark, sf_dir)
+    docs = docs.drop("embedding", "needs_embed")
+    index = Index(spark, scratch(spark, "index"))
+    old = docs.withColumn("title", F.concat(F.col("datasource"), F.lit(" "), F.col("title"))).withColumn("deleted", F.col("doc_id") % 5 == 0)
+    index.update(old, 0)
+    for batch, part in ((1, F.col("doc_id") % 3 == 0), (1, F.col("doc_id") % 3 == 0), (2, F.col("doc_id") % 3 != 0)):
+        index.update(docs.filter(part), batch)
+    return index.search(searches, held)
+
+
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only issues and pull requests of two of the sources."""
     docs, searches, held, _ = _inputs(spark, sf_dir)
-    return retrieval.bm25(docs, searches, held, wanted=F.col("datasource").isin("en", "de") & F.col("kind").isin("issue", "pull_request"))
+    return retrieval.bm25(docs, searches, held, wanted={"datasource": ["en", "de"], "kind": ["issue", "pull_request"]})
 
 
 BM25_FILTERED_SQL = BASE + "," + _bm25_sql(_SEEN + " JOIN docs f ON f.doc_id = c.doc_id AND f.datasource IN ('en', 'de') AND f.kind IN ('issue', 'pull_request')") + " SELECT * FROM bm25"
@@ -97,7 +134,7 @@ KNN_SQL = BASE + "," + _knn_sql(_SEEN) + " SELECT * FROM knn"
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, searches, held, _ = _inputs(spark, sf_dir)
-    return retrieval.knn(docs, searches, held, wanted=F.col("kind") == "message")
+    return retrieval.knn(docs, searches, held, wanted={"kind": ["message"]})
 
 
 KNN_FILTERED_SQL = BASE + "," + _knn_sql(_SEEN + " JOIN docs f ON f.doc_id = c.doc_id AND f.kind = 'message'") + " SELECT * FROM knn"
@@ -119,6 +156,14 @@ _FUSED = BASE + "," + _bm25_sql(_SEEN) + "," + _knn_sql(_SEEN) + "," + RRF
 HYBRID_SQL = _FUSED + " SELECT query_id, doc_id, score, rank, ranks FROM hybrid"
 
 
+def hybrid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the words' list from the written index."""
+    docs, searches, held, _ = _inputs(spark, sf_dir)
+    hits = retrieval.fuse({"bm25": index_of(spark, sf_dir).search(searches, held), "knn": retrieval.knn(docs, searches, held)})
+    ranks = F.array_join(F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return hits.select("query_id", "doc_id", "score", "rank", ranks.alias("ranks"))
+
+
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused hits after the second check: the principal by which each is seen, and how fresh it was."""
     docs, searches, held, _, hits = _hybrid(spark, sf_dir)
@@ -310,10 +355,10 @@ asked AS (SELECT title AS query_id, 'u:eval' AS usr, regexp_extract_all(lower(ti
 )
 
 QUERIES = {
-    "q_hybrid_rrf": hybrid, "q_bm25": bm25, "q_bm25_filtered": bm25_filtered, "q_knn": knn, "q_knn_filtered": knn_filtered, "q_matched": matched, "q_leaks": leaks, "q_explain": explained, "q_browse": browse,
+    "q_hybrid_rrf": hybrid, "q_bm25": bm25, "q_bm25_filtered": bm25_filtered, "q_bm25_index": bm25_index, "q_bm25_index_filtered": bm25_index_filtered, "q_bm25_updated": bm25_updated, "q_hybrid_index": hybrid_index, "q_knn": knn, "q_knn_filtered": knn_filtered, "q_matched": matched, "q_leaks": leaks, "q_explain": explained, "q_browse": browse,
     "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_named_duplicates": named_duplicates, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_state_search": hybrid_of_state,
 }
 ORACLE_SQL = {
-    "q_hybrid_rrf": HYBRID_SQL, "q_bm25": BM25_SQL, "q_bm25_filtered": BM25_FILTERED_SQL, "q_knn": KNN_SQL, "q_knn_filtered": KNN_FILTERED_SQL, "q_matched": MATCHED_SQL, "q_leaks": LEAKS_SQL, "q_explain": EXPLAIN_SQL, "q_browse": BROWSE_SQL,
+    "q_hybrid_rrf": HYBRID_SQL, "q_bm25": BM25_SQL, "q_bm25_filtered": BM25_FILTERED_SQL, "q_bm25_index": BM25_SQL, "q_bm25_index_filtered": BM25_FILTERED_SQL, "q_bm25_updated": BM25_SQL, "q_hybrid_index": HYBRID_SQL, "q_knn": KNN_SQL, "q_knn_filtered": KNN_FILTERED_SQL, "q_matched": MATCHED_SQL, "q_leaks": LEAKS_SQL, "q_explain": EXPLAIN_SQL, "q_browse": BROWSE_SQL,
     "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_named_duplicates": NAMED_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_state_search": STATE_SEARCH_SQL,
 }

@@ -299,13 +299,13 @@ def test_revoke_is_seen_by_the_next_search(spark):
 
 
 def test_written_index(spark, tmp_path):
-    from lodestar.operators import retrieval
+    from lodestar.operators import postings, retrieval
 
     kind = "doc_id long, title string, body string, content_hash string, deleted boolean, quarantined boolean"
     rng = __import__("random").Random(3)
     text = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
     old = [(i, text(3), text(20), f"h{i}", False, False) for i in range(60)]
-    index = retrieval.Index(spark, f"file://{tmp_path}/index")
+    index = postings.Index(spark, f"file://{tmp_path}/index")
     index.update(spark.createDataFrame(old, kind))
     changed = [(i, text(3), text(20), f"new{i}", i % 2 == 0, False) for i in range(0, 60, 5)]
     index.update(spark.createDataFrame(changed, kind))
@@ -316,5 +316,4 @@ def test_written_index(spark, tmp_path):
     assert want and sorted(map(tuple, retrieval.bm25(now, searches, None, index=index).collect())) == want
     compacted = index.compact(now, f"file://{tmp_path}/compact")
     assert sorted(map(tuple, retrieval.bm25(now, searches, None, index=compacted).collect())) == want
-    lists, _ = index.lists(now, spark.createDataFrame([("w1",)], "term string"))
-    assert {r.term for r in lists.collect()} == {"w1"}
+    assert {r.term for r in index._asked(["w1"]).select("term").collect()} == {"w1"}

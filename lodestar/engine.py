@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from .functions.analysis import english, snippets, tokens
 from .operators import graph, reports, retrieval
 from .operators.postings import Index
+from .operators.proximity import VectorIndex
 from .schemas import USER
 
 
 class Engine:
-    """docs: the state (id or doc_id, ...). edges: the graph's newest edges, or a function that reads them; epoch: a function that gives their number (the identity stream's, for one), which changes with every applied edge: expansions are kept as long as it stays, and a revoke is seen by the next search. Without it edges are taken as they are. embedder: a function of texts to vectors, for k-NN and hybrid. stems: match inflected English words and fold accents. index: written postings of the same analysis, else texts are read."""
+    """docs: the state (id or doc_id, ...). edges: the graph's newest edges, or a function that reads them; epoch: a function that gives their number (the identity stream's, for one), which changes with every applied edge: expansions are kept as long as it stays, and a revoke is seen by the next search. Without it edges are taken as they are. embedder: a function of texts to vectors, for k-NN and hybrid. stems: match inflected English words and fold accents. index: written postings of the same analysis, else texts are read. vectors: written graphs, else all vectors are read."""
 
-    def __init__(self, docs: DataFrame, edges: DataFrame | Callable[[], DataFrame], embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: Index | None = None, epoch: Callable[[], int] | None = None):
+    def __init__(self, docs: DataFrame, edges: DataFrame | Callable[[], DataFrame], embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: Index | None = None, epoch: Callable[[], int] | None = None, vectors: VectorIndex | None = None):
         docs = docs if "doc_id" in docs.columns else docs.withColumnRenamed("id", "doc_id")
         self.docs = docs if "updated_ms" in docs.columns else docs.withColumn("updated_ms", F.unix_millis("updated_at"))
         self._read, self._epoch = (edges if callable(edges) else lambda: edges), epoch
-        self.embedder, self.analyse, self.index = embedder, (english if stems else tokens), index
+        self.embedder, self.analyse, self.index, self.vectors = embedder, (english if stems else tokens), index, vectors
         self.spark = docs.sparkSession
         self._vectors: dict[str, list[float]] = {}
         self._held: dict[str, DataFrame] = {}
@@ -68,7 +69,7 @@ class Engine:
             if mode in ("bm25", "hybrid"):
                 lists["bm25"] = retrieval.bm25(self.docs, one, expansion, depth, self.index, self.analyse, wanted)
             if mode in ("knn", "hybrid"):
-                lists["knn"] = retrieval.knn(self.docs, one, expansion, depth, wanted)
+                lists["knn"] = retrieval.knn(self.docs, one, expansion, depth, wanted, self.vectors)
             hits = retrieval.fuse(lists, k) if mode == "hybrid" else next(iter(lists.values())).withColumn("ranks", F.create_map(F.lit(mode), "rank"))
         ok = retrieval.checked(hits, self.docs, one, graph.held(expansion)).filter("status = 'ok'")
         text = self.docs.select("doc_id", "title", "url", "body")

@@ -101,24 +101,46 @@ def _build(size: int):
     return run
 
 
-class Index:
-    """Below a folder that all executors reach: blocks, replaced entries and totals, each by batch. analyse: the analysis of texts and searches alike."""
+def marks_of(df: DataFrame) -> Column:
+    """What permissions and filters need of a document; columns that df lacks are null."""
+    has = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+    return F.struct(has("allowed", "array<string>"), has("datasource", "string"), has("container", "string"), has("kind", "string"), F.coalesce("quarantined", F.lit(False)).alias("hidden"))
+
+
+def visible_marks(marks: pa.StructArray, holders, n_users: int, wanted: dict[str, list[str]]) -> np.ndarray:
+    """Whether each user may see documents with each of marks, and these are wanted."""
+    see = np.ones((len(marks), n_users), bool) if holders is None else _may_see(pc.fill_null(marks.field("allowed"), []), holders, n_users)
+    ok = ~pc.fill_null(marks.field("hidden"), False).to_numpy(zero_copy_only=False)
+    for c, values in wanted.items():
+        ok &= pc.fill_null(pc.is_in(marks.field(c), pa.array(values, pa.string())), False).to_numpy(zero_copy_only=False)
+    see[~ok] = False
+    return see
 
-    def __init__(self, spark: SparkSession, path: str, analyse=tokens, block: int = 128, segment: int = 16_384, buckets: int = 32):
-        self.spark, self.path, self.analyse = spark, path.rstrip("/"), analyse
-        self.block, self.segment, self.buckets = block, segment, buckets
+
+class Written:
+    """Folders by batch below one that all executors reach. Whatever else a batch writes, replaced entries come next and totals last; only batches with totals are read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         return path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def batches(self) -> list[int]:
-        """The numbers of whole batches: totals are written last."""
+        """The numbers of whole batches."""
         fs, path = self._fs()
         top = path(f"{self.path}/totals")
         names = [s.getPath() for s in fs.listStatus(top)] if fs.exists(top) else []
         return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(path(f"{p.toString()}/_SUCCESS")))
 
+    def _number(self, batch: int | None) -> int:
+        done = self.batches()
+        number = max(done, default=-1) + 1 if batch is None else batch
+        if any(b > number for b in done):
+            raise ValueError(f"batch {number} comes before {max(done)}")
+        return number
+
     def _read(self, kind: str, schema: str, before: int | None = None) -> DataFrame | None:
         found = [f"{self.path}/{kind}/{b}" for b in self.batches() if before is None or b < before]
         # Each batch has its own folder; the folders of a kind differ in nothing else.
@@ -131,6 +153,24 @@ class Index:
     def _doc(self) -> str:
         return self.spark.read.parquet(f"{self.path}/replaced/{self.batches()[0]}").schema["doc_id"].dataType.simpleString()
 
+    def _replace(self, changed: DataFrame, number: int, columns: list[str], schema: str) -> None:
+        """Writes which entries of earlier batches changed replaces."""
+        old = self.spark.createDataFrame([], schema)
+        if any(b < number for b in self.batches()):
+            old = self.entries(number).join(changed.select("doc_id").distinct(), "doc_id", "left_semi").join(self.replaced(number).select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
+        old.select(*columns).write.mode("overwrite").parquet(f"{self.path}/replaced/{number}")
+
+    def _finish(self, totals: DataFrame, number: int) -> None:
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/{number}")
+
+
+class Index(Written):
+    """Blocks of postings. analyse: the analysis of texts and searches alike."""
+
+    def __init__(self, spark: SparkSession, path: str, analyse=tokens, block: int = 128, segment: int = 16_384, buckets: int = 32):
+        super().__init__(spark, path)
+        self.analyse, self.block, self.segment, self.buckets = analyse, block, segment, buckets
+
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
@@ -149,35 +189,24 @@ class Index:
     def update(self, changed: DataFrame, batch: int | None = None) -> None:
         """Adds the newest rows of changed documents (doc_id or id, title, body, deleted, quarantined, and allowed, datasource, container and kind where they are there), one for each document. batch: its number, by default the next; the highest may be done again."""
         changed = changed if "doc_id" in changed.columns else changed.withColumnRenamed("id", "doc_id")
-        done = self.batches()
-        number = max(done, default=-1) + 1 if batch is None else batch
-        if any(b > number for b in done):
-            raise ValueError(f"batch {number} comes after {max(done)}")
+        number = self._number(batch)
         doc = changed.schema["doc_id"].dataType.simpleString()
         n = changed.filter("not deleted").count()
         segments = max(1, -(-n // self.segment), min(self.spark.sparkContext.defaultParallelism, n // 512))
         number_of = F.lit(number << 32) + F.pmod(F.xxhash64("doc_id"), F.lit(segments))
-        has = lambda c, kind: (F.col(c) if c in changed.columns else F.lit(None)).cast(kind).alias(c)
-        marks = F.struct(has("allowed", "array<string>"), has("datasource", "string"), has("container", "string"), has("kind", "string"), F.coalesce("quarantined", F.lit(False)).alias("hidden"))
-        rows = changed.filter("not deleted").select(number_of.alias("segment"), "doc_id", *[self.analyse(F.col(f)).alias(f) for f in BOOSTS], marks.alias("marks"))
+        rows = changed.filter("not deleted").select(number_of.alias("segment"), "doc_id", *[self.analyse(F.col(f)).alias(f) for f in BOOSTS], marks_of(changed).alias("marks"))
         blocks = rows.repartition(segments, "segment").sortWithinPartitions("segment", "doc_id").mapInArrow(_build(self.block), _schema(doc))
         blocks = blocks.withColumn("bucket", F.when(F.col("field") < 0, F.lit(self.buckets)).otherwise(self._bucket(F.col("term"))))
         # A file holds a bucket's blocks of some hundred segments.
         spread = blocks.withColumn("part", F.floor(F.pmod("segment", F.lit(1 << 32)) / 512)).repartition("bucket", "part").drop("part")
         spread.sortWithinPartitions("bucket", "term", "field", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/{number}")
-        before = [b for b in done if b < number]
-        if before:
-            old = self.entries(number).join(changed.select("doc_id").distinct(), "doc_id", "left_semi").join(self.replaced(number).select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
-            old = old.select("segment", "doc_id", "title", "body")
-        else:
-            old = self.spark.createDataFrame([], f"segment long, doc_id {doc}, title int, body int")
-        old.write.mode("overwrite").parquet(f"{self.path}/replaced/{number}")
+        self._replace(changed, number, ["segment", "doc_id", "title", "body"], f"segment long, doc_id {doc}, title int, body int")
         new = self.spark.read.schema(_schema(doc) + ", bucket int").parquet(f"{self.path}/blocks/{number}").filter((F.col("bucket") == self.buckets) & (F.col("field") == -1))
         lens = [new.select(F.lit(1).alias("sign"), F.explode(F.arrays_zip(F.col("tf").alias("title"), F.col("len").alias("body"))).alias("x")).select("sign", "x.title", "x.body")]
         lens.append(self.spark.read.parquet(f"{self.path}/replaced/{number}").select(F.lit(-1).alias("sign"), "title", "body"))
         fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("len")) for i, f in enumerate(BOOSTS)])).alias("x")
         totals = lens[0].unionByName(lens[1]).select("sign", fields).filter("x.len > 0").groupBy("x.field").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("x.len")).alias("total"))
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/{number}")
+        self._finish(totals, number)
 
     def stats(self) -> dict[int, tuple[int, float]]:
         """Of each field how many documents have it, and its mean length: from two rows a batch."""
@@ -305,11 +334,7 @@ class _Segment:
         # What each document's mark lets each user see.
         entry = marks.offsets.to_numpy().astype(np.int64) - marks.offsets[0].as_py()
         flat = marks.flatten()
-        see = np.ones((len(flat), n_users), bool) if holders is None else _may_see(pc.fill_null(flat.field("allowed"), []), holders, n_users)
-        ok = ~pc.fill_null(flat.field("hidden"), False).to_numpy(zero_copy_only=False)
-        for c, values in wanted.items():
-            ok &= pc.fill_null(pc.is_in(flat.field(c), pa.array(values, pa.string())), False).to_numpy(zero_copy_only=False)
-        see[~ok] = False
+        see = visible_marks(flat, holders, n_users, wanted)
         of = np.zeros(len(self.ids), np.int64)
         of[self.doc] = column("mark").flatten().to_numpy() + np.repeat(entry[:-1], np.diff(self.start))
         self.see = see[of]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import tokens
 from ..operators import fold, graph, reports, retrieval
 from ..operators.postings import Index
+from ..operators.proximity import VectorIndex
 from ..session import cut, scratch, table
 from . import fixtures as fx
 from .changelog import STATE_SQL
@@ -140,6 +141,49 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNN_FILTERED_SQL = BASE + "," + _knn_sql(_SEEN + " JOIN docs f ON f.doc_id = c.doc_id AND f.kind = 'message'") + " SELECT * FROM knn"
 
 
+_graphs: dict[tuple[str, str], VectorIndex] = {}
+
+
+def graphs_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The written vector graphs of a folder's documents: built by the first query of a session that asks for them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _graphs:
+        index = VectorIndex(spark, scratch(spark, "graphs"))
+        index.update(fx.docs(spark, sf_dir), 0)
+        _graphs[key] = index
+    return _graphs[key]
+
+
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, searches, held, _ = _inputs(spark, sf_dir)
+    return graphs_of(spark, sf_dir).search(searches, held)
+
+
+def knn_graph_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over graphs that have come to hold the documents in three batches, first with other vectors; the second is tried twice."""
+    docs, searches, held, _ = _inputs(spark, sf_dir)
+    index = VectorIndex(spark, scratch(spark, "graphs"))
+    index.update(docs.withColumn("embedding", F.reverse("embedding")).withColumn("deleted", F.col("doc_id") % 5 == 0), 0)
+    for batch, part in ((1, F.col("doc_id") % 3 == 0), (1, F.col("doc_id") % 3 == 0), (2, F.col("doc_id") % 3 != 0)):
+        index.update(docs.filter(part), batch)
+    return index.search(searches, held)
+
+
+def knn_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the exact hits, all and of one kind of document, how many there are, and whether walks alone (none scored one by one) find 95 % of them."""
+    docs, searches, held, _ = _inputs(spark, sf_dir)
+    out = None
+    for name, wanted in (("all", None), ("message", {"kind": ["message"]})):
+        exact = retrieval.knn(docs, searches, held, wanted=wanted).select("query_id", "doc_id")
+        found = graphs_of(spark, sf_dir).search(searches, held, wanted=wanted, scan=False).select("query_id", "doc_id", F.lit(1).alias("found"))
+        row = exact.join(found, ["query_id", "doc_id"], "left").agg(F.lit(name).alias("what"), F.count("*").alias("hits"), (F.count("found") >= 0.95 * F.count("*")).alias("enough"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+KNN_RECALL_SQL = BASE + "," + _knn_sql(_SEEN) + "," + _knn_sql(_SEEN + " JOIN docs f ON f.doc_id = c.doc_id AND f.kind = 'message'", "few") + " SELECT 'all' AS what, count(*) AS hits, true AS enough FROM knn UNION ALL SELECT 'message', count(*), true FROM few"
+
+
 def _hybrid(spark: SparkSession, sf_dir: str):
     docs, searches, held, edges = _inputs(spark, sf_dir)
     lists = {"bm25": retrieval.bm25(docs, searches, held), "knn": retrieval.knn(docs, searches, held)}
@@ -355,10 +399,10 @@ asked AS (SELECT title AS query_id, 'u:eval' AS usr, regexp_extract_all(lower(ti
 )
 
 QUERIES = {
-    "q_hybrid_rrf": hybrid, "q_bm25": bm25, "q_bm25_filtered": bm25_filtered, "q_bm25_index": bm25_index, "q_bm25_index_filtered": bm25_index_filtered, "q_bm25_updated": bm25_updated, "q_hybrid_index": hybrid_index, "q_knn": knn, "q_knn_filtered": knn_filtered, "q_matched": matched, "q_leaks": leaks, "q_explain": explained, "q_browse": browse,
+    "q_hybrid_rrf": hybrid, "q_bm25": bm25, "q_bm25_filtered": bm25_filtered, "q_bm25_index": bm25_index, "q_bm25_index_filtered": bm25_index_filtered, "q_bm25_updated": bm25_updated, "q_hybrid_index": hybrid_index, "q_knn": knn, "q_knn_filtered": knn_filtered, "q_knn_graph": knn_graph, "q_knn_graph_updated": knn_graph_updated, "q_knn_graph_recall": knn_graph_recall, "q_matched": matched, "q_leaks": leaks, "q_explain": explained, "q_browse": browse,
     "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_named_duplicates": named_duplicates, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_state_search": hybrid_of_state,
 }
 ORACLE_SQL = {
-    "q_hybrid_rrf": HYBRID_SQL, "q_bm25": BM25_SQL, "q_bm25_filtered": BM25_FILTERED_SQL, "q_bm25_index": BM25_SQL, "q_bm25_index_filtered": BM25_FILTERED_SQL, "q_bm25_updated": BM25_SQL, "q_hybrid_index": HYBRID_SQL, "q_knn": KNN_SQL, "q_knn_filtered": KNN_FILTERED_SQL, "q_matched": MATCHED_SQL, "q_leaks": LEAKS_SQL, "q_explain": EXPLAIN_SQL, "q_browse": BROWSE_SQL,
+    "q_hybrid_rrf": HYBRID_SQL, "q_bm25": BM25_SQL, "q_bm25_filtered": BM25_FILTERED_SQL, "q_bm25_index": BM25_SQL, "q_bm25_index_filtered": BM25_FILTERED_SQL, "q_bm25_updated": BM25_SQL, "q_hybrid_index": HYBRID_SQL, "q_knn": KNN_SQL, "q_knn_filtered": KNN_FILTERED_SQL, "q_knn_graph": KNN_SQL, "q_knn_graph_updated": KNN_SQL, "q_knn_graph_recall": KNN_RECALL_SQL, "q_matched": MATCHED_SQL, "q_leaks": LEAKS_SQL, "q_explain": EXPLAIN_SQL, "q_browse": BROWSE_SQL,
     "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_named_duplicates": NAMED_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_state_search": STATE_SEARCH_SQL,
 }

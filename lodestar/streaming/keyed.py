@@ -1,34 +1,131 @@
-"""The fold as a keyed stateful operator: the same results as the table-backed pipeline, with one small state for each document in Spark's state store."""
+"""The fold as a keyed stateful operator: the whole document in Spark's state store (RocksDB), so that a batch reads the documents that it changes and no others, and the state needs no table, no deltas and no compaction.
+
+What comes of a document in a batch is ordered by its place in the log, wherever Spark's batches of rows cut it. Of a document with more rows than one such batch only numbers stay in memory; what they carry waits in a list in the state store until it is known which of them count.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "id string, version long, deleted boolean, quarantined_at_ms long, applied long, duplicate long, stale long"
-_STATE = "version long, deleted boolean, poison long"
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    version, deleted, poison = state.get if state.exists else (None, False, 0)
-    n = {"applied": 0, "duplicate": 0, "stale": 0}
-    rows = pd.concat(list(frames)).sort_values("off")
-    for op, v, src, at in zip(rows.op, rows.version, rows.src_ts_ms, rows.at_ms):
-        if op == "poison":
-            poison, version = max(poison, int(at)), version or 0
-        elif version is not None and v <= version:
-            n["duplicate" if v == version else "stale"] += 1
-        else:
-            version, deleted = int(v), op == "delete"
-            poison = 0 if src > poison else poison
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..functions.scalar import content_hash
+from ..schemas import CONTENT, STATE
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LISTS = ("labels", "duplicates", "allowed")
+_TIMES = ("created_at", "updated_at")
+#: The stored document: STATE without its key, times in microseconds.
+_FIELDS = [x.strip().rsplit(" ", 1) for x in STATE.split(", ")][1:]
+DOCUMENT = ", ".join(f"{c} {'long' if c in _TIMES else t}" for c, t in _FIELDS)
+NAMES = [c for c, _ in _FIELDS]
+#: What an upsert carries, and its place in the log.
+CARRIED = [*CONTENT, "mode", "hash"]
+_PENDING = "off long, " + ", ".join(f"{c} {'array<string>' if c in LISTS else 'string'}" for c in CARRIED)
+COUNTS = ["applied", "duplicate", "stale"]
+OUT = "id string, " + DOCUMENT + ", " + ", ".join(f"{c} long" for c in COUNTS)
+
+
+class Fold(StatefulProcessor):
+    """Rows of one document to its new state; a document of which nothing was applied or poisoned gives no row unless counts are asked for."""
+
+    def __init__(self, now_ms: int = 0):
+        self.now_ms = now_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.document = handle.getValueState("document", DOCUMENT)
+        self.pending = handle.getListState("pending", _PENDING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        numbers, held, spilled = [], None, False
+        for frame in rows:
+            numbers.append(frame[["off", "op", "version", "src_ts_ms", "emit_ts_ms", "at_ms", *_TIMES, "hash"]])
+            if held is not None:
+                # A second batch of rows: from here on what they carry goes to the state store.
+                for part in ([held] if not spilled else []) + [frame]:
+                    up = part[part["op"] == "upsert"]
+                    if len(up):
+                        self.pending.appendList([tuple(_plain(x) for x in r) for r in up[["off", *CARRIED]].itertuples(index=False)])
+                spilled, held = True, frame.iloc[:0]
+            else:
+                held = frame
+        events = pd.concat(numbers).sort_values("off", kind="stable")
+        old = self.document.get() if self.document.exists() else None
+        now = dict(zip(NAMES, old, strict=True)) if old is not None else dict.fromkeys(NAMES) | {"deleted": False, "needs_embed": False, "quarantined_at_ms": 0} | {c: [] for c in LISTS}
+        version, poison = now["version"], now["quarantined_at_ms"] or 0
+        upsert, n, poisoned = None, dict.fromkeys(COUNTS, 0), False
+        for off, op, v, src, emit, at, created, updated, digest in events.itertuples(index=False):
+            if op == "poison":
+                poisoned, version = True, version or 0
+                poison = max(poison, int(at) if at == at and at > 0 else 0)
+                continue
+            if version is not None and v <= version:
+                n["duplicate" if v == version else "stale"] += 1
+                continue
             n["applied"] += 1
-    state.update((version, deleted, poison))
-    yield pd.DataFrame({"id": [key[0]], "version": [version], "deleted": [deleted], "quarantined_at_ms": [poison], **{k: [x] for k, x in n.items()}})
+            version, src_ms = int(v), int(src) if src == src else 0
+            poison = 0 if src_ms > poison else poison
+            now |= {"src_ts_ms": int(src) if src == src else None, "emit_ts_ms": int(emit) if emit == emit else None, "deleted": op == "delete"}
+            if op == "delete":
+                now |= {"needs_embed": False, "content_hash": ""}
+            else:
+                upsert = off
+                now["needs_embed"] = now["needs_embed"] or digest != (now["content_hash"] or "")
+                now["content_hash"] = digest
+                now |= {c: int(t) for c, t in zip(_TIMES, (created, updated), strict=True) if t == t}
+        if upsert is not None:
+            now |= self._carried(held, upsert, spilled)
+        if n["applied"] and now["deleted"]:
+            now |= {"title": "", "body": ""} | {c: [] for c in LISTS}
+        if spilled:
+            self.pending.clear()
+        if n["applied"] or poisoned:
+            now |= {"version": version, "quarantined": poison > 0, "quarantined_at_ms": poison, "indexed_at_ms": self.now_ms}
+            self.document.update(tuple(_plain(now[c]) for c in NAMES))
+        yield pd.DataFrame({"id": [key[0]], **{c: [now[c]] for c in NAMES}, **{c: [x] for c, x in n.items()}}).astype({c: "Int64" for c in (*_TIMES, "version", "src_ts_ms", "emit_ts_ms", "quarantined_at_ms", "indexed_at_ms")})
+
+    def _carried(self, held: pd.DataFrame, off: int, spilled: bool) -> dict:
+        """What the upsert at a place of the log sets."""
+        if spilled:
+            row = next(r for r in self.pending.get() if r[0] == off)[1:]
+        else:
+            row = next(held[held["off"] == off][CARRIED].itertuples(index=False))
+        found = {c: _plain(x) for c, x in zip(CARRIED, row, strict=True)}
+        found.pop("hash")
+        return found | {c: found[c] or [] for c in LISTS}
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(x):
+    """As the state store takes it."""
+    if isinstance(x, np.ndarray):
+        return [_plain(y) for y in x]
+    if isinstance(x, list):
+        return x
+    return None if x is None or x is pd.NA or x != x else x.item() if isinstance(x, np.generic) else x
+
+
+def folded(items: DataFrame, now_ms: int = 0) -> DataFrame:
+    """A stream of items (operators.fold.ITEM) to the documents that each micro-batch touches, as they are after it (OUT), with how many of their events were applied, duplicate or stale. Needs PROVIDER as the session's state store: use_rocksdb()."""
+    micros = [F.unix_micros(c).alias(c) for c in _TIMES]
+    digest = F.when(F.col("op") == "upsert", content_hash(F.col("title"), F.col("body"))).alias("hash")
+    rows = items.select("id", "off", "op", "version", "src_ts_ms", "emit_ts_ms", "at_ms", *micros, *CONTENT, "mode", digest)
+    return rows.groupBy("id").transformWithStateInPandas(Fold(now_ms), OUT, "update", "None")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def keyed_versions(items: DataFrame) -> DataFrame:
-    """A stream of items (id, off, op, version, src_ts_ms, at_ms) to each touched document's version, deletion and quarantine after a micro-batch, with what the batch did."""
-    return items.select("id", "off", "op", "version", "src_ts_ms", "at_ms").groupBy("id").applyInPandasWithState(_step, OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+def documents(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """All documents (operators.fold.STATE) that a stream's state store holds after its last batch; of any session, while the stream runs or not."""
+    rows = spark.read.format("statestore").option("stateVarName", "document").load(checkpoint)
+    kinds = dict(_FIELDS)
+    value = [(F.timestamp_micros(F.col(f"value.{c}")) if c in _TIMES else F.col(f"value.{c}").cast(kinds[c])).alias(c) for c in NAMES]
+    return rows.select(F.col("key.id").alias("id"), *value)

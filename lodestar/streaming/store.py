@@ -11,17 +11,17 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 class Table:
-    """A keyed table below a folder that all executors reach."""
+    """A keyed table below a folder that all executors reach. by: the columns whose hash gives the bucket, by default the keys."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, compact_after: int = 32, buckets: int = 64):
-        self.spark, self.path, self.keys, self.compact_after, self.buckets = spark, path.rstrip("/"), keys, compact_after, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, compact_after: int = 32, buckets: int = 64, by: list[str] | None = None):
+        self.spark, self.path, self.keys, self.compact_after, self.buckets, self.by = spark, path.rstrip("/"), keys, compact_after, buckets, by or keys
         self.schema = spark.createDataFrame([], schema).schema
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def touched(self, rows: DataFrame) -> list[int]:
-        """The buckets of rows that have this table's keys: numbers below buckets."""
+        """The buckets of rows that have this table's columns by: numbers below buckets."""
         return sorted(r.b for r in rows.select(self._bucket().alias("b")).distinct().collect())
 
     def _folder(self, kind: str, batch: int) -> DataFrame:

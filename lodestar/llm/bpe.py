@@ -30,6 +30,8 @@ from . import common
 LEXICON, FREQUENT = 131072, 8
 #: Runs between spaces that a task remembers before it forgets those that it hasn't met since as many before, and the longest that it does.
 CACHE, CACHE_LENGTH = 100_000, 64
+#: The same for tasks that put ids and decoded text together as strings: the pipeline's have less memory left.
+TEXT_CACHE = 200_000
 #: Characters of texts that are split together.
 GROUP = 1 << 19
 END, NONE = "</w>", 1 << 60
@@ -357,10 +359,10 @@ _handed_out: set[tuple[str, str]] = set()
 
 
 class Encoder:
-    """A task's view of rules and lexicon: remembers what chunks encode and decode to, as strings (packed: their ids as uint16). What it hasn't met for CACHE chunks goes, so that frequent ones stay."""
+    """A task's view of rules and lexicon: remembers what chunks encode and decode to, as strings (packed: their ids as uint16). What it hasn't met for TEXT_CACHE chunks (packed: CACHE) goes, so that frequent ones stay."""
 
     def __init__(self, vocabulary: str, name: str | None, packed: bool = False):
-        self.packed = packed
+        self.packed, self.most = packed, CACHE if packed else TEXT_CACHE
         self.rules, self.lexicon = rules(vocabulary), lexicon(SparkFiles.get(name)) if name else None
         self.written = {i: str(i) for i in self.rules.names}
         self.chunks: dict[str, tuple] = {}
@@ -376,7 +378,7 @@ class Encoder:
 
     def _learn_words(self, words: set[str]) -> dict[str, tuple]:
         """The forms of words, by the lexicon, or merged where it doesn't hold them."""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.most:
             self.older_words, self.words = self.words, {}
         known, older, new = self.words, self.older_words, []
         for w in words:
@@ -391,7 +393,7 @@ class Encoder:
         return known
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > self.most:
             self.older_chunks, self.chunks = self.chunks, {}
         known, older, new = self.chunks, self.older_chunks, []
         for c in chunks:

@@ -15,6 +15,8 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, compact_after: int = 32, buckets: int = 64, by: list[str] | None = None):
         self.spark, self.path, self.keys, self.compact_after, self.buckets, self.by = spark, path.rstrip("/"), keys, compact_after, buckets, by or keys
+        #: What compaction keeps; all, if None.
+        self.keep: Column | None = None
         self.schema = spark.createDataFrame([], schema).schema
 
     def _bucket(self) -> Column:
@@ -78,7 +80,7 @@ class Table:
         """A new base that holds all up to batch. Older folders stay for readers that began before; vacuum() removes them."""
         now = self.read()
         if now is not None:
-            self._write(now, "base", batch)
+            self._write(now if self.keep is None else now.filter(self.keep), "base", batch)
 
     def vacuum(self) -> None:
         """Removes what the newest base replaces."""

@@ -147,8 +147,10 @@ def test_repository_pages_restart():
 def project(url, params):
     issues = [{"key": f"K-{i:03d}", "fields": {"updated": f"2024-01-01T00:{0 if i < 60 else i - 59:02d}:00.000+0000"}} for i in range(95)]
     jql = params["jql"]
-    since = jql.split('"')[1].replace(" ", "T") if '"' in jql else ""
+    assert jql.startswith('project = "') and params["jql"].split('"')[1] in ("K", "L")
+    since = jql.split('"')[3].replace(" ", "T") if "updated >=" in jql else ""
     rest_ = [x for x in issues if x["fields"]["updated"][:16] >= since]
+    rest_ = rest_[::-1] if "DESC" in jql else rest_
     return 200, {}, {"issues": rest_[params["startAt"] : params["startAt"] + params["maxResults"]]}
 
 
@@ -199,16 +201,17 @@ def test_unchanged_listing_has_nothing():
 
 def test_crawl_streams_units_in_tasks(spark, tmp_path):
     rest.register(spark)
-    options = {"kind": "jira", "base": "http://x", "units": "K,L", "transport": "tests.test_streams_sources:project", "cursors": '{"K": "2024-01-01T00:30:00.000+0000"}'}
+    options = {"kind": "jira", "base": "http://x", "units": "K,L", "transport": "tests.test_streams_sources:project", "cursors": '{"K": "2024-01-01T00:30:00.000Z"}'}
     reader = rest._StreamReader(options)
     start, end = reader.initialOffset(), reader.latestOffset()
     parts = reader.partitions(start, end)
-    assert [(p.unit, p.since) for p in parts] == [("K", "2024-01-01T00:30:00.000+0000"), ("L", "")] and reader.partitions(end, end) == []
-    assert [sum(1 for _ in reader.read(p)) for p in parts] == [5, 95]
+    assert [(p.unit, p.since) for p in parts] == [("K", "2024-01-01T00:30:00.000Z"), ("L", "")] and reader.partitions(end, end) == []
+    assert end["K"] == {"at": "2024-01-01T00:35:00.000Z", "marks": ["K-094"]}
+    assert [sum(1 for _ in reader.read(p)) for p in parts] == [6, 95]  # the cursor's own minute is read
     q = spark.readStream.format("crawl").options(**options).load().writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out/*").groupBy("unit").count().collect()
-    assert sorted(map(tuple, got)) == [("K", 5), ("L", 95)]
+    assert sorted(map(tuple, got)) == [("K", 6), ("L", 95)]
 
 
 def test_feed_and_lag(spark, tmp_path):

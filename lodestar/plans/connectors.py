@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import epoch_ms, signer
 from ..session import scratch, table
+from ..sources import log
 from ..streaming import deliveries
 
 SECRET = "a shared secret"
@@ -72,5 +71,24 @@ played AS (
 SELECT off, key, problem AS outcome FROM judged WHERE problem IS NOT NULL
 UNION ALL SELECT x.off, key, x.outcome FROM (SELECT key, unnest(l) AS x FROM played)"""
 
-QUERIES = {"q_signatures": signatures, "q_deliveries": delivered}
-ORACLE_SQL = {"q_signatures": SIGNATURES_SQL, "q_deliveries": DELIVERED_SQL}
+def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event through a keyed log: half of them written at once (and again under the same name), half by a stream; read back by a stream, with each one's place among those of its key."""
+    log.register(spark)
+    path = scratch(spark, "log")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("doc:"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"), F.col("event_id").alias("ts_ms"))
+    half = (e.agg(F.max("ts_ms")).first()[0] or 0) // 2
+    for _ in range(2):
+        log.produce(e.filter(F.col("ts_ms") <= half), f"{path}/log", "ts_ms", commit="first")
+    e.filter(F.col("ts_ms") > half).write.parquet(f"{path}/in")
+    read = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+    read.writeStream.foreachBatch(lambda df, n: log.produce(df, f"{path}/log", "ts_ms", commit=f"rest-{n}")).option("checkpointLocation", f"{path}/c1").trigger(availableNow=True).start().awaitTermination()
+    back = spark.readStream.format("log").option("path", f"{path}/log").load()
+    back.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c2").trigger(availableNow=True).start().awaitTermination()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("partition", "offset")).cast("long")
+    return spark.read.parquet(f"{path}/out").select("key", "value", "ts_ms", place.alias("place"))
+
+
+LOG_SQL = "SELECT 'doc:' || user_id AS key, props AS value, event_id AS ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events"
+
+QUERIES = {"q_signatures": signatures, "q_deliveries": delivered, "q_log_round_trip": log_round_trip}
+ORACLE_SQL = {"q_signatures": SIGNATURES_SQL, "q_deliveries": DELIVERED_SQL, "q_log_round_trip": LOG_SQL}

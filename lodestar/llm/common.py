@@ -70,6 +70,12 @@ def release() -> None:
         trim(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of a long job: the driver's Python and JVM let go of what nothing refers to any more, whereupon Spark removes broadcasts and shuffle files of tables that are written by now."""
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: int | None) -> bool:
     """Whether a row is kept from training: crc32 of the id as text, modulo 5, is 0."""
     return zlib.crc32(str(doc_id).encode()) % 5 == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import measured
+from .common import measured, tidy
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
     while now["n"] and now != before:
         before = now
         e, now = contracted(e)
+        tidy(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()

@@ -358,6 +358,7 @@ def _linked_sets(docs: DataFrame, lists: DataFrame, k: int, percent: int) -> Dat
     groups = _hub_groups(active, done, percent)
     while True:
         found, seen = common.measured(search(groups), "links", n=F.count(F.lit(1)))
+        common.tidy(docs.sparkSession)
         if seen["n"]:
             edges, _ = contracted(found if edges is None else edges.union(found))
             # A set's smallest neighbour so far: sets of one component may still bear several names, which costs comparisons only.
@@ -395,6 +396,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     order = docs.sparkSession.sparkContext.broadcast(_sketch(described))
     shared = common.saved(_shared(_prefixes(docs, order, k, percent)), "shared")
     order.destroy()
+    common.tidy(docs.sparkSession)
     lists, seen = _lists(shared, percent)
     comps = _linked_sets(docs, lists, k, percent) if seen["rows"] else None
     classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))

@@ -149,7 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     found = rows.mapInArrow(run, "doc_id long, y int, x binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.x))
     x = np.frombuffer(b"".join(r.x for r in found), np.float32).reshape(len(found), len(FEATURES)).astype(np.float64)
-    return fit(x, np.array([r.y for r in found], np.float64))
+    model = fit(x, np.array([r.y for r in found], np.float64))
+    del x, found
+    common.tidy(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.analysis import english, snippets, tokens
+from .functions.analysis import english, passages, tokens
 from .operators import graph, reports, retrieval
 from .operators.postings import Index
 from .operators.proximity import VectorIndex
@@ -74,7 +74,7 @@ class Engine:
         ok = retrieval.checked(hits, self.docs, one, graph.held(expansion)).filter("status = 'ok'")
         text = self.docs.select("doc_id", "title", "url", "body")
         words = tokens(F.lit(query))
-        return ok.join(text, "doc_id").select("doc_id", "rank", "score", "ranks", "title", "url", "matched", "fresh_ms", snippets()(F.col("body"), words).alias("snippet")).orderBy("rank")
+        return ok.join(text, "doc_id").select("doc_id", "rank", "score", "ranks", "title", "url", "matched", "fresh_ms", passages()(F.col("body"), words).alias("snippet")).orderBy("rank")
 
     def explain(self, user: str, doc_id) -> DataFrame:
         user = user if user.startswith(USER) else USER + user

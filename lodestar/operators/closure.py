@@ -34,7 +34,7 @@ class Closure:
         """The present rows of table whose column is among keys (key): of the keys' buckets alone."""
         if table.read(before) is None:
             return self.spark.createDataFrame([], table.schema).drop("present")
-        rows = table.read(before, table.touched(keys.select(F.col("key").alias(column))))
+        rows = table.read(before, table.touched(keys.select(F.col("key").alias(column)), before))
         return rows.filter("present").join(keys.select(F.col("key").alias(column)), column, "left_semi").drop("present")
 
     def _edges(self, table: Table, column: str, keys: DataFrame, flips: DataFrame, before: int, both: bool = False) -> DataFrame:

@@ -52,7 +52,7 @@ class Deliveries:
         """deliveries: key, at_ms (when they came), off (their place) and what problem and handle need."""
         judged = cut(deliveries.withColumn("_problem", self.problem), "deliveries")
         todo = judged.filter("_problem is null and key is not null").drop("_problem")
-        stored = self.claims.read(number) if todo.isEmpty() else self.claims.read(number, self.claims.touched(todo))
+        stored = self.claims.read(number) if todo.isEmpty() else self.claims.read(number, self.claims.touched(todo, number))
         claims = self.spark.createDataFrame([], self.claims.schema) if stored is None else stored.join(todo.select("key").distinct(), "key", "left_semi")
         left, picked, part = todo.select("key", "at_ms", "off"), [], 0
         while True:

@@ -74,7 +74,7 @@ class Documents:
             # Dead letters first: if they can't be kept, the batch fails before anything moves.
             retry(lambda: decode.dead_letters(decoded).write.mode("overwrite").parquet(f"{self.path}/dlq/{number}"))
             items = decode.doc_items(decoded)
-            state = self.state.read(before=number, buckets=self.state.touched(items))
+            state = self.state.read(before=number, buckets=self.state.touched(items, number))
             gated = folding.gate(items, state).persist()
             try:
                 changed = folding.fold(gated, state, self.now_ms(), gated)
@@ -115,7 +115,7 @@ class Identity:
         try:
             retry(lambda: decode.dead_letters(decoded).write.mode("overwrite").parquet(f"{self.path}/dlq/{number}"))
             items = decode.edge_items(decoded)
-            state = self.state.read(before=number, buckets=self.state.touched(items))
+            state = self.state.read(before=number, buckets=self.state.touched(items, number))
             marked = graph.applied(items, state)
             # An edge's newest change of the batch, if any was applied; the table takes it over what is stored.
             changed = graph.latest(marked.filter("applied").drop("applied"))

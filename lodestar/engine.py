@@ -12,21 +12,28 @@ from .operators import graph, reports, retrieval
 from .operators.postings import Index
 from .operators.proximity import VectorIndex
 from .schemas import USER
+from .session import cut
 
 
 class Engine:
-    """docs: the state (id or doc_id, ...). edges: the graph's newest edges, or a function that reads them; epoch: a function that gives their number (the identity stream's, for one), which changes with every applied edge: expansions are kept as long as it stays, and a revoke is seen by the next search. Without it edges are taken as they are. embedder: a function of texts to vectors, for k-NN and hybrid. stems: match inflected English words and fold accents. index: written postings of the same analysis, else texts are read. vectors: written graphs, else all vectors are read."""
+    """docs: the state (id or doc_id, ...), or a function that reads it (a stream's table, for one): each search reads it then, and its hits are checked against yet another reading, so what was deleted or hidden meanwhile isn't shown. edges: the graph's newest edges, or a function that reads them; epoch: a function that gives their number (the identity stream's, for one), which changes with every applied edge: expansions are kept as long as it stays, and a revoke is seen by the next search. Without it edges are taken as they are. embedder: a function of texts to vectors, for k-NN and hybrid. stems: match inflected English words and fold accents. index: written postings of the same analysis, else texts are read. vectors: written graphs, else all vectors are read."""
 
-    def __init__(self, docs: DataFrame, edges: DataFrame | Callable[[], DataFrame], embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: Index | None = None, epoch: Callable[[], int] | None = None, vectors: VectorIndex | None = None):
-        docs = docs if "doc_id" in docs.columns else docs.withColumnRenamed("id", "doc_id")
-        self.docs = docs if "updated_ms" in docs.columns else docs.withColumn("updated_ms", F.unix_millis("updated_at"))
+    def __init__(self, docs: DataFrame | Callable[[], DataFrame], edges: DataFrame | Callable[[], DataFrame], embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, stems: bool = True, index: Index | None = None, epoch: Callable[[], int] | None = None, vectors: VectorIndex | None = None):
+        self._state = docs if callable(docs) else lambda: docs
         self._read, self._epoch = (edges if callable(edges) else lambda: edges), epoch
         self.embedder, self.analyse, self.index, self.vectors = embedder, (english if stems else tokens), index, vectors
-        self.spark = docs.sparkSession
+        self.spark = self._state().sparkSession
         self._vectors: dict[str, list[float]] = {}
         self._held: dict[str, DataFrame] = {}
         self._at: tuple[int, DataFrame] | None = None
 
+    @property
+    def docs(self) -> DataFrame:
+        """The documents as they are now."""
+        docs = self._state()
+        docs = docs if "doc_id" in docs.columns else docs.withColumnRenamed("id", "doc_id")
+        return docs if "updated_ms" in docs.columns else docs.withColumn("updated_ms", F.unix_millis("updated_at"))
+
     def _vector(self, text: str) -> list[float]:
         if text not in self._vectors:
             if len(self._vectors) >= 10_000:
@@ -59,7 +66,8 @@ class Engine:
         one = self.spark.createDataFrame([(0, user, query, vector)], "query_id long, user string, query string, vector array<double>")
         expansion = self.expansion(user)
         wanted = {c: list(values) for c, values in (("datasource", datasources), ("kind", kinds)) if values}
-        docs = retrieval.of_kinds(self.docs, wanted)
+        state = self.docs
+        docs = retrieval.of_kinds(state, wanted)
         none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
         if not query.strip():
             hits = retrieval.browse(docs, one, expansion, k).select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank", none.alias("ranks"))
@@ -67,12 +75,15 @@ class Engine:
             depth = retrieval.DEPTH if mode == "hybrid" else k
             lists = {}
             if mode in ("bm25", "hybrid"):
-                lists["bm25"] = retrieval.bm25(self.docs, one, expansion, depth, self.index, self.analyse, wanted)
+                lists["bm25"] = retrieval.bm25(state, one, expansion, depth, self.index, self.analyse, wanted)
             if mode in ("knn", "hybrid"):
-                lists["knn"] = retrieval.knn(self.docs, one, expansion, depth, wanted, self.vectors)
+                lists["knn"] = retrieval.knn(state, one, expansion, depth, wanted, self.vectors)
             hits = retrieval.fuse(lists, k) if mode == "hybrid" else next(iter(lists.values())).withColumn("ranks", F.create_map(F.lit(mode), "rank"))
-        ok = retrieval.checked(hits, self.docs, one, graph.held(expansion)).filter("status = 'ok'")
-        text = self.docs.select("doc_id", "title", "url", "body")
+        # The hits are found; what holds now decides, of documents and of permissions.
+        hits = cut(hits, "hits")
+        now = self.docs
+        ok = retrieval.checked(hits, now, one, graph.held(self.expansion(user))).filter("status = 'ok'")
+        text = now.select("doc_id", "title", "url", "body")
         words = tokens(F.lit(query))
         return ok.join(text, "doc_id").select("doc_id", "rank", "score", "ranks", "title", "url", "matched", "fresh_ms", passages()(F.col("body"), words).alias("snippet")).orderBy("rank")
 

@@ -93,12 +93,15 @@ def expand(edges: DataFrame, users: DataFrame, steps: int = MOST_STEPS, strict:
 
 
 def truth(edges: DataFrame, users: DataFrame, most: int = 64) -> DataFrame:
-    """(user, principal) by the plain closure: no cap on steps but most, no special kinds. Held against expand."""
-    roots = users.select(F.col("user").alias("root")).distinct()
-    mine = reach(edges, roots, most, leaves=False).select(F.col("root").alias("user"), "principal")
-    all_ = reach(edges, edges.sparkSession.createDataFrame([(EVERYONE,)], "root string"), most, leaves=False)
-    every = _to_all(users.select("user").distinct(), all_).select("user", "principal")
-    return mine.union(every).distinct()
+    """(user, principal) by the plain closure: no cap on steps but most, no special kinds. Held against expand. What a user's own targets reach is found once for each target, whatever the number of its members."""
+    present = edges.filter("present").select("src", "dst")
+    users = users.select("user").distinct()
+    direct = users.join(present, users.user == present.src).select("user", F.col("dst").alias("root"))
+    everyone = edges.sparkSession.createDataFrame([(EVERYONE,)], "root string")
+    reached = reach(edges, direct.select("root").union(everyone), most, leaves=False)
+    mine = direct.join(reached, "root").select("user", "principal")
+    every = _to_all(users, reached.filter(F.col("root") == EVERYONE)).select("user", "principal")
+    return users.select("user", F.col("user").alias("principal")).union(mine).union(every).distinct()
 
 
 def held(expansion: DataFrame) -> DataFrame:

@@ -294,13 +294,36 @@ def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PURGE_SQL = with_(fx.DOCS) + "SELECT container, count(*) AS n FROM docs WHERE container IS DISTINCT FROM 'src3' GROUP BY container"
 
+def schema_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state table that three versions of a program have written, each with one column more, a third of the log each."""
+    from ..streaming.store import Table
+
+    path, kinds = scratch(spark, "versions"), ["id string", "version long", "title string", "body string"]
+    events = fx.doc_events(spark, sf_dir).filter("op = 'upsert'")
+    most = events.agg(F.max("off")).first()[0] or 0
+    for part in range(3):
+        own = events.filter(F.floor(F.col("off") * 3 / F.lit(most + 1)) == part)
+        names = [k.split()[0] for k in kinds[1 : part + 2]]
+        rows = own.groupBy("id").agg(F.max_by(F.struct(*names), "off").alias("r")).select("id", "r.*")
+        table = Table(spark, path, ["id"], ", ".join(kinds[: part + 2]))
+        table.upsert(rows, part)
+    return table.read()
+
+
+SCHEMA_SQL = (
+    with_(fx.DOC_EVENTS)
+    + """, parts AS (SELECT *, floor(off * 3 / (max(off) OVER () + 1)) AS part FROM doc_events WHERE op = 'upsert')
+SELECT id, version, CASE WHEN part >= 1 THEN title END AS title, CASE WHEN part >= 2 THEN body END AS body FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY off DESC) AS r FROM parts) WHERE r = 1"""
+)
+
+
 QUERIES = {
     "q_fold_state": fold_state, "q_fold_discards": fold_discards, "q_expected_applies": expected_applies, "q_replay_noop": replay_noop, "q_content_hash": content_hashes, "q_embed_text": embed_texts,
     "q_embed_backlog": embed_backlog, "q_vector_cas": vector_cas, "q_freshness": freshness, "q_converge": chaos_convergence, "q_stream_fold": stream_fold, "q_stream_replay": stream_replay,
-    "q_keyed_fold": keyed_fold, "q_keyed_counts": keyed_counts, "q_dlq_quarantine": dead_letters, "q_dump_round_trip": dump_round_trip, "q_dedup_ttl": dedup_ttl, "q_purge": purged,
+    "q_keyed_fold": keyed_fold, "q_keyed_counts": keyed_counts, "q_dlq_quarantine": dead_letters, "q_dump_round_trip": dump_round_trip, "q_dedup_ttl": dedup_ttl, "q_purge": purged, "q_schema_log": schema_log,
 }
 ORACLE_SQL = {
     "q_fold_state": STATE_SQL, "q_fold_discards": DISCARDS_SQL, "q_expected_applies": EXPECTED_SQL, "q_replay_noop": REPLAY_SQL, "q_content_hash": CONTENT_SQL, "q_embed_text": EMBED_TEXT_SQL,
     "q_embed_backlog": BACKLOG_SQL, "q_vector_cas": CAS_SQL, "q_freshness": FRESH_SQL, "q_converge": CHAOS_SQL, "q_stream_fold": STATE_SQL, "q_stream_replay": STREAM_REPLAY_SQL,
-    "q_keyed_fold": STATE_SQL, "q_keyed_counts": KEYED_SQL, "q_dlq_quarantine": DLQ_SQL, "q_dump_round_trip": DUMP_SQL, "q_dedup_ttl": DEDUP_SQL, "q_purge": PURGE_SQL,
+    "q_keyed_fold": STATE_SQL, "q_keyed_counts": KEYED_SQL, "q_dlq_quarantine": DLQ_SQL, "q_dump_round_trip": DUMP_SQL, "q_dedup_ttl": DEDUP_SQL, "q_purge": PURGE_SQL, "q_schema_log": SCHEMA_SQL,
 }

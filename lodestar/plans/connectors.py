@@ -1,13 +1,14 @@
-"""Queries on what comes from sources: deliveries, writers, cursors."""
+"""Queries on what comes from sources and goes to sinks: deliveries, a log, links, results; and vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import epoch_ms, signer
+from ..functions import vectors
+from ..functions.scalar import epoch_ms, is_project_key, next_link, signer
 from ..session import scratch, table
-from ..sources import log
+from ..sources import dumps, log
 from ..streaming import deliveries
 
 SECRET = "a shared secret"
@@ -90,5 +91,39 @@ def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOG_SQL = "SELECT 'doc:' || user_id AS key, props AS value, event_id AS ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events"
 
-QUERIES = {"q_signatures": signatures, "q_deliveries": delivered, "q_log_round_trip": log_round_trip}
-ORACLE_SQL = {"q_signatures": SIGNATURES_SQL, "q_deliveries": DELIVERED_SQL, "q_log_round_trip": LOG_SQL}
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next page that a header names, and whether a text is a project's key, of headers and keys made of events."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    last = F.concat(F.lit("<http://x/?page="), i, F.lit('>; rel="last"'))
+    following = F.concat(F.lit("<http://x/?page="), i, F.lit('&k=1>; rel="next"'))
+    header = F.when(F.col("event_id") % 3 == 0, last).when(F.col("event_id") % 3 == 1, following).otherwise(F.concat(last, F.lit(", "), following))
+    key = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.upper("event_type"), F.lit("-"), i))
+    return e.select("event_id", next_link(header).alias("following"), is_project_key(key).alias("is_key"))
+
+
+LINKS_SQL = "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'http://x/?page=' || event_id || '&k=1' END AS following, event_id % 2 = 0 AS is_key FROM events"
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot product and cosine of each vector and the next one, and the length of the first one normalised."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    j = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    a, b = F.col("embedding"), F.col("other")
+    return j.select("vec_id", F.round(vectors.dot(a, b), 6).alias("dot"), F.round(vectors.cosine(a, b), 6).alias("cosine"), F.round(vectors.norm(vectors.normalised(a)), 6).alias("length"))
+
+
+VECTORS_SQL = """SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dot,
+  round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine, 1.0::DOUBLE AS length FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that were written as JSON lines, read back."""
+    path = scratch(spark, "results")
+    dumps.write_results(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first")), path)
+    return spark.read.schema("event_type string, n long, first long").json(path)
+
+
+RESULTS_SQL = "SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY event_type"
+
+QUERIES = {"q_signatures": signatures, "q_deliveries": delivered, "q_log_round_trip": log_round_trip, "q_links": links, "q_vectors": vector_pairs, "q_results": results}
+ORACLE_SQL = {"q_signatures": SIGNATURES_SQL, "q_deliveries": DELIVERED_SQL, "q_log_round_trip": LOG_SQL, "q_links": LINKS_SQL, "q_vectors": VECTORS_SQL, "q_results": RESULTS_SQL}

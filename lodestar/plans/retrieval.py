@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import tokens
+from ..functions.analysis import passages, standard, tokens
+from ..functions.scalar import seeded
 from ..operators import fold, graph, reports, retrieval
 from ..operators.postings import Index
 from ..operators.proximity import VectorIndex
@@ -321,9 +322,13 @@ WHERE a.doc_id % 7 = 0 AND NOT a.deleted AND NOT b.deleted"""
 )
 
 
-def _eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _eval(spark: SparkSession, sf_dir: str, most: int | None = None, seed: int = 42) -> DataFrame:
+    """most: how many of the labels are asked, picked by the seed; all, if None."""
     docs = fx.docs(spark, sf_dir)
-    labels = cut(duplicate_labels(spark, sf_dir), "labels")
+    labels = duplicate_labels(spark, sf_dir)
+    if most is not None:
+        labels = labels.orderBy(seeded(seed, "doc_id"), "doc_id").limit(most)
+    labels = cut(labels, "labels")
     v = docs.select("doc_id", F.col("embedding").alias("vector"))
     searches = cut(labels.join(v, "doc_id").select(F.col("doc_id").alias("query_id"), F.lit("u:eval").alias("user"), F.array_join(tokens(F.col("title")), " ").alias("query"), "vector"), "searches")
     bm, kn = cut(retrieval.bm25(docs, searches, None), "bm25"), cut(retrieval.knn(docs, searches, None), "knn")
@@ -363,6 +368,16 @@ metrics AS (
   FROM each GROUP BY GROUPING SETS ((mode), (mode, datasource)))"""
 )
 EVAL_SQL = _EVAL + " SELECT * FROM metrics"
+#: Labels that a sampled evaluation asks.
+SAMPLED = 50
+
+
+def eval_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a seeded sample of the labels."""
+    return _eval(spark, sf_dir, SAMPLED)
+
+
+SAMPLED_SQL = _EVAL.replace("labels_ AS (", "every_label AS (", 1).replace("GROUP BY a.doc_id, a.datasource)", f"GROUP BY a.doc_id, a.datasource),\nlabels_ AS (SELECT * FROM every_label ORDER BY md5('42|' || doc_id), doc_id LIMIT {SAMPLED})", 1) + " SELECT * FROM metrics"
 
 
 def eval_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,6 +395,20 @@ def _lift(c: str) -> str:
 LIFT_SQL = _EVAL + f" SELECT {_lift('mrr_at_10')}, {_lift('ndcg_at_5')}, {_lift('recall_at_10')} FROM metrics h, metrics b WHERE h.mode = 'hybrid' AND b.mode = 'bm25' AND h.datasource IS NULL AND b.datasource IS NULL"
 
 
+def hit_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best passage of each search's ten best documents. Held against all passages in tests."""
+    docs, searches, _, _ = _inputs(spark, sf_dir)
+    hits = index_of(spark, sf_dir).search(searches, None, 10)
+    j = hits.join(searches.select("query_id", "query"), "query_id").join(docs.select("doc_id", "body"), "doc_id")
+    return j.select("query_id", "doc_id", passages()(F.col("body"), tokens(F.col("query"))).alias("passage"))
+
+
+def standard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words and different words Unicode boundaries give each document. Held against the plain rules in tests."""
+    words = fx.docs(spark, sf_dir, vectors=False).select("doc_id", standard(F.col("body")).alias("w"))
+    return words.select("doc_id", F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("distinct"))
+
+
 def hybrid_of_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words alone over the state that the changelog folds to, whoever asks: the write path and the read path in one plan."""
     state = fold.fold(fx.doc_events(spark, sf_dir))
@@ -400,9 +429,9 @@ asked AS (SELECT title AS query_id, 'u:eval' AS usr, regexp_extract_all(lower(ti
 
 QUERIES = {
     "q_hybrid_rrf": hybrid, "q_bm25": bm25, "q_bm25_filtered": bm25_filtered, "q_bm25_index": bm25_index, "q_bm25_index_filtered": bm25_index_filtered, "q_bm25_updated": bm25_updated, "q_hybrid_index": hybrid_index, "q_knn": knn, "q_knn_filtered": knn_filtered, "q_knn_graph": knn_graph, "q_knn_graph_updated": knn_graph_updated, "q_knn_graph_recall": knn_graph_recall, "q_matched": matched, "q_leaks": leaks, "q_explain": explained, "q_browse": browse,
-    "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_named_duplicates": named_duplicates, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_state_search": hybrid_of_state,
+    "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_named_duplicates": named_duplicates, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_eval_sampled": eval_sampled, "q_passages": hit_passages, "q_standard_words": standard_words, "q_state_search": hybrid_of_state,
 }
 ORACLE_SQL = {
     "q_hybrid_rrf": HYBRID_SQL, "q_bm25": BM25_SQL, "q_bm25_filtered": BM25_FILTERED_SQL, "q_bm25_index": BM25_SQL, "q_bm25_index_filtered": BM25_FILTERED_SQL, "q_bm25_updated": BM25_SQL, "q_hybrid_index": HYBRID_SQL, "q_knn": KNN_SQL, "q_knn_filtered": KNN_FILTERED_SQL, "q_knn_graph": KNN_SQL, "q_knn_graph_updated": KNN_SQL, "q_knn_graph_recall": KNN_RECALL_SQL, "q_matched": MATCHED_SQL, "q_leaks": LEAKS_SQL, "q_explain": EXPLAIN_SQL, "q_browse": BROWSE_SQL,
-    "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_named_duplicates": NAMED_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_state_search": STATE_SEARCH_SQL,
+    "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_named_duplicates": NAMED_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_eval_sampled": SAMPLED_SQL, "q_state_search": STATE_SEARCH_SQL,
 }

@@ -199,7 +199,7 @@ def slack_memberships(raw: DataFrame, people: DataFrame, channels: DataFrame) ->
 
 # Containers.
 
-#: Teams of a company at most.
+#: Teams that go to every container as one array; more go in several.
 MOST_TEAMS = 2000
 
 
@@ -211,14 +211,18 @@ def container_edges(containers: DataFrame, known: DataFrame, teams: DataFrame) -
     restricted = (F.col("visibility") == "restricted") | auto & (F.col("h") % 100 >= 55)
     dst = F.concat(F.lit("c:"), "id")
     out = new.filter(public).select(F.lit(EVERYONE).alias("src"), dst.alias("dst"))
-    # Teams are a stated set: as one array, whose length is checked, they go to every container.
-    listed = teams.select("team", "topic").limit(MOST_TEAMS + 1).collect()
-    if len(listed) > MOST_TEAMS:
-        raise ValueError(f"more than {MOST_TEAMS} teams")
-    every = F.array(*[F.struct(F.lit(t.team).alias("team"), F.lit(t.topic).alias("topic")) for t in listed]) if listed else F.array().cast("array<struct<team:string,topic:string>>")
-    r = new.filter(restricted).select("id", (1 + F.col("h") % 3).cast("int").alias("most"), F.explode(every).alias("t")).select("id", "most", "t.*")
+    restricted_ = new.filter(restricted).select("id", (1 + F.col("h") % 3).cast("int").alias("most"))
     w = Window.partitionBy("id").orderBy(F.desc("fits"), seeded("id", "team"), "team")
+    groups, best = max(1, -(-teams.count() // MOST_TEAMS)), None
+    for g in range(groups):
+        # A part of the teams, as an array of bounded length; of each part the best three of a container at most go on.
+        listed = teams.select("team", "topic").filter(F.pmod(F.xxhash64("team"), F.lit(groups)) == g).collect()
+        every = F.array(*[F.struct(F.lit(t.team).alias("team"), F.lit(t.topic).alias("topic")) for t in listed]) if listed else F.array().cast("array<struct<team:string,topic:string>>")
+        part = restricted_.select("id", "most", F.explode(every).alias("t")).select("id", "most", "t.*")
+        part = part.groupBy("id", "most", "team").agg(F.max(F.contains(F.lower("id"), F.lower("topic"))).alias("fits"))
+        part = part.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.col("most")).drop("place")
+        best = part if best is None else best.unionByName(part)
     topical = F.max("fits").over(Window.partitionBy("id"))
-    r = r.groupBy("id", "most", "team").agg(F.max(F.contains(F.lower("id"), F.lower("topic"))).alias("fits")).withColumn("any", topical).withColumn("place", F.row_number().over(w))
+    r = best.withColumn("any", topical).withColumn("place", F.row_number().over(w))
     r = r.filter((F.col("place") <= F.col("most")) & (F.col("fits") | ~F.col("any")))
     return out.unionByName(r.select(F.concat(F.lit("g:"), "team").alias("src"), F.concat(F.lit("c:"), "id").alias("dst")))

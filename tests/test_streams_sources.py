@@ -301,6 +301,36 @@ def test_revoke_is_seen_by_the_next_search(spark):
     assert e.search("a", "deploy").count() == 0 and e.explain("a", "d1").first().status == "unheld"
 
 
+def test_deletes_and_poison_are_seen_by_the_next_search(spark, tmp_path):
+    from lodestar.plans.changelog import records
+    from lodestar.streaming.pipelines import Documents
+
+    def event(off, n, op, version, text="deploy it"):
+        return (f"doc:{n}", off, op, version, 0, 0, "live", 1000 + off, "feed", "src1", "message", text, "body", "", "", "", ["c:x"], [], None)
+
+    kind = "id string, off long, op string, version long, src_ts_ms long, emit_ts_ms long, mode string, at_ms long, datasource string, container string, kind string, title string, body string, url string, author string, parent_id string, allowed array<string>, labels array<string>, updated_at timestamp"
+    docs = Documents(spark, f"file://{tmp_path}/d", now_ms=lambda: 0)
+    edges = graph.latest(spark.createDataFrame([("u:a", "c:x", True, 1, 0, 0)], "src string, dst string, present boolean, version long, src_ts_ms long, off long"))
+    seen = []
+    steps = [[event(i, i, "upsert", 1) for i in range(4)], [event(10, 0, "delete", 2)], [event(11, 1, "poison", None)], [event(12, 2, "upsert", 2, "other words")]]
+    for n, step in enumerate(steps):
+        docs.batch(records(spark.createDataFrame(step, kind)), n)
+        seen.append(sorted(h.doc_id for h in Engine(docs.read, edges).search("a", "deploy").collect()))
+    assert seen == [["doc:0", "doc:1", "doc:2", "doc:3"], ["doc:1", "doc:2", "doc:3"], ["doc:2", "doc:3"], ["doc:3"]]
+    # What is hidden between the search and its check isn't shown.
+    states = iter([docs.read(), docs.read(), docs.read().withColumn("deleted", F.col("id") == "doc:3")])
+    assert Engine(lambda: next(states), edges).search("a", "deploy").count() == 0
+
+
+def test_more_teams_than_one_array_holds(spark, monkeypatch):
+    c = spark.createDataFrame([(f"room-{i}-{'api' if i % 3 else 'none'}", "restricted") for i in range(20)], "id string, visibility string")
+    teams = spark.createDataFrame([(f"t{i}", "api" if i % 5 == 0 else f"topic{i}") for i in range(30)], "team string, topic string")
+    known = spark.createDataFrame([], "id string")
+    want = sorted(map(tuple, mappings.container_edges(c, known, teams).collect()))
+    monkeypatch.setattr(mappings, "MOST_TEAMS", 7)
+    assert want and sorted(map(tuple, mappings.container_edges(c, known, teams).collect())) == want
+
+
 def test_written_index(spark, tmp_path):
     from lodestar.operators import postings, retrieval
 

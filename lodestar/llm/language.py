@@ -1,7 +1,7 @@
 """Language ID: words first, then shorter and shorter runs of characters.
 
 1. All words of the training documents are counted by language: all documents with a language whose crc32(doc_id as text) modulo 5 isn't 0. Runs of 1 to LONGEST characters of these words, with a sign for either end, are counted from the words' counts.
-2. The lexicon holds the words of the greatest share of a language, the tables of runs those of each length likewise. Their sizes are bounded (LEXICON words and GRAMS runs of each length, fewer if there are so many languages that CELLS scores wouldn't do); words beyond the bound are scored as unseen ones are.
+2. The lexicon holds the words of the greatest share of a language, the tables of runs those of each length likewise: all words from a step of a scale of shares on, so that they are as many as the bound allows at most (LEXICON words and GRAMS runs of each length, fewer if there are so many languages that CELLS scores wouldn't do). Words beyond it are scored as unseen ones are.
 3. A known word scores, in each language, the logarithm of its share, or the price of absence in languages that lack it. A word that no language knows scores the mean of its longest runs that some language knows: of LONGEST characters, else of one less, and so on; without any it says nothing. A text's score is the sum over its words and the logarithm of the language's share of the words; the probability of the best language is returned.
 
 Words are runs of Unicode letters, in lower case. Texts without a letter, null and empty ones are `und` with score 0, and so are all where no language could be learned. Equal scores go to the language that comes first by name. Repeated rows each give a row; an empty table gives an empty result; very long texts are read whole, some megabytes at a time, cut between words. lang, source and doc_id are no inputs of a prediction, and other columns aren't read.
@@ -21,6 +21,8 @@ from . import common
 
 #: Words of the lexicon, runs of each length, the longest run, and scores (words or runs times languages) at most.
 LEXICON, GRAMS, LONGEST, CELLS = 200_000, 100_000, 5, 4_000_000
+#: Steps of the scale of shares in a power of two.
+STEPS = 64
 #: Bytes of text whose words are held at once.
 PIECE = 4 << 20
 UNKNOWN = "und"
@@ -176,13 +178,23 @@ class Model:
         return [self.langs[b] if x else UNKNOWN for b, x in zip(best, letters, strict=True)], score
 
 
-def _largest(counts: DataFrame, by: list[str], totals: dict[str, int], most: int) -> pa.Table:
-    """Of the words or runs of counts (by, lang, n), most of them with the greatest share of a language: their langs and counts."""
-    # A row for each language: sent to the tasks with the plan.
-    share = F.col("n") / F.try_element_at(F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(float(max(1, n))))]), F.col("lang"))
-    grouped = counts.withColumn("share", share).groupBy(*by).agg(F.max("share").alias("share"), F.collect_list(F.struct("lang", "n")).alias("seen"))
-    top = grouped.orderBy(F.desc("share"), *by).limit(most)
-    return top.select(*by, F.posexplode("seen")).select(*by, "pos", "col.lang", "col.n").toArrow()
+def _shares(counts: DataFrame, by: list[str], totals: dict[str, int]) -> DataFrame:
+    """Of each word or run of counts (by, lang, key, n) its langs and counts (seen), and the place of its greatest share of a language on a scale of STEPS steps a power of two; written. totals: of each key (a language, or a size and a language) how many there are."""
+    # A row for each language and size: sent to the tasks with the plan.
+    whole = F.try_element_at(F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(float(max(1, n))))]), F.col("key"))
+    place = F.floor(F.log2(F.max(F.col("n") / whole)) * STEPS).cast("long")
+    return common.saved(counts.groupBy(*by).agg(place.alias("place"), F.collect_list(F.struct("lang", "n")).alias("seen")), "shares")
+
+
+def _kept(shares: DataFrame, most: int) -> DataFrame:
+    """(name, lang, n) of the words or runs (name) with the greatest shares: whole places of the scale, as many as hold most at the most. No task sees more than its own rows."""
+    held, least = 0, None
+    for place, n in sorted(shares.groupBy("place").count().collect(), reverse=True):  # some thousand places at most
+        if held + n > most:
+            break
+        held, least = held + n, place
+    chosen = shares.filter(F.lit(False)) if least is None else shares.filter(F.col("place") >= least)
+    return chosen.select("name", F.explode("seen").alias("x")).select("name", "x.lang", "x.n")
 
 
 def train(docs: DataFrame, lexicon: int = LEXICON, grams: int = GRAMS, longest: int = LONGEST) -> Model:
@@ -193,19 +205,20 @@ def train(docs: DataFrame, lexicon: int = LEXICON, grams: int = GRAMS, longest:
     if not totals:
         return model
     most = max(1, CELLS // len(totals))
-    table = _largest(counts, ["word"], totals, min(lexicon, most))
-    coded = table.column("word").combine_chunks().dictionary_encode()
+    shares = _shares(counts.withColumn("key", F.col("lang")), ["word"], totals).withColumnRenamed("word", "name")
+    table = _kept(shares, min(lexicon, most)).toArrow()
+    coded = table.column("name").combine_chunks().dictionary_encode()
     model.words = coded.dictionary.cast(pa.large_string())
     model.word_scores = model.scores(coded.indices.to_numpy(), table.column("lang").to_pylist(), table.column("n").to_numpy(), len(model.words), totals)
-    found = common.saved(run_counts(counts, longest), "runs")
-    whole = {(r["size"], r.lang): r.n for r in found.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}  # longest rows for each language
+    found = common.saved(run_counts(counts, longest), "runs").withColumn("key", F.concat_ws(":", "size", "lang"))
+    whole = {r.key: r.n for r in found.groupBy("key").agg(F.sum("n").alias("n")).collect()}  # longest rows for each language
+    shares = _shares(found, ["size", "run"], whole).withColumnRenamed("run", "name")
     for size in range(1, longest + 1):
-        own = {lang: n for (s, lang), n in whole.items() if s == size}
-        if not own:
-            continue
-        table = _largest(found.filter(F.col("size") == size).drop("size"), ["run"], own, min(grams, most))
-        keys, at = np.unique(table.column("run").to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
-        model.runs[size] = keys, model.scores(at, table.column("lang").to_pylist(), table.column("n").to_numpy(), len(keys), own)
+        table = _kept(shares.filter(F.col("size") == size), min(grams, most)).toArrow()
+        own = {lang: whole[f"{size}:{lang}"] for lang in totals if f"{size}:{lang}" in whole}
+        if own:
+            keys, at = np.unique(table.column("name").to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
+            model.runs[size] = keys, model.scores(at, table.column("lang").to_pylist(), table.column("n").to_numpy(), len(keys), own)
     return model
 
 

@@ -50,17 +50,25 @@ def plain(rows, lexicon, grams, longest):
                 for lang, x in c.items():
                     runs[n][padded[i : i + n]][lang] += x
 
-    def table(found, most, cut):
+    def table(found, most):
         whole = Counter()
         for c in found.values():
             whole.update(c)
         least = -(math.log(max(whole.values())) + 1)
-        assert not cut or len(found) > most
-        kept = found if not cut else dict(sorted(found.items(), key=lambda x: (-max(v / whole[k] for k, v in x[1].items()), x[0]))[:most])
-        return {w: {k: math.log(c[k] / whole[k]) if k in c else least for k in totals} for w, c in kept.items()}
-
-    words = table(counts, lexicon, len(counts) > lexicon)
-    tables = {n: table(r, grams, False) for n, r in runs.items()}
+        place = {w: math.floor(math.log2(max(v / whole[k] for k, v in c.items())) * language.STEPS) for w, c in found.items()}
+        # Whole steps of the scale, as many as hold at most `most`.
+        kept, n = set(), 0
+        for p in sorted(set(place.values()), reverse=True):
+            own = {w for w in place if place[w] == p}
+            if n + len(own) > most:
+                break
+            kept |= own
+            n += len(own)
+        return {w: {k: math.log(c[k] / whole[k]) if k in c else least for k in totals} for w, c in found.items() if w in kept}
+
+    words = table(counts, lexicon)
+    assert 0 < len(words) <= lexicon and (len(words) == len(counts) or lexicon < len(counts))
+    tables = {n: table(r, grams) for n, r in runs.items()}
 
     def score(text):
         out = {k: math.log(v / sum(totals.values())) for k, v in totals.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import passages, standard, tokens
 from ..functions.scalar import seeded
 from ..operators import fold, graph, reports, retrieval
+from ..operators.closure import Closure
 from ..operators.postings import Index
 from ..operators.proximity import VectorIndex
 from ..session import cut, scratch, table
@@ -94,14 +95,33 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
     return _indexes[key]
 
 
+_closures: dict[tuple[str, str], Closure] = {}
+
+
+def closure_of(spark: SparkSession, sf_dir: str) -> Closure:
+    """The kept expansions of a folder's graph: built by the first query of a session that asks for them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _closures:
+        kept = Closure(spark, scratch(spark, "closure"), buckets=16)
+        kept.apply(edges_of(spark, sf_dir), 0)
+        _closures[key] = kept
+    return _closures[key]
+
+
+def _kept_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Searches, and what their users hold by the kept expansions."""
+    searches = fx.searches(spark, sf_dir)
+    return searches, cut(closure_of(spark, sf_dir).expansion(searches.select("user"), strict=False), "expansion")
+
+
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the written index: no text is read."""
-    _, searches, held, _ = _inputs(spark, sf_dir)
+    """The same over the written index, for users as the kept expansions have them: no text is read."""
+    searches, held = _kept_inputs(spark, sf_dir)
     return index_of(spark, sf_dir).search(searches, held)
 
 
 def bm25_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, searches, held, _ = _inputs(spark, sf_dir)
+    searches, held = _kept_inputs(spark, sf_dir)
     return index_of(spark, sf_dir).search(searches, held, wanted={"datasource": ["en", "de"], "kind": ["issue", "pull_request"]})
 
 
@@ -156,7 +176,7 @@ def graphs_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
 
 
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, searches, held, _ = _inputs(spark, sf_dir)
+    searches, held = _kept_inputs(spark, sf_dir)
     return graphs_of(spark, sf_dir).search(searches, held)
 
 
@@ -202,9 +222,9 @@ HYBRID_SQL = _FUSED + " SELECT query_id, doc_id, score, rank, ranks FROM hybrid"
 
 
 def hybrid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the words' list from the written index."""
-    docs, searches, held, _ = _inputs(spark, sf_dir)
-    hits = retrieval.fuse({"bm25": index_of(spark, sf_dir).search(searches, held), "knn": retrieval.knn(docs, searches, held)})
+    """The same from the written index, the written graphs and the kept expansions."""
+    searches, held = _kept_inputs(spark, sf_dir)
+    hits = retrieval.fuse({"bm25": index_of(spark, sf_dir).search(searches, held), "knn": graphs_of(spark, sf_dir).search(searches, held)})
     ranks = F.array_join(F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return hits.select("query_id", "doc_id", "score", "rank", ranks.alias("ranks"))
 

@@ -35,7 +35,7 @@ SPACE = " \t\n\v\f\r"
 WORD = re.compile(r"[^ \t\n\v\f\r]+")
 NEXT = re.compile(r"[ \t\n\v\f\r]*([^ \t\n\v\f\r]*)")
 LOWER = {c: c + 32 for c in range(65, 91)}
-GROUP = re.compile(r"[\w.()\[\]@+/*#-]+")
+GROUP = re.compile(r"[\w.:()\[\]@+/*#-]+")
 #: Texts that can hold any of them, for Arrow's linear-time matcher.
 ANY = r"@|[0-9] ?[0-9]|[0-9][^\s]*[0-9]|\+[0-9]"
 

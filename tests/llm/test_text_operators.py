@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, decontaminate, pii, quality, secrets, shards, toxicity
+from lodestar.llm import bpe, chat, common, decontaminate, pii, quality, secrets, shards, toxicity
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "plain words here"), (4, "plain words here"), (None, "no id")]
 
@@ -503,3 +504,59 @@ def test_columns_that_clash(spark, tmp_path):
     scored = quality.score(df, quality.train(df, labels))
     assert {f.name: f.dataType.simpleString() for f in scored.schema.fields}["score"] == "double" and scored.count() == 2
     assert quality.kept(df, quality.train(df, labels)).columns == df.columns
+
+
+def test_common_words_point_at_nothing(spark):
+    """Six seeds follow "of the", which 200 other words follow as well; each seed follows "call me"."""
+    rows = [(i, f"of the +1 555 010{i:04d} call me +1 555 010{i:04d} today") for i in range(6)] + [(100 + i, f"of the thing{i} call") for i in range(200)]
+    bits, _ = pii.pointing(table(spark, rows))
+    word = lambda w: next(common.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])))[2]
+    known = lambda a, b: bool(pii._known(bits, pii._pair(word(a), word(b)))[0])
+    assert known("call", "me") and not known("of", "the")
+    # With a tenth of the occurrences they point.
+    bits, _ = pii.pointing(table(spark, rows[: 6 + 54]))
+    assert known("of", "the")
+    bits, _ = pii.pointing(table(spark, rows[: 6 + 55]))
+    assert not known("of", "the")
+
+
+def test_two_words_before_against_plain_words():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "B", "é", "x:", "^", "_"]) for _ in range(rng.randint(0, 6))) + rng.choice(["", " ", "\n", "\xa0"]) for _ in range(300)] + [None, "", " "]
+    word = lambda w: next(common.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])))[2]
+    got = {}
+    for row, first, pairs in pii._two_before(*common.text_buffers(pa.array(texts))):
+        got |= {row + r: pairs[first[r] : first[r + 1]].tolist() for r in range(len(first) - 1)}
+    for i, t in enumerate(texts):
+        w = ["^", "^"] + [m[0].translate(pii.LOWER) for m in pii.WORD.finditer(t or "")]
+        assert got[i] == [int(pii._pair(word(a), word(b))[0]) for a, b in zip(w[:-2], w[1:-1], strict=True)]
+
+
+def test_planted_identifiers_of_five_kinds(spark):
+    """Identifiers that no base pattern matches, in texts of the given table, with the contexts of seeds: recall, and precision of all that is found."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = {
+        "please call me on {} after": (lambda: f"+44 20 {digits(4)} {digits(4)}", lambda: f"(020) {digits(4)} {digits(4)}"),
+        "my mail is {} or": (lambda: f"user{digits(4)}@mail.example", lambda: f"user{digits(4)} at mail dot example"),
+        "logged in from {} at": (lambda: f"10.{digits(2)}.{digits(2)}.7", lambda: f"fe80::{digits(4)}:{digits(4)}:a1"),
+        "paid by card {} on": (lambda: "4111 1111 1111 1111", lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} 00"),
+        "text us at {} any": (lambda: f"+1 555 {digits(3)} {digits(4)}", lambda: f"555/{digits(7)}"),
+    }
+    rows, where = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()], {}
+    free = iter(rng.sample([i for i, (_, t) in enumerate(rows) if t], 5 * 50))
+    cards = iter(c for n in range(10_000) if pii.luhn(c := f"411111111111{n:04d}"))
+    for context, (seed, hidden) in kinds.items():
+        for n in range(50):
+            i = next(free)
+            d, t = rows[i]
+            x = (next(cards) if "card" in context else seed()) if n < 40 else hidden()
+            lead = t + " " + context.split("{")[0]
+            rows[i] = d, lead + x + context.split("}")[1]
+            if n >= 40:
+                where[d] = (len(lead), len(lead) + len(x))
+    got = {r.doc_id: {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("found")} for r in pii.find_personal_data(table(spark, rows)).collect()}
+    right = sum(where[d] in got[d] for d in where)
+    recall, precision = right / len(where), right / max(1, sum(map(len, got.values())))
+    print(f"planted identifiers: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9

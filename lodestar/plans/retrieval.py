@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import passages, standard, tokens
+from ..functions.analysis import first_tokens, passages, standard, tokens
 from ..functions.scalar import seeded
-from ..operators import fold, graph, reports, retrieval
+from ..operators import fold, graph, reports, retrieval, trials
 from ..operators.closure import Closure
 from ..operators.postings import Index
 from ..operators.proximity import VectorIndex
@@ -415,6 +415,39 @@ def _lift(c: str) -> str:
 LIFT_SQL = _EVAL + f" SELECT {_lift('mrr_at_10')}, {_lift('ndcg_at_5')}, {_lift('recall_at_10')} FROM metrics h, metrics b WHERE h.mode = 'hybrid' AND b.mode = 'bm25' AND h.datasource IS NULL AND b.datasource IS NULL"
 
 
+#: When the rounds of the trials run.
+ROUNDS = [500, 1100, 1900]
+
+
+def revoke_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth document lies in a container of its own, which a group (of every third trial one beyond it) is granted; a user joins the group, searches the document's first words, and loses the membership or the grant again, some too late for the last round, some never."""
+    i, own = F.expr("doc_id div 20"), F.col("doc_id") % 20 == 0
+    name = lambda kind: F.concat(F.lit(kind), i.cast("string"))
+    docs = fx.docs(spark, sf_dir, vectors=False).withColumn("allowed", F.when(own, F.array(name("c:canary"))).otherwise(F.col("allowed")))
+    asked = cut(docs.filter(own).select(
+        i.alias("trial"), name("u:trial").alias("user"), "doc_id", first_tokens(F.col("body"), 8).alias("query"), name("g:trial").alias("team"), F.when(i % 3 == 0, name("g:wide")).alias("wide"), name("c:canary").alias("container"),
+        ((F.col("doc_id") * 7919) % 1000).alias("granted_ms"), F.when(i % 7 != 0, 1000 + (F.col("doc_id") * 31) % 1200).alias("revoked_ms"),
+    ), "trials")
+    edge = lambda src, dst, at, present: F.struct(src.alias("src"), dst.alias("dst"), F.lit(present).alias("present"), F.col(at).alias("sent_ms"))
+    user, team, wide, container = (F.col(c) for c in ("user", "team", "wide", "container"))
+    last = F.coalesce(wide, team)
+    sent = F.array(edge(user, team, "granted_ms", True), edge(team, last, "granted_ms", True), edge(last, container, "granted_ms", True), edge(F.when(F.col("trial") % 2 == 0, user).otherwise(last), F.when(F.col("trial") % 2 == 0, team).otherwise(container), "revoked_ms", False))
+    changes = asked.select(F.inline(sent)).filter("sent_ms is not null and src <> dst")
+    index = Index(spark, scratch(spark, "index"))
+    index.update(docs, 0)
+    return trials.latencies(asked, trials.probe(docs, asked, changes, Closure(spark, scratch(spark, "closure"), buckets=4), ROUNDS, index=index))
+
+
+REVOKE_TRIALS_SQL = (
+    with_(fx.DOCS).rstrip()
+    + rf""",
+t AS (SELECT doc_id // 20 AS trial, (doc_id * 7919) % 1000 AS g, CASE WHEN (doc_id // 20) % 7 <> 0 THEN 1000 + (doc_id * 31) % 1200 END AS r,
+  NOT deleted AND NOT quarantined AND len(regexp_extract_all(lower(coalesce(body, '')), '[\p{{L}}\p{{N}}]+')) > 0 AS there FROM docs WHERE doc_id % 20 = 0),
+p AS (SELECT trial, g, r, tick, there AND tick >= g AND (r IS NULL OR tick < r) AS seen FROM (SELECT *, unnest({ROUNDS}) AS tick FROM t))
+SELECT trial, min(tick) FILTER (seen) - g AS grant_ms, CASE WHEN bool_or(seen) THEN min(tick) FILTER (tick >= r) - r END AS revoke_ms, bool_or(seen) AND coalesce(r > {ROUNDS[-1]}, false) AS timed_out, 0 AS leaks FROM p GROUP BY trial, g, r"""
+)
+
+
 def hit_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best passage of each search's ten best documents. Held against all passages in tests."""
     docs, searches, _, _ = _inputs(spark, sf_dir)
@@ -449,9 +482,9 @@ asked AS (SELECT title AS query_id, 'u:eval' AS usr, regexp_extract_all(lower(ti
 
 QUERIES = {
     "q_hybrid_rrf": hybrid, "q_bm25": bm25, "q_bm25_filtered": bm25_filtered, "q_bm25_index": bm25_index, "q_bm25_index_filtered": bm25_index_filtered, "q_bm25_updated": bm25_updated, "q_hybrid_index": hybrid_index, "q_knn": knn, "q_knn_filtered": knn_filtered, "q_knn_graph": knn_graph, "q_knn_graph_updated": knn_graph_updated, "q_knn_graph_recall": knn_graph_recall, "q_matched": matched, "q_leaks": leaks, "q_explain": explained, "q_browse": browse,
-    "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_named_duplicates": named_duplicates, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_eval_sampled": eval_sampled, "q_passages": hit_passages, "q_standard_words": standard_words, "q_state_search": hybrid_of_state,
+    "q_postings": postings_totals, "q_duplicate_labels": duplicate_labels_out, "q_named_duplicates": named_duplicates, "q_eval_metrics": eval_metrics, "q_eval_lift": eval_lift, "q_eval_sampled": eval_sampled, "q_passages": hit_passages, "q_standard_words": standard_words, "q_state_search": hybrid_of_state, "q_revoke_trials": revoke_trials,
 }
 ORACLE_SQL = {
     "q_hybrid_rrf": HYBRID_SQL, "q_bm25": BM25_SQL, "q_bm25_filtered": BM25_FILTERED_SQL, "q_bm25_index": BM25_SQL, "q_bm25_index_filtered": BM25_FILTERED_SQL, "q_bm25_updated": BM25_SQL, "q_hybrid_index": HYBRID_SQL, "q_knn": KNN_SQL, "q_knn_filtered": KNN_FILTERED_SQL, "q_knn_graph": KNN_SQL, "q_knn_graph_updated": KNN_SQL, "q_knn_graph_recall": KNN_RECALL_SQL, "q_matched": MATCHED_SQL, "q_leaks": LEAKS_SQL, "q_explain": EXPLAIN_SQL, "q_browse": BROWSE_SQL,
-    "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_named_duplicates": NAMED_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_eval_sampled": SAMPLED_SQL, "q_state_search": STATE_SEARCH_SQL,
+    "q_postings": POSTINGS_SQL, "q_duplicate_labels": LABELS_SQL, "q_named_duplicates": NAMED_SQL, "q_eval_metrics": EVAL_SQL, "q_eval_lift": LIFT_SQL, "q_eval_sampled": SAMPLED_SQL, "q_state_search": STATE_SEARCH_SQL, "q_revoke_trials": REVOKE_TRIALS_SQL,
 }

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,4 +53,8 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """cut(), and the number of rows, which Spark counts while it writes."""
     seen = Observation()
     kept = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return kept, seen.get["n"]
+    try:
+        return kept, seen.get["n"]
+    except Py4JError:
+        # Spark saw that there are no rows before it ran anything, and dropped the observation.
+        return kept, kept.count()

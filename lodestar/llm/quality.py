@@ -2,7 +2,7 @@
 
 Each whole text becomes a row of statistics, computed in numpy over Arrow batches. The trees are fitted on the driver from a bounded sample of labelled rows (at most SAMPLE, those with the least hash of their doc_id), on histograms of quantile bins; they are flattened into arrays of features, thresholds and children, which the tasks traverse for all rows of a batch at once. Rows whose crc32(doc_id as text) modulo 5 is 0 are never used for fitting.
 
-Null and empty texts get the score of their (zero) statistics. Without labelled rows every score is 0.5; with one class only, near that class. Repeated rows each give a row. An empty table gives an empty result. Labels, lang, source and doc_id are no inputs of a score.
+Null and empty texts get the score of their (zero) statistics. Without labelled rows every score is 0.5; with one class only, near that class. Repeated rows each give a row. An empty table gives an empty result. Very long texts count whole; other columns are ignored. Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations

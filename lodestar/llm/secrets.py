@@ -7,7 +7,7 @@ Base spans come from three patterns over every whole text. Other tokens of 16 or
 
 Tokens that fail the battery get p = 1. Benjamini and Hochberg's procedure then holds the share of false discoveries at FDR within each class of lengths, over all documents: p-values are counted by class and bin (a fixed number of bins, on a scale of log10), and each class gets its own limit. Random tokens found so are added as spans of kind random; base spans stay.
 
-Null and empty texts have no spans; an empty table gives an empty result; repeated rows each give a row; other columns are ignored.
+Null and empty texts have no spans; an empty table gives an empty result; repeated rows each give a row; other columns are ignored. Very long texts are read whole, in memory that follows the longest one.
 """
 
 from __future__ import annotations

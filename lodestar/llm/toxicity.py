@@ -4,7 +4,7 @@
 2. Spans of any length that look disguised (digits or signs among letters, single letters with separators between, letters three times or more in a row) become lattices: a sign may be itself, a letter that it stands for, a repetition, or a separator that drops out or ends a word, each at a price. Viterbi finds the cheapest paths under channel and language model, of which each pair of last signs keeps BEST; the words of the BEST cheapest stand for the span.
 3. The restored text's distinct words and beginnings of words are scored by logistic regression. Its words are those whose share differs most (by z-score) between the labels in a bounded sample of labelled rows (at most SAMPLE, least hash of doc_id); rows whose crc32(doc_id as text) modulo 5 is 0 are never used.
 
-Nulls and empty texts have no words and get the score of the intercept. Without labelled rows, or with one class only, every score is the smoothed share of label 1. Repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
+Nulls and empty texts have no words and get the score of the intercept. Without labelled rows, or with one class only, every score is the smoothed share of label 1. Repeated rows each give a row; an empty table gives an empty result; other columns are ignored. Very long texts are scored whole, in memory that follows the longest one.
 """
 
 from __future__ import annotations

@@ -308,7 +308,7 @@ POSTINGS_SQL = with_(fx.DOCS, INDEX) + " SELECT p.field, count(*) AS postings, C
 
 def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, datasource, title, class, n_rel, first): documents whose text also occurs under n_rel smaller ids, of which first is the least. Both ends must be of one source and not deleted. A class stands for its members, so copies are never paired."""
-    d = fx.docs(spark, sf_dir).filter("not deleted").select("doc_id", "datasource", "title", F.sha2("body", 256).alias("h"))
+    d = fx.docs(spark, sf_dir, vectors=False).filter("not deleted").select("doc_id", "datasource", "title", F.sha2("body", 256).alias("h"))
     # Texts that occur once have no partner and stay out of the window.
     several = d.groupBy("h", "datasource").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").drop("n")
     place = F.row_number().over(Window.partitionBy("h", "datasource").orderBy("doc_id"))
@@ -330,7 +330,7 @@ LABELS_SQL = with_(fx.DOCS, LABELS) + " SELECT doc_id, datasource, title, len(re
 
 def named_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels from a field of the documents themselves: those that exist of what a document names as its duplicates, of the same source and not deleted. Every seventh document names the one with half its number and one that isn't there."""
-    d = fx.docs(spark, sf_dir).filter("not deleted")
+    d = fx.docs(spark, sf_dir, vectors=False).filter("not deleted")
     named = F.when(F.col("doc_id") % 7 == 0, F.array(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2).cast("string")), F.lit("d-1"))).otherwise(F.array().cast("array<string>"))
     return retrieval.named_duplicates(d.select("id", "datasource", named.alias("duplicates"))).select("id", "datasource", F.array_join("relevant", ",").alias("relevant"))
 
@@ -344,18 +344,22 @@ WHERE a.doc_id % 7 = 0 AND NOT a.deleted AND NOT b.deleted"""
 
 def _eval(spark: SparkSession, sf_dir: str, most: int | None = None, seed: int = 42) -> DataFrame:
     """most: how many of the labels are asked, picked by the seed; all, if None."""
-    docs = fx.docs(spark, sf_dir)
+    docs, texts = fx.docs(spark, sf_dir), fx.docs(spark, sf_dir, vectors=False)
     labels = duplicate_labels(spark, sf_dir)
     if most is not None:
         labels = labels.orderBy(seeded(seed, "doc_id"), "doc_id").limit(most)
     labels = cut(labels, "labels")
     v = docs.select("doc_id", F.col("embedding").alias("vector"))
     searches = cut(labels.join(v, "doc_id").select(F.col("doc_id").alias("query_id"), F.lit("u:eval").alias("user"), F.array_join(tokens(F.col("title")), " ").alias("query"), "vector"), "searches")
-    bm, kn = cut(retrieval.bm25(docs, searches, None), "bm25"), cut(retrieval.knn(docs, searches, None), "knn")
+    # Copies have one title: what it finds is found once.
+    same = searches.groupBy("query").agg(F.min("query_id").alias("asked"))
+    words = retrieval.bm25(texts, same.select(F.col("asked").alias("query_id"), F.lit("u:eval").alias("user"), "query"), None).withColumnRenamed("query_id", "asked")
+    words = words.join(searches.select("query_id", "query").join(same, "query").select("query_id", "asked"), "asked").select("query_id", "doc_id", "score", "rank")
+    bm, kn = cut(words, "bm25"), cut(retrieval.knn(docs, searches, None), "knn")
     single = lambda df, mode: df.filter("rank <= 11").select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank")
     hits = cut(single(bm, "bm25").unionByName(single(kn, "knn")).unionByName(single(retrieval.fuse({"bm25": bm, "knn": kn}, 11), "hybrid")), "hits")
     # A hit is relevant if it is of the query's class and has a smaller id: the class of each hit is looked up, copies aren't listed.
-    of = docs.filter("not deleted").select("doc_id", "datasource", F.sha2("body", 256).alias("class"))
+    of = texts.filter("not deleted").select("doc_id", "datasource", F.sha2("body", 256).alias("class"))
     asked = labels.select(F.col("doc_id").alias("query_id"), F.col("datasource").alias("q_datasource"), F.col("class").alias("q_class"))
     good = (F.col("class") == F.col("q_class")) & (F.col("datasource") == F.col("q_datasource")) & (F.col("doc_id") < F.col("query_id"))
     judged = hits.join(of, "doc_id", "left").join(asked, "query_id").select("mode", "query_id", "doc_id", "rank", F.coalesce(good, F.lit(False)).alias("good"))

@@ -1,6 +1,6 @@
 """The written index: postings in blocks with each block's greatest weight, and a scan that leaves out blocks which can't hold one of the best.
 
-Documents fall into segments of about SEGMENT by the hash of their id. A row of the index is a block: at most BLOCK postings of a term and field in a segment, by doc_id, with what permissions and filters need of these documents, and those pairs of count and length that give the block's greatest weight whatever the mean length is by then. Rows lie in folders by hash of the term, sorted by it, so a search reads the blocks of its own terms and nothing else, above all no text.
+Documents fall into segments of some thousands by the hash of their id, so that what a task holds of one is bounded whatever their number. A row of the index is a block: at most BLOCK postings of a term and field in a segment, by doc_id, with those pairs of count and length that give the block's greatest weight whatever the mean length is by then. What permissions and filters need of the documents is in one more row of each segment. Rows lie in folders by hash of the term, sorted by it, so a search reads the blocks of its own terms and nothing else, above all no text.
 
 update() adds a batch of changed documents under its number and says which older entries they replace; a batch done again changes nothing. Totals of lengths are kept by batch. compact() writes the same index without replaced entries.
 
@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import tokens
 from ..session import cut
-from .retrieval import B, BOOSTS, DEPTH, K1, TIE, _holders, _may_see, _passes, best
+from .retrieval import B, BOOSTS, DEPTH, K1, QUERIES, SLACK, TIE, _holders, _may_see, _passes, best, of_kinds, seen_counts
 
 MARKS = "struct<allowed:array<string>,datasource:string,container:string,kind:string,hidden:boolean>"
 #: Terms that are named in the filter of a scan; more are joined.
 NAMED = 1000
-#: Scores are rounded to six places: a bound must be below by more than that to count.
-SLACK = 2e-6
+#: Segments whose blocks of a bucket one task writes.
+TOGETHER = 64
+#: Users who may see so many documents at the most have just these scored.
+NARROW = 1000
+#: Searches from which on it is asked who may see few: they are those of more than one pass.
+MANY = QUERIES // 2
 
 
 def _schema(doc: str) -> str:
@@ -46,7 +50,7 @@ def _frontier(block: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarr
 
 
 def _blocks(segment: int, rows: pa.Table, size: int):
-    """The batches of a segment's rows, and first its documents with their lengths: field -1."""
+    """The batches of a segment's rows, and first its documents with their lengths and marks: field -1."""
     docs, n = rows.column("doc_id").combine_chunks(), rows.num_rows
     lists = [rows.column(f).combine_chunks() for f in BOOSTS]
     lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in lists]
@@ -58,7 +62,7 @@ def _blocks(segment: int, rows: pa.Table, size: int):
     none, ints = pa.array([None]), lambda x: pa.array(x.astype(np.int32))
     one = lambda x: _lists(x, np.zeros(1, np.int64), len(x))
     empty = one(ints(np.zeros(0)))
-    yield pa.RecordBatch.from_arrays([pa.array([segment]), ints(np.array([-1])), none.cast(pa.string()), one(docs), one(ints(lengths[0])), one(ints(lengths[1])), empty, one(distinct.slice(0, 0)), empty, empty], names)
+    yield pa.RecordBatch.from_arrays([pa.array([segment]), ints(np.array([-1])), none.cast(pa.string()), one(docs), one(ints(lengths[0])), one(ints(lengths[1])), one(ints(mark)), one(distinct), empty, empty], names)
     for field, (words, length) in enumerate(zip(lists, lengths, strict=True)):
         coded = words.flatten().dictionary_encode()
         key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
@@ -72,12 +76,11 @@ def _blocks(segment: int, rows: pa.Table, size: int):
             own = start[lo : lo + 8192]
             a, b = int(own[0]), int(start[lo + 8192]) if lo + 8192 < len(start) else len(key)
             d, block = doc[a:b], np.searchsorted(own, np.arange(a, b), "right") - 1
-            entry, code = np.unique(block * len(seen) + mark[d], return_inverse=True)
-            entries = np.searchsorted(entry, np.arange(len(own)) * len(seen))
             top = _frontier(block, tf[a:b], length[d])
             tops = np.searchsorted(block[top], np.arange(len(own)))
             columns = [pa.array(np.full(len(own), segment)), ints(np.full(len(own), field)), coded.dictionary.take(pa.array(term[own])), _lists(docs.take(pa.array(d)), own - a, b - a), _lists(ints(tf[a:b]), own - a, b - a), _lists(ints(length[d]), own - a, b - a)]
-            columns += [_lists(ints(code - entries[block]), own - a, b - a), _lists(distinct.take(pa.array(entry % len(seen))), entries, len(entry)), _lists(ints(tf[a:b][top]), tops, len(top)), _lists(ints(length[d][top]), tops, len(top))]
+            no = np.zeros(len(own))
+            columns += [_lists(ints(no[:0]), no, 0), _lists(distinct.slice(0, 0), no, 0), _lists(ints(tf[a:b][top]), tops, len(top)), _lists(ints(length[d][top]), tops, len(top))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -167,7 +170,7 @@ class Written:
 class Index(Written):
     """Blocks of postings. analyse: the analysis of texts and searches alike."""
 
-    def __init__(self, spark: SparkSession, path: str, analyse=tokens, block: int = 128, segment: int = 16_384, buckets: int = 32):
+    def __init__(self, spark: SparkSession, path: str, analyse=tokens, block: int = 128, segment: int = 4096, buckets: int = 32):
         super().__init__(spark, path)
         self.analyse, self.block, self.segment, self.buckets = analyse, block, segment, buckets
 
@@ -194,11 +197,13 @@ class Index(Written):
         n = changed.filter("not deleted").count()
         segments = max(1, -(-n // self.segment), min(self.spark.sparkContext.defaultParallelism, n // 512))
         number_of = F.lit(number << 32) + F.pmod(F.xxhash64("doc_id"), F.lit(segments))
-        rows = changed.filter("not deleted").select(number_of.alias("segment"), "doc_id", *[self.analyse(F.col(f)).alias(f) for f in BOOSTS], marks_of(changed).alias("marks"))
-        blocks = rows.repartition(segments, "segment").sortWithinPartitions("segment", "doc_id").mapInArrow(_build(self.block), _schema(doc))
+        # Texts move and are sorted, which are smaller than their words.
+        rows = changed.filter("not deleted").select(number_of.alias("segment"), "doc_id", *BOOSTS, marks_of(changed).alias("marks"))
+        rows = rows.repartition(segments, "segment").sortWithinPartitions("segment", "doc_id").select("segment", "doc_id", *[self.analyse(F.col(f)).alias(f) for f in BOOSTS], "marks")
+        blocks = rows.mapInArrow(_build(self.block), _schema(doc))
         blocks = blocks.withColumn("bucket", F.when(F.col("field") < 0, F.lit(self.buckets)).otherwise(self._bucket(F.col("term"))))
-        # A file holds a bucket's blocks of some hundred segments.
-        spread = blocks.withColumn("part", F.floor(F.pmod("segment", F.lit(1 << 32)) / 512)).repartition("bucket", "part").drop("part")
+        # A task has a bucket's blocks of some tens of segments.
+        spread = blocks.withColumn("part", F.floor(F.pmod("segment", F.lit(1 << 32)) / TOGETHER)).repartition("bucket", "part").drop("part")
         spread.sortWithinPartitions("bucket", "term", "field", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/{number}")
         self._replace(changed, number, ["segment", "doc_id", "title", "body"], f"segment long, doc_id {doc}, title int, body int")
         new = self.spark.read.schema(_schema(doc) + ", bucket int").parquet(f"{self.path}/blocks/{number}").filter((F.col("bucket") == self.buckets) & (F.col("field") == -1))
@@ -229,6 +234,10 @@ class Index(Written):
 
     def frequencies(self, asked: DataFrame) -> dict[tuple[int, str], int]:
         """How many documents hold each of the asked blocks' terms in each field."""
+        return {(r.field, r.term): r.n for r in self._frequencies(asked).collect()}  # as many as there are asked terms, in each field
+
+    def _frequencies(self, asked: DataFrame) -> DataFrame:
+        """(field, term, n)"""
         n = asked.groupBy("field", "term").agg(F.sum(F.size("docs")).alias("n"))
         gone = self.replaced()
         if not gone.isEmpty():
@@ -236,19 +245,56 @@ class Index(Written):
             old = asked.join(gone.select("segment").distinct(), "segment", "left_semi").select("segment", "field", "term", F.explode("docs").alias("doc_id"))
             old = old.join(gone.select("segment", "doc_id").distinct(), ["segment", "doc_id"], "left_semi").groupBy("field", "term").agg((-F.count("*")).alias("n"))
             n = n.unionByName(old).groupBy("field", "term").agg(F.sum("n").alias("n"))
-        return {(r.field, r.term): r.n for r in n.collect()}  # as many as there are asked terms, in each field
+        return n
+
+    def _heads(self) -> DataFrame:
+        """A row for each segment: its documents, with what permissions and filters need."""
+        return self._read("blocks", _schema(self._doc()) + ", bucket int").filter((F.col("bucket") == self.buckets) & (F.col("field") == -1))
+
+    def seen(self, wanted: dict[str, list[str]] | None = None) -> DataFrame:
+        """(doc_id, allowed, segment) of the documents that may be found, without replaced entries: from a row for each segment."""
+        rows = self._heads().select("segment", "marks", F.explode(F.arrays_zip("docs", "mark")).alias("x")).select("segment", F.col("x.docs").alias("doc_id"), F.get("marks", F.col("x.mark")).alias("m"))
+        rows = of_kinds(rows.select("segment", "doc_id", "m.*").filter("not hidden"), wanted).select("doc_id", "allowed", "segment")
+        return rows.join(self.replaced().select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
+
+    def _narrow(self, terms: DataFrame, users: DataFrame, held: DataFrame, wanted: dict[str, list[str]] | None, stats: dict[int, tuple[int, float]]) -> DataFrame:
+        """scan() for users (user) who may see few documents: these meet the postings of their searches' terms, and nothing else is moved."""
+        doc = self._doc()
+        mine = held.select("user", "principal").join(users, "user", "left_semi")
+        pairs = self.seen(wanted).select("segment", "doc_id", F.explode("allowed").alias("principal")).join(mine, "principal").select("segment", "doc_id", "user").distinct()
+        pairs = cut(pairs.join(terms.select("query_id", "user").distinct(), "user").select("segment", "doc_id", "query_id"), "pairs")
+        words = terms.join(users, "user", "left_semi").select("term").distinct()
+        blocks = self._read("blocks", _schema(doc) + ", bucket int").filter("field >= 0").join(words, "term", "left_semi")
+        freq = self._frequencies(blocks.select("segment", "field", "term", "docs"))
+        entries = blocks.select("segment", "field", "term", F.explode(F.arrays_zip("docs", "tf", "len")).alias("x")).select("segment", F.col("x.docs").alias("doc_id"), "field", "term", F.col("x.tf").alias("tf"), F.col("x.len").alias("len"))
+        entries = entries.join(pairs.select("segment", "doc_id").distinct(), ["segment", "doc_id"], "left_semi")
+        n, mean, boost = (F.element_at(F.array(*[F.lit(v) for v in x]), F.col("field") + 1) for x in ([float(stats.get(f, (0, 1.0))[0]) for f in range(len(BOOSTS))], [stats.get(f, (0, 1.0))[1] for f in range(len(BOOSTS))], list(BOOSTS.values())))
+        weight = boost * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+        j = pairs.join(entries, ["segment", "doc_id"]).join(terms.select("query_id", "term", "qtf"), ["query_id", "term"]).join(freq.withColumnRenamed("n", "df"), ["field", "term"])
+        fields = j.groupBy("query_id", "doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("field") == i, F.col("qtf") * weight)), F.lit(0.0)).alias(f) for i, f in enumerate(BOOSTS)])
+        score = F.round(F.greatest(*BOOSTS) + TIE * F.least(*BOOSTS), 6)
+        none = F.lit(0).cast("long")
+        return fields.select("query_id", "doc_id", score.alias("score"), none.alias("blocks"), none.alias("skipped"))
 
     def scan(self, searches: DataFrame, held: DataFrame | None, k: int = DEPTH, wanted: dict[str, list[str]] | None = None) -> DataFrame:
-        """(query_id, doc_id, score, blocks, skipped): of each segment the best k of each search; a row without doc_id says of how many blocks how many were left out. wanted: values of datasource, container or kind."""
+        """(query_id, doc_id, score, blocks, skipped): of each segment the best k of each search; a row without doc_id says of how many blocks how many were left out. wanted: values of datasource, container or kind. Users who may see at most NARROW documents have these scored instead, if there are more searches than one pass takes: a row for each that has a term."""
         terms = cut(searches.select("query_id", "user", F.explode(self.analyse(F.col("query"))).alias("term")).groupBy("query_id", "user", "term").agg(F.count("*").alias("qtf")), "terms")
         doc = self._doc()
         kinds = f"query_id long, doc_id {doc}, score double, blocks long, skipped long"
         stats, gone, out = self.stats(), self.replaced(), None
+        if held is not None and terms.select("query_id").distinct().count() > MANY:
+            mine = held.select("user", "principal").join(terms.select("user").distinct(), "user", "left_semi")
+            few = cut(mine.select("user").distinct().join(seen_counts(self.seen(), mine).filter(F.col("n") > NARROW), "user", "left_anti"), "narrow")
+            out = self._narrow(terms, few, held, wanted, stats)
+            terms = cut(terms.join(few, "user", "left_anti").join(mine.select("user").distinct(), "user", "left_semi"), "terms")
+            if terms.isEmpty():
+                return out
         for mine, pairs in _passes(terms, held):
             queries = mine.orderBy("query_id", "term").collect()
             words = sorted({r.term for r in queries})
             asked = self._asked(words)
             df = self.frequencies(asked)
+            asked = asked.unionByName(self._heads())
             walk = _walk(self.spark, queries, words, df, stats, pairs, k, wanted or {})
             if gone.isEmpty():
                 part = asked.groupBy("segment").applyInArrow(_alone(walk), kinds)
@@ -284,8 +330,10 @@ def _walk(spark, queries, words: list[str], df: dict[tuple[int, str], int], stat
         place, weight, asks, mean, holders, n_users = shared.value
         kind = table.schema.field("docs").type.value_type
         out: list[list] = [[], [], [], [], []]
+        head = table.filter(pc.equal(table.column("field"), -1))
+        table = table.filter(pc.greater_equal(table.column("field"), 0))
         if table.num_rows:
-            s = _Segment(table, gone, place, mean, holders, n_users, wanted)
+            s = _Segment(table, head, gone, place, mean, holders, n_users, wanted)
             for query, (user, own, often) in asks.items():
                 ids, scores, blocks, skipped = s.best(np.array(own), np.array(often), weight, user, k)
                 if blocks:
@@ -310,7 +358,7 @@ def _alone(walk):
 class _Segment:
     """A segment's asked blocks, ready for many searches."""
 
-    def __init__(self, table: pa.Table, gone: pa.Table | None, place: dict[str, int], mean: np.ndarray, holders, n_users: int, wanted: dict[str, list[str]]):
+    def __init__(self, table: pa.Table, head: pa.Table, gone: pa.Table | None, place: dict[str, int], mean: np.ndarray, holders, n_users: int, wanted: dict[str, list[str]]):
         terms = table.column("term").combine_chunks().dictionary_encode()
         term = np.array([place[w] for w in terms.dictionary.to_pylist()], np.int64)[terms.indices.to_numpy()]
         field = table.column("field").to_numpy().astype(np.int64)
@@ -318,7 +366,7 @@ class _Segment:
         table = table.take(pa.array(order))
         self.term, self.field, self.mean = term[order], field[order], mean
         column = lambda c: table.column(c).combine_chunks()
-        docs, marks, best_tf = column("docs"), column("marks"), column("best_tf")
+        docs, best_tf = column("docs"), column("best_tf")
         self.start = docs.offsets.to_numpy().astype(np.int64) - docs.offsets[0].as_py()
         # Documents by their order in the segment.
         coded = docs.flatten().dictionary_encode()
@@ -332,12 +380,9 @@ class _Segment:
         top = self._part(best_tf.flatten().to_numpy().astype(np.float64), column("best_len").flatten().to_numpy().astype(np.float64), np.repeat(self.field, np.diff(at)))
         self.peak = np.maximum.reduceat(top, at[:-1])
         # What each document's mark lets each user see.
-        entry = marks.offsets.to_numpy().astype(np.int64) - marks.offsets[0].as_py()
-        flat = marks.flatten()
-        see = visible_marks(flat, holders, n_users, wanted)
-        of = np.zeros(len(self.ids), np.int64)
-        of[self.doc] = column("mark").flatten().to_numpy() + np.repeat(entry[:-1], np.diff(self.start))
-        self.see = see[of]
+        docs, mark, marks = (head.column(c).combine_chunks().flatten() for c in ("docs", "mark", "marks"))
+        see = visible_marks(marks, holders, n_users, wanted)
+        self.see = see[mark.to_numpy()[pc.index_in(self.ids, docs).to_numpy()]]
         if gone is not None and gone.num_rows:
             dead = pc.drop_null(pc.index_in(gone.column("doc_id").combine_chunks(), self.ids)).to_numpy()
             self.see[dead] = False

@@ -106,3 +106,25 @@ def test_empty(spark, tmp_path):
     assert rows(index.search(searches, None)) == [] and index.stats() == {}
     index.update(made(spark, 1, 5).withColumn("title", F.lit(None).cast("string")).withColumn("body", F.lit("")))
     assert rows(index.search(searches, None)) == []
+
+
+def test_users_who_see_few_documents(spark, tmp_path, monkeypatch):
+    """Their documents alone are scored, others' searches walk; replaced and hidden documents stay out of both."""
+    docs, searches = made(spark, 5, 300), asked(spark)
+    held = spark.createDataFrame([("u:0", "c:a"), ("u:1", "c:b"), ("u:2", "u:2")], "user string, principal string")
+    index = Index(spark, f"file://{tmp_path}/i", block=8, segment=100, buckets=4)
+    index.update(docs.withColumn("title", F.lit("w1 w2")), 0)
+    index.update(docs, 1)
+    want = rows(retrieval.bm25(docs, searches, held, 5, wanted={"kind": ["x"]}))
+    seen = sorted(r.n for r in retrieval.visible_counts(docs, held).collect())
+    monkeypatch.setattr(postings, "MANY", 0)
+    for few in (0, seen[0], seen[-1]):
+        monkeypatch.setattr(postings, "NARROW", few)
+        assert want and rows(index.search(searches, held, 5, {"kind": ["x"]})) == want
+
+
+def test_marks_are_written_once_a_segment(spark, tmp_path):
+    """Not with each block of a term: that is what moved most."""
+    index = Index(spark, f"file://{tmp_path}/i", block=4, segment=50, buckets=3)
+    index.update(made(spark, 2, 200), 0)
+    assert spark.read.parquet(f"{tmp_path}/i/blocks/0").filter("field >= 0 and (size(marks) > 0 or size(mark) > 0)").isEmpty()

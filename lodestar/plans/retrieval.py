@@ -298,7 +298,7 @@ BROWSE_SQL = (
 
 def postings_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By field: postings, terms, and the lengths that scores are held against."""
-    docs = fx.docs(spark, sf_dir)
+    docs = fx.docs(spark, sf_dir, vectors=False)
     p = retrieval.postings(docs).groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("words"), F.countDistinct("term").alias("terms"))
     return p.join(retrieval.field_stats(docs).select("field", "n", F.round("avg_len", 6).alias("avg_len")), "field")
 

@@ -11,7 +11,8 @@ from ..schemas import DOC_EVENT, EDGE_EVENT, blank, doc_problem, edge_problem
 
 def _parsed(records: DataFrame, schema: str) -> DataFrame:
     e = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return records.withColumn("e", e)
+    # As a row of its own: filters on what comes of e would otherwise parse the value again for each field that they name.
+    return records.select("*", F.explode(F.array(e)).alias("e"))
 
 
 def decode_docs(records: DataFrame) -> DataFrame:

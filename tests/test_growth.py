@@ -1,6 +1,7 @@
 """What plans and tasks hold mustn't grow with the tables: one test for each step that did."""
 
 from lodestar.operators import retrieval
+from lodestar.plans import changelog
 
 
 def _plan(df):
@@ -14,3 +15,7 @@ def test_postings_are_counted_within_their_row(spark):
     assert "Exchange" not in plan and "Aggregate" not in plan
     rows = {(r.field, r.term, r.doc_id, r.tf, r.len) for r in found.collect()}
     assert rows == {("title", "a", 1, 1, 2), ("title", "b", 1, 1, 2), ("body", "a", 1, 3, 5), ("body", "b", 1, 1, 5), ("body", "c", 1, 1, 5)}
+
+
+def test_records_are_parsed_once(spark, sf_dir):
+    assert _plan(changelog.dead_letters(spark, sf_dir)).count("from_json") == 1

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by cosine over written graphs: layered small-world graphs, one for each segment of the documents.
 
-Documents with a vector fall into segments of about SEGMENT by the hash of their id; a task builds a segment's graph (Malkov and Yashunin, 2016: M links a node, twice as many in the lowest layer, EF candidates looked at for each node) and writes it as one row: ids, vectors, links and what permissions need. Tasks that search take the row's bytes as arrays, without a copy.
+Documents with a vector fall into segments by the hash of their id, of some thousands where that keeps all tasks busy; a task builds a segment's graph (Malkov and Yashunin, 2016: M links a node, twice as many in the lowest layer, EF candidates looked at for each node) and writes it as one row: ids, vectors, links and what permissions need. Tasks that search take the row's bytes as arrays, without a copy.
 
 Nodes are ordered by layer, so each layer is a beginning of the arrays; they are added in rounds that double, all of a round walking at once, as searches do. What a user may not see is walked through but isn't a hit, with a beam that grows as fewer documents can be seen; where so few can be seen that the walk would look at more vectors than there are hits to be had, these are scored one by one instead. Scores are exact: those of the original vectors, in double precision.
 
@@ -23,6 +23,10 @@ from .retrieval import DEPTH, _best_of, _holders, _passes, best
 M, EF, BEAM = 16, 128, 128
 #: Cells of the table of visited nodes, and candidates that links are chosen from.
 CELLS, CHOICE = 1 << 26, 64
+#: Documents of a segment, at the least, before there are as many segments as tasks that run at once.
+SMALL = 4096
+#: A beam is so many times as wide as the nodes that a step of its walk opens.
+STEPS = 32
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -40,18 +44,27 @@ def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.
     done, seen = np.zeros((q, ef), bool), np.zeros((q, n), bool)
     ids[:, 0], sims[:, 0] = entry, np.einsum("qd,qd->q", vectors[entry], queries)
     seen[np.arange(q), entry] = True
-    active = np.arange(q)
+    # So many nodes of each walk are opened together that the steps don't grow in number with the beam.
+    active, together = np.arange(q), max(1, ef // STEPS)
     while len(active):
         waiting = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
-        at = waiting.argmax(1)
-        on = np.isfinite(waiting[np.arange(len(active)), at])
-        active, at = active[on], at[on]
+        at = waiting.argmax(1)[:, None] if together == 1 else np.argpartition(-waiting, together - 1, 1)[:, :together]
+        ok = np.isfinite(np.take_along_axis(waiting, at, 1))
+        on = ok.any(1)
+        active, at, ok = active[on], at[on], ok[on]
         if not len(active):
             break
-        done[active, at] = True
-        near = links[ids[active, at]]
-        new = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
+        row = active[:, None]
+        done[row, at] = True
+        near = np.where(ok[:, :, None], links[ids[row, at]], -1).reshape(len(active), -1)
+        new = (near >= 0) & ~seen[row, np.maximum(near, 0)]
         row, column = np.nonzero(new)
+        if together > 1:
+            # A node that several of them lead to is new once.
+            first = np.unique(row * n + near[row, column], return_index=True)[1]
+            row, column = row[first], column[first]
+            new[:] = False
+            new[row, column] = True
         seen[active[row], near[row, column]] = True
         s = np.full(near.shape, -np.inf, np.float32)
         s[row, column] = np.einsum("kd,kd->k", vectors[near[row, column]], queries[active[row]])
@@ -155,7 +168,7 @@ class Graph:
 
     def search(self, queries: np.ndarray, ef: int) -> np.ndarray:
         """A row of at most ef nodes for each query, -1 where there are fewer."""
-        out, chunk = [], max(1, CELLS // max(1, len(self.vectors)))
+        out, chunk = [], max(1, min(CELLS // max(1, len(self.vectors)), CELLS // (16 * max(1, ef))))
         upper = Graph(self.vectors, self.layers[:-1])
         for lo in range(0, len(queries), chunk):
             own = queries[lo : lo + chunk]
@@ -212,7 +225,7 @@ class VectorIndex(Written):
         lengths = whole.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
         n = lengths[0].n if lengths else 0
         if n:
-            segments = -(-n // self.segment)
+            segments = max(-(-n // self.segment), min(self.spark.sparkContext.defaultParallelism, n // SMALL))
             of = F.lit(number << 32) + F.pmod(F.xxhash64("doc_id"), F.lit(segments))
             rows = whole.filter(F.size("embedding") == lengths[0].d).select(of.alias("segment"), "doc_id", F.col("embedding").cast("array<float>").alias("v"), marks_of(changed).alias("marks"))
             schema = to_arrow_schema(self.spark.createDataFrame([], self._schema(doc)).schema)

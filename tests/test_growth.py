@@ -1,6 +1,9 @@
 """What plans and tasks hold mustn't grow with the tables: one test for each step that did."""
 
-from lodestar.operators import retrieval
+import numpy as np
+from pyspark.sql import functions as F
+
+from lodestar.operators import proximity, retrieval
 from lodestar.plans import changelog
 
 
@@ -19,3 +22,37 @@ def test_postings_are_counted_within_their_row(spark):
 
 def test_records_are_parsed_once(spark, sf_dir):
     assert _plan(changelog.dead_letters(spark, sf_dir)).count("from_json") == 1
+
+
+class _Counted:
+    """Links that count how often they are looked up: once a step."""
+
+    def __init__(self, links):
+        self.links, self.steps = links, 0
+
+    def __len__(self):
+        return len(self.links)
+
+    def __getitem__(self, at):
+        self.steps += 1
+        return self.links[at]
+
+
+def test_steps_of_a_walk_dont_grow_with_its_beam():
+    v = proximity.unit(np.random.default_rng(0).normal(size=(1500, 16)))
+    g = proximity.Graph.build(v)
+    links = _Counted(g.layers[-1])
+    ids, sims = proximity.beam(v, links, v[:10], np.zeros(10, np.int64), 1500)
+    assert links.steps <= 150
+    assert (np.sort(ids, 1) == np.arange(1500)).all() and (np.diff(sims, axis=1) <= 0).all()
+
+
+def test_graphs_are_built_by_all_tasks(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("embedding"), F.lit(False).alias("deleted"), F.lit(False).alias("quarantined"))
+    few, proximity.SMALL = proximity.SMALL, 10
+    try:
+        index = proximity.VectorIndex(spark, f"file://{tmp_path}/g")
+        index.update(rows, 0)
+        assert index.entries().select("segment").distinct().count() == 4
+    finally:
+        proximity.SMALL = few

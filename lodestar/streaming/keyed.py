@@ -1,15 +1,14 @@
 """The fold as a keyed stateful operator: the whole document in Spark's state store (RocksDB), so that a batch reads the documents that it changes and no others, and the state needs no table, no deltas and no compaction.
 
-What comes of a document in a batch is ordered by its place in the log, wherever Spark's batches of rows cut it. Of a document with more rows than one such batch only numbers stay in memory; what they carry waits in a list in the state store until it is known which of them count.
+What comes of a document in a batch is ordered by its place in the log, whatever the order in which it arrives. Rows come as they are, as building a frame for each document takes longer than folding it. Of a document with more than HELD upserts in a batch only numbers stay in memory; what they carry waits in a list in the state store until it is known which of them count.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +25,10 @@ NAMES = [c for c, _ in _FIELDS]
 #: What an upsert carries, and its place in the log.
 CARRIED = [*CONTENT, "mode", "hash"]
 _PENDING = "off long, " + ", ".join(f"{c} {'array<string>' if c in LISTS else 'string'}" for c in CARRIED)
+#: What the fold looks at in every event.
+_EVENT = ["off", "op", "version", "src_ts_ms", "emit_ts_ms", "at_ms", *_TIMES, "hash"]
+#: Upserts of a document whose texts a task holds at once.
+HELD = 64
 COUNTS = ["applied", "duplicate", "stale"]
 OUT = "id string, " + DOCUMENT + ", " + ", ".join(f"{c} long" for c in COUNTS)
 
@@ -40,61 +43,59 @@ class Fold(StatefulProcessor):
         self.document = handle.getValueState("document", DOCUMENT)
         self.pending = handle.getListState("pending", _PENDING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        numbers, held, spilled = [], None, False
-        for frame in rows:
-            numbers.append(frame[["off", "op", "version", "src_ts_ms", "emit_ts_ms", "at_ms", *_TIMES, "hash"]])
-            if held is not None:
-                # A second batch of rows: from here on what they carry goes to the state store.
-                for part in ([held] if not spilled else []) + [frame]:
-                    up = part[part["op"] == "upsert"]
-                    if len(up):
-                        self.pending.appendList([tuple(_plain(x) for x in r) for r in up[["off", *CARRIED]].itertuples(index=False)])
-                spilled, held = True, frame.iloc[:0]
-            else:
-                held = frame
-        events = pd.concat(numbers).sort_values("off", kind="stable")
-        old = self.document.get() if self.document.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events, held, spilled = [], [], False
+        for r in rows:
+            e = json.loads(r.event)
+            events.append(tuple(map(e.get, _EVENT)))
+            if r.carried is not None:
+                held.append((e["off"], r.carried))
+            if len(held) == HELD:
+                # From here on what they carry goes to the state store.
+                self.pending.appendList([(off, *map(json.loads(text).get, CARRIED)) for off, text in held])
+                held, spilled = [], True
+        events.sort(key=lambda e: e[0])
+        old = self.document.get()
         now = dict(zip(NAMES, old, strict=True)) if old is not None else dict.fromkeys(NAMES) | {"deleted": False, "needs_embed": False, "quarantined_at_ms": 0} | {c: [] for c in LISTS}
         version, poison = now["version"], now["quarantined_at_ms"] or 0
         upsert, n, poisoned = None, dict.fromkeys(COUNTS, 0), False
-        for off, op, v, src, emit, at, created, updated, digest in events.itertuples(index=False):
+        for off, op, v, src, emit, at, created, updated, digest in events:
             if op == "poison":
                 poisoned, version = True, version or 0
-                poison = max(poison, int(at) if at == at and at > 0 else 0)
+                poison = max(poison, at or 0)
                 continue
             if version is not None and v <= version:
                 n["duplicate" if v == version else "stale"] += 1
                 continue
             n["applied"] += 1
-            version, src_ms = int(v), int(src) if src == src else 0
-            poison = 0 if src_ms > poison else poison
-            now |= {"src_ts_ms": int(src) if src == src else None, "emit_ts_ms": int(emit) if emit == emit else None, "deleted": op == "delete"}
+            version = v
+            poison = 0 if (src or 0) > poison else poison
+            now |= {"src_ts_ms": src, "emit_ts_ms": emit, "deleted": op == "delete"}
             if op == "delete":
                 now |= {"needs_embed": False, "content_hash": ""}
             else:
                 upsert = off
                 now["needs_embed"] = now["needs_embed"] or digest != (now["content_hash"] or "")
                 now["content_hash"] = digest
-                now |= {c: int(t) for c, t in zip(_TIMES, (created, updated), strict=True) if t == t}
+                now |= {c: t for c, t in zip(_TIMES, (created, updated), strict=True) if t is not None}
         if upsert is not None:
-            now |= self._carried(held, upsert, spilled)
+            now |= self._carried(held, upsert)
         if n["applied"] and now["deleted"]:
             now |= {"title": "", "body": ""} | {c: [] for c in LISTS}
         if spilled:
             self.pending.clear()
         if n["applied"] or poisoned:
             now |= {"version": version, "quarantined": poison > 0, "quarantined_at_ms": poison, "indexed_at_ms": self.now_ms}
-            self.document.update(tuple(_plain(now[c]) for c in NAMES))
-        yield pd.DataFrame({"id": [key[0]], **{c: [now[c]] for c in NAMES}, **{c: [x] for c, x in n.items()}}).astype({c: "Int64" for c in (*_TIMES, "version", "src_ts_ms", "emit_ts_ms", "quarantined_at_ms", "indexed_at_ms")})
+            self.document.update(tuple(now[c] for c in NAMES))
+        yield Row(id=key[0], **now, **n)
 
-    def _carried(self, held: pd.DataFrame, off: int, spilled: bool) -> dict:
+    def _carried(self, held: list[tuple[int, str]], off: int) -> dict:
         """What the upsert at a place of the log sets."""
-        if spilled:
-            row = next(r for r in self.pending.get() if r[0] == off)[1:]
+        text = next((x for o, x in held if o == off), None)
+        if text is None:
+            found = dict(zip(CARRIED, next(r for r in self.pending.get() if r[0] == off)[1:], strict=True))
         else:
-            row = next(held[held["off"] == off][CARRIED].itertuples(index=False))
-        found = {c: _plain(x) for c, x in zip(CARRIED, row, strict=True)}
+            found = dict(zip(CARRIED, map(json.loads(text).get, CARRIED), strict=True))
         found.pop("hash")
         return found | {c: found[c] or [] for c in LISTS}
 
@@ -102,21 +103,15 @@ class Fold(StatefulProcessor):
         pass
 
 
-def _plain(x):
-    """As the state store takes it."""
-    if isinstance(x, np.ndarray):
-        return [_plain(y) for y in x]
-    if isinstance(x, list):
-        return x
-    return None if x is None or x is pd.NA or x != x else x.item() if isinstance(x, np.generic) else x
-
-
 def folded(items: DataFrame, now_ms: int = 0) -> DataFrame:
     """A stream of items (operators.fold.ITEM) to the documents that each micro-batch touches, as they are after it (OUT), with how many of their events were applied, duplicate or stale. Needs PROVIDER as the session's state store: use_rocksdb()."""
     micros = [F.unix_micros(c).alias(c) for c in _TIMES]
     digest = F.when(F.col("op") == "upsert", content_hash(F.col("title"), F.col("body"))).alias("hash")
     rows = items.select("id", "off", "op", "version", "src_ts_ms", "emit_ts_ms", "at_ms", *micros, *CONTENT, "mode", digest)
-    return rows.groupBy("id").transformWithStateInPandas(Fold(now_ms), OUT, "update", "None")
+    # Two texts a row: each cell of a row costs its task about as much as all that the fold does with the row.
+    carried = F.when(F.col("op") == "upsert", F.to_json(F.struct(*CARRIED)))
+    rows = rows.select("id", F.to_json(F.struct(*_EVENT)).alias("event"), carried.alias("carried"))
+    return rows.groupBy("id").transformWithState(Fold(now_ms), OUT, "update", "None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

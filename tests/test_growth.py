@@ -1,10 +1,14 @@
 """What plans and tasks hold mustn't grow with the tables: one test for each step that did."""
 
+import json
+
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestar.operators import proximity, retrieval
 from lodestar.plans import changelog
+from lodestar.streaming import keyed
 
 
 def _plan(df):
@@ -56,3 +60,30 @@ def test_graphs_are_built_by_all_tasks(spark, tmp_path):
         assert index.entries().select("segment").distinct().count() == 4
     finally:
         proximity.SMALL = few
+
+
+class _State:
+    def __init__(self):
+        self.value, self.most = None, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, rows):
+        self.value, self.most = (self.value or []) + rows, max(self.most, len(rows))
+
+    def clear(self):
+        self.value = None
+
+
+def test_keyed_fold_takes_rows_as_two_texts():
+    fold = keyed.Fold()
+    fold.document, fold.pending = _State(), _State()
+    event = lambda i: Row(event=json.dumps({"off": i, "op": "upsert", "version": 1 + i, "hash": str(i)}), carried=json.dumps({"title": f"t{i}", "allowed": ["c:a"]}))
+    out = list(fold.handleInputRows(("d",), iter([event(i) for i in (*range(100, 200), *range(100))]), None))
+    assert [(r.id, r.version, r.title, r.allowed, r.labels, r.applied) for r in out] == [("d", 200, "t199", ["c:a"], [], 200)]
+    assert fold.pending.most == keyed.HELD and fold.pending.value is None
+    assert [r.duplicate for r in fold.handleInputRows(("d",), iter([event(199)]), None)] == [1]

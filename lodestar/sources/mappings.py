@@ -145,9 +145,11 @@ def jira_comments(raw: DataFrame, base: str, mode: str = "live") -> DataFrame:
 
 def vanished_comments(before: DataFrame, raw: DataFrame) -> DataFrame:
     """Deletes of the comments in before (key, comment_id) that the issues in raw no longer have; issues that weren't crawled keep theirs."""
-    now = raw.select("key", F.explode_outer("fields.comment.comments.id").alias("comment_id"))
-    seen = raw.select("key", "now_ms", F.col("fields.updated").alias("updated"))
-    gone = before.join(seen, "key").join(now, ["key", "comment_id"], "left_anti")
+    # All that is known of an issue meets in one join by its key; an issue that was crawled twice has the comments of both.
+    ids = F.coalesce("fields.comment.comments.id", F.array().cast("array<string>"))
+    seen = raw.select("key", "now_ms", F.col("fields.updated").alias("updated"), ids.alias("ids"))
+    seen = seen.withColumn("ids", F.flatten(F.collect_list("ids").over(Window.partitionBy("key"))))
+    gone = before.join(seen, "key").filter(~F.coalesce(F.array_contains("ids", F.col("comment_id")), F.lit(False)))
     project = F.concat(F.lit("jira:"), F.substring_index("key", "-", 1))
     rows = gone.select("now_ms", F.concat(F.lit("jira:"), "key", F.lit("/c"), "comment_id").alias("id"), project.alias("container"), "updated")
     return _deletes(rows, "jira", jira_time(F.col("updated")))

@@ -7,7 +7,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestar.operators import proximity, retrieval
-from lodestar.plans import changelog
+from lodestar.plans import changelog, reports
+from lodestar.sources import mappings
 from lodestar.streaming import keyed
 
 
@@ -87,3 +88,17 @@ def test_keyed_fold_takes_rows_as_two_texts():
     assert [(r.id, r.version, r.title, r.allowed, r.labels, r.applied) for r in out] == [("d", 200, "t199", ["c:a"], [], 200)]
     assert fold.pending.most == keyed.HELD and fold.pending.value is None
     assert [r.duplicate for r in fold.handleInputRows(("d",), iter([event(199)]), None)] == [1]
+
+
+def test_payloads_are_parsed_once_a_scan(spark, sf_dir):
+    assert _plan(reports.map_projects(spark, sf_dir)).count("from_json") == 2
+    assert _plan(reports.vanished_comments(spark, sf_dir)).count("from_json") == 2
+
+
+def test_comments_of_an_issue_crawled_twice_stay(spark):
+    raw = spark.createDataFrame([("P-1", '{"comment": {"comments": [{"id": "1"}]}}'), ("P-1", '{"comment": {"comments": [{"id": "2"}]}}'), ("P-2", "{}")], "key string, json string")
+    kind = spark.createDataFrame([], mappings.JIRA_ISSUE).schema["fields"].dataType
+    raw = raw.select("key", F.lit(9).cast("long").alias("now_ms"), F.from_json("json", kind).alias("fields"))
+    before = spark.createDataFrame([("P-1", "1"), ("P-1", "2"), ("P-1", "3"), ("P-2", "1"), ("P-3", "1")], "key string, comment_id string")
+    gone = mappings.vanished_comments(before, raw).select("doc.id").collect()
+    assert sorted(r.id for r in gone) == ["jira:P-1/c3", "jira:P-1/c3", "jira:P-2/c1"]

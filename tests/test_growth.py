@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import proximity, retrieval
 from lodestar.plans import changelog, reports
+from lodestar.plans import retrieval as retrieval_plans
 from lodestar.sources import mappings
 from lodestar.streaming import keyed
 
@@ -102,3 +103,7 @@ def test_comments_of_an_issue_crawled_twice_stay(spark):
     before = spark.createDataFrame([("P-1", "1"), ("P-1", "2"), ("P-1", "3"), ("P-2", "1"), ("P-3", "1")], "key string, comment_id string")
     gone = mappings.vanished_comments(before, raw).select("doc.id").collect()
     assert sorted(r.id for r in gone) == ["jira:P-1/c3", "jira:P-1/c3", "jira:P-2/c1"]
+
+
+def test_words_of_texts_are_split_row_by_row(spark, sf_dir):
+    assert "ArrowEvalPython" not in _plan(retrieval_plans.standard_words(spark, sf_dir))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,32 +53,34 @@ class Deliveries:
         judged = cut(deliveries.withColumn("_problem", self.problem), "deliveries")
         todo = judged.filter("_problem is null and key is not null").drop("_problem")
         stored = self.claims.read(number) if todo.isEmpty() else self.claims.read(number, self.claims.touched(todo, number))
-        claims = self.spark.createDataFrame([], self.claims.schema) if stored is None else stored.join(todo.select("key").distinct(), "key", "left_semi")
-        left, picked, part = todo.select("key", "at_ms", "off"), [], 0
-        while True:
-            free = F.col("claimed_ms").isNull() | (F.col("at_ms") >= F.col("claimed_ms") + self.ttl_ms)
-            at = F.min(F.struct("at_ms", "off")).alias("at")
-            first, n = counted(left.join(claims, "key", "left").filter(free).groupBy("key").agg(at).select("key", "at.at_ms", "at.off"), "picked")
-            if not n:
-                break
-            failed = self.handle(todo.join(first, ["key", "at_ms", "off"], "left_semi"), f"{number}-{part}")
-            failed = self.spark.createDataFrame([], "key string") if failed is None else failed.select("key").distinct()
-            done = cut(first.join(failed.withColumn("failed", F.lit("failed")), "key", "left").withColumn("outcome", F.coalesce("failed", F.lit("handled"))).drop("failed"), "picked")
+        claims = self.spark.createDataFrame([], self.claims.schema) if stored is None else stored
+        # Deliveries without a live claim. Of a key whose first one is handled, those that its claim outlives are decided, and what came before the first one is.
+        free = lambda since: since.isNull() | (F.col("at_ms") >= since + self.ttl_ms)
+        left, n = counted(todo.join(claims.hint("merge"), "key", "left").filter(free(F.col("claimed_ms"))).drop("claimed_ms"), "left")
+        picked, part, place = [], 0, ["key", "at_ms", "off"]
+        # No side of a join is sent to every task: a small file may hold many rows.
+        while n:
+            first = cut(left.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("at_ms", "off"))).filter("_n = 1").drop("_n"), "first")
+            failed = self.handle(first, f"{number}-{part}")
+            done = first.select(*place).withColumn("outcome", F.lit("handled"))
+            if failed is not None:
+                failed = failed.select("key").distinct().withColumn("failed", F.lit("failed"))
+                done = cut(first.select(*place).join(failed.hint("merge"), "key", "left").withColumn("outcome", F.coalesce("failed", F.lit("handled"))).drop("failed"), "picked")
             picked.append(done)
-            # What came before the picked one of its key is decided, and keys without one are.
-            later = F.struct("at_ms", "off") > F.struct(F.col("p_at"), F.col("p_off"))
-            left = cut(left.join(first.select("key", F.col("at_ms").alias("p_at"), F.col("off").alias("p_off")), "key").filter(later).drop("p_at", "p_off"), "left")
-            kept = done.filter("outcome = 'handled'").select("key", F.col("at_ms").alias("claimed_ms"))
-            claims = cut(claims.join(kept.select("key"), "key", "left_anti").unionByName(kept), "claims")
+            later = F.struct("at_ms", "off") > F.struct("p_at", "p_off")
+            of_key = done.select("key", F.col("at_ms").alias("p_at"), F.col("off").alias("p_off"), F.when(F.col("outcome") == "handled", F.col("at_ms")).alias("p_claim"))
+            left, n = counted(left.join(of_key.hint("merge"), "key").filter(later & free(F.col("p_claim"))).drop("p_at", "p_off", "p_claim"), "left")
             part += 1
-        outcome = todo.select("key", "at_ms", "off")
+        outcome = todo.select(*place)
         if picked:
             all_ = picked[0]
             for p in picked[1:]:
                 all_ = all_.unionByName(p)
-            outcome = outcome.join(all_, ["key", "at_ms", "off"], "left")
+            outcome = outcome.join(all_.hint("merge"), place, "left")
+            claims = all_.filter("outcome = 'handled'").groupBy("key").agg(F.max("at_ms").alias("claimed_ms"))
         else:
             outcome = outcome.withColumn("outcome", F.lit(None).cast("string"))
+            claims = self.spark.createDataFrame([], self.claims.schema)
         refused = judged.filter("_problem is not null or key is null").select("key", "at_ms", "off", F.coalesce("_problem", F.lit("no key")).alias("outcome"))
         outcome.withColumn("outcome", F.coalesce("outcome", F.lit("duplicate"))).unionByName(refused).write.mode("overwrite").parquet(f"{self.path}/outcomes/{number}")
         # Claims that have run out go when the table is compacted.

@@ -71,6 +71,26 @@ def test_a_batch_that_fails_claims_nothing(spark, tmp_path):
     assert {r.off: r.outcome for r in d.outcomes().collect()} == {1: "handled", 2: "duplicate", 3: "handled", 4: "duplicate"}
 
 
+def test_nothing_is_sent_to_every_task(spark, tmp_path):
+    rows = [(f"k{i % 40}", i * 10, i, "b", False) for i in range(400)]
+    plans = []
+
+    def handle(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.filter("off % 3 = 0").select("key")
+
+    seen, cut, counted = [], deliveries.cut, deliveries.counted
+    kept = lambda f: lambda df, name: (seen.append(df._jdf.queryExecution().executedPlan().toString()), f(df, name))[1]
+    deliveries.cut, deliveries.counted = kept(cut), kept(counted)
+    try:
+        d = Deliveries(spark, f"file://{tmp_path}/d", F.lit(None).cast("string"), handle, ttl_ms=3000, buckets=2)
+        d.batch(spark.createDataFrame(rows, KIND), 0)
+    finally:
+        deliveries.cut, deliveries.counted = cut, counted
+    assert len(plans) > 1 and not any("Broadcast" in p for p in seen + plans)
+    assert {r.off: r.outcome for r in d.outcomes().collect()} == played(rows, 3000, lambda off: off % 3 == 0)
+
+
 def test_problems(spark):
     sign = signer("s", "v0=")
     df = spark.createDataFrame([("1000", "b", "b", 1_000_000), ("1000", "b", "c", 1_000_000), ("1000", "b", "b", 1_301_000), ("x", "b", "b", 1), (None, "b", "b", 1), ("1000", None, None, 1_000_000)], "t string, body string, signed string, at long")

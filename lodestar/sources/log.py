@@ -10,16 +10,20 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from ..schemas import RECORD
 
 PARTITIONS = 6
+#: Records of a file, about: a task that reads has one file.
+ROWS = 500_000
+_FILE = pa.schema([("key", pa.string()), ("value", pa.string()), ("ts_ms", pa.int64())])
 
 
 class _Folder:
@@ -69,26 +73,45 @@ class _Message(WriterCommitMessage):
         self.files = files
 
 
-def _staged(options: dict, rows) -> _Message:
-    """Writes a task's records, a file for each partition."""
+def _columns(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """key, value and ts_ms of a batch, null where it lacks them."""
+    has = lambda f: batch.column(f.name).cast(f.type) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type)
+    return pa.RecordBatch.from_arrays([has(f) for f in _FILE], schema=_FILE)
+
+
+def _staged(options: dict, batches) -> _Message:
+    """Writes a task's records, files of about ROWS records for each partition, batch by batch."""
     folder, n = _Folder(options["path"]), int(options.get("partitions", PARTITIONS))
-    name, out, counts = uuid.uuid4().hex, {}, Counter()
+    out, files = {}, []
     folder.fs.create_dir(f"{folder.path}/files", recursive=True)
     try:
-        for row in rows:
-            r = row.asDict()
-            p = zlib.crc32((r["key"] or "").encode()) % n
-            if p not in out:
-                out[p] = folder.fs.open_output_stream(f"{folder.path}/files/{name}-{p}.jsonl")
-            out[p].write((json.dumps([r["key"], r["value"], r.get("ts_ms")]) + "\n").encode())
-            counts[p] += 1
+        for batch in map(_columns, batches):
+            keys = batch.column("key").dictionary_encode()
+            of = np.array([zlib.crc32(k.encode()) % n for k in keys.dictionary.to_pylist()] + [zlib.crc32(b"") % n], np.int64)
+            parts = of[keys.indices.fill_null(len(of) - 1).to_numpy(zero_copy_only=False)]
+            for p in np.unique(parts).tolist():
+                if p not in out:
+                    name = f"files/{uuid.uuid4().hex}-{p}.arrow"
+                    sink = folder.fs.open_output_stream(f"{folder.path}/{name}")
+                    out[p] = [pa.ipc.new_stream(sink, _FILE, options=pa.ipc.IpcWriteOptions(compression="zstd")), sink, name, 0]
+                own = batch.filter(pa.array(parts == p))
+                out[p][0].write_batch(own)
+                out[p][3] += own.num_rows
+                if out[p][3] >= ROWS:
+                    files.append(_closed(p, out.pop(p)))
     finally:
-        for f in out.values():
-            f.close()
-    return _Message([(p, f"files/{name}-{p}.jsonl", counts[p]) for p in sorted(out)])
+        files += [_closed(p, out[p]) for p in sorted(out)]
+    return _Message(files)
+
+
+def _closed(partition: int, opened: list) -> tuple[int, str, int]:
+    writer, sink, name, n = opened
+    writer.close()
+    sink.close()
+    return partition, name, n
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.options, self.name = options, options.get("commit") or f"write-{uuid.uuid4().hex}"
 
@@ -102,7 +125,7 @@ class _Writer(DataSourceWriter):
         _Folder(self.options["path"]).drop([f for m in messages if m is not None for f in m.files])
 
 
-class _StreamWriter(DataSourceStreamWriter):
+class _StreamWriter(DataSourceStreamArrowWriter):
     def __init__(self, options: dict):
         self.options = options
 
@@ -122,10 +145,15 @@ class _Part(InputPartition):
 
 
 def _records(options: dict, part: _Part):
-    lines = _Folder(options["path"]).read(part.file).decode().splitlines()
-    for i, line in enumerate(lines):
-        key, value, ts = json.loads(line)
-        yield key, value, options.get("topic", "log"), part.partition, part.base + i, ts
+    """The batches of a file, one at a time."""
+    folder, topic, at = _Folder(options["path"]), options.get("topic", "log"), part.base
+    with folder.fs.open_input_stream(f"{folder.path}/{part.file}") as f, pa.ipc.open_stream(f) as batches:
+        for b in batches:
+            n = b.num_rows
+            same = lambda v, kind: pa.repeat(pa.scalar(v, kind), n)  # noqa: E731, B023
+            places = pa.array(np.arange(at, at + n, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("value"), same(topic, pa.string()), same(part.partition, pa.int32()), places, b.column("ts_ms")], ["key", "value", "topic", "partition", "offset", "ts_ms"])
+            at += n
 
 
 class _Reader(DataSourceReader):

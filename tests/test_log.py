@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,23 @@ def test_round_trip(spark, tmp_path):
     assert sorted(int(r[3]) for r in got if r[3]) == list(range(120))
 
 
+def test_files_are_bounded_and_read_by_batches(tmp_path):
+    path, kept = f"file://{tmp_path}/log", log.ROWS
+    batch = pa.RecordBatch.from_pydict({"key": ["a", None] * 50, "value": [str(i) for i in range(100)], "ts_ms": range(100)})
+    log.ROWS = 150
+    try:
+        message = log._staged({"path": path, "partitions": "1"}, iter([batch] * 5))
+    finally:
+        log.ROWS = kept
+    assert [(p, n) for p, _, n in message.files] == [(0, 200), (0, 200), (0, 100)]
+    log._Folder(path).commit([message], "x")
+    parts = log._Reader({"path": path}).partitions()
+    got = [b for p in parts for b in log._Reader({"path": path}).read(p)]
+    assert len(parts) == 3 and [b.num_rows for b in got] == [100] * 5
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["offset"] for r in rows] == list(range(500)) and [r["value"] for r in rows] == [str(i) for i in range(100)] * 5 and rows[1]["key"] is None
+
+
 def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     log.register(spark)

@@ -35,7 +35,9 @@ def gate(batch: DataFrame, state: DataFrame | None = None) -> DataFrame:
     kept = stored.select("id", F.col("version").alias("s_version"), F.col("quarantined_at_ms").alias("s_poison"), F.col("content_hash").alias("s_hash"))
     b = b.join(kept, "id", "left").withColumn("hash", F.when(F.col("op") == "upsert", content_hash(F.col("title"), F.col("body"))))
     w = Window.partitionBy("id").orderBy("off")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # What comes after, from the last on: a frame up to the end would be read again for each of a document's events.
+    after = Window.partitionBy("id").orderBy(F.desc("off")).rowsBetween(Window.unboundedPreceding, -1)
     event = F.col("op") != "poison"
     # A stub that only poison made has version 0.
     seen = F.greatest(F.max(F.when(event, F.col("version")).otherwise(F.lit(0))).over(before), F.col("s_version"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lodestar.operators import proximity, retrieval
+from lodestar.operators import fold, proximity, retrieval
 from lodestar.plans import changelog, reports
 from lodestar.plans import retrieval as retrieval_plans
 from lodestar.sources import mappings
@@ -30,6 +30,11 @@ def test_records_are_parsed_once(spark, sf_dir):
     assert _plan(changelog.dead_letters(spark, sf_dir)).count("from_json") == 1
 
 
+def test_later_events_are_read_once(spark):
+    plan = _plan(fold.gate(changelog.fx.doc_events(spark, "/root/testdata/sf0.001")))
+    assert "unboundedfollowing" not in plan.lower()
+
+
 class _Counted:
     """Links that count how often they are looked up: once a step."""
 

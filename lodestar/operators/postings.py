@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import tokens
-from ..session import cut
+from ..session import batches_of, cut
 from .retrieval import B, BOOSTS, DEPTH, K1, QUERIES, SLACK, TIE, _holders, _may_see, _passes, best, of_kinds, seen_counts
 
 MARKS = "struct<allowed:array<string>,datasource:string,container:string,kind:string,hidden:boolean>"
@@ -26,6 +26,8 @@ MARKS = "struct<allowed:array<string>,datasource:string,container:string,kind:st
 NAMED = 1000
 #: Segments whose blocks of a bucket one task writes.
 TOGETHER = 64
+#: Documents whose words a task that builds segments is sent at once, besides those of the segment that it builds.
+DOCS = 256
 #: Users who may see so many documents at the most have just these scored.
 NARROW = 1000
 #: Searches from which on it is asked who may see few: they are those of more than one pass.
@@ -204,7 +206,8 @@ class Index(Written):
         blocks = blocks.withColumn("bucket", F.when(F.col("field") < 0, F.lit(self.buckets)).otherwise(self._bucket(F.col("term"))))
         # A task has a bucket's blocks of some tens of segments.
         spread = blocks.withColumn("part", F.floor(F.pmod("segment", F.lit(1 << 32)) / TOGETHER)).repartition("bucket", "part").drop("part")
-        spread.sortWithinPartitions("bucket", "term", "field", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/{number}")
+        with batches_of(self.spark, DOCS):
+            spread.sortWithinPartitions("bucket", "term", "field", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/{number}")
         self._replace(changed, number, ["segment", "doc_id", "title", "body"], f"segment long, doc_id {doc}, title int, body int")
         new = self.spark.read.schema(_schema(doc) + ", bucket int").parquet(f"{self.path}/blocks/{number}").filter((F.col("bucket") == self.buckets) & (F.col("field") == -1))
         lens = [new.select(F.lit(1).alias("sign"), F.explode(F.arrays_zip(F.col("tf").alias("title"), F.col("len").alias("body"))).alias("x")).select("sign", "x.title", "x.body")]

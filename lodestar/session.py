@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -49,6 +50,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Plans that are run within give Python at most so many rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """cut(), and the number of rows, which Spark counts while it writes."""
     seen = Observation()

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lodestar.operators import fold, proximity, retrieval
+from lodestar.operators import fold, postings, proximity, retrieval
 from lodestar.plans import changelog, reports
 from lodestar.plans import retrieval as retrieval_plans
 from lodestar.sources import mappings
@@ -35,6 +35,34 @@ def test_later_events_are_read_once(spark):
     assert "unboundedfollowing" not in plan.lower()
 
 
+def test_segments_are_built_from_small_batches(spark, tmp_path):
+    sizes, usual, build = f"{tmp_path}/sizes", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), postings._build
+
+    def noted(size):
+        run = build(size)
+
+        def one(batches):
+            def each():
+                for b in batches:
+                    with open(sizes, "a") as f:
+                        f.write(f"{b.num_rows}\n")
+                    yield b
+
+            yield from run(each())
+
+        return one
+
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("body"), F.lit(False).alias("deleted"), F.lit(False).alias("quarantined"))
+    postings._build = noted
+    try:
+        postings.Index(spark, f"file://{tmp_path}/i").update(docs, 0)
+    finally:
+        postings._build = build
+    got = [int(x) for x in open(sizes)]
+    assert sum(got) == 1500 and max(got) <= postings.DOCS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
+
+
 class _Counted:
     """Links that count how often they are looked up: once a step."""
 

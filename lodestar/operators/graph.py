@@ -64,8 +64,8 @@ def reach(edges: DataFrame, roots: DataFrame, steps: int = MOST_STEPS, leaves: b
 
 
 def _to_all(users: DataFrame, rows: DataFrame, salts: int = 64) -> DataFrame:
-    """Each of rows with each user: what everyone holds. Users are dealt out by salt and rows copied to each salt, so that no task has all users."""
-    u = users.withColumn("_salt", F.pmod(F.xxhash64("user"), F.lit(salts)))
+    """Each of rows with each user: what everyone holds. Users are dealt out by salt and rows copied to each salt, so that no task has all users: never broadcast, as the few rows then lie in one task."""
+    u = users.withColumn("_salt", F.pmod(F.xxhash64("user"), F.lit(salts))).hint("merge")
     return u.join(rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), "_salt").drop("_salt")
 
 

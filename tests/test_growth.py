@@ -1,12 +1,14 @@
 """What plans and tasks hold mustn't grow with the tables: one test for each step that did."""
 
 import json
+import re
 
 import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lodestar.operators import fold, postings, proximity, retrieval
+from lodestar.operators import fold, graph, postings, proximity, retrieval
+from lodestar.operators.closure import Closure
 from lodestar.plans import changelog, reports
 from lodestar.plans import retrieval as retrieval_plans
 from lodestar.sources import mappings
@@ -140,3 +142,24 @@ def test_comments_of_an_issue_crawled_twice_stay(spark):
 
 def test_words_of_texts_are_split_row_by_row(spark, sf_dir):
     assert "ArrowEvalPython" not in _plan(retrieval_plans.standard_words(spark, sf_dir))
+
+
+def test_what_everyone_holds_isnt_dealt_by_one_task(spark):
+    users = spark.range(2000).select(F.concat(F.lit("u:"), F.col("id").cast("string")).alias("user"))
+    both = graph._to_all(users, spark.range(3).withColumnRenamed("id", "n"))
+    assert both.count() == 6000
+    assert both.collect() and "Broadcast" not in _plan(both)
+
+
+def test_kept_expansions_bring_no_pairs_together_again(spark, tmp_path):
+    kept = Closure(spark, f"file://{tmp_path}/c", buckets=2)
+    edges = [("u:a", "g:1"), ("u:a", "c:x"), ("g:1", "g:2"), ("g:2", "g:3"), ("g:3", "c:z"), ("g:everyone", "c:x"), ("g:everyone", "g:3"), ("g:everyone", "u:a")]
+    kept.apply(spark.createDataFrame([(a, b, True) for a, b in edges], "src string, dst string, present boolean"), 0)
+    found = kept.expansion(spark.createDataFrame([("u:a",), ("u:b",)], "user string"))
+    # Aggregates by user, none by user and principal.
+    keys = re.findall(r"keys?=\[([^\]]*)\]", _plan(found))
+    assert keys and not [k for k in keys if "principal#" in k]
+    assert {(r.user, r.principal): (r.depth, ">".join(r.path)) for r in found.collect()} == {
+        ("u:a", "u:a"): (0, "u:a"), ("u:a", "g:1"): (1, "u:a>g:1"), ("u:a", "g:2"): (2, "u:a>g:1>g:2"), ("u:a", "c:x"): (1, "u:a>c:x"), ("u:a", "g:3"): (1, "g:everyone>g:3"), ("u:a", "c:z"): (2, "g:everyone>g:3>c:z"), ("u:a", "g:everyone"): (0, "g:everyone"),
+        ("u:b", "u:b"): (0, "u:b"), ("u:b", "g:everyone"): (0, "g:everyone"), ("u:b", "c:x"): (1, "g:everyone>c:x"), ("u:b", "g:3"): (1, "g:everyone>g:3"), ("u:b", "c:z"): (2, "g:everyone>g:3>c:z"), ("u:b", "u:a"): (1, "g:everyone>u:a"),
+    }

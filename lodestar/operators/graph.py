@@ -47,9 +47,11 @@ def epoch(events: DataFrame, state: DataFrame | None = None, start: int = 0) ->
 def reach(edges: DataFrame, roots: DataFrame, steps: int = MOST_STEPS, leaves: bool = True) -> DataFrame:
     """(root, principal, depth, path) reachable from each of roots (root) over present edges in at most steps + 1 steps; containers are leaves.
 
-    A path is the shortest, the least of equals. leaves: whether containers end a walk.
+    A path is the shortest, the least of equals. leaves: whether containers end a walk. Only edges that begin at a root or where another one ends are read in each round: none of users, who are many.
     """
     e = edges.filter("present").select("src", "dst")
+    starts = e.select(F.col("dst").alias("src")).union(roots.select(F.col("root").alias("src"))).distinct()
+    e = cut(e.join(starts, "src", "left_semi"), "inner")
     seen = cut(roots.select("root").distinct().select("root", F.col("root").alias("principal"), F.lit(0).alias("depth"), F.array("root").alias("path")), "reach")
     frontier = seen
     for depth in range(1, steps + 2):
@@ -76,7 +78,7 @@ def expand(edges: DataFrame, users: DataFrame, steps: int = MOST_STEPS, strict:
     """
     present = edges.filter("present").select("src", "dst")
     users = users.select("user").distinct()
-    direct = users.join(present, users.user == present.src).select("user", F.col("dst").alias("held"))
+    direct = cut(users.join(present, users.user == present.src).select("user", F.col("dst").alias("held")), "direct")
     roots = direct.filter(F.col("held").startswith(GROUP)).select(F.col("held").alias("root")).distinct().union(edges.sparkSession.createDataFrame([(EVERYONE,)], "root string"))
     groups = reach(edges, roots, steps)  # written, round by round
     own = users.select("user", F.lit(0).alias("order"), F.col("user").alias("principal"), F.lit(0).alias("depth"), F.array("user").alias("path"))
@@ -96,7 +98,7 @@ def truth(edges: DataFrame, users: DataFrame, most: int = 64) -> DataFrame:
     """(user, principal) by the plain closure: no cap on steps but most, no special kinds. Held against expand. What a user's own targets reach is found once for each target, whatever the number of its members."""
     present = edges.filter("present").select("src", "dst")
     users = users.select("user").distinct()
-    direct = users.join(present, users.user == present.src).select("user", F.col("dst").alias("root"))
+    direct = cut(users.join(present, users.user == present.src).select("user", F.col("dst").alias("root")), "direct")
     everyone = edges.sparkSession.createDataFrame([(EVERYONE,)], "root string")
     reached = reach(edges, direct.select("root").union(everyone), most, leaves=False)
     mine = direct.join(reached, "root").select("user", "principal")

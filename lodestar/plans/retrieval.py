@@ -18,11 +18,11 @@ from .fixtures import with_
 from .permissions import edges_of
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """docs, searches, what the searching users hold, and the graph."""
+def _inputs(spark: SparkSession, sf_dir: str, vectors: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs, searches, what the searching users hold, and the graph. vectors: as of fixtures.docs; where words alone are read, texts needn't move to be joined with them."""
     edges = cut(edges_of(spark, sf_dir), "edges")
     searches = fx.searches(spark, sf_dir)
-    return fx.docs(spark, sf_dir), searches, cut(graph.expand(edges, searches.select("user")), "expansion"), edges
+    return fx.docs(spark, sf_dir, vectors), searches, cut(graph.expand(edges, searches.select("user")), "expansion"), edges
 
 
 #: Postings and statistics of title and body, over documents that aren't deleted.
@@ -75,7 +75,7 @@ BASE = with_(fx.PRINCIPALS, fx.DOCS, fx.SEARCHES, INDEX, VISIBLE, recursive=True
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, searches, held, _ = _inputs(spark, sf_dir)
+    docs, searches, held, _ = _inputs(spark, sf_dir, vectors=False)
     return retrieval.bm25(docs, searches, held)
 
 
@@ -127,8 +127,7 @@ def bm25_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over an index that has come to hold the documents in three batches: first every document with another one's title, then twice (as a batch that is tried again) the true rows of a third of them, then of all others."""
-    docs, searches, held, _ = _inputs(spark, sf_dir)
-    docs = docs.drop("embedding", "needs_embed")
+    docs, searches, held, _ = _inputs(spark, sf_dir, vectors=False)
     index = Index(spark, scratch(spark, "index"))
     old = docs.withColumn("title", F.concat(F.col("datasource"), F.lit(" "), F.col("title"))).withColumn("deleted", F.col("doc_id") % 5 == 0)
     index.update(old, 0)
@@ -139,7 +138,7 @@ def bm25_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only issues and pull requests of two of the sources."""
-    docs, searches, held, _ = _inputs(spark, sf_dir)
+    docs, searches, held, _ = _inputs(spark, sf_dir, vectors=False)
     return retrieval.bm25(docs, searches, held, wanted={"datasource": ["en", "de"], "kind": ["issue", "pull_request"]})
 
 
@@ -206,8 +205,9 @@ KNN_RECALL_SQL = BASE + "," + _knn_sql(_SEEN) + "," + _knn_sql(_SEEN + " JOIN do
 
 
 def _hybrid(spark: SparkSession, sf_dir: str):
-    docs, searches, held, edges = _inputs(spark, sf_dir)
-    lists = {"bm25": retrieval.bm25(docs, searches, held), "knn": retrieval.knn(docs, searches, held)}
+    """docs without vectors, searches, what the searching users hold, the graph, and the fused hits."""
+    docs, searches, held, edges = _inputs(spark, sf_dir, vectors=False)
+    lists = {"bm25": retrieval.bm25(docs, searches, held), "knn": retrieval.knn(fx.docs(spark, sf_dir), searches, held)}
     return docs, searches, held, edges, retrieval.fuse(lists)
 
 
@@ -268,7 +268,7 @@ FROM shown LEFT JOIN seen v ON v.usr = shown.usr AND v.doc_id = shown.doc_id"""
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each search's user sees, or doesn't, the documents that its words find best whoever asks."""
-    docs, searches, held, _ = _inputs(spark, sf_dir)
+    docs, searches, held, _ = _inputs(spark, sf_dir, vectors=False)
     d = docs.withColumn("hidden", F.col("deleted") | F.col("quarantined")).withColumn("deleted", F.lit(False)).withColumn("quarantined", F.lit(False)).drop("hidden")
     pairs = retrieval.bm25(d, searches, None).join(searches.select("query_id", "user"), "query_id").select("user", "doc_id").distinct()
     return retrieval.explain(pairs, docs, held).select("user", "doc_id", "status", "matched", F.array_join("path", ">").alias("path"))

@@ -163,3 +163,30 @@ def test_kept_expansions_bring_no_pairs_together_again(spark, tmp_path):
         ("u:a", "u:a"): (0, "u:a"), ("u:a", "g:1"): (1, "u:a>g:1"), ("u:a", "g:2"): (2, "u:a>g:1>g:2"), ("u:a", "c:x"): (1, "u:a>c:x"), ("u:a", "g:3"): (1, "g:everyone>g:3"), ("u:a", "c:z"): (2, "g:everyone>g:3>c:z"), ("u:a", "g:everyone"): (0, "g:everyone"),
         ("u:b", "u:b"): (0, "u:b"), ("u:b", "g:everyone"): (0, "g:everyone"), ("u:b", "c:x"): (1, "g:everyone>c:x"), ("u:b", "g:3"): (1, "g:everyone>g:3"), ("u:b", "c:z"): (2, "g:everyone>g:3>c:z"), ("u:b", "u:a"): (1, "g:everyone>u:a"),
     }
+
+
+def test_walks_read_only_edges_that_can_be_reached(spark, monkeypatch):
+    inner, usual = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: inner.append(usual(df, name).count()) or usual(df, name) if name == "inner" else usual(df, name))
+    edges = [*((f"u:{i}", "g:1", True) for i in range(50)), ("g:1", "g:2", True), ("g:2", "c:x", True), ("g:3", "c:y", True)]
+    found = graph.reach(spark.createDataFrame(edges, "src string, dst string, present boolean"), spark.createDataFrame([("g:1",)], "root string"))
+    assert inner == [2]
+    assert sorted((r.principal, r.depth) for r in found.collect()) == [("c:x", 2), ("g:1", 0), ("g:2", 1)]
+
+
+DOCS = "doc_id long, title string, body string, deleted boolean, quarantined boolean, allowed array<string>, embedding array<double>"
+
+
+def test_asked_words_are_counted_without_a_shuffle(spark, sf_dir, monkeypatch):
+    docs = spark.createDataFrame([(1, "b a", "a b A c a", False, False, ["c:x"], None), (2, None, "", False, False, [], None), (3, "a", "a", True, False, [], None), (4, "z z", "b z", False, True, None, None)], DOCS)
+    plans, usual = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df, name: plans.append(_plan(df)) or usual(df, name))
+    terms = spark.createDataFrame([("a",), ("b",), ("none",)], "term string")
+    want = [(1, ["c:x"], [("body", "a", 3, 5), ("body", "b", 1, 5), ("title", "a", 1, 2), ("title", "b", 1, 2)]), (4, None, [("body", "b", 1, 2)])]
+    for most in (retrieval.BROADCAST_TERMS, 2):
+        monkeypatch.setattr(retrieval, "BROADCAST_TERMS", most)
+        lists, stats = retrieval.term_lists(docs, terms, keep={"allowed": F.col("allowed")})
+        assert sorted((r.doc_id, r.allowed, sorted(tuple(e) for e in r.entries)) for r in lists.collect()) == want
+        assert {(r.field, r.n, r.avg_len) for r in stats.collect()} == {("title", 2, 2.0), ("body", 2, 3.5)}
+    assert "Exchange" not in plans[0]
+    assert "embeddings" not in _plan(retrieval_plans._inputs(spark, sf_dir, vectors=False)[0])

@@ -350,19 +350,27 @@ def _eval(spark: SparkSession, sf_dir: str, most: int | None = None, seed: int =
         labels = labels.orderBy(seeded(seed, "doc_id"), "doc_id").limit(most)
     labels = cut(labels, "labels")
     v = docs.select("doc_id", F.col("embedding").alias("vector"))
-    searches = cut(labels.join(v, "doc_id").select(F.col("doc_id").alias("query_id"), F.lit("u:eval").alias("user"), F.array_join(tokens(F.col("title")), " ").alias("query"), "vector"), "searches")
-    # Copies have one title: what it finds is found once.
-    same = searches.groupBy("query").agg(F.min("query_id").alias("asked"))
-    words = retrieval.bm25(texts, same.select(F.col("asked").alias("query_id"), F.lit("u:eval").alias("user"), "query"), None).withColumnRenamed("query_id", "asked")
+    searches = cut(labels.join(v, "doc_id").select(F.col("doc_id").alias("query_id"), F.lit("u:eval").alias("user"), F.array_join(tokens(F.col("title")), " ").alias("query"), "vector", "class", "datasource"), "searches")
+    # The documents that can be relevant: copies aren't listed by query.
+    of = texts.filter("not deleted").select("doc_id", "datasource", "title", "quarantined", F.sha2("body", 256).alias("class"))
+    of = cut(of.join(labels.select("class", "datasource").distinct(), ["class", "datasource"], "left_semi"), "classes")
+    # Copies have one title, and may have one vector: what it finds is found once.
+    same = cut(searches.groupBy("query").agg(F.min("query_id").alias("asked"), (F.count("vector") > 0).alias("fused")), "asked")
+    # A title without vectors needs what comes before the last document that is relevant to it: fusion, too, then has words alone. Copies with one title score the same.
+    titles = searches.join(same.filter("not fused"), "query").select("asked", "class", "datasource").distinct()
+    near = titles.join(of.filter("not quarantined"), ["class", "datasource"]).groupBy("asked", "class", "datasource", "title").agg(F.min("doc_id").alias("doc_id")).select(F.col("asked").alias("query_id"), "doc_id")
+    words = retrieval.bm25(texts, same.select(F.col("asked").alias("query_id"), F.lit("u:eval").alias("user"), "query"), None, near=cut(near, "near"), near_k=11).withColumnRenamed("query_id", "asked")
     words = words.join(searches.select("query_id", "query").join(same, "query").select("query_id", "asked"), "asked").select("query_id", "doc_id", "score", "rank")
-    bm, kn = cut(words, "bm25"), cut(retrieval.knn(docs, searches, None), "knn")
+    points = cut(searches.filter("vector is not null").groupBy("vector").agg(F.min("query_id").alias("asked")), "points")
+    near_by = retrieval.knn(docs, points.select(F.col("asked").alias("query_id"), F.lit("u:eval").alias("user"), "vector"), None).withColumnRenamed("query_id", "asked")
+    near_by = near_by.join(searches.select("query_id", "vector").join(points, "vector").select("query_id", "asked"), "asked").select("query_id", "doc_id", "score", "rank")
+    bm, kn = cut(words, "bm25"), cut(near_by, "knn")
     single = lambda df, mode: df.filter("rank <= 11").select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank")
     hits = cut(single(bm, "bm25").unionByName(single(kn, "knn")).unionByName(single(retrieval.fuse({"bm25": bm, "knn": kn}, 11), "hybrid")), "hits")
-    # A hit is relevant if it is of the query's class and has a smaller id: the class of each hit is looked up, copies aren't listed.
-    of = texts.filter("not deleted").select("doc_id", "datasource", F.sha2("body", 256).alias("class"))
+    # A hit is relevant if it is of the query's class and has a smaller id.
     asked = labels.select(F.col("doc_id").alias("query_id"), F.col("datasource").alias("q_datasource"), F.col("class").alias("q_class"))
     good = (F.col("class") == F.col("q_class")) & (F.col("datasource") == F.col("q_datasource")) & (F.col("doc_id") < F.col("query_id"))
-    judged = hits.join(of, "doc_id", "left").join(asked, "query_id").select("mode", "query_id", "doc_id", "rank", F.coalesce(good, F.lit(False)).alias("good"))
+    judged = hits.join(of.select("doc_id", "datasource", "class"), "doc_id", "left").join(asked, "query_id").select("mode", "query_id", "doc_id", "rank", F.coalesce(good, F.lit(False)).alias("good"))
     return reports.relevance(cut(reports.outcomes(judged, labels.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("own"), "datasource", "n_rel")), "outcomes"))
 
 

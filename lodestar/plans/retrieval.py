@@ -355,15 +355,17 @@ def _eval(spark: SparkSession, sf_dir: str, most: int | None = None, seed: int =
     of = texts.filter("not deleted").select("doc_id", "datasource", "title", "quarantined", F.sha2("body", 256).alias("class"))
     of = cut(of.join(labels.select("class", "datasource").distinct(), ["class", "datasource"], "left_semi"), "classes")
     # Copies have one title, and may have one vector: what it finds is found once.
-    same = cut(searches.groupBy("query").agg(F.min("query_id").alias("asked"), (F.count("vector") > 0).alias("fused")), "asked")
-    # A title without vectors needs what comes before the last document that is relevant to it: fusion, too, then has words alone. Copies with one title score the same.
-    titles = searches.join(same.filter("not fused"), "query").select("asked", "class", "datasource").distinct()
-    near = titles.join(of.filter("not quarantined"), ["class", "datasource"]).groupBy("asked", "class", "datasource", "title").agg(F.min("doc_id").alias("doc_id")).select(F.col("asked").alias("query_id"), "doc_id")
-    words = retrieval.bm25(texts, same.select(F.col("asked").alias("query_id"), F.lit("u:eval").alias("user"), "query"), None, near=cut(near, "near"), near_k=11).withColumnRenamed("query_id", "asked")
-    words = words.join(searches.select("query_id", "query").join(same, "query").select("query_id", "asked"), "asked").select("query_id", "doc_id", "score", "rank")
-    points = cut(searches.filter("vector is not null").groupBy("vector").agg(F.min("query_id").alias("asked")), "points")
-    near_by = retrieval.knn(docs, points.select(F.col("asked").alias("query_id"), F.lit("u:eval").alias("user"), "vector"), None).withColumnRenamed("query_id", "asked")
-    near_by = near_by.join(searches.select("query_id", "vector").join(points, "vector").select("query_id", "asked"), "asked").select("query_id", "doc_id", "score", "rank")
+    same, points = cut(searches.groupBy("query").agg(F.min("query_id").alias("asked")), "asked"), cut(searches.filter("vector is not null").groupBy("vector").agg(F.min("query_id").alias("point")), "points")
+    searches = cut(searches.join(same, "query").join(points, "vector", "left").select("query_id", "asked", "point", "class", "datasource"), "searches")
+    closest = cut(retrieval.knn(docs, points.select(F.col("point").alias("query_id"), F.lit("u:eval").alias("user"), "vector"), None).withColumnRenamed("query_id", "point"), "points")
+    # A title needs what comes before the last document that is relevant to it, as nothing after that changes a metric; copies with one title score the same. Fusion also needs the places of what vectors find.
+    titles = searches.select("asked", "class", "datasource").distinct()
+    near = titles.join(of.filter("not quarantined"), ["class", "datasource"]).groupBy("asked", "class", "datasource", "title").agg(F.min("doc_id").alias("doc_id"))
+    rivals = searches.filter("point is not null").select("asked", "point").distinct().join(closest, "point")
+    pairs = lambda df: df.select(F.col("asked").alias("query_id"), "doc_id")
+    words = retrieval.bm25(texts, same.select(F.col("asked").alias("query_id"), F.lit("u:eval").alias("user"), "query"), None, near=pairs(near), rivals=pairs(rivals)).withColumnRenamed("query_id", "asked")
+    words = words.join(searches.select("query_id", "asked"), "asked").select("query_id", "doc_id", "score", "rank")
+    near_by = closest.join(searches.select("query_id", "point"), "point").select("query_id", "doc_id", "score", "rank")
     bm, kn = cut(words, "bm25"), cut(near_by, "knn")
     single = lambda df, mode: df.filter("rank <= 11").select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank")
     hits = cut(single(bm, "bm25").unionByName(single(kn, "knn")).unionByName(single(retrieval.fuse({"bm25": bm, "knn": kn}, 11), "hybrid")), "hits")
